@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact, mixing, packing, tokens
+from tessera.llm import exact, lm, mixing, packing, pii, tokens
 from tessera.llm.common import documents, new_path, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(documents(spark, sf_dir))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.pii_spans(documents(spark, sf_dir)))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -41,6 +49,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_pii": op6_pii,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
