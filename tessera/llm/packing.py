@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import END_ID, WordEncoder
+from tessera.llm.tokens import END_ID, encoder
 
 MOST = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
@@ -48,7 +48,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = MOST, end_id: int = END_ID
         raise ValueError("the longest sequence has to be a power of two")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), end_id.to_bytes(4, "little")
+        encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         sequence, names = TaskContext.get().partitionId() << 40, [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.int64()] * 7 + [pa.int32()]
         rows: list[tuple] = []
@@ -58,7 +58,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = MOST, end_id: int = END_ID
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = memoryview(encoder(text.as_py()) + end)
+                ids = memoryview(encode(text.as_py()) + end)
                 n = len(ids) // 4
                 for start, length in cut(n, most):
                     rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, 0, length.bit_length() - 1))

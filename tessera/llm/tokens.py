@@ -13,8 +13,11 @@ read.
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,17 +37,29 @@ class WordEncoder:
 
     The tokenizer's rules never join characters across a space or a line end,
     so a text's ids are its pieces' ids in order; pieces repeat, and their ids
-    are remembered.  The memory is bounded in entries and in piece length.
+    are remembered.  The memory is bounded in entries and in piece length.  A
+    piece of plain Latin letters, perhaps with a stop or comma behind, is one
+    word to the rules: it goes to the library's model directly.
     """
 
-    def __init__(self, path: str, entries: int = 300_000, longest: int = 48) -> None:
+    WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+
+    def __init__(self, path: str, entries: int = 700_000, longest: int = 48) -> None:
         from tokenizers import Tokenizer
 
-        encode, known = Tokenizer.from_file(path).encode, {"": b""}
+        tokenizer = Tokenizer.from_file(path)
+        encode, model, known, word = tokenizer.encode, tokenizer.model, {"": b""}, self.WORD.fullmatch
+        letters = {ord(c): "".join(p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(c))) for c in map(chr, range(65, 256)) if word(c)}
+        behind = {c: tuple(encode(c, add_special_tokens=False).ids) for c in ".,"} | {"": ()}
+
+        def ids_of(piece: str) -> bytes:
+            if plain := word(piece):
+                return array("I", [*(t.id for t in model.tokenize(plain[1].translate(letters))), *behind[plain[2]]]).tobytes()
+            return array("I", encode(piece, add_special_tokens=False).ids).tobytes()
 
         class Memory(dict):
             def __missing__(self, piece: str) -> bytes:
-                ids = np.asarray(encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = ids_of(piece)
                 if len(piece) <= longest:
                     if len(self) >= entries:
                         self.clear()
@@ -59,6 +74,12 @@ class WordEncoder:
         return b"".join(map(self._ids, text.replace("\n", " ").split(" "))) if text else b""
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, so that what it remembers outlives a task."""
+    return WordEncoder(path)
+
+
 def vocabulary_dtype(path: str) -> str:
     from tokenizers import Tokenizer
 
@@ -84,14 +105,14 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int =
         part = TaskContext.get().partitionId()
         fs, folder = pafs.FileSystem.from_uri(root)
         fs.create_dir(folder, recursive=True)
-        shard, encoder = f"shard-{part:06d}-{uuid.uuid4().hex[:8]}", WordEncoder(tokenizer)
+        shard, encode = f"shard-{part:06d}-{uuid.uuid4().hex[:8]}", encoder(tokenizer)
         end = np.asarray([end_id], "<u4").astype(dtype).tobytes()
         counts, ids = [np.zeros(1, "<i8")], []
         with fs.open_output_stream(f"{folder}/{shard}.bin", buffer_size=1 << 20) as out:
             for batch in batches:
                 lengths = np.empty(batch.num_rows, "<i8")
                 for i, text in enumerate(batch.column("text")):
-                    found = np.frombuffer(encoder(text.as_py()), "<u4").astype(dtype).tobytes()
+                    found = np.frombuffer(encode(text.as_py()), "<u4").astype(dtype).tobytes()
                     out.write(found + end)
                     lengths[i] = len(found) // len(end) + 1
                 named = np.empty(batch.num_rows, DOC)
