@@ -80,5 +80,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Docs with every row as often as the mix takes it."""
-    copies = mix(docs, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    return docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    copies = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("__of")).agg(F.max("copies").alias("__copies"))
+    each = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__of"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return each.select(*docs.columns)

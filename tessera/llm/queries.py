@@ -9,8 +9,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import exact, lm, mixing, ngram_join, packing, pii, substrings, tokens
+from tessera.llm import exact, lm, mixing, neighbours, ngram_join, packing, pii, substrings, tokens, toxicity
 from tessera.llm.common import documents, new_path, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -46,6 +47,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.pii_spans(documents(spark, sf_dir)))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -61,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
+    "op8_nearest": op8_nearest,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
