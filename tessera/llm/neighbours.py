@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, written
+from tessera.llm.common import mix64, released, written
 
 TABLES, AXES, STEP, SIDE = 4, 6, 1.5, 6
 SHARE, LEAST_ROWS = 0.26, 512
@@ -129,7 +129,7 @@ def _lay(vectors: DataFrame, directory, dim: int, chunks: int, queries: bool) ->
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return vectors.mapInArrow(task, LAID)
+    return vectors.mapInArrow(released(task), LAID)
 
 
 def _search(laid: DataFrame, dim: int, k: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _search(laid: DataFrame, dim: int, k: int) -> DataFrame:
                 (rows if r["role"] else queries).append(r)
         yield found()
 
-    return laid.repartition("block").sortWithinPartitions("block", "role").mapInArrow(task, "query_id long, vec_id long, score double")
+    return laid.repartition("block").sortWithinPartitions("block", "role").mapInArrow(released(task), "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
@@ -199,7 +199,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"t": pa.array(np.full(len(cell), t), pa.int32()), "cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
     # At most TABLES * SIDE ** AXES rows.
-    counts = vectors.select("embedding").mapInArrow(count, "t int, cell long, n long").groupBy("t", "cell").agg(F.sum("n").alias("n")).collect()
+    counts = vectors.select("embedding").mapInArrow(released(count), "t int, cell long, n long").groupBy("t", "cell").agg(F.sum("n").alias("n")).collect()
     if not counts:
         return spark.createDataFrame([], schema)
     directory = spark.sparkContext.broadcast(Directory(counts, dim))

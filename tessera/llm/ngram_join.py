@@ -35,10 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, mix64, slices, string_bytes, written
+from tessera.llm.common import Words, mix64, released, slices, string_bytes, written
 from tessera.llm.components import components
 
-SLICE, CHUNK = 1 << 20, 1 << 21
+SLICE, CHUNK = 1 << 19, 1 << 20
 #: Bits of a hash that travel in stage 1, besides those that choose the part.
 SHORT = 30
 #: Rows of a block in the product.
@@ -137,7 +137,7 @@ def shapes(docs: DataFrame, n: int, parts: int) -> DataFrame:
         if ids:
             yield rows()
 
-    return docs.mapInArrow(task, SHAPES)
+    return docs.mapInArrow(released(task), SHAPES)
 
 
 def lonely(shaped: DataFrame, parts: int) -> DataFrame:
@@ -168,7 +168,7 @@ def lonely(shaped: DataFrame, parts: int) -> DataFrame:
             yield rows(held)
 
     asked = shaped.filter("role = 1").select("part", "chunk", "keys", "docs")
-    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(task, "chunk long, docs binary, counts binary")
+    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(released(task), "chunk long, docs binary, counts binary")
 
 
 def members(shaped: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +194,7 @@ def members(shaped: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
 
     rows = shaped.filter("role = 0").select("role", "chunk", "ids", "sizes", "classes")
     rows = rows.unionByName(alone.withColumn("role", F.lit(1)), allowMissingColumns=True)
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "role").mapInArrow(task, "doc_id long, size long, class long, near boolean")
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "role").mapInArrow(released(task), "doc_id long, size long, class long, near boolean")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -211,7 +211,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     out["grams"].append(g.astype("<u8").tobytes())
             yield pa.RecordBatch.from_pydict({"class": pa.array(out["class"], pa.int64()), "size": pa.array(out["size"], pa.int64()), "grams": pa.array(out["grams"], pa.binary())})
 
-    found = docs.join(wanted.withColumnsRenamed({"doc_id": "of_doc"}), F.col("doc_id") == F.col("of_doc")).select("class", "text").mapInArrow(task, "class long, size long, grams binary")
+    found = docs.join(wanted.withColumnsRenamed({"doc_id": "of_doc"}), F.col("doc_id") == F.col("of_doc")).select("class", "text").mapInArrow(released(task), "class long, size long, grams binary")
     return found.dropDuplicates(["class"])
 
 
@@ -236,12 +236,12 @@ def incidence(sets: DataFrame, percent: int) -> DataFrame:
                     g = known[:keep, 1]
                     yield pa.RecordBatch.from_pydict({"gram": g, "class": np.full(len(g), r["class"], np.int64), "size": np.full(len(g), len(grams), np.int64), "place": lone + np.arange(len(g))})
 
-    spread_out = sets.select("class", "grams").mapInArrow(spread, "gram long, class long")
+    spread_out = sets.select("class", "grams").mapInArrow(released(spread), "gram long, class long")
     counted = written(spread_out.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
     shared = spread_out.join(counted, "gram")
     # A class has as many rows as its one document has n-grams.
     listed = shared.groupBy("class").agg(F.collect_list("gram").alias("shared"), F.collect_list("times").alias("times"))
-    return sets.join(listed, "class").mapInArrow(first, "gram long, class long, size long, place long")
+    return sets.join(listed, "class").mapInArrow(released(first), "gram long, class long, size long, place long")
 
 
 def _reach(a: str, b: str, percent: int):
@@ -286,7 +286,7 @@ def products(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     laid = asked.join(sets.select("class", "grams"), "class").select("block", "role", "class", "grams")
-    return laid.repartition("block").sortWithinPartitions("block", "role").mapInArrow(task, "src long, dst long, overlap long")
+    return laid.repartition("block").sortWithinPartitions("block", "role").mapInArrow(released(task), "src long, dst long, overlap long")
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, string_bytes, written
+from tessera.llm.common import mix64, released, string_bytes, written
 from tessera.llm.suffix_sort import BASES, Polynomial, sort_suffixes
 
 SPAN, GRAM = 400, 128
@@ -121,7 +121,7 @@ def contexts(docs: DataFrame, span: int, gram: int) -> DataFrame:
                 found = anchors.of(pieces)
                 yield pa.RecordBatch.from_arrays([pa.array(found["key"]), pa.array(found["digest"]), pa.array(rid[found["row"]]), pa.array(found["start"], pa.int64()), pa.array(found["width"], pa.int32()), pa.array(found["lead"], pa.int32())], ["key", "digest", "rid", "start", "width", "lead"])
 
-    return docs.mapInArrow(task, CONTEXTS)
+    return docs.mapInArrow(released(task), CONTEXTS)
 
 
 OPEN = f"{CONTEXTS}, n long, hot boolean"
@@ -162,7 +162,7 @@ def with_bytes(open_: DataFrame, docs: DataFrame, span: int) -> DataFrame:
 
     # A text has no more contexts than windows.
     asked = open_.groupBy("rid").agg(F.collect_list(F.struct("key", "digest", "start", "width", "lead", "n", "hot")).alias("asked"))
-    return docs.join(asked, "rid").mapInArrow(task, schema)
+    return docs.join(asked, "rid").mapInArrow(released(task), schema)
 
 
 def halves(hot: DataFrame, span: int, step: int) -> DataFrame:
@@ -189,7 +189,7 @@ def halves(hot: DataFrame, span: int, step: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return hot.mapInArrow(task, schema)
+    return hot.mapInArrow(released(task), schema)
 
 
 def _repeated(rows: list[dict], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +236,7 @@ def sorted_spans(open_: DataFrame, span: int) -> DataFrame:
         if held:
             yield spans()
 
-    return open_.repartition("key").sortWithinPartitions("key").mapInArrow(task, "rid long, from long, to long")
+    return open_.repartition("key").sortWithinPartitions("key").mapInArrow(released(task), "rid long, from long, to long")
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -284,7 +284,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept binary"
-    return docs.join(spans, "rid", "left").select("doc_id", "text", "found").mapInArrow(task, schema)
+    return docs.join(spans, "rid", "left").select("doc_id", "text", "found").mapInArrow(released(task), schema)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

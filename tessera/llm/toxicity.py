@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import released
+
 #: Labelled documents of each label to learn from.
 SAMPLE = 3000
 LANDMARKS, COMMON = 48, 16
@@ -187,7 +189,7 @@ def _segments_of(sample: DataFrame) -> DataFrame:
                 found = [w for w in found if len(w) >= SHORT and not any(c.isdigit() for c in w)]
                 yield pa.RecordBatch.from_pydict({"string": pa.array(found, pa.string()), "toxic": pa.array([toxic] * len(found), pa.int32())})
 
-    return sample.select("text", "toxic").mapInArrow(task, "string string, toxic int")
+    return sample.select("text", "toxic").mapInArrow(released(task), "string string, toxic int")
 
 
 def choose_landmarks(sample: DataFrame, toxic: int, other: int) -> Landmarks:
@@ -216,7 +218,7 @@ def witnesses(sample: DataFrame, landmarks: Landmarks, model: Model | None) -> D
                 out.append([pieces[i] for i in np.argsort(-bad, kind="stable")[:WITNESSES]])
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "strings": pa.array(out, pa.list_(pa.string()))})
 
-    return sample.select("text", "toxic").mapInArrow(task, "toxic int, strings array<string>")
+    return sample.select("text", "toxic").mapInArrow(released(task), "toxic int, strings array<string>")
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
@@ -301,7 +303,7 @@ def with_scores(docs: DataFrame, model: Model | float, name: str = "score") -> D
                 scores = model.probability(np.array(scorer(t.as_py() for t in part.column("text"))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, name])
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(released(task), schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
