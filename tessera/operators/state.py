@@ -86,6 +86,11 @@ def missing_from(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFram
     return rows.join(other.select(*keys), keys, "left_anti")
 
 
+def sweep_left_out(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """What a full resync did not see any more."""
+    return missing_from(rows, seen, [key])
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
 
@@ -143,7 +148,7 @@ def supersede(corrections: DataFrame, changed: DataFrame) -> DataFrame:
 
 def contradicted(corrections: DataFrame, cited: DataFrame) -> DataFrame:
     """Corrections with `contradicts`: the first cited file of their dataset, or whose name holds it (cited: position, file, dataset)."""
-    files = F.broadcast(cited.limit(100).select("position", "file", F.col("dataset").alias("__dataset")))  # one answer's cites
+    files = cited.select("position", "file", F.col("dataset").alias("__dataset"))  # one answer's cites, 30 at most
     hit = (F.lower("dataset") == F.lower("__dataset")) | F.contains(F.lower("file"), F.lower("dataset"))
     first = corrections.join(files, hit).groupBy("id").agg(F.min_by("file", "position").alias("contradicts"))
     return corrections.join(first, "id", "left")

@@ -1,6 +1,8 @@
-"""Registered queries of the library and their DuckDB counterparts."""
+"""All registered queries of the library and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.queries import measures, retrieval, state, streams, texts
+from tessera.queries.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "measures", "retrieval", "state", "streams", "texts"]
