@@ -46,7 +46,8 @@ def header_rows(cells: DataFrame) -> DataFrame:
 
 def column_type(values: Column) -> Column:
     """number if all filled values are, else date if all are, else text; nothing filled is text."""
-    number, date = F.bool_and(to_number(values).isNotNull()), F.bool_and(to_iso_date(values).isNotNull())
+    all_are = lambda parsed: F.bool_and(F.when(values.isNotNull(), parsed.isNotNull()))
+    number, date = all_are(to_number(values)), all_are(to_iso_date(values))
     return F.when(number, "number").when(date, "date").otherwise("text")
 
 

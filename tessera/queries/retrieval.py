@@ -1 +1,156 @@
-"""To come."""
+"""Vector, full-text and fused retrieval, and its scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.fulltext import cover_density, lexemes, postings
+from tessera.functions.vectors import literal
+from tessera.operators import search
+from tessera.operators.profile import numeric_accuracy, retrieval_scores
+from tessera.plans.filters import And, Eq, Layout, Not
+from tessera.plans.plan import Keywords
+from tessera.queries.base import query, table
+
+TERMS = ("the", "idiot", "erent")
+LABELS = Layout(columns={"dataset": "label"})
+COSINE = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {}))"
+
+
+def asked(spark, sf, vec_id: int) -> list[float]:
+    return table(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).head()["embedding"]
+
+
+@query(f"SELECT vec_id, round({COSINE.format(0)}, 6) AS similarity FROM embeddings ORDER BY {COSINE.format(0)} DESC, vec_id LIMIT 40")
+def knn_top40(spark, sf):
+    out = search.knn(table(spark, sf, "embeddings"), asked(spark, sf, 0), key="vec_id")
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT vec_id, round({COSINE.format(3)}, 6) AS similarity FROM embeddings WHERE NOT (label = 3) AND TRUE ORDER BY {COSINE.format(3)} DESC, vec_id LIMIT 40")
+def knn_filtered_top40(spark, sf):
+    rows = table(spark, sf, "embeddings").withColumn("label", F.col("label").cast("string"))
+    out = search.knn(rows, asked(spark, sf, 3), key="vec_id", where=And((Not(Eq("dataset", "3")),)), layout=LABELS)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT vec_id, round({COSINE.format(7)}, 6) AS similarity FROM embeddings WHERE {COSINE.format(7)} >= 0.25 ORDER BY {COSINE.format(7)} DESC, vec_id LIMIT 5")
+def corrections_threshold_top5(spark, sf):
+    out = search.above(table(spark, sf, "embeddings"), asked(spark, sf, 7), key="vec_id")
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+def bm25_sql(terms: tuple[str, ...], match: str, tail: str) -> str:
+    listed = ", ".join(f"('{t}')" for t in terms)
+    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents), q(term) AS (VALUES {listed}),
+        r AS (SELECT doc_id, term, len(words) AS length, len(list_filter(words, lambda x: {match})) AS tf FROM w, q),
+        a AS (SELECT count(*) AS docs, avg(len(words)) AS average FROM w), n AS (SELECT term, count(*) FILTER (tf > 0) AS with_term FROM r GROUP BY 1),
+        i AS (SELECT term, average, CASE WHEN ln((docs - with_term + 0.5) / (with_term + 0.5)) > 0 THEN ln((docs - with_term + 0.5) / (with_term + 0.5)) ELSE 1e-6 END AS idf FROM n, a),
+        s AS (SELECT doc_id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / average))) AS score FROM r JOIN i USING (term) WHERE tf > 0 GROUP BY 1) {tail}"""
+
+
+@query(bm25_sql(TERMS, "x = term", "SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 40"))
+def bm25_top40(spark, sf):
+    out = search.bm25(table(spark, sf, "documents"), list(TERMS), key="doc_id")
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(bm25_sql(("stupid", "lose"), "starts_with(x, term)", "SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 60"))
+def bm25_prefix_top60(spark, sf):
+    out = search.bm25(table(spark, sf, "documents"), ["stupid", "lose"], 60, key="doc_id", prefix=True)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS words FROM documents)
+           SELECT doc_id FROM w WHERE list_contains(words, 'the') AND list_contains(words, 'and') AND NOT (list_contains(words, 'idiot') OR list_contains(words, 'moron'))""")
+def lexical_must_not(spark, sf):
+    return search.lexical_filter(table(spark, sf, "documents"), Keywords(must=("the", "and"), exclude=("idiot", "moron"))).select("doc_id")
+
+
+VECTOR_LEG = f"SELECT vec_id AS id, row_number() OVER (ORDER BY {COSINE.format(0)} DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 40"
+TEXT_LEG = bm25_sql(TERMS, "x = term", "SELECT doc_id AS id, row_number() OVER (ORDER BY s.score DESC, doc_id) AS rank FROM s QUALIFY rank <= 40")
+
+
+def fused(spark, sf):
+    v = search.ranked(search.knn(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), asked(spark, sf, 0)), "similarity", "id", "vector")
+    t = search.ranked(search.bm25(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), list(TERMS)), "score", "id", "text")
+    return search.fuse([v, t], "id")
+
+
+@query(f"SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (({VECTOR_LEG}) UNION ALL ({TEXT_LEG})) GROUP BY id")
+def rrf_fusion(spark, sf):
+    return fused(spark, sf).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (({VECTOR_LEG}) UNION ALL ({TEXT_LEG})) GROUP BY id)
+           SELECT source, id, round(score, 9) AS score FROM f JOIN documents ON doc_id = id QUALIFY row_number() OVER (PARTITION BY source ORDER BY f.score DESC, id) = 1""")
+def hybrid_best_per_group(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    out = search.best_per(docs.join(fused(spark, sf), "id"), "source", "score", "id")
+    return out.select("source", "id", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH cites AS (SELECT a.vec_id AS question, b.label AS file, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS position
+                          FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 10) a, embeddings b WHERE a.vec_id <> b.vec_id),
+               first AS (SELECT question, file, min(position) AS position FROM cites WHERE position <= 40 GROUP BY 1, 2),
+               ranked AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY position, file) AS rank FROM first QUALIFY rank <= 5),
+               hit AS (SELECT question, min(rank) AS rank FROM ranked JOIN (SELECT vec_id, label FROM embeddings) e ON e.vec_id = question AND e.label = file GROUP BY 1)
+          SELECT count(*) AS questions, round(avg((h.rank IS NOT NULL)::INT), 9) AS hit_at_k, round(avg(coalesce(1.0::DOUBLE / h.rank, 0)), 9) AS mrr FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 10) q LEFT JOIN hit h ON h.question = q.vec_id""")
+def eval_hit5_mrr(spark, sf):
+    """Ten stated questions against all vectors; a file is a label."""
+    rows = table(spark, sf, "embeddings")
+    questions = rows.orderBy("vec_id").limit(10).collect()
+    legs = []
+    for q in questions:
+        near = search.knn(rows.filter(F.col("vec_id") != q["vec_id"]), q["embedding"], key="vec_id")
+        legs.append(search.ranked(near, "similarity", "vec_id", str(q["vec_id"])))
+    cites = legs[0]
+    for leg in legs[1:]:
+        cites = cites.unionByName(leg)
+    cites = cites.join(rows.select("vec_id", "label"), "vec_id").select(F.col("leg").cast("long").alias("question"), F.col("label").alias("file"), F.col("rank").alias("position"))
+    expected = spark.createDataFrame([(q["vec_id"], q["label"]) for q in questions], "question long, file int")
+    return retrieval_scores(cites, expected).select("questions", F.round("hit_at_k", 9).alias("hit_at_k"), F.round("mrr", 9).alias("mrr"))
+
+
+@query("""WITH g AS (SELECT o_custkey AS question, sum(o_totalprice) AS got FROM orders GROUP BY 1), e AS (SELECT c_custkey AS question, c_acctbal * 100 AS value FROM customer WHERE c_acctbal > 0)
+          SELECT avg(coalesce(abs(got - value) <= abs(value) * 0.5, FALSE)::INT) AS numeric_accuracy FROM e LEFT JOIN g USING (question)""")
+def eval_numeric_accuracy(spark, sf):
+    got = table(spark, sf, "orders").select(F.col("o_custkey").alias("question"), F.col("o_totalprice").alias("value"))
+    expected = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("question"), (F.col("c_acctbal") * 100).alias("value"))
+    return numeric_accuracy(got, expected, 0.5)
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)
+           SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM w GROUP BY 1""")
+def inverted_index(spark, sf):
+    rows = postings(table(spark, sf, "documents"), "doc_id", "text")
+    return rows.groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).cast("long").alias("occurrences"))
+
+
+@query()
+def stemmed_index(spark, sf):
+    rows = postings(table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "text", stem=True)
+    return rows.groupBy("term").agg(F.count("*").alias("docs"))
+
+
+@query()
+def cover_density_top40(spark, sf):
+    """Rank of documents that hold all lexemes, by their minimal covers."""
+    needed = lexemes("of them the erent ions the")
+    needed = needed or ["erent"]
+    rows = postings(table(spark, sf, "documents"), "doc_id", "text").filter(F.col("term").isin([*needed, "onon"]))
+    listed = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+
+    @F.pandas_udf("double")
+    def rank(maps):
+        return maps.map(lambda m: cover_density({k: list(v) for k, v in m.items()}, list(m)))
+
+    return search.top(listed.select("doc_id", rank("at").alias("score")), "score", "doc_id", 40)
+
+
+@query(f"SELECT label, count(*) AS n, round(max({COSINE.format(11)}), 6) AS nearest FROM embeddings GROUP BY 1")
+def nearest_by_label(spark, sf):
+    from tessera.functions.vectors import cosine
+
+    near = cosine("embedding", literal(asked(spark, sf, 11)))
+    return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.max(near), 6).alias("nearest"))

@@ -1 +1,89 @@
-"""To come."""
+"""Streams over the events table, run to its end, and their batch forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.queries.base import query, table
+from tessera.sources.shared import shared_path
+from tessera.streaming import cdc
+
+WAIT_S = 600
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
+    """A table's files as a stream."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{sf}/{name}.parquet*")
+
+
+def finished(rows: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
+    """The rows that a stream has given when its input is used up."""
+    path = shared_path(spark, name)
+    if mode == "append":
+        running = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    else:
+        # Each batch of a complete result replaces the one before.
+        running = rows.writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    if not running.awaitTermination(WAIT_S):
+        running.stop()
+        raise TimeoutError(f"the stream {name} did not end")
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_window_counts(spark, sf):
+    counts = cdc.window_counts(stream(spark, sf), "ts", "1 day", "event_type")
+    out = finished(counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), spark, "windows", "complete")
+    return out
+
+
+@query("""WITH h AS (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events)
+          SELECT strftime(w, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM h GROUP BY ALL""")
+def sliding_window_counts(spark, sf):
+    counts = cdc.window_counts(table(spark, sf, "events"), "ts", "2 hours", "event_type", slide="1 hour")
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+@query("SELECT user_id AS id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'")
+def stream_cdc_foreach_batch(spark, sf):
+    """Changes applied batch after batch to a versioned table, the last version read back."""
+    root = shared_path(spark, "cdc")
+    changes = stream(spark, sf).select(F.col("user_id").alias("id"), "ts", "event_id", "value", (F.col("event_type") == "error").alias("deleted"))
+    running = cdc.stream_table(changes, [cdc.versioned_sink(spark, f"{root}/table", "id", ("ts", "event_id"), "deleted")], f"{root}/checkpoint")
+    if not running.awaitTermination(WAIT_S):
+        running.stop()
+        raise TimeoutError("the change stream did not end")
+    last = max(p["batchId"] for p in running.recentProgress)
+    return spark.read.parquet(f"{root}/table/v{last}").select("id", "event_id", "value")
+
+
+@query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 3 MINUTE, TRUE)::INT AS new FROM events),
+               s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
+          SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, session""")
+def session_gap(spark, sf):
+    out = cdc.sessions(table(spark, sf, "events"), "user_id", "ts")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT max(ts) + INTERVAL 3 MINUTE < TIMESTAMP '2024-02-15' AS idle FROM events")
+def idle_check(spark, sf):
+    return cdc.idle(table(spark, sf, "events"), "ts", F.lit("2024-02-15").cast("timestamp_ntz"))
+
+
+@query()
+def rate_cap_dedupe(spark, sf):
+    """Errors admitted once in half an hour by signature, four an hour by source."""
+    events = stream(spark, sf).filter("event_type = 'error'")
+    shaped = events.select(F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("source"), "event_id", F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("signature"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        return finished(cdc.rate_capped(shaped.withColumn("at", F.col("micros") / 1e6).drop("micros")), spark, "ratecap")
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

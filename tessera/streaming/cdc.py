@@ -53,11 +53,11 @@ class Pacer:
             self.sleep(self.gap - spent)
 
 
-def stream_table(changes: DataFrame, path_of: Callable[[int], str], sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
+def stream_table(changes: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
     """Each micro-batch, kept once, goes to every sink; the cursor moves only after all of them.
 
-    A batch that fails is delivered again, so sinks have to be idempotent:
-    write to path_of(batch), overwriting.
+    A batch that fails is delivered again, so sinks have to be idempotent, such
+    as those that overwrite a path with the batch's number.
     """
 
     def each(batch: DataFrame, number: int) -> None:
