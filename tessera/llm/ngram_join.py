@@ -198,7 +198,10 @@ def members(shaped: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class, size, grams: the n-grams of each class of wanted (doc_id, class), from a document of it."""
+    """class, size, grams: the n-grams of each class of wanted (doc_id, class), from a document of it.
+
+    A class comes twice where its document does; that adds work and no links.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = NgramSets(n)
@@ -211,8 +214,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     out["grams"].append(g.astype("<u8").tobytes())
             yield pa.RecordBatch.from_pydict({"class": pa.array(out["class"], pa.int64()), "size": pa.array(out["size"], pa.int64()), "grams": pa.array(out["grams"], pa.binary())})
 
-    found = docs.join(wanted.withColumnsRenamed({"doc_id": "of_doc"}), F.col("doc_id") == F.col("of_doc")).select("class", "text").mapInArrow(released(task), "class long, size long, grams binary")
-    return found.dropDuplicates(["class"])
+    return docs.join(wanted.withColumnsRenamed({"doc_id": "of_doc"}), F.col("doc_id") == F.col("of_doc")).select("class", "text").mapInArrow(released(task), "class long, size long, grams binary")
 
 
 def incidence(sets: DataFrame, percent: int) -> DataFrame:

@@ -3,7 +3,7 @@
 The kernel counts the subsequences of three letters that two strings share,
 weighted down by the gaps they span, so an insult is recognised with letters
 inserted and with endings.  Landmarks are letter strings that tell toxic from
-other labelled documents, and common words; the Nystroem map of the kernel to
+other labelled documents; the Nystroem map of the kernel to
 them turns a segment of text into a vector for a linear machine.  Segments are
 words, and runs of single letters joined.  A document scores as its most toxic
 segment, through a logistic curve with the labels' shares.
@@ -20,8 +20,11 @@ largest holds.  No rows give no rows.  Other columns pass through unread.
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import released
+from tessera.llm.common import released, written
 
 #: Labelled documents of each label to learn from.
 SAMPLE = 3000
-LANDMARKS, COMMON = 48, 16
+LANDMARKS, ALIKE = 48, 0.75
 LENGTH, DECAY = 3, 0.6
+BEGIN = "^"
 #: Letters of a landmark; letters of a segment's window.
-SHORT, LONG, WINDOW = 4, 12, 24
+SHORT, LONG, WINDOW = 5, 12, 24
 #: Share of a landmark's letters that a segment must have for a kernel above 0.
-SHARED = 0.6
-#: Segments of a document to learn from in each of so many rounds; the weight of the bad ones; their least likeness to a landmark.
-WITNESSES, ROUNDS, FOR, LIKE = 4, 4, 1.0, 0.5
+SHARED = 0.75
+#: Segments of a document to learn from, the most like a landmark and some by hash; the weight of the bad ones; their least likeness.
+WITNESSES, OTHERS, FOR, LIKE = 6, 4, 0.5, 0.5
 #: A landmark occurs in so many toxic documents, in this share of them, this many times as often as in others, and with so much evidence.
-LEAST, LEAST_SHARE, RATIO, EVIDENCE = 4, 0.01, 6, 10
+LEAST, LEAST_SHARE, RATIO, EVIDENCE = 4, 0.01, 6, 20
 THRESHOLD = 0.3
 ENTRIES = 1_000_000
 
@@ -63,7 +67,8 @@ def segments(text: str | None) -> set[str]:
 
 
 def windows(segment: str) -> Iterable[str]:
-    """A long segment as windows that overlap by half."""
+    """A segment with a mark where it begins; a long one as windows that overlap by half."""
+    segment = BEGIN + segment
     if len(segment) <= WINDOW:
         return (segment,)
     return (segment[i : i + WINDOW] for i in range(0, len(segment) - WINDOW // 2, WINDOW // 2))
@@ -102,10 +107,9 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Landmarks:
-    """Strings, of which the first `bad` come from toxic documents."""
+    """Strings that tell toxic documents from others."""
 
     strings: list[str]
-    bad: int
 
     def __post_init__(self) -> None:
         self.codes = coded(self.strings, LONG)
@@ -113,12 +117,11 @@ class Landmarks:
         self.need = np.ceil(SHARED * np.bitwise_count(self.masks)).astype(np.uint8)
         self.own = kernel(self.codes, self.codes)
 
-    def similar(self, strings: list[str], bad_only: bool = False) -> np.ndarray:
+    def similar(self, strings: list[str]) -> np.ndarray:
         """The normalised kernel of strings of at most WINDOW letters with each landmark."""
         codes = coded(strings, WINDOW)
-        m = self.bad if bad_only else len(self.strings)
-        out = np.zeros((len(strings), m), np.float32)
-        i, j = np.nonzero(np.bitwise_count(masks(codes)[:, None] & self.masks[None, :m]) >= self.need[:m])
+        out = np.zeros((len(strings), len(self.strings)), np.float32)
+        i, j = np.nonzero(np.bitwise_count(masks(codes)[:, None] & self.masks) >= self.need)
         if len(i):
             rows, back = np.unique(i, return_inverse=True)
             own = kernel(codes[rows], codes[rows])[back]
@@ -132,8 +135,10 @@ class Model:
     map: np.ndarray
     weight: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    slope: float = 1.0
+    shift: float = 0.0
+    #: Names the model in the workers.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def decisions(self, strings: list[str]) -> np.ndarray:
         out = np.empty(len(strings))
@@ -165,6 +170,17 @@ class Scorer:
         return [max(map(self.known.__getitem__, s), default=self.model.bias) for s in each]
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The one of this Python worker, so that what it remembers outlives a task."""
+    if model.key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.key] = Scorer(model)
+    return _SCORERS[model.key]
+
+
 def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
@@ -175,7 +191,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[Data
     had = {r["toxic"]: r["n"] for r in open_.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = [open_.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     # No more than twice `most` rows, whatever the input.
-    return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id"), had
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    # Of near copies, which share their four words of least hash, one speaks.
+    hashes = F.transform(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")), lambda w: F.xxhash64(w))
+    return rows.withColumn("__alike", F.slice(F.array_sort(hashes), 1, 4)).dropDuplicates(["toxic", "__alike"]).drop("__alike"), had
 
 
 def _segments_of(sample: DataFrame) -> DataFrame:
@@ -185,7 +204,7 @@ def _segments_of(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
                 found = segments(text.as_py())
-                found = {w[:n] for w in found for n in (5, 6, LONG)}
+                found = {(BEGIN + w)[:n] for w in found for n in (6, 7, LONG)}
                 found = [w for w in found if len(w) >= SHORT and not any(c.isdigit() for c in w)]
                 yield pa.RecordBatch.from_pydict({"string": pa.array(found, pa.string()), "toxic": pa.array([toxic] * len(found), pa.int32())})
 
@@ -200,22 +219,22 @@ def choose_landmarks(sample: DataFrame, toxic: int, other: int) -> Landmarks:
     telling = counts.filter((F.col("bad") >= max(LEAST, LEAST_SHARE * toxic)) & (bad > RATIO * good) & (evidence >= EVIDENCE)).orderBy(evidence.desc(), "string").limit(12 * LANDMARKS)
     chosen: list[str] = []
     for r in telling.collect():
-        if len(chosen) < LANDMARKS and (not chosen or Landmarks(chosen, len(chosen)).similar([r["string"]]).max() < 0.85):
+        if len(chosen) < LANDMARKS and (not chosen or Landmarks(chosen).similar([r["string"]]).max() < ALIKE):
             chosen.append(r["string"])
-    common = [r["string"] for r in counts.orderBy(F.col("good").desc(), "string").limit(COMMON).collect() if r["string"] not in chosen]
-    return Landmarks([*chosen, *common], len(chosen))
+    return Landmarks(chosen)
 
 
-def witnesses(sample: DataFrame, landmarks: Landmarks, model: Model | None) -> DataFrame:
-    """toxic, strings: for each document its worst segments, for the model or else by likeness to a toxic landmark."""
+def witnesses(sample: DataFrame, landmarks: Landmarks) -> DataFrame:
+    """toxic, strings: for each document its segments most like a landmark, in that order, and some others."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                pieces = sorted({w for s in segments(text.as_py()) for w in windows(s)})
-                bad = model.decisions(pieces) if model else landmarks.similar(pieces, bad_only=True).max(axis=1, initial=0)
-                out.append([pieces[i] for i in np.argsort(-bad, kind="stable")[:WITNESSES]])
+                pieces = sorted({w for s in segments(text.as_py()) for w in windows(s)}, key=lambda w: (zlib.crc32(w.encode()), w))
+                near = landmarks.similar(pieces).max(axis=1, initial=0)
+                order = np.argsort(-near, kind="stable")
+                out.append([pieces[i] for i in [*order[:WITNESSES], *sorted(order[WITNESSES:])[:OTHERS]]])
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "strings": pa.array(out, pa.list_(pa.string()))})
 
     return sample.select("text", "toxic").mapInArrow(released(task), "toxic int, strings array<string>")
@@ -255,32 +274,25 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | float
     sample, had = training_sample(docs, labels, most)
     if not (had.get(0) and had.get(1)):
         return float(bool(had.get(1)))
-    sample = sample.filter("toxic is not null")
+    sample = written(sample, "labelled")
     landmarks = choose_landmarks(sample, min(most, had[1]), min(most, had[0]))
-    if not landmarks.bad:
+    if not landmarks.strings:
+        return had[1] / (had[0] + had[1])
+    rows = witnesses(sample, landmarks).collect()  # of SAMPLE documents of each label
+    harmless, bad = Counter(s for r in rows if not r["toxic"] for s in r["strings"]), Counter(s for r in rows if r["toxic"] for s in r["strings"])
+    # What toxic documents have that is like a landmark speaks for, all of harmless ones against.
+    near = landmarks.similar([*bad]).max(axis=1, initial=0)
+    bad = {s: n for (s, n), like in zip(bad.items(), near, strict=True) if like >= LIKE and n > harmless.get(s, 0)}
+    if not bad or not harmless:
         return had[1] / (had[0] + had[1])
     among = landmarks.similar(landmarks.strings)
     values, vectors = np.linalg.eigh((among + among.T).astype(float) / 2)
     to = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    model, harmless, bad = None, {}, {}
-    for _ in range(ROUNDS):
-        # What harmless documents showed in any round speaks against; what toxic ones have that is like a toxic landmark speaks for.
-        for r in witnesses(sample, landmarks, model).collect():
-            side = bad if r["toxic"] else harmless
-            for s in r["strings"]:
-                side[s] = side.get(s, 0) + 1
-        near = landmarks.similar([*bad], bad_only=True).max(axis=1, initial=0)
-        bad = {s: n for (s, n), like in zip(bad.items(), near, strict=True) if like >= LIKE and n > harmless.get(s, 0)}
-        if not bad:
-            return had[1] / (had[0] + had[1])
-        strings = [*bad, *harmless]
-        x, y = landmarks.similar(strings).astype(float) @ to, np.repeat([1.0, -1.0], [len(bad), len(harmless)])
-        times = np.sqrt([*bad.values(), *harmless.values()])
-        times[y > 0] *= FOR * times[y < 0].sum() / times[y > 0].sum()
-        w, bias = _machine(x, y, times / times.mean(), 1e-2)
-        model = Model(landmarks, to, w, bias, 1.0, 0.0)
-    rows = witnesses(sample, landmarks, model).collect()
-    worst = np.array([model.decisions(r["strings"][:1])[0] if r["strings"] else bias for r in rows])
+    x = landmarks.similar([*bad, *harmless]).astype(float) @ to
+    y, times = np.repeat([1.0, -1.0], [len(bad), len(harmless)]), np.sqrt([*bad.values(), *harmless.values()])
+    times[y > 0] *= FOR * times[y < 0].sum() / times[y > 0].sum()
+    model = Model(landmarks, to, *_machine(x, y, times / times.mean(), 1e-2))
+    worst = np.array([model.decisions(r["strings"]).max(initial=model.bias) for r in rows])
     label = np.array([1.0 if r["toxic"] else -1.0 for r in rows])
     # The labels' shares among all rows, not among the sample.
     share = {1.0: had[1] / max(1, (label > 0).sum()), -1.0: had[0] / max(1, (label < 0).sum())}
@@ -296,7 +308,7 @@ def with_scores(docs: DataFrame, model: Model | float, name: str = "score") -> D
         return docs.withColumn(name, F.lit(model))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
