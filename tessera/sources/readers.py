@@ -14,7 +14,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -238,21 +238,24 @@ PARSERS: dict[str, Parser] = {
 def parse_files(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """SECTIONS of binaryFile rows: sections and cells, or why a file gave none; a broken file is its own error."""
     known, names = PARSERS | (parsers or {}), [c.split()[0] for c in SECTIONS.split(", ")]
+    kinds = {c.split()[0]: pa.int32() if c.endswith(" int") else pa.string() for c in SECTIONS.split(", ")}
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, length, content in zip(pdf["path"], pdf["length"], pdf["content"], strict=True):
-                end = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length, content in zip(*(batch.column(c) for c in ("path", "length", "content")), strict=True):
+                name = path.as_py().rsplit("/", 1)[-1]
+                end = name.rsplit(".", 1)[-1].lower() if "." in name else ""
                 try:
-                    if length > MOST_BYTES:
+                    if length.as_py() > MOST_BYTES:
                         rows = [{"kind": "skipped", "reason": "The file is larger than 100 MB"}]
                     else:
-                        rows = list(known.get(end, _unavailable(f"Files of type .{end} are not supported"))(bytes(content)))
+                        rows = list(known.get(end, _unavailable(f"Files of type .{end} are not supported"))(content.as_py()))
                 except Exception as error:  # whatever a broken file raises belongs to that file
                     rows = [{"kind": "error", "reason": f"{type(error).__name__}: {error}"[:500]}]
-                yield pd.DataFrame([{"path": path} | r for r in rows], columns=names).astype({c: "Int32" for c in ("ord", "page", "row", "col")})
+                columns = {c: [r.get(c) for r in rows] for c in names} | {"path": [path.as_py()] * len(rows)}
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in columns.items()})
 
-    return files.select("path", "length", "content").mapInPandas(parse, SECTIONS)
+    return files.select("path", "length", "content").mapInArrow(parse, SECTIONS)
 
 
 def read_files(spark: SparkSession, path: str, parsers: dict[str, Parser] | None = None) -> DataFrame:
