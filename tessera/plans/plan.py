@@ -171,3 +171,27 @@ class RulePlanner:
             if phrase in text and (span := resolve_relative(phrase, dt.date.fromisoformat(today))):
                 spans.append(span)
         return RawPlan(intent="find_files" if re.search(r"\bfiles?\b", text) else "doc_question", every=every, any_of_periods=tuple(spans), semantic=(question,))
+
+
+def check_subject(catalog: Catalog, subject: dict[str, str | None]) -> tuple[dict[str, str | None], list[str]]:
+    """A correction's subject in the catalog's spelling; what the catalog lacks is dropped with a note."""
+    out, notes = {}, []
+    for name, value in subject.items():
+        spelled = catalog.spelled(name, value) if value else None
+        if value and spelled is None:
+            notes.append(f'No {name.replace("_", " ", 1)} called "{value}" in the knowledge base; left it out.')
+        out[name] = spelled
+    return out, notes
+
+
+class Extractor(Protocol):
+    def extract(self, text: str, catalog: Catalog) -> dict: ...
+
+
+def extract_correction(extractor: Extractor, text: str, catalog: Catalog) -> dict:
+    """{fact, subject, notes} of what a user said, or {question} where it was not clear."""
+    got = extractor.extract(text, catalog)
+    if not got.get("fact"):
+        return {"question": got.get("question") or "What should be corrected?"}
+    subject, notes = check_subject(catalog, got.get("subject", {}))
+    return {"fact": got["fact"].strip(), "subject": subject, "notes": notes}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.queries import measures, retrieval, state, streams, texts
+from tessera.queries import measures, retrieval, sql, state, streams, texts
 from tessera.queries.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "measures", "retrieval", "state", "streams", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "measures", "retrieval", "sql", "state", "streams", "texts"]

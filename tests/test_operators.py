@@ -252,3 +252,22 @@ def test_gate():
         "Eval hit@5 0.50 is below the live generation (0.90).",
     ]
     assert generations.gate_reasons(g(2, build_total=1, build_done=1), g(1), 0, 0, 0) == ["No eval questions configured (eval/questions.jsonl)."]
+
+
+def test_memory_search(spark):
+    from tessera.operators import memory
+
+    nodes = spark.createDataFrame([(1, "Alice Varian", "Person"), (2, "Ledger", "System")], "id int, label string, type string")
+    facts = spark.createDataFrame([(10, 1, "semantic", "Signs off invoices over 500", dt.datetime(2026, 1, 1)), (11, 1, "semantic", "Works on Tuesdays", dt.datetime(2026, 1, 2)), (12, 2, "procedural", "Close the month on day three", dt.datetime(2026, 1, 3))], "id int, node_id int, kind string, text string, created timestamp")
+    now = F.lit("2026-01-05").cast("timestamp")
+    find = lambda q: [r.id for r in memory.search(nodes, facts, q, now).collect()]
+    assert find("what do you know about it") == [] and find("invoice")[0] == 10 and set(find("Varian")) == {10, 11} and find("month")[0] == 12
+    assert memory.as_text(memory.search(nodes, facts, "month", now)).head().line == "- [procedural] Ledger: Close the month on day three"
+
+
+def test_as_of_ties_and_gaps(spark):
+    from tessera.operators import joins
+
+    left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 5, 3)], "k string, t int, id int")
+    right = spark.createDataFrame([("a", 5, "x"), ("a", 2, "y"), ("c", 1, "z")], "k string, t int, v string")
+    assert {r.id: r.v for r in joins.as_of(left, right, ["k"], "t", ["v"]).collect()} == {1: "x", 2: None, 3: None}

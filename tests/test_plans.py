@@ -186,3 +186,18 @@ def test_tidy_files_of_different_schemas(spark, tmp_path):
     spark.createDataFrame([(2.5, 7)], "n double, extra int").write.parquet(str(tmp_path / "b"))
     got = measure.read_tidy(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     assert dict(got.dtypes) == {"n": "double", "t": "string", "extra": "int"} and sorted(r.n for r in got.collect()) == [1.0, 2.5]
+
+
+def test_corrections_name_known_subjects():
+    from tessera.plans.plan import extract_correction
+
+    class Says:
+        def __init__(self, got):
+            self.got = got
+
+        def extract(self, text, catalog):
+            return self.got
+
+    out = extract_correction(Says({"fact": " Closed on Monday ", "subject": {"hotel": "EASTSIDE", "dataset": "Nope", "department": None}}), "x", CATALOG)
+    assert out["fact"] == "Closed on Monday" and out["subject"] == {"hotel": "Eastside", "dataset": None, "department": None} and len(out["notes"]) == 1
+    assert extract_correction(Says({"question": "Which hotel?"}), "x", CATALOG) == {"question": "Which hotel?"}
