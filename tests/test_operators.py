@@ -271,3 +271,19 @@ def test_as_of_ties_and_gaps(spark):
     left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 5, 3)], "k string, t int, id int")
     right = spark.createDataFrame([("a", 5, "x"), ("a", 2, "y"), ("c", 1, "z")], "k string, t int, v string")
     assert {r.id: r.v for r in joins.as_of(left, right, ["k"], "t", ["v"]).collect()} == {1: "x", 2: None, 3: None}
+
+
+def test_planned_operators(spark):
+    from tessera.operators import planned
+
+    report = [["Rooms"], ["Room", "Cost"], [101, 5], ["Bar"], ["Item", "Price"], ["Tea", 2], ["Ale", 3]]
+    parts = planned.section_sheets(grid(spark, report))
+    assert {r.sheet for r in parts.collect()} == {"s / Rooms / 1", "s / Bar / 2"}
+    assert [tuple(r) for r in sheets.tidy_table(parts, "d", "s / Bar / 2").collect()] == [("Tea", 2.0), ("Ale", 3.0)]
+    docs = spark.createDataFrame([(1, "Overall score: 87.5%\nﬁtness  4\nnot a line here\nClean-\nliness: 90"), (2, "Overall score: 92.5%")], "document_id int, text string")
+    rows = planned.metrics(docs, "document_id", "text")
+    assert {(r.document_id, r.metric, r.value) for r in rows.collect()} == {(1, "Overall score", 87.5), (1, "fitness", 4.0), (1, "Cleanliness", 90.0), (2, "Overall score", 92.5)}
+    assert tuple(planned.metric_measure(rows, "overall score", "sum").head()) == (90.0, 2)
+    named = spark.createDataFrame([(["a", "b", "a"],), (["b"],), (None,)], "entities array<string>")
+    assert [tuple(r) for r in planned.frequent_entities(named).collect()] == [("b", 2), ("a", 1)]
+    assert planned.metric_names(rows, spark.createDataFrame([(1, "Scores")], "document_id int, dataset string")).count() == 3
