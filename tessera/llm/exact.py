@@ -29,17 +29,18 @@ def normalised(text: Column) -> Column:
 
 
 def _cells(text: Column, bits: int) -> list[Column]:
-    """The cells of a text, from the halves of one 64-bit hash."""
+    """The cells of a text, from one 64-bit hash and its upper half."""
     h = F.xxhash64(text)
-    step = F.shiftrightunsigned(h, 32)
-    return [F.pmod(h + step * F.lit(i), F.lit(bits)).cast("long") for i in range(PROBES)] if PROBES > 2 else [F.pmod(h, F.lit(bits)).cast("long"), F.pmod(step, F.lit(bits)).cast("long")]
+    first, step = F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits))
+    return [F.pmod(first + step * F.lit(i), F.lit(bits)).cast("long") for i in range(PROBES)]
 
 
 def _has(bitmap: Column, cell: Column) -> Column:
     """Whether the bit of a cell is set in its 4 KB page."""
     at = F.bitmap_bit_position(cell)
     byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return F.coalesce(F.expr("0L") != byte.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(8)).cast("int"))), F.lit(False))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(8)).cast("int"))
+    return F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -58,7 +59,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     probed = written(probed.select("doc_id", "text_sha256", maybe.alias("maybe")), "probed")
     alone = probed.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     meet = probed.filter("maybe").select("doc_id", "text_sha256")
-    groups = meet.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Stored first: the join then shuffles for itself, and a group that holds a third of all rows is split among tasks.
+    groups = written(meet.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     met = meet.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(met)
 
