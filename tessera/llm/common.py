@@ -19,6 +19,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SESSION_DIR: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -45,12 +46,26 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: the rows go to a table in the shared folder and are read back."""
+    """Cuts lineage: the rows go to a table in the shared folder and are read back.
+
+    Results are lazy and may read the table at any time, so it stays until
+    drop_written().
+    """
     path = new_path(df.sparkSession, name)
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that this driver has written so far; what still reads them fails."""
+    conf, paths = spark._jsc.hadoopConfiguration(), [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _WRITTEN]
+    for path in paths:
+        path.getFileSystem(conf).delete(path, True)
+    _WRITTEN.clear()
+    return len(paths)
+
+
 def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """The task, after which the Python worker gives memory that it no longer uses back to the system.
 
@@ -120,6 +135,7 @@ class Words:
 
     BASE = 0x9E3779B97F4A7C15 | 1
     INVERSE = pow(BASE, -1, 1 << 64)
+    BLOCK = 1 << 20
 
     def __init__(self) -> None:
         self._up = np.ones(1, np.uint64)
@@ -140,15 +156,31 @@ class Words:
                     setattr(self, name, np.multiply.accumulate(steps))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of every word, n+1 word offsets of the documents)"""
-        n = len(data)
-        docs = len(offsets) - 1
-        if n == 0:
-            return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
+        """(hash of every word, n+1 word offsets of the documents)
+
+        Long runs are taken a block at a time, cut at blanks, so that a very
+        long document needs little more memory than its words' hashes.
+        """
         offsets = offsets - offsets[0]
+        hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        while at < len(data):
+            end = min(at + self.BLOCK, len(data))
+            while end < len(data) and not self._blank[data[end]]:
+                rest = self._blank[data[end : end + self.BLOCK]]
+                end += int(rest.argmax()) if rest.any() else len(rest)
+            own = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, side="right")]
+            found, places = self._block(data[at:end], own - at)
+            hashes.append(found)
+            starts.append(places + at)
+            at = end
+        return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets).astype(np.int64)
+
+    def _block(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place) of every word; no word crosses a cut."""
+        n = len(data)
         inside = ~self._blank[data]
         cut = np.zeros(n + 1, bool)
-        cut[offsets] = True
+        cut[cuts] = True
         begins = inside.copy()
         begins[1:] &= ~inside[:-1] | cut[1:-1]
         ends = inside.copy()
@@ -158,5 +190,4 @@ class Words:
         with np.errstate(over="ignore"):
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(self._value[data] * self._up[:n], out=total[1:])
-            hashes = mix64((total[stop] - total[start]) * self._down[start])
-        return hashes, np.searchsorted(start, offsets).astype(np.int64)
+            return mix64((total[stop] - total[start]) * self._down[start]), start

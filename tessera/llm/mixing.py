@@ -23,7 +23,7 @@ from tessera.llm.common import WORD, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
-BINS = 1 << 13
+BINS = 1 << 10
 
 
 def uniform(doc_id: Column, seed: str = "") -> Column:
