@@ -45,24 +45,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows read back from a new table in the shared folder, and its path."""
+    path = new_path(df.sparkSession, name)
+    _WRITTEN.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: the rows go to a table in the shared folder and are read back.
 
     Results are lazy and may read the table at any time, so it stays until
     drop_written().
     """
-    path = new_path(df.sparkSession, name)
-    _WRITTEN.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, name)[0]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.remove(path)
 
 
 def drop_written(spark: SparkSession) -> int:
-    """Deletes the tables that this driver has written so far; what still reads them fails."""
-    conf, paths = spark._jsc.hadoopConfiguration(), [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _WRITTEN]
+    """Deletes the tables that this driver has stored so far; what still reads them fails."""
+    paths = list(_WRITTEN)
     for path in paths:
-        path.getFileSystem(conf).delete(path, True)
-    _WRITTEN.clear()
+        drop(spark, path)
     return len(paths)
 
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, mix64, released, slices, string_bytes, written
+from tessera.llm.common import Words, drop, mix64, released, slices, stored, string_bytes, written
 from tessera.llm.components import components
 
 SLICE, CHUNK = 1 << 19, 1 << 20
@@ -327,8 +327,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, parts: in
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    shaped = written(shapes(docs, n, parts), "shapes")
+    shaped, path = stored(shapes(docs, n, parts), "shapes")
     every = written(members(shaped, lonely(shaped, parts), percent), "members")
+    drop(spark, path)  # it is about as large as the texts, and all of it is read
     classes = every.filter("near").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     sets = written(class_sets(docs, classes.select("doc_id", "class"), n), "sets")
     label = components(links(sets, percent))
