@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ SPAN, GRAM = 400, 128
 PIECE, SLICE, PLACE = 1 << 19, 1 << 20, 22
 #: Contexts of one anchor that a task sorts, and bytes that it sorts at once.
 MOST, SORT = 4096, 1 << 22
+#: Names of contexts that are broadcast, 16 bytes each; more meet their rows by a join that is split where it is skewed.
+FEW = 1 << 16
 
 CONTEXTS = "key long, digest long, rid long, start long, width int, lead int"
 
@@ -138,8 +141,14 @@ def settle(rows: DataFrame, span: int, most: int) -> tuple[DataFrame, DataFrame]
     rows = written(rows.join(again, "key"), "contexts")
     alike = rows.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "width", "lead", *extra)).alias("one"))
     alike = written(alike, "alike")
-    repeated = alike.filter("n > 1").select("key", "digest")
-    done = rows.join(repeated, ["key", "digest"]).select("rid", F.col("start").alias("from"), (F.col("start") + F.col("width") + (span - 1)).alias("to"))
+    found = []
+    # Contexts that very many rows hold are few; while they are, their rows need no shuffle.
+    many = alike.filter(F.col("n") > most).select("key", "digest")
+    if 0 < many.limit(FEW + 1).count() <= FEW:
+        found.append(rows.join(F.broadcast(many), ["key", "digest"]))
+        rows = rows.join(F.broadcast(many), ["key", "digest"], "left_anti")
+    found.append(rows.join(alike.filter("n > 1").select("key", "digest"), ["key", "digest"]))
+    done = reduce(DataFrame.unionByName, [f.select("rid", F.col("start").alias("from"), (F.col("start") + F.col("width") + (span - 1)).alias("to")) for f in found])
     several = alike.groupBy("key").agg(F.count("*").alias("several")).filter("several > 1").select("key", (F.col("several") > most).alias("hot"))
     open_ = alike.join(written(several, "several"), "key").select("key", "digest", "one.*", "n", "hot")
     return done, written(open_.select("key", "digest", "rid", "start", "width", "lead", *extra, "n", "hot"), "open")
