@@ -24,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
 BINS = 1 << 10
+#: Sources whose figures are broadcast, about 60 bytes each.
+FEW = 1 << 16
 
 
 def uniform(doc_id: Column, seed: str = "") -> Column:
@@ -61,14 +63,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     goal = goal.withColumn("whole", F.when(size > 0, F.floor(target / size)).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", target - F.col("whole") * size)
     goal = goal.withColumn("p", F.when(size > 0, F.col("rest") / size).otherwise(0.0)).withColumnRenamed("source", "of")
-    ranked = sized.join(goal, F.col("source").eqNullSafe(F.col("of")))
+    # One row a source; while sources are few, documents meet theirs without a shuffle.
+    near = F.broadcast if goal.limit(FEW + 1).count() <= FEW else lambda df: df
+    ranked = sized.join(near(goal), F.col("source").eqNullSafe(F.col("of")))
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     ranked = ranked.withColumn("q", F.when(F.col("p") > 0, q)).withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("long"))
     bins = ranked.filter("p > 0").groupBy("source", "rest", "bin").agg(F.sum("size").alias("words"))
     below = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = bins.withColumn("below", below).filter("below < rest and below + words >= rest")
     cut = cut.select(F.col("source").alias("of_cut"), F.col("bin").alias("cut"), "below")
-    ranked = ranked.join(cut, F.col("source").eqNullSafe(F.col("of_cut")), "left")
+    ranked = ranked.join(near(cut), F.col("source").eqNullSafe(F.col("of_cut")), "left")
     # The bin of the cut is one of BINS; in it the order itself decides.
     inside = F.col("bin") == F.col("cut")
     run = F.sum("size").over(Window.partitionBy("source").orderBy("q", "u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
