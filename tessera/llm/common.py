@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _SESSION_DIR: dict[str, str] = {}
 _WRITTEN: list[str] = []
+#: What modules remember in a Python worker between tasks, by module name.
+KEPT: dict[str, dict] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -81,10 +83,14 @@ def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     """The task, after which the Python worker gives memory that it no longer uses back to the system.
 
     Workers outlive their tasks, and a plan keeps several of them at once.
+    What another module remembers there goes before the task begins.
     """
 
     @functools.wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, kept in KEPT.items():
+            if owner != task.__module__:
+                kept.clear()
         try:
             yield from task(batches)
         finally:

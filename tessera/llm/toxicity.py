@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import released, written
+from tessera.llm.common import KEPT, released, written
 
 #: Labelled documents of each label to learn from.
 SAMPLE = 3000
@@ -48,7 +48,7 @@ WITNESSES, OTHERS, FOR, LIKE = 6, 4, 0.5, 0.5
 #: A landmark occurs in so many toxic documents, in this share of them, this many times as often as in others, and with so much evidence.
 LEAST, LEAST_SHARE, RATIO, EVIDENCE = 4, 0.01, 6, 20
 THRESHOLD = 0.3
-ENTRIES = 1_000_000
+ENTRIES = 500_000
 
 LETTERS = re.compile(r"[^\W_]+")
 SINGLES = re.compile(r"(?<![^\W_])[^\W_]([\W_])[^\W_](?![^\W_])(?:\1[^\W_](?![^\W_]))+")
@@ -170,7 +170,7 @@ class Scorer:
         return [max(map(self.known.__getitem__, s), default=self.model.bias) for s in each]
 
 
-_SCORERS: dict[str, Scorer] = {}
+_SCORERS: dict[str, Scorer] = KEPT.setdefault(__name__, {})
 
 
 def scorer_of(model: Model) -> Scorer:
