@@ -1,22 +1,22 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and of word pairs are gathered from the training documents,
-quantised on a logarithmic scale and stored in a Bloom filter: an n-gram is in
-it once for each level up to that of its count.  The filter has a fixed size
-and goes to every worker; a count is read back by probing level after level
-until one is missing.  A text's probability interpolates the pair model with
-smoothed single words:
+Counts of words and of word pairs are gathered from the training documents and
+quantised on a logarithmic scale.  The pairs are stored in a Bloom filter: a
+pair is in it once for each level up to that of its count; a count is read
+back by probing level after level until one is missing.  A text's probability
+interpolates the pair model with smoothed single words:
 
     p(w | u) = (1 - PAIR) * (c(w) + 1) / (N + V + 1) + PAIR * c(u, w) / c(u)
 
-The filter takes the most frequent n-grams that fit its capacity; the level
-where it begins follows from a histogram of all counts.  Pairs seen once are
-not stored at any size of corpus.
+The filter takes every pair, those seen once too.  It is sharded by part, and
+a part's bits are so many for each of its distinct pairs, so it grows with the
+corpus; nowhere does it lie together.  Texts are dealt with in chunks: a chunk
+asks each part for the pairs and rarer words that it has, the part answers
+from its filter and its exact word counts, and the answers meet the chunk.
 
-Beside it stand exact figures of the single-word model.  Words of at least
-1 / FREQUENT of all tokens (no more than FREQUENT, hence broadcast) are looked
-up where the text is; the others meet their counts by shuffling, grouped by
-word, and only sums for documents come back.
+Words of at least 1 / FREQUENT of all tokens (no more than FREQUENT, hence
+broadcast) need not be asked for.  The single-word model of base_score takes
+exact counts, that of score the same counts on the scale.
 
 Defined results: a null text is an empty one, which is one end token.  Rows
 that repeat a doc_id are scored each for itself; a null doc_id counts as the
@@ -26,6 +26,7 @@ counts are 0.  Words are told apart by 64-bit hashes.  Other columns are not rea
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,21 +41,26 @@ END = np.uint64(0xA0761D6478BD642F)
 PAIR = 0.1
 FREQUENT = 1 << 20
 STEP = 1.25
-CAPACITY = 1 << 22
+#: Bits of the filter for each distinct pair.
+BITS_PER_PAIR = 32
 BITS = 1 << 27
 PROBES = 3
-LEAST_PAIR = 2
-SLICE, CHUNK = 1 << 20, 1 << 20
+SLICE, CHUNK = 1 << 23, 1 << 20
 LEVELS = 256
 
 COUNTED = "kind int, part int, keys binary, counts binary, tokens long"
-MERGED = "kind int, part int, keys binary, counts binary, tokens long, types long, levels binary"
-SCORED = "role int, part int, chunk long, keys binary, runs binary, docs binary, values binary, ids binary, nulls binary, lengths binary, known binary, base binary, score binary"
+MERGED = "kind int, part int, keys binary, counts binary, bits binary, tokens long, types long"
+CHUNKS = "kind int, part int, chunk long, keys binary, back binary, ids binary, nulls binary, lengths binary"
+ANSWERS = "kind int, part int, chunk long, found binary"
+#: What a row of CHUNKS is: a chunk's documents, or its questions for rarer words or for pairs.
+CHUNK_ROW, WORD, PAIRED = -1, 0, 1
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 _EDGES = np.unique(np.ceil(STEP ** np.arange(LEVELS, dtype=np.float64)).clip(max=2.0**62).astype(np.int64))
 #: The count a level stands for: the geometric middle of its range.
 _MIDDLE = np.sqrt(_EDGES.astype(float) * np.append(_EDGES[1:] - 1, _EDGES[-1]).clip(min=1))
+#: The same by level + 1; 0 for what has no count.
+_STANDS_FOR = np.append(0.0, _MIDDLE)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -66,6 +72,27 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes, behind how many they are."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.Codec("zstd").decompress(data[8:], n * width, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).reshape(n)
+
+
+def packed_steps(ordered: np.ndarray) -> bytes:
+    """The same of numbers in order, whose steps are smaller."""
+    return packed(np.diff(ordered, prepend=ordered.dtype.type(0)))
+
+
+def unpacked_steps(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(unpacked(data, kind), dtype=kind)
+
+
 class Tokens:
     """Chunks of documents as token hashes: (hashes, offsets); each document ends in END."""
 
@@ -152,7 +179,7 @@ def _by_part(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[t
 
 
 def merge(counted: DataFrame, parts: int) -> DataFrame:
-    """MERGED: one row for each kind and part; of pairs, those seen at least twice."""
+    """MERGED: one row for each kind and part; the words' exact counts, the pairs' filter."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, part), rows in _by_part(batches, "kind", "part"):
@@ -162,14 +189,15 @@ def merge(counted: DataFrame, parts: int) -> DataFrame:
             keys, counts = keys[order], counts[order].astype(np.int64)
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             keys, counts = keys[first], np.add.reduceat(counts, first)
-            types = len(keys)
-            if kind == 1:
-                keep = counts >= LEAST_PAIR
-                keys, counts = keys[keep], counts[keep]
-            seen = np.bincount(level(counts), minlength=LEVELS)[:LEVELS].astype("<i8")
+            own = {"keys": [None], "counts": [None], "bits": [None]}
+            if kind == WORD:
+                own |= {"keys": [keys.tobytes()], "counts": [counts.astype("<i8").tobytes()]}
+            else:
+                own |= {"bits": [packed(np.frombuffer(Filter(1, 0, BITS_PER_PAIR * len(keys)).stretch_of(keys.astype(np.uint64), counts), np.uint8))]}
+            own = {k: pa.array(v, pa.binary()) for k, v in own.items()}
             yield pa.RecordBatch.from_pydict({
-                "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "keys": [keys.tobytes()], "counts": [counts.astype("<i8").tobytes()],
-                "tokens": pa.array([sum(r["tokens"] for r in rows)], pa.int64()), "types": pa.array([types], pa.int64()), "levels": [seen.tobytes()],
+                "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), **own,
+                "tokens": pa.array([sum(r["tokens"] for r in rows)], pa.int64()), "types": pa.array([len(keys)], pa.int64()),
             })
 
     return counted.repartition(2 * parts, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(released(task), MERGED)
@@ -198,9 +226,9 @@ class Filter:
                 bits[place] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        """The count that each n-gram's level stands for; 0 where it is not in the filter."""
-        out = np.zeros(len(grams))
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        """Each n-gram's level and 1; 0 where it is not in the filter."""
+        out = np.zeros(len(grams), np.uint8)
         base = part_of(grams, self.parts).astype(np.uint64) * np.uint64(self.stretch)
         left, at = np.arange(len(grams)), self.least
         while len(left) and at < len(_EDGES):
@@ -209,76 +237,76 @@ class Filter:
                 place += base[left]
                 there &= (self.bytes[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             left = left[there]
-            out[left] = _MIDDLE[at]
             at += 1
+            out[left] = at
         return out
 
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        """The count that each n-gram's level stands for; 0 where it is not in the filter."""
+        return _STANDS_FOR[self.levels(grams)]
+
 
 class Model:
-    """What goes to the workers: two filters and the exact counts of frequent words."""
+    """What goes to the workers: totals and the exact counts of frequent words."""
 
-    def __init__(self, spark: SparkSession, merged: DataFrame, parts: int) -> None:
+    def __init__(self, merged: DataFrame, parts: int) -> None:
         self.parts = parts
-        seen = {0: np.zeros(LEVELS, np.int64), 1: np.zeros(LEVELS, np.int64)}
-        self.tokens = self.types = 0
-        for r in merged.select("kind", "tokens", "types", "levels").toLocalIterator():  # a row for each part
-            seen[r["kind"]] += np.frombuffer(r["levels"], "<i8")
-            if r["kind"] == 0:
-                self.tokens += r["tokens"]
-                self.types += r["types"]
-        self.filters = {}
-        for kind in (0, 1):
-            above = np.cumsum(seen[kind][::-1])[::-1]
-            self.filters[kind] = Filter(parts, int(np.argmax(above <= CAPACITY)))
-        below = seen[0][: self.filters[0].least]
-        self.rare = float((below * _MIDDLE[: len(below)]).sum() / (2 * below.sum() + 1))
-        least, filters = max(1, -(-self.tokens // FREQUENT)), dict(self.filters)
-        for f in filters.values():
-            f.bytes = None
+        words = merged.filter(F.col("kind") == WORD)
+        total = words.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+        self.tokens, self.types = total["tokens"] or 0, total["types"] or 0
+        least = max(1, -(-self.tokens // FREQUENT))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    keys, counts = np.frombuffer(r["keys"], "<u8" if r["kind"] == 0 else "<u4").astype(np.uint64), np.frombuffer(r["counts"], "<i8")
-                    top = counts >= least if r["kind"] == 0 else np.zeros(len(counts), bool)
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array([r["kind"]], pa.int32()), "part": pa.array([r["part"]], pa.int32()), "bits": [filters[r["kind"]].stretch_of(keys, counts)], "keys": [keys[top].tobytes()], "counts": [counts[top].astype("<i8").tobytes()]})
+                    keys, counts = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")
+                    yield pa.RecordBatch.from_pydict({"keys": [keys[counts >= least].tobytes()], "counts": [counts[counts >= least].tobytes()]})
 
-        made = {k: np.zeros(parts * f.stretch // 8, np.uint8) for k, f in self.filters.items()}
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for r in merged.select("kind", "part", "keys", "counts").mapInArrow(released(task), "kind int, part int, bits binary, keys binary, counts binary").toLocalIterator():
-            width = self.filters[r["kind"]].stretch // 8
-            made[r["kind"]][r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+        for r in words.select("keys", "counts").mapInArrow(released(task), "keys binary, counts binary").collect():  # FREQUENT words at most
             keys.append(np.frombuffer(r["keys"], "<u8"))
             counts.append(np.frombuffer(r["counts"], "<i8"))
-        for k, f in self.filters.items():
-            f.bytes = made[k]
         order = np.argsort(keys := np.concatenate(keys))
         self.keys, self.counts = keys[order].astype(np.uint64), np.concatenate(counts)[order]
 
     def exact(self, words: np.ndarray) -> np.ndarray:
         """Counts of frequent words; 0 for others."""
-        if not len(self.keys):
-            return np.zeros(len(words), np.int64)
-        at = np.searchsorted(self.keys, words).clip(max=len(self.keys) - 1)
-        return np.where(self.keys[at] == words, self.counts[at], 0)
-
-    def log10p(self, stream: np.ndarray, unique: np.ndarray, back: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after the one before it."""
-        single = self.filters[0].counts(unique)
-        words = (np.where(single > 0, single, self.rare) + 1) / (self.tokens + self.types + 1)
-        grams, of = np.unique(pairs(stream), return_inverse=True)
-        both = self.filters[1].counts(grams)[of]
-        before = np.empty(len(stream))
+        return _looked_up(self.keys, self.counts, words)
+
+    def questions(self, unique: np.ndarray, back: np.ndarray) -> tuple[dict[int, tuple], np.ndarray]:
+        """By kind (n-grams to ask for, their order by part, where each part begins, which n-grams they are); the pair of each token."""
+        rare = np.flatnonzero(self.exact(unique) == 0)
+        grams, of = np.unique(pairs(unique[back]), return_inverse=True)
+        out = {}
+        for kind, keys, which in ((WORD, unique[rare], rare), (PAIRED, grams, np.arange(len(grams)))):
+            part = part_of(keys, self.parts)
+            order = np.argsort(part, kind="stable") if kind == WORD else np.lexsort((keys.astype("<u4"), part))  # as the keys travel
+            out[kind] = keys[order], which[order], _cut(part[order], self.parts)
+        return out, of
+
+    def log10p(self, counts: np.ndarray, back: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """log10 probability of each token after the one before it; `counts` of the words that `back` numbers, `both` of the pairs."""
+        single = np.where(counts > 0, _MIDDLE[level(np.maximum(counts, 1))], 0.0)
+        words = (single + 1) / (self.tokens + self.types + 1)
+        before = np.empty(len(back))
         before[1:] = single[back[:-1]]
-        before[:1] = self.filters[0].counts(np.array([END]))
+        before[:1] = single[back[-1:]]  # a chunk ends in END
         follows = np.where(before > 0, np.minimum(1.0, both / np.maximum(before, 1.0)), 0.0)
         return np.log10((1 - PAIR) * words[back] + PAIR * follows)
 
 
-def score_chunks(docs: DataFrame, model, parts: int) -> DataFrame:
-    """SCORED: role 0, a chunk's documents with what its task knows; role 1, its rarer words for their part."""
-    names = [x.split()[0] for x in SCORED.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 10
+def _looked_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The counts of sorted keys; 0 for what is not among them."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.searchsorted(keys, asked).clip(max=len(keys) - 1)
+    return np.where(keys[at] == asked, counts[at], 0)
+
+
+def chunks(docs: DataFrame, model) -> DataFrame:
+    """CHUNKS: each chunk's documents, and its questions for the parts."""
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    types = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5
 
     def row(**x) -> list:
         return [x.get(n) for n in names]
@@ -289,94 +317,101 @@ def score_chunks(docs: DataFrame, model, parts: int) -> DataFrame:
             ids = batch.column("doc_id")
             for stream, at, i, j in read.of(batch.column("text")):
                 unique, back = np.unique(stream, return_inverse=True)
-                exact = m.exact(unique)
-                doc = np.repeat(np.arange(j - i), np.diff(at))
-                logs = np.log10(exact + 1.0)
-                sums = np.bincount(doc, logs[back], j - i)
-                known = np.bincount(doc, (exact > 0)[back], j - i)
-                score = np.add.reduceat(m.log10p(stream, unique, back), at[:-1])
-                rows = [row(role=0, part=-1, chunk=chunk, ids=ids.slice(i, j - i).fill_null(0).to_numpy().astype("<i8").tobytes(), nulls=ids.slice(i, j - i).is_null().to_numpy(zero_copy_only=False).tobytes(), lengths=np.diff(at).astype("<i8").tobytes(), known=known.astype("<i8").tobytes(), base=sums.tobytes(), score=score.tobytes())]
-                rare = np.flatnonzero(exact[back] == 0)
-                if len(rare) and m.tokens:
-                    # One entry for each rare word and document, by part, word and document.
-                    both, times = np.unique(back[rare].astype(np.int64) * (j - i) + doc[rare], return_counts=True)
-                    word = both // (j - i)
-                    key = unique[word]
-                    part = part_of(key, parts)
-                    order = np.argsort(part, kind="stable")
-                    key, where, times, edges = key[order], (both % (j - i))[order].astype("<u4"), times[order].astype("<u4"), _cut(part[order], parts)
-                    for p in np.flatnonzero(np.diff(edges)):
-                        a, b = edges[p], edges[p + 1]
-                        first = np.flatnonzero(np.append(True, key[a + 1 : b] != key[a : b - 1]))
-                        rows.append(row(role=1, part=int(p), chunk=chunk, keys=key[a:b][first].astype("<u8").tobytes(), runs=np.diff(np.append(first, b - a)).astype("<u4").tobytes(), docs=where[a:b].tobytes(), values=times[a:b].tobytes()))
+                own = ids.slice(i, j - i)
+                rows = [row(kind=CHUNK_ROW, part=-1, chunk=chunk, keys=packed_steps(unique.astype("<u8")), back=packed(back.astype("<u4")), ids=own.fill_null(0).to_numpy().astype("<i8").tobytes(), nulls=own.is_null().to_numpy(zero_copy_only=False).tobytes(), lengths=np.diff(at).astype("<i8").tobytes())]
+                if m.tokens:
+                    for kind, (keys, _, edges) in m.questions(unique, back)[0].items():
+                        keys = keys.astype("<u8" if kind == WORD else "<u4")
+                        rows += [row(kind=kind, part=int(p), chunk=chunk, keys=packed_steps(keys[edges[p] : edges[p + 1]])) for p in np.flatnonzero(np.diff(edges))]
                 chunk += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(task), SCORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(task), CHUNKS)
 
 
-def rare_sums(scored: DataFrame, merged: DataFrame, parts: int) -> DataFrame:
-    """chunk, docs, base, known: what the rarer words of a part add to a chunk's documents."""
+def answers(asked: DataFrame, merged: DataFrame, parts: int) -> DataFrame:
+    """ANSWERS: for each question the counts of its words, or the levels of its pairs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts = None, None, None
+        now, known = None, None
         for batch in batches:
-            out = {"chunk": [], "docs": [], "base": [], "known": []}
+            out = {"kind": [], "part": [], "chunk": [], "found": []}
             for r in batch.to_pylist():
+                kind, key = r["kind"], (r["kind"], r["part"])
                 if r["role"] == 0:
-                    now, keys, counts = r["part"], np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["values"], "<i8")
+                    now = key
+                    if kind == WORD:
+                        known = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")
+                    else:
+                        bits = unpacked(r["bits"], "u1")
+                        known = Filter(1, 0, 8 * len(bits))
+                        known.bytes = bits
                     continue
-                if now != r["part"] or not len(keys):
-                    continue  # no word of this part was in training
-                asked = np.frombuffer(r["keys"], "<u8")
-                at = np.searchsorted(keys, asked).clip(max=len(keys) - 1)
-                c = np.repeat(np.where(keys[at] == asked, counts[at], 0), np.frombuffer(r["runs"], "<u4"))
-                docs, times = np.frombuffer(r["docs"], "<u4"), np.frombuffer(r["values"], "<u4")
-                own, back = np.unique(docs[c > 0], return_inverse=True)
-                if len(own):
-                    c, times = c[c > 0], times[c > 0].astype(float)
-                    out["chunk"].append(r["chunk"])
-                    out["docs"].append(own.astype("<u4").tobytes())
-                    out["base"].append(np.bincount(back, times * np.log10(c + 1.0)).tobytes())
-                    out["known"].append(np.bincount(back, times).astype("<u4").tobytes())
-            if out["chunk"]:
-                yield pa.RecordBatch.from_pydict(out | {"chunk": pa.array(out["chunk"], pa.int64())})
-
-    asked = scored.filter("role = 1").select("role", "part", "chunk", "keys", "runs", "docs", "values")
-    known = merged.filter("kind = 0").select(F.lit(0).alias("role"), "part", F.lit(0).cast("long").alias("chunk"), "keys", F.lit(None).cast("binary").alias("runs"), F.lit(None).cast("binary").alias("docs"), F.col("counts").alias("values"))
-    return asked.unionByName(known).repartition(2 * parts, "part").sortWithinPartitions("part", "role").mapInArrow(released(task), "chunk long, docs binary, base binary, known binary")
-
-
-def gather(scored: DataFrame, sums: DataFrame, tokens: int, types: int) -> DataFrame:
-    """The rows of RESULT but held_out, a chunk's sums added up."""
+                if now != key:
+                    continue  # nothing of this part was in training
+                if kind == WORD:
+                    found = _looked_up(*known, unpacked_steps(r["keys"], "<u8")).astype("<u4")
+                else:
+                    found = known.levels(unpacked_steps(r["keys"], "<u4").astype(np.uint64))
+                for k, v in (("kind", kind), ("part", r["part"]), ("chunk", r["chunk"]), ("found", packed(found))):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(out["kind"], pa.int32()), "part": pa.array(out["part"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int64()), "found": pa.array(out["found"], pa.binary())})
+
+    asked = asked.filter(F.col("kind") != CHUNK_ROW).select("kind", "part", F.lit(1).alias("role"), "chunk", "keys")
+    known = merged.select("kind", "part", F.lit(0).alias("role"), "keys", "counts", "bits")
+    return asked.unionByName(known, allowMissingColumns=True).repartition(2 * parts, "kind", "part").sortWithinPartitions("kind", "part", "role").mapInArrow(released(task), ANSWERS)
+
+
+def gather(asked: DataFrame, answered: DataFrame, model) -> DataFrame:
+    """The rows of RESULT but held_out, from each chunk and the answers to it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
         for _, rows in _by_part(batches, "chunk"):
             r = rows[0]
-            length, known, base = (np.frombuffer(r[k], "<i8").copy() for k in ("lengths", "known", "base"))
-            base = base.view(float)
+            unique, back, length = unpacked_steps(r["keys"], "<u8"), unpacked(r["back"], "<u4"), np.frombuffer(r["lengths"], "<i8")
+            places, of = m.questions(unique, back)
+            counts, levels = m.exact(unique), np.zeros(int(of.max()) + 1, np.uint8)
             for x in rows[1:]:
-                docs = np.frombuffer(x["docs"], "<u4")
-                base[docs] += np.frombuffer(x["base"], float)
-                known[docs] += np.frombuffer(x["known"], "<u4")
+                _, which, edges = places[x["kind"]]
+                which = which[edges[x["part"]] : edges[x["part"] + 1]]
+                if x["kind"] == WORD:
+                    counts[which] = unpacked(x["found"], "<u4")
+                else:
+                    levels[which] = unpacked(x["found"], "u1")
+            first = np.cumsum(length) - length  # each document has a token at least
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(np.frombuffer(r["ids"], "<i8"), mask=np.frombuffer(r["nulls"], bool)),
-                "n_tokens": length, "n_known": known, "train_tokens": np.full(len(length), tokens, np.int64),
-                "base_score": base - length * np.log10(tokens + types + 1.0), "score": np.frombuffer(r["score"], float),
+                "n_tokens": length, "n_known": np.add.reduceat((counts > 0)[back].astype(np.int64), first), "train_tokens": np.full(len(length), m.tokens, np.int64),
+                "base_score": np.add.reduceat(np.log10(counts + 1.0)[back], first) - length * np.log10(m.tokens + m.types + 1.0),
+                "score": np.add.reduceat(m.log10p(counts, back, _STANDS_FOR[levels][of]), first),
             })
 
-    own = scored.filter("role = 0").select("role", "chunk", F.lit(None).cast("binary").alias("docs"), "ids", "nulls", "lengths", "known", "base", "score")
-    more = sums.withColumn("role", F.lit(1))
+    own = asked.filter(F.col("kind") == CHUNK_ROW)
     schema = RESULT.replace("held_out boolean, ", "")
-    return own.unionByName(more, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "role").mapInArrow(released(task), schema)
+    return own.unionByName(answered, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(released(task), schema)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What a query shuffles goes from the disks when it ends, not when Spark collects it."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def lm_scores(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """RESULT for every row of docs (doc_id, text); those not held out are learnt from."""
     spark = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = written(merge(count(docs.filter(~held_out(F.col("doc_id"))), parts), parts), "counts")
-    model = Model(spark, merged, parts)
-    scored = written(score_chunks(docs, spark.sparkContext.broadcast(model), parts), "scored")
-    out = gather(scored, rare_sums(scored, merged, parts), model.tokens, model.types)
+    with shuffles_dropped(spark):
+        merged = written(merge(count(docs.filter(~held_out(F.col("doc_id"))), parts), parts), "counts")
+        model = spark.sparkContext.broadcast(Model(merged, parts))
+        asked = written(chunks(docs, model), "asked")
+        answered = written(answers(asked, merged, parts), "answers")
+    out = gather(asked, answered, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -50,6 +50,39 @@ def test_lm_edges(make):
     assert len(rows) == 3 and sum(r.doc_id is None for r in rows) == 1
 
 
+def test_lm_score_takes_every_pair(make, corpus, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 64)
+    rows = lm.lm_scores(make(corpus), parts=5).collect()
+    ones, twos = Counter(), Counter()
+    for i, text in enumerate(corpus):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            tokens = [*words(text), None]
+            ones.update(tokens)
+            twos.update(zip([None, *tokens], tokens, strict=False))
+    n, v = sum(ones.values()), len(ones)
+    on_scale = lambda c: float(lm._MIDDLE[lm.level(np.array([c]))[0]]) if c else 0.0
+    assert sum(c == 1 for c in twos.values()) > 100
+    same = 0
+    for r in rows:
+        tokens, score = [*words(corpus[r.doc_id]), None], 0.0
+        for u, w in zip([None, *tokens], tokens, strict=False):
+            follows = min(1.0, on_scale(twos[u, w]) / on_scale(ones[u])) if ones[u] else 0.0
+            score += math.log10((1 - lm.PAIR) * (on_scale(ones[w]) + 1) / (n + v + 1) + lm.PAIR * follows)
+        same += math.isclose(r.score, score, rel_tol=1e-9)
+    # The others have a pair that the filter holds by chance, or by chance on a higher level.
+    assert same > 0.8 * len(rows)
+
+
+def test_lm_filter_grows_with_the_pairs(make):
+    size = {}
+    for n in (200, 2000):
+        docs = make([f"u{i} v{i}" for i in range(n)])
+        size[n] = sum(len(lm.unpacked(r.bits, "u1")) for r in lm.merge(lm.count(docs, 3), 3).filter("kind = 1").collect())
+        # Each document has three pairs of its own.
+        assert size[n] * 8 >= 0.95 * 3 * n * lm.BITS_PER_PAIR
+    assert 8 < size[2000] / size[200] < 12
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     keys = lm.mix64(np.arange(1, 20001, dtype=np.uint64))
     counts = np.resize([1, 2, 3, 10, 500], 20000).astype(np.int64)
