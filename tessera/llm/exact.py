@@ -8,8 +8,9 @@ makes the bounded bitmap denser, which sends more rows through the shuffle and
 never changes the result.
 
 Defined results: a null text equals an empty one.  Rows that repeat both text
-and doc_id are one document and stay together; a null doc_id is larger than
-any other.  An empty table gives no rows.  Other columns are not read.
+and doc_id are one document and `kept` together; without_copies leaves one of
+them.  It decides for each row by doc_id and text.  A null doc_id is larger
+than any other.  An empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -66,6 +67,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """Docs less the rows whose text a smaller doc_id has."""
-    dropped = exact_groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each text: that of the smallest doc_id, and of rows that repeat this too the one whose columns have the least hash."""
+    by = ["__id", "__sha"]
+    groups = exact_groups(docs).filter("group_size > 1").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    marks = written(groups.agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__times")).filter("not __kept or __times > 1").withColumnsRenamed({k: f"{k}_m" for k in by}), "marks")
+    keyed = docs.withColumns({"__id": F.col("doc_id"), "__sha": F.sha2(normalised(F.col("text")), 256)})
+    same = F.col("__id").eqNullSafe(F.col("__id_m")) & (F.col("__sha") == F.col("__sha_m"))
+    out = keyed.join(marks, same, "left_anti").select(*docs.columns)
+    tied = marks.filter("__kept")
+    if tied.isEmpty():
+        return out
+    row = F.struct(*docs.columns)
+    ones = keyed.join(tied, same, "left_semi").groupBy(*by).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
+    return out.unionByName(ones.select("__row.*"))

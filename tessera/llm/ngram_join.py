@@ -344,6 +344,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, parts: in
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Docs less those that have a smaller doc_id in their component."""
-    dropped = jaccard_components(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: that of the smallest doc_id."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        dropped = jaccard_components(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
+        return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    # Where ids are repeated the rows have numbers in their place; of rows that share the smallest doc_id the first stays.
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__row"), "component_id")
+    ones = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("one"))
+    return rows.join(ones.select("one.__row"), "__row", "left_semi").select(*docs.columns)

@@ -31,6 +31,18 @@ def test_exact_empty_table_repeats_and_null_ids(make):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3] and kept.columns[0] == "doc_id" and "size" in kept.columns
 
 
+def test_without_copies_decides_for_each_row(make):
+    def left(texts, ids):
+        return sorted(((r.doc_id, r.text) for r in exact.without_copies(make(texts, ids)).collect()), key=str)
+
+    assert left(["a b", "a  b", "b", "b", "c"], [4, None, None, None, None]) == [(4, "a b"), (None, "b"), (None, "c")]
+    assert left(["a", "a", "a", "b"], [4, 4, 5, 5]) == [(4, "a"), (5, "b")]
+    # The text "own" has one row; that its id has a copy elsewhere takes nothing from it.
+    assert left(["x", "x", "own"], [1, 2, 2]) == [(1, "x"), (2, "own")]
+    kept = exact.without_copies(make(["a", "a", None, ""], ids=[None, None, 3, 3]))
+    assert kept.columns == make(["a"]).columns and kept.count() == 2
+
+
 def waterfill(sizes, weights, share, most=2):
     goal, total, open_ = {}, share * sum(sizes.values()), set(sizes)
     while open_:

@@ -70,6 +70,16 @@ def test_edges(make, odd):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (4, 0), (4, 4), (5, 5)]
 
 
+def test_one_of_each_decides_for_each_row(make):
+    def left(texts, ids):
+        return sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(make(texts, ids), parts=2).collect()), key=str)
+
+    assert left(["a b c d e", "a b c d e", "f g h i j"], [1, 2, 2]) == [(1, "a b c d e"), (2, "f g h i j")]
+    assert left(["a b c d e", "A b c d e", "f g h i j", "k l m n o"], [4, 4, None, None]) == [(4, "a b c d e"), (None, "f g h i j"), (None, "k l m n o")]
+    assert left(["a b c d e", "a b c d e"], [3, None]) == [(None, "a b c d e")]
+    assert left(["", None, "x"], [1, 1, 1]) == [(1, ""), (1, "x"), (1, None)]
+
+
 def test_packed_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 4000):
