@@ -325,5 +325,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Docs less those that score THRESHOLD or more."""
-    return with_scores(docs, fit(docs, labels), "__toxicity").filter(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
+    """Docs less those that score THRESHOLD or more; all of them where the labels teach no model, as one score for all tells none apart."""
+    model = fit(docs, labels)
+    if isinstance(model, float):
+        return docs
+    return with_scores(docs, model, "__toxicity").filter(F.col("__toxicity") < THRESHOLD).drop("__toxicity")

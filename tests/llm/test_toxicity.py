@@ -62,6 +62,16 @@ def test_held_out_accuracy(corpus, make):
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in rows)
 
 
+def test_without_a_model_nothing_is_dropped(make, spark):
+    docs = make(["a fine day", "another", None])
+    bad = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, bad) == 1.0 and toxicity.without_toxic(docs, bad).count() == 3
+    # Both labels, but no letter string with enough evidence.
+    some = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, toxic int")
+    texts = [f"word{i} here" for i in range(40)]
+    assert 0.3 <= toxicity.fit(make(texts), some) < 1 and toxicity.without_toxic(make(texts), some).count() == 40
+
+
 def test_without_labels(make, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.toxicity_scores(make(["a", None]), none).collect()} == {0.0}
