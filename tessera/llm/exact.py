@@ -69,7 +69,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """One row of each text: that of the smallest doc_id, and of rows that repeat this too the one whose columns have the least hash."""
     by = ["__id", "__sha"]
-    groups = exact_groups(docs).filter("group_size > 1").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    # Stored first, for the same reason as the groups.
+    groups = written(exact_groups(docs).filter("group_size > 1").select("doc_id", "text_sha256", "kept"), "repeated").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     marks = written(groups.agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__times")).filter("not __kept or __times > 1").withColumnsRenamed({k: f"{k}_m" for k in by}), "marks")
     keyed = docs.withColumns({"__id": F.col("doc_id"), "__sha": F.sha2(normalised(F.col("text")), 256)})
     same = F.col("__id").eqNullSafe(F.col("__id_m")) & (F.col("__sha") == F.col("__sha_m"))
