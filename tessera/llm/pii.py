@@ -91,12 +91,24 @@ _DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 RUN = rf"(?<![^\W_])(?:plus[ ,.-]{{1,3}})?{_DIGIT}(?:[ ,.-]{{1,3}}{_DIGIT}){{2,}}(?![^\W_])"
 _OPEN, _CLOSE = r"[ \t]{0,3}[\[({<][ \t]{0,3}", r"[ \t]{0,3}[\])}>][ \t]{0,3}"
 _DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|(?:[ \t]{{1,3}}|[_-])dot(?:[ \t]{{1,3}}|[_-]))"
-#: A bare "at" counts only before a name whose dot is disguised as well.
-DISGUISE = re.compile(
-    rf"(?P<run>{RUN})|(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])(?:[ \t]{{1,3}}|[_-])at(?:[ \t]{{1,3}}|[_-])(?=[A-Za-z0-9-]{{1,64}}{_DOT}[A-Za-z0-9]))|(?P<dot>{_DOT}(?=[A-Za-z0-9]))|(?P<digit>(?<=[0-9])[OoIl](?=[0-9]))",
+#: A domain whose dots are plain or disguised, with letters at the end.
+_NAMED = rf"(?:[A-Za-z0-9-]{{1,63}}(?:\.|{_DOT})){{1,8}}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])"
+#: A bare "at" counts only before a name whose dot is disguised as well, or before such a domain.
+_SIGNS = (
+    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])(?:[ \t]{{1,3}}|[_-])at(?:[ \t]{{1,3}}|[_-])(?=[A-Za-z0-9-]{{1,64}}{_DOT}[A-Za-z0-9]|{_NAMED}))|(?P<dot>{_DOT}(?=[A-Za-z0-9]))|(?P<digit>(?<=[0-9])[OoIl](?=[0-9]))"
+)
+DISGUISE = re.compile(rf"(?P<octets>(?!))|(?P<run>{RUN})|{_SIGNS}", re.IGNORECASE)
+#: The same where spelled and written digits mix: two in a row, and four octets between dots.
+_ITEM = rf"(?:{_DIGIT}|[0-9]{{1,19}})"
+_OCTET = rf"{_ITEM}(?:[ ,-]{{1,3}}{_ITEM}){{0,2}}"
+MIXED = re.compile(
+    rf"(?P<octets>(?<![^\W_]){_OCTET}(?:(?:{_DOT}|\.){_OCTET}){{3}}(?![^\W_]))|(?P<run>(?<![^\W_])(?:plus[ ,.-]{{1,3}})?{_ITEM}(?:[ ,.-]{{1,3}}{_ITEM})+(?![^\W_]))|{_SIGNS}",
     re.IGNORECASE,
 )
-TOKEN = re.compile(rf"plus|{_DIGIT}|[ ,.-]+", re.IGNORECASE)
+#: Where they can mix: a written digit before or behind a spelled one.
+BESIDE = re.compile(rf"[0-9][ ,.-]{{1,3}}{_DIGIT}(?![^\W_])|[ ,.-](?=[ ,.-]{{0,2}}[0-9])(?:" + "|".join(rf"(?<={w}[ ,.-])" for w in SPELLED) + ")|dot[^A-Za-z0-9]", re.IGNORECASE)
+TOKEN = re.compile(rf"plus|{_DIGIT}|[0-9]+|[ ,.-]+", re.IGNORECASE)
+OCTETS = re.compile(rf"(?P<dot>{_DOT}|\.)|{_DIGIT}|[0-9]+", re.IGNORECASE)
 
 
 def _letter(c: str) -> str:
@@ -114,7 +126,7 @@ def _letter(c: str) -> str:
 class Rewritten:
     """Text after the transducer, with the source span of each of its pieces."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, disguise: re.Pattern = DISGUISE) -> None:
         self.changed = False
         self.text = text
         self._at: list[int] | None = None
@@ -139,11 +151,19 @@ class Rewritten:
                 length += len(piece)
 
         old = self.text
-        for m in DISGUISE.finditer(old):
+        for m in disguise.finditer(old):
             put(old[done : m.start()], done, True)
-            if m["run"]:
+            if m["octets"]:
+                for t in OCTETS.finditer(m[0]):
+                    put("." if t["dot"] else SPELLED.get(t[0].lower(), t[0]), m.start() + t.start(), t[0].isdigit())
+                    end = m.start() + t.end()
+                self._steps.append((length, end, True))
+            elif m["run"]:
                 for t in TOKEN.finditer(m[0]):
                     word = t[0].lower()
+                    if word.isdigit():
+                        put(word, m.start() + t.start(), True)
+                        continue
                     put("+" if word == "plus" else SPELLED.get(word) or (" " if t.start() and not m[0][: t.start()].lower().endswith("plus") else ""), m.start() + t.start(), False)
             else:
                 put("@" if m["at"] else "." if m["dot"] else "0" if m[0] in "Oo" else "1", m.start(), False)
@@ -180,13 +200,22 @@ def find(text: str | None) -> list[tuple[int, int, int, bool]]:
     base = plain(text)
     out = [(*x, True) for x in base]
     new = Rewritten(text)
-    if new.changed:
-        taken = set(base)
+    rewritten = [new] if new.changed else []
+    if BESIDE.search(text) or new.changed and BESIDE.search(new.text):
+        rewritten.append(Rewritten(text, MIXED))
+    added: list[tuple[int, int, int]] = []
+    taken = set(base)
+    for new in rewritten:
         for a, kind, b in plain(new.text):
             start, end = new.source(a, b)
-            if (start, kind, end) not in taken and not any(k == kind and s < end and start < e for s, k, e in base):
-                out.append((start, kind, end, False))
-        out.sort()
+            if (start, kind, end) in taken or any(k == kind and s < end and start < e for s, k, e in base):
+                continue
+            # Of spans that two rewritings give the longer stays.
+            rivals = [x for x in added if x[1] == kind and x[0] < end and start < x[2]]
+            if all(x[2] - x[0] < end - start for x in rivals):
+                added = [x for x in added if x not in rivals] + [(start, kind, end)]
+    if added:
+        out = sorted(out + [(*x, False) for x in added])
     return out
 
 

@@ -136,6 +136,27 @@ def test_disguises_map_back(text, kind, found):
     assert [(pii.KINDS[k], text[a:b]) for a, k, b, base in pii.find(text) if not base] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write john at example.com now", "email", "john at example.com"),
+        ("write john at mail.example dot com now", "email", "john at mail.example dot com"),
+        ("call +49 one 5 one 2 three 4 five 6 seven.", "phone", "+49 one 5 one 2 three 4 five 6 seven"),
+        ("call plus four nine 151 234 5678 now", "phone", "plus four nine 151 234 5678"),
+        ("host one dot one dot one dot one up", "ip", "one dot one dot one dot one"),
+        ("host 192 dot one six eight dot 1 dot seven up", "ip", "192 dot one six eight dot 1 dot seven"),
+        ("no 4111 1111 one one one one 1111 end", "card", "4111 1111 one one one one 1111"),
+        ("z ４１１１１１１１１１１１１１１１ one time", "card", "４１１１１１１１１１１１１１１１"),
+    ],
+)
+def test_mixed_disguises_map_back(text, kind, found):
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b, base in pii.find(text) if not base] == [(kind, found)]
+
+
+def test_mixed_digits_gain_nothing_without_a_grammar():
+    assert pii.find("In 2019 one of 7 un 3 dos. Look at me. Chapter two 3 dot one. We were at home. Then three") == []
+
+
 def test_plain_text_gains_nothing():
     assert pii.find("We met at the house. The dot on one two pages, un dos. Look at me") == []
 
