@@ -102,17 +102,17 @@ def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and its n+1 offsets; null is empty."""
+    """The UTF-8 bytes of a string column, or those of a binary one, and its n+1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if pa.types.is_string(column.type):
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
         kind = np.int32
-    elif pa.types.is_large_string(column.type):
+    elif pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind = np.int64
     else:
         return string_bytes(column.cast(pa.large_string()))
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     _, offsets, data = column.buffers()
     n = len(column)
     if n == 0 or offsets is None:

@@ -18,10 +18,18 @@ sorted that can be repeated:
    halved, and each half gets a longer anchor.  Repeated to the end, that
    leaves single windows, which only have to be counted.
 
+That is done twice: with a span of PASSAGE bytes over all texts, which finds
+passages too short to be removed, and with SPAN over the stretches that this
+leaves.  A string of SPAN bytes that occurs again lies in such a stretch in
+each of its places, so none is lost.
+
 Defined results: texts are UTF-8 bytes; null and empty texts have none.
-Matches never cross documents; a text under SPAN bytes loses nothing.  Rows that repeat doc_id and text are
-copies of each other like any rows.  No rows give no rows.  Other columns are
-not read.  Very long texts are cut into pieces that share SPAN - 1 bytes.
+Matches never cross documents; a text under SPAN bytes loses nothing.  A
+stretch of repeated strings of PASSAGE bytes is a passage when it has WORDS
+words or more; passages are counted and stay.  Rows that repeat doc_id and
+text are copies of each other like any rows.  No rows give no rows.  Other
+columns are not read.  Very long texts are cut into pieces that share one byte
+less than the span.
 """
 
 from __future__ import annotations
@@ -40,6 +48,8 @@ from tessera.llm.common import mix64, released, string_bytes, written
 from tessera.llm.suffix_sort import BASES, Polynomial, sort_suffixes
 
 SPAN, GRAM = 400, 128
+#: A passage has more than 50 words; with four letters and a blank each, they have so many bytes.
+WORDS, PASSAGE, PASSAGE_GRAM = 51, 256, 64
 #: Windows of a piece and bytes of a slice; a slice's places fit in PLACE bits.
 PIECE, SLICE, PLACE = 1 << 19, 1 << 20, 22
 #: Contexts of one anchor that a task sorts, and bytes that it sorts at once.
@@ -66,19 +76,19 @@ def _signed(keys: np.ndarray) -> np.ndarray:
 class Anchors:
     """Contexts of documents: which anchor, which run of windows."""
 
-    def __init__(self, span: int, gram: int) -> None:
-        self.span, self.gram, self.hash = span, gram, Polynomial(BASES[0])
+    def __init__(self, span: int, gram: int, piece: int = PIECE, most: int = SLICE) -> None:
+        self.span, self.gram, self.piece, self.most, self.hash = span, gram, piece, most, Polynomial(BASES[0])
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[list[tuple[int, int, np.ndarray]]]:
         """(row, place in its text, bytes), some at a time."""
         held, size = [], 0
         for row in np.flatnonzero(np.diff(offsets) >= self.span):
             text = data[offsets[row] : offsets[row + 1]]
-            for at in range(0, len(text) - self.span + 1, PIECE):
-                piece = text[at : at + PIECE + self.span - 1]
+            for at in range(0, len(text) - self.span + 1, self.piece):
+                piece = text[at : at + self.piece + self.span - 1]
                 held.append((row, at, piece))
                 size += len(piece)
-                if size >= SLICE:
+                if size >= self.most:
                     yield held
                     held, size = [], 0
         if held:
@@ -114,15 +124,16 @@ class Anchors:
 
 
 def contexts(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """CONTEXTS of docs (rid, text)."""
+    """CONTEXTS of docs (rid, at, text): texts, or stretches of them that begin at `at`."""
+    sizes = PIECE, SLICE
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(span, gram)
+        anchors = Anchors(span, gram, *sizes)
         for batch in batches:
-            rid = batch.column("rid").to_numpy()
+            rid, place = batch.column("rid").to_numpy(), batch.column("at").to_numpy()
             for pieces in anchors.pieces(*string_bytes(batch.column("text"))):
                 found = anchors.of(pieces)
-                yield pa.RecordBatch.from_arrays([pa.array(found["key"]), pa.array(found["digest"]), pa.array(rid[found["row"]]), pa.array(found["start"], pa.int64()), pa.array(found["width"], pa.int32()), pa.array(found["lead"], pa.int32())], ["key", "digest", "rid", "start", "width", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(found["key"]), pa.array(found["digest"]), pa.array(rid[found["row"]]), pa.array(found["start"] + place[found["row"]], pa.int64()), pa.array(found["width"], pa.int32()), pa.array(found["lead"], pa.int32())], ["key", "digest", "rid", "start", "width", "lead"])
 
     return docs.mapInArrow(released(task), CONTEXTS)
 
@@ -155,7 +166,7 @@ def settle(rows: DataFrame, span: int, most: int) -> tuple[DataFrame, DataFrame]
 
 
 def with_bytes(open_: DataFrame, docs: DataFrame, span: int) -> DataFrame:
-    """The open contexts with their bytes, from docs (rid, text)."""
+    """The open contexts with their bytes, from docs (rid, at, text)."""
     schema = f"{OPEN}, bytes binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -163,9 +174,15 @@ def with_bytes(open_: DataFrame, docs: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
             view = memoryview(np.ascontiguousarray(data))
-            rid = batch.column("rid").to_pylist()
+            rid, place = batch.column("rid").to_pylist(), batch.column("at").to_pylist()
             for i, asked in enumerate(batch.column("asked")):
-                out = [(x["key"], x["digest"], rid[i], x["start"], x["width"], x["lead"], x["n"], x["hot"], bytes(view[offsets[i] + x["start"] : offsets[i] + x["start"] + x["width"] + span - 1])) for x in asked.as_py()]
+                to, out = offsets[i] - place[i], []
+                for x in asked.as_py():
+                    a, b = to + x["start"], to + x["start"] + x["width"] + span - 1
+                    if offsets[i] <= a and b <= offsets[i + 1]:
+                        out.append((x["key"], x["digest"], rid[i], x["start"], x["width"], x["lead"], x["n"], x["hot"], bytes(view[a:b])))
+                if not out:
+                    continue
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.int32(),) * 2 + (pa.int64(), pa.bool_(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -249,7 +266,7 @@ def sorted_spans(open_: DataFrame, span: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """rid, from, to of docs (rid, text): stretches that repeated strings cover; they may overlap."""
+    """rid, from, to of docs (rid, at, text): stretches that repeated strings cover; they may overlap."""
     done, open_ = settle(contexts(docs, span, gram), span, most)
     found, step = [done], 1 << (span - gram).bit_length()
     hot = open_.filter("hot").limit(1).count() > 0
@@ -267,34 +284,68 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: in
     return out
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """doc_id, n_bytes, spans (from, to), kept (bytes) for every row of docs (doc_id, text)."""
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _pairs(found: pa.Scalar) -> list[tuple[int, int]]:
+    return merged([(y["from"], y["to"]) for y in found.as_py() or ()])
+
+
+def gathered(spans: DataFrame, name: str) -> DataFrame:
+    """rid and its spans as an array; a text has no more spans than windows."""
+    return spans.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias(name))
+
+
+def stretches(docs: DataFrame, near: DataFrame, span: int) -> DataFrame:
+    """rid, at, text: what repeated passages cover of docs (rid, text), where it is `span` bytes or more."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = string_bytes(batch.column("text"))
+            view, rid = memoryview(np.ascontiguousarray(data)), batch.column("rid").to_pylist()
+            for i, found in enumerate(batch.column("near")):
+                long = [(a, b) for a, b in _pairs(found) if b - a >= span]
+                if long:
+                    yield pa.RecordBatch.from_pydict({"rid": pa.array([rid[i]] * len(long), pa.int64()), "at": pa.array([a for a, _ in long], pa.int64()), "text": pa.array([bytes(view[offsets[i] + a : offsets[i] + b]) for a, b in long], pa.binary())})
+
+    return docs.join(near, "rid").select("rid", "text", "near").mapInArrow(released(task), "rid long, at long, text binary")
+
+
+def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: int = MOST, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, spans (from, to), kept (bytes), passages (from, to) for every row of docs (doc_id, text); `passage` is at most `span`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", row_id())
-    # A text has no more spans than windows.
-    spans = repeated_spans(docs.select("rid", "text"), span, gram, most).groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("found"))
+    whole = docs.select("rid", F.lit(0).cast("long").alias("at"), "text")
+    near = written(gathered(repeated_spans(whole, passage, passage_gram, most), "near"), "near")
+    long = written(stretches(docs, near, span), "stretches")
+    spans = written(gathered(repeated_spans(long, span, gram, most), "found"), "spans")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+        named = lambda some: [{"from": a, "to": b} for a, b in some]
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
-            view, n_bytes, spans, kept = memoryview(np.ascontiguousarray(data)), [], [], []
-            for i, found in enumerate(batch.column("found")):
-                text = view[offsets[i] : offsets[i + 1]]
-                merged: list[dict] = []
-                for x in sorted((y["from"], y["to"]) for y in found.as_py() or ()):
-                    if merged and x[0] <= merged[-1]["to"]:
-                        merged[-1]["to"] = max(merged[-1]["to"], x[1])
-                    else:
-                        merged.append({"from": x[0], "to": x[1]})
-                edges = [0, *(e for m in merged for e in (m["from"], m["to"])), len(text)]
+            view, n_bytes, spans, kept, passages = memoryview(np.ascontiguousarray(data)), [], [], [], []
+            for i, (found, near) in enumerate(zip(batch.column("found"), batch.column("near"), strict=True)):
+                text, own = view[offsets[i] : offsets[i + 1]], _pairs(found)
+                edges = [0, *(e for m in own for e in m), len(text)]
                 n_bytes.append(len(text))
-                spans.append(merged)
+                spans.append(named(own))
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                passages.append(named([(a, b) for a, b in _pairs(near) if len(bytes(text[a:b]).split()) >= words]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary()), pa.array(passages, pair)], ["doc_id", "n_bytes", "spans", "kept", "passages"])
 
-    schema = "doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept binary"
-    return docs.join(spans, "rid", "left").select("doc_id", "text", "found").mapInArrow(released(task), schema)
+    schema = "doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept binary, passages array<struct<from: long, to: long>>"
+    return docs.join(spans, "rid", "left").join(near, "rid", "left").select("doc_id", "text", "found", "near").mapInArrow(released(task), schema)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
-    return cleaned.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    size = F.aggregate("passages", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return cleaned.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.size("passages").cast("long").alias("n_passages"), size.alias("n_passage_bytes"))

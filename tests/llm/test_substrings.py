@@ -54,6 +54,40 @@ def test_removal_against_brute_force(make, corpus, most, monkeypatch):
     assert sum(w[1] for w in want) > 20_000
 
 
+def test_passages_of_over_fifty_words(make):
+    """Too short to be removed, yet found in every place; texts without one have none."""
+    rng = np.random.default_rng(11)
+    short = words(rng, 30)
+    passage = " ".join(f"w{x}" for x in rng.integers(1000, 9999, 53))
+    texts = [words(rng, 40) + " " + passage + " " + words(rng, 40) for _ in range(3)]
+    texts += [words(rng, 40) + " " + short + " " + words(rng, 40) for _ in range(3)] + [words(rng, 200), None, ""]
+    rows = {r.doc_id: r for r in substrings.digest(substrings.without_repeats(make(texts))).collect()}
+    assert len(passage.encode()) < 400
+    for i in range(len(texts)):
+        assert rows[i].n_removed == 0 and rows[i].n_passages == (1 if i < 3 else 0), i
+    assert all(len(passage.encode()) <= rows[i].n_passage_bytes <= len(passage.encode()) + 8 for i in range(3))
+
+
+def test_very_long_texts_lose_nothing_at_the_edges_of_pieces():
+    """What an anchor stands for is the same however a text is cut."""
+    import pyarrow as pa
+
+    from tessera.llm.common import string_bytes
+
+    rng = np.random.default_rng(4)
+    data, offsets = string_bytes(pa.array([words(rng, 3000)]))
+    seen = set()
+    for piece, most in ((1 << 19, 1 << 20), (700, 5000), (4096, 4096)):
+        windows = set()
+        for some in substrings.Anchors(400, 128, piece, most).pieces(data, offsets):
+            found = substrings.Anchors(400, 128, piece, most).of(some)
+            for key, start, width, lead in zip(found["key"], found["start"], found["width"], found["lead"], strict=True):
+                windows |= {(int(start) + k, int(key), int(lead) - k) for k in range(width)}
+        assert len(windows) == len(data) - 399
+        seen.add(frozenset(windows))
+    assert len(seen) == 1
+
+
 def test_edges(make, odd):
     assert substrings.without_repeats(make(["a"]).limit(0)).count() == 0
     rows = substrings.digest(substrings.without_repeats(make([*odd, odd[7], odd[7]], ids=[*range(len(odd)), None, None]))).collect()
