@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _SESSION_DIR: dict[str, str] = {}
 _WRITTEN: list[str] = []
+#: Tables stored since the innermost settled() began.
+_OPEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open", default=None)
 #: What modules remember in a Python worker between tasks, by module name.
 KEPT: dict[str, dict] = {}
 
@@ -31,12 +35,14 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is missing, as in local tests, a fresh temporary
-    folder stands in for it.
+    Only where the setting is missing and driver and executors are one
+    process, as in local tests, a fresh temporary folder stands in for it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _SESSION_DIR:
         _SESSION_DIR[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -51,6 +57,8 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows read back from a new table in the shared folder, and its path."""
     path = new_path(df.sparkSession, name)
     _WRITTEN.append(path)
+    if (own := _OPEN.get()) is not None:
+        own.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -66,9 +74,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a stored table that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _WRITTEN.remove(path)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """Stores what `make` returns, as stored() does, and deletes the tables that it stored on its way there."""
+    own: list[str] = []
+    before = _OPEN.set(own)
+    try:
+        df, path = stored(make(), name)
+    finally:
+        _OPEN.reset(before)
+    for other in own:
+        if other != path:
+            drop(df.sparkSession, other)
+    if (outer := _OPEN.get()) is not None:
+        outer.append(path)
+    return df, path
 
 
 def drop_written(spark: SparkSession) -> int:

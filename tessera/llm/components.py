@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import drop, settled, stored, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,16 +18,23 @@ def components(links: DataFrame) -> DataFrame:
 
     No links give no rows; repeated links and links of a node to itself change nothing.
     """
+    return settled(lambda: _shrunk(links), "components")[0]
+
+
+def _shrunk(links: DataFrame) -> DataFrame:
+    spark = links.sparkSession
     both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     edges = written(both.filter("src != dst").distinct(), "edges")
-    labels = written(edges.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("label")).withColumnRenamed("src", "node"), "labels")
+    labels, before = stored(edges.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("label")).withColumnRenamed("src", "node"), "labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("other")), "dst").groupBy("src").agg(F.min("other").alias("other"))
         step = labels.join(near, labels["node"] == near["src"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("other", "label")).alias("label"))
-        step = written(step, "step")
+        step, between = stored(step, "step")
         jump = step.select(F.col("node").alias("at"), F.col("label").alias("further"))
         new = step.join(jump, step["label"] == jump["at"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        new = written(new, "labels")
+        new, path = stored(new, "labels")
+        drop(spark, before)
+        drop(spark, between)
         if not new.filter("label != old").limit(1).count():
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels, before = new.select("node", "label"), path

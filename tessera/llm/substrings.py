@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, released, string_bytes, written
+from tessera.llm.common import drop, mix64, released, settled, stored, string_bytes, written
 from tessera.llm.suffix_sort import BASES, Polynomial, sort_suffixes
 
 SPAN, GRAM = 400, 128
@@ -323,9 +323,10 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: i
     """doc_id, n_bytes, spans (from, to), kept (bytes), passages (from, to) for every row of docs (doc_id, text); `passage` is at most `span`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", row_id())
     whole = docs.select("rid", F.lit(0).cast("long").alias("at"), "text")
-    near = written(gathered(repeated_spans(whole, passage, passage_gram, most), "near"), "near")
-    long = written(stretches(docs, near, span), "stretches")
-    spans = written(gathered(repeated_spans(long, span, gram, most), "found"), "spans")
+    near, _ = settled(lambda: gathered(repeated_spans(whole, passage, passage_gram, most), "near"), "near")
+    long, path = stored(stretches(docs, near, span), "stretches")
+    spans, _ = settled(lambda: gathered(repeated_spans(long, span, gram, most), "found"), "spans")
+    drop(docs.sparkSession, path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
