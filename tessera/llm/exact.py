@@ -7,10 +7,10 @@ through; only the others shuffle, by digest, to be grouped.  A larger input
 makes the bounded bitmap denser, which sends more rows through the shuffle and
 never changes the result.
 
-Defined results: a null text equals an empty one.  Rows that repeat both text
-and doc_id are one document and `kept` together; without_copies leaves one of
-them.  It decides for each row by doc_id and text.  A null doc_id is larger
-than any other.  An empty table gives no rows.  Other columns are not read.
+Defined results: a null text equals an empty one.  Of equal texts one row is
+`kept`, of rows that repeat the smallest doc_id too the first that was read.
+A null doc_id is larger than any other.  without_copies decides for each row by
+doc_id and text.  An empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -57,12 +57,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         page = F.broadcast(pages.select(F.col("page").alias(f"page{i}"), F.col("bitmap").alias(f"bitmap{i}")))
         probed = probed.join(page, F.bitmap_bucket_number(f"cell{i}") == F.col(f"page{i}"), "left")
         maybe &= _has(F.col(f"bitmap{i}"), F.col(f"cell{i}"))
-    probed = written(probed.select("doc_id", "text_sha256", maybe.alias("maybe")), "probed")
+    # The number tells rows apart that are alike; stored, it is the same for every reader.
+    probed = written(probed.select("doc_id", "text_sha256", maybe.alias("maybe"), F.monotonically_increasing_id().alias("row")), "probed")
     alone = probed.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    meet = probed.filter("maybe").select("doc_id", "text_sha256")
+    meet = probed.filter("maybe").select("doc_id", "text_sha256", "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     # Stored first: the join then shuffles for itself, and a group that holds a third of all rows is split among tasks.
-    groups = written(meet.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    met = meet.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = written(meet.groupBy("text_sha256").agg(first.alias("first"), F.count("*").alias("group_size")), "groups")
+    met = meet.join(groups, "text_sha256").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
     return alone.unionByName(met)
 
 
@@ -71,7 +73,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     by = ["__id", "__sha"]
     # Stored first, for the same reason as the groups.
     groups = written(exact_groups(docs).filter("group_size > 1").select("doc_id", "text_sha256", "kept"), "repeated").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marks = written(groups.agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__times")).filter("not __kept or __times > 1").withColumnsRenamed({k: f"{k}_m" for k in by}), "marks")
+    marks = written(groups.agg(F.bool_or("kept").alias("__kept"), F.count("*").alias("__times")).filter("not __kept or __times > 1").withColumnsRenamed({k: f"{k}_m" for k in by}), "marks")
     keyed = docs.withColumns({"__id": F.col("doc_id"), "__sha": F.sha2(normalised(F.col("text")), 256)})
     same = F.col("__id").eqNullSafe(F.col("__id_m")) & (F.col("__sha") == F.col("__sha_m"))
     out = keyed.join(marks, same, "left_anti").select(*docs.columns)

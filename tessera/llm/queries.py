@@ -80,7 +80,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-               doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+               row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW same AS (PARTITION BY norm)""",
     "op10_mixing": r"""
         WITH sized AS (
@@ -101,15 +101,23 @@ ORACLE_SQL: dict[str, str] = {
           SELECT source, source_size, least(cap, coalesce(weight * (SELECT arg_min(level, place) FROM filled WHERE level <= bears), cap)) AS target FROM filled),
         parts AS (
           SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE) ELSE 0 END::BIGINT AS whole FROM goal),
-        rests AS (
-          SELECT *, target - whole * source_size::DOUBLE AS rest,
-                 CASE WHEN source_size > 0 THEN (target - whole * source_size::DOUBLE) / source_size::DOUBLE ELSE 0 END AS p FROM parts),
+        rests AS (SELECT *, target - whole * source_size::DOUBLE AS rest FROM parts),
+        hist AS (SELECT source, size, count(*) AS n FROM sized WHERE size > 0 GROUP BY source, size),
+        steps AS (
+          SELECT *, (rest - sure) / squares::DOUBLE AS c FROM (
+            SELECT h.source, h.size, r.rest,
+                   coalesce(sum(n * size) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS sure,
+                   sum(n * size * size) OVER (PARTITION BY h.source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS squares
+            FROM hist h JOIN rests r ON h.source IS NOT DISTINCT FROM r.source)),
+        odds AS (SELECT source, arg_max(c, size) AS c, arg_max(sure, size) AS sure FROM steps WHERE c * size < 1 GROUP BY source),
         ranked AS (
-          SELECT s.doc_id, s.source, s.size, s.u, r.source_size, r.target, r.whole, r.rest, r.p, (s.u / (1 - s.u)) / (r.p / (1 - r.p)) AS q
-          FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source),
+          SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM (
+            SELECT s.doc_id, s.source, s.size, s.u, r.source_size, r.target, r.whole, r.rest - o.sure AS remains,
+                   CASE WHEN s.size > 0 THEN least(1.0::DOUBLE, coalesce(o.c * s.size, 1.0::DOUBLE)) ELSE 0.0::DOUBLE END AS p
+            FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN odds o ON s.source IS NOT DISTINCT FROM o.source)),
         run AS (
-          SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked)
+          SELECT *, sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked)
         SELECT doc_id, size, source_size, target,
-               (size * (whole + CASE WHEN p > 0 AND upto - size / 2::DOUBLE < rest THEN 1 ELSE 0 END))::BIGINT AS taken
+               (size * (whole + CASE WHEN p = 1 OR (q IS NOT NULL AND upto - size / 2::DOUBLE < remains) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM run""",
 }

@@ -26,7 +26,7 @@ def test_exact_groups_against_brute_force(make, odd):
 def test_exact_empty_table_repeats_and_null_ids(make):
     assert exact.exact_groups(make(["a"]).limit(0)).count() == 0
     rows = exact.exact_groups(make(["a", "a", "a", "b"], ids=[4, 4, None, None])).collect()
-    assert sorted((r.doc_id or -1, r.kept, r.group_size) for r in rows) == [(-1, False, 3), (-1, True, 1), (4, True, 3), (4, True, 3)]
+    assert sorted((r.doc_id or -1, r.kept, r.group_size) for r in rows) == [(-1, False, 3), (-1, True, 1), (4, False, 3), (4, True, 3)]
     kept = exact.without_copies(make(["a", "a ", "b", "a"], ids=[1, 2, 3, 0]))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3] and kept.columns[0] == "doc_id" and "size" in kept.columns
 
@@ -76,6 +76,34 @@ def test_mix_against_brute_force(make):
         assert abs(taken[s] - goal[s]) <= 20, (s, taken[s], goal[s])
 
 
+def test_inclusion_odds_follow_the_size(make):
+    """Documents of three times the words are drawn about three times as often; those past 1 always."""
+    texts = ["w " * (3 if i % 2 else 1) for i in range(4000)] + ["w " * 5000]
+    rows = mixing.mix(make(texts), share=0.6).collect()
+    share = lambda n: sum(r.taken > 0 for r in rows if r.size == n) / sum(r.size == n for r in rows)
+    assert share(5000) == 1 and abs(sum(r.taken for r in rows) - 0.6 * 13000) <= 3
+    assert 2.6 < share(3) / share(1) < 3.4
+    # A table where only one size exists: all have the same odds.
+    rows = mixing.mix(make(["a b"] * 500), share=0.3).collect()
+    assert abs(sum(r.taken for r in rows) - 300) <= 1
+
+
+def test_bins_grow_with_the_rows(make, monkeypatch):
+    texts = ["w " * (i % 17) for i in range(600)]
+    few = sorted((r.doc_id, r.taken) for r in mixing.mix(make(texts)).collect())
+    monkeypatch.setattr(mixing, "BINS", 1)
+    monkeypatch.setattr(mixing, "ROWS", 64)
+    assert few == sorted((r.doc_id, r.taken) for r in mixing.mix(make(texts)).collect())
+
+
+def test_mixed_takes_each_row_for_itself(make):
+    """One doc_id in two sources of different sizes: each row has its own copies."""
+    docs = make(["a b c"] * 8 + ["d"], ids=[*range(8), 0], source=["x"] * 8 + ["y"])
+    want = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).collect()}
+    got = [(r.doc_id, r.source) for r in mixing.mixed(docs).collect()]
+    assert {k: got.count(k) for k in want} == want
+
+
 def test_mix_edges(make):
     assert mixing.mix(make(["a"]).limit(0)).count() == 0
     rows = mixing.mix(make(["", None, " "], source=["a", None, "b"])).collect()
