@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact, mixing, ngram_join, packing, toxicity
-from tessera.llm.common import documents, written
+from tessera.llm.common import documents, drop, settled
 from tessera.llm.queries import tokenizer_path
 
 
@@ -54,7 +54,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The rows of the last stage; of the stages before, only what it reads stays stored."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        now = docs
+        docs, path = settled(lambda stage=stage, now=now: stage(spark, now, sf_dir), f"stage-{name}")
+        if before:
+            drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
