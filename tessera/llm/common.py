@@ -53,6 +53,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def parts_for(df: DataFrame, each: int = 1 << 22, factor: int = 4) -> int:
+    """How many parts to deal what is derived from df over.
+
+    `factor` times the session's shuffle partitions, so that parts which meet
+    in one task stay small; more where the files read hold more than `each`
+    bytes a part.  An estimate of Catalyst's that no file stands behind counts
+    at most 16 times as much.
+    """
+    least = factor * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(least, min(16 * least, size // each)) if size < 1 << 60 else least
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows read back from a new table in the shared folder, and its path."""
     path = new_path(df.sparkSession, name)

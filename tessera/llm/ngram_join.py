@@ -14,9 +14,12 @@ little for their sizes are discarded by bounds before any product is taken:
    that shares most; components follow from the links.  Only groups that are
    still apart have their remaining pairs compared.
 
-The overlap counts are sparse products of blocks: rows of member sets times
-the column of one set.  Blocks are salted by size, so that a group which holds
-a third of all rows is spread over tasks.
+The overlap counts are sparse products of blocks.  A block holds some sets as
+columns and those that are to be compared with any of them as rows; what rows
+and columns have in common is added up n-gram by n-gram, and pairs whose count
+stays below the bound of their sizes are discarded.  Sets with many partners
+are dealt over blocks by their number, so that a group which holds a third of
+all rows is spread over tasks.
 
 Defined results: null and empty texts have no n-grams, belong to no pair and
 are components of their own.  A document of fewer words than n is one n-gram.
@@ -35,14 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, drop, mix64, released, slices, stored, string_bytes, written
+from tessera.llm.common import Words, drop, mix64, parts_for, released, settled, slices, stored, string_bytes, written
 from tessera.llm.components import components
 
 SLICE, CHUNK = 1 << 19, 1 << 20
 #: Bits of a hash that travel in stage 1, besides those that choose the part.
 SHORT = 30
-#: Rows of a block in the product.
-BLOCK = 256
+#: Pairs that a block of the product is meant for; rows and entries of the incidence that are multiplied at once.
+BLOCK, ROWS, ENTRIES = 256, 4096, 1 << 20
 NULL_ID = -(1 << 63)
 
 _K = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -252,40 +255,81 @@ def _reach(a: str, b: str, percent: int):
     return 1 + F.least(F.col(f"{a}_size") - F.col(f"{a}_place"), F.col(f"{b}_size") - F.col(f"{b}_place")) - 1 >= need
 
 
+class Columns:
+    """The columns of a block: an incidence matrix, n-gram by n-gram."""
+
+    def __init__(self, names: list[int], sets: list[np.ndarray]) -> None:
+        self.names, self.sizes = np.array(names, np.int64), np.array([len(x) for x in sets], np.int64)
+        gram = np.concatenate(sets)
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.column = gram[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def times(self, rows: list[np.ndarray]) -> np.ndarray:
+        """(rows, columns): how many n-grams each row shares with each column."""
+        sizes = np.array([len(x) for x in rows])
+        gram, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+        low = np.searchsorted(self.gram, gram, side="left")
+        many = np.searchsorted(self.gram, gram, side="right") - low
+        low, many, row = low[many > 0], many[many > 0], row[many > 0]
+        shape = len(rows), len(self.names)
+        counts = np.zeros(shape[0] * shape[1], np.int64)
+        upto = np.cumsum(many)
+        at = 0
+        while at < len(many):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + ENTRIES, side="right")))
+            n = many[at:stop]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hit = self.column[np.repeat(low[at:stop], n) + inside]
+            counts += np.bincount(np.repeat(row[at:stop], n) * shape[1] + hit, minlength=len(counts))
+            at = stop
+        return counts.reshape(shape)
+
+    def linked(self, names: list[int], rows: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, overlap) of the pairs that reach the threshold."""
+        size = np.array([len(x) for x in rows], np.int64)[:, None]
+        overlap = self.times(rows)
+        name = np.array(names, np.int64)
+        i, j = np.nonzero((100 * overlap >= percent * (size + self.sizes - overlap)) & (name[:, None] != self.names))
+        return name[i], self.names[j], overlap[i, j]
+
+
 def products(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y, rows) that reach the threshold: src, dst, overlap.
+    """The pairs that reach the threshold, those of (x, y, rows) and others of their blocks: src, dst, overlap.
 
     `rows` says how many x a y may have; it sets the number of y's blocks.
+    Sets y of few x share a block.
     """
-    salt = F.pmod(F.xxhash64("x"), F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)))
-    blocks = written(pairs.select("x", "y", F.xxhash64("y", "rows", salt).alias("block")), "pairs")
+    pairs = written(pairs.select("x", "y", "rows"), "pairs")
+    shared = max(1, pairs.filter(F.col("rows") < BLOCK).count() // BLOCK)
+    salt = F.pmod(F.xxhash64("x"), F.ceil(F.col("rows") / BLOCK))
+    block = F.when(F.col("rows") < BLOCK, F.pmod(F.xxhash64("y"), F.lit(shared))).otherwise(F.xxhash64("y", salt))
+    blocks = pairs.select("x", "y", block.alias("block"))
     column = blocks.select(F.col("y").alias("class"), "block", F.lit(0).alias("role")).distinct()
-    asked = column.unionByName(blocks.select(F.col("x").alias("class"), "block", F.lit(1).alias("role")))
+    asked = column.unionByName(blocks.select(F.col("x").alias("class"), "block", F.lit(1).alias("role")).distinct())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        now, names, held, columns, size = None, [], [], None, 0
+
+        def links() -> pa.RecordBatch:
+            found = columns.linked(names, held, percent)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["src", "dst", "overlap"])
+
         for batch in batches:
-            out: dict[str, list] = {"src": [], "dst": [], "overlap": []}
             block, role, name = (batch.column(k).to_numpy() for k in ("block", "role", "class"))
             grams = batch.column("grams")
             for i in range(batch.num_rows):
-                if block[i] != now:
-                    now, held = block[i], {}
-                row = np.frombuffer(grams[i].as_buffer(), "<u8")
-                if role[i] == 0:
-                    held[name[i]] = row.copy()
-                    continue
-                for y, column in held.items():
-                    low, high = sorted((len(row), len(column)))
-                    if 100 * low < percent * high:
-                        continue
-                    at = np.searchsorted(column, row)
-                    overlap = int(np.count_nonzero(column[np.minimum(at, len(column) - 1)] == row))
-                    if 100 * overlap >= percent * (len(row) + len(column) - overlap):
-                        out["src"].append(name[i])
-                        out["dst"].append(y)
-                        out["overlap"].append(overlap)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+                key = block[i], role[i]
+                if key != now or role[i] == 1 and (size >= ENTRIES or len(held) >= ROWS):
+                    if now and now[1] == 0:
+                        columns = Columns(names, held)
+                    elif now:
+                        yield links()
+                    now, names, held, size = key, [], [], 0
+                names.append(name[i])
+                held.append(np.frombuffer(grams[i].as_buffer(), "<u8").copy())
+                size += len(held[-1])
+        if now:  # a block ends in rows
+            yield links()
 
     laid = asked.join(sets.select("class", "grams"), "class").select("block", "role", "class", "grams")
     return laid.repartition("block").sortWithinPartitions("block", "role").mapInArrow(released(task), "src long, dst long, overlap long")
@@ -325,11 +369,18 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, parts: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(docs)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     shaped, path = stored(shapes(docs, n, parts), "shapes")
     every = written(members(shaped, lonely(shaped, parts), percent), "members")
     drop(spark, path)  # it is about as large as the texts, and all of it is read
+    own, _ = settled(lambda: _named(docs, every, n, percent), "named")
+    back = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
+    return every.join(own, "class", "left").select(back("doc_id").alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NULL_ID)).alias("component_id"), F.col("class").alias("class_id"))
+
+
+def _named(docs: DataFrame, every: DataFrame, n: int, percent: int) -> DataFrame:
+    """class, component_id of the classes with n-grams."""
     classes = every.filter("near").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     sets = written(class_sets(docs, classes.select("doc_id", "class"), n), "sets")
     label = components(links(sets, percent))
@@ -338,9 +389,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, parts: in
     own = own.join(label.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("label", F.coalesce("label", "class"))
     own = written(own, "classes")
     least = own.groupBy("label").agg(F.min("first").alias("component_id"))
-    own = written(own.join(least, "label").select("class", "component_id"), "named")
-    back = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
-    return every.join(own, "class", "left").select(back("doc_id").alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NULL_ID)).alias("component_id"), F.col("class").alias("class_id"))
+    return own.join(least, "label").select("class", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

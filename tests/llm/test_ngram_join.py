@@ -92,3 +92,27 @@ def test_labels_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 199)]
     label = {r.node: r.label for r in components(spark.createDataFrame(links, "src long, dst long")).collect()}
     assert {label[i] for i in range(41)} == {0} and {label[100 + i] for i in range(30)} == {100} and label[200] == 199
+
+
+def test_a_group_of_more_rows_than_a_block(make, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = [edited(rng, base, 0.004) for _ in range(330)] + [" ".join(f"o{i}-{k}" for k in range(50)) for i in range(40)]
+    want = brute(list(range(len(texts))), texts)
+    for block in (256, 8):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        rows = ngram_join.jaccard_components(make(texts), parts=5).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want, block
+
+
+def test_block_product_against_sets(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
+    rows, columns = sets[:25], sets[15:]
+    for entries in (1, 7, 1 << 20):
+        monkeypatch.setattr(ngram_join, "ENTRIES", entries)
+        product = ngram_join.Columns(list(range(15, 40)), columns)
+        assert product.times(rows).tolist() == [[len(np.intersect1d(a, b)) for b in columns] for a in rows]
+    got = {(int(a), int(b)): int(n) for a, b, n in zip(*product.linked(list(range(25)), rows, 50), strict=True)}
+    want = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(25) for j in range(15, 40) if i != j}
+    assert got == {k: n for k, n in want.items() if 100 * n >= 50 * (len(sets[k[0]]) + len(sets[k[1]]) - n)}
