@@ -40,6 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,7 +95,8 @@ class Anchors:
         if held:
             yield held
 
-    def of(self, pieces: list[tuple[int, int, np.ndarray]]) -> dict[str, np.ndarray]:
+    def of(self, pieces: list[tuple[int, int, np.ndarray]], named: bool = True) -> dict[str, np.ndarray]:
+        """The contexts of some pieces; without names, their anchors alone."""
         data = np.concatenate([p for *_, p in pieces])
         size = np.array([len(p) for *_, p in pieces])
         ends = np.cumsum(size)
@@ -115,6 +117,8 @@ class Anchors:
         new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
         width = np.diff(np.append(new, len(start)))
         a, p = start[new], anchor[new]
+        if not named:
+            return {"key": _signed(keys[p])}
         piece = np.searchsorted(ends, a, side="right")
         view = memoryview(data)
         digests = np.fromiter((digest_of(view[x : x + y]) for x, y in zip(a.tolist(), (width + self.span - 1).tolist(), strict=True)), np.int64, len(a))
@@ -138,17 +142,30 @@ def contexts(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return docs.mapInArrow(released(task), CONTEXTS)
 
 
+def anchors_of(docs: DataFrame, span: int, gram: int) -> DataFrame:
+    """The key of every context of docs (rid, at, text)."""
+    sizes = PIECE, SLICE
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(span, gram, *sizes)
+        for batch in batches:
+            for pieces in anchors.pieces(*string_bytes(batch.column("text"))):
+                yield pa.RecordBatch.from_pydict(anchors.of(pieces, named=False))
+
+    return docs.select("text").mapInArrow(released(task), "key long")
+
+
 OPEN = f"{CONTEXTS}, n long, hot boolean"
 
 
-def settle(rows: DataFrame, span: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(spans of wholly repeated contexts, contexts still open with count n and hot).
+def settle(rows: DataFrame, keys: DataFrame, span: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(spans of wholly repeated contexts, contexts still open with count n and hot), from all contexts and the keys of all.
 
     Of contexts that occur again one stays open, for others to be compared
     with, where its anchor has other contexts too.
     """
     extra = [c for c in rows.columns if c not in CONTEXTS.replace(",", "").split()]
-    again = written(rows.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "again")
+    again = written(keys.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "again")
     rows = written(rows.join(again, "key"), "contexts")
     alike = rows.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "width", "lead", *extra)).alias("one"))
     alike = written(alike, "alike")
@@ -165,6 +182,11 @@ def settle(rows: DataFrame, span: int, most: int) -> tuple[DataFrame, DataFrame]
     return done, written(open_.select("key", "digest", "rid", "start", "width", "lead", *extra, "n", "hot"), "open")
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """(row, entry) of every entry of a column of arrays of structs."""
+    return pa.compute.list_parent_indices(lists).to_numpy().astype(np.int64), lists.flatten()
+
+
 def with_bytes(open_: DataFrame, docs: DataFrame, span: int) -> DataFrame:
     """The open contexts with their bytes, from docs (rid, at, text)."""
     schema = f"{OPEN}, bytes binary"
@@ -174,17 +196,16 @@ def with_bytes(open_: DataFrame, docs: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
             view = memoryview(np.ascontiguousarray(data))
-            rid, place = batch.column("rid").to_pylist(), batch.column("at").to_pylist()
-            for i, asked in enumerate(batch.column("asked")):
-                to, out = offsets[i] - place[i], []
-                for x in asked.as_py():
-                    a, b = to + x["start"], to + x["start"] + x["width"] + span - 1
-                    if offsets[i] <= a and b <= offsets[i + 1]:
-                        out.append((x["key"], x["digest"], rid[i], x["start"], x["width"], x["lead"], x["n"], x["hot"], bytes(view[a:b])))
-                if not out:
-                    continue
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.int32(),) * 2 + (pa.int64(), pa.bool_(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            row, asked = _flat(batch.column("asked"))
+            got = {k: asked.field(k) for k in ("key", "digest", "start", "width", "lead", "n", "hot")}
+            start = got["start"].to_numpy()
+            a = offsets[row] - batch.column("at").to_numpy()[row] + start
+            b = a + got["width"].to_numpy() + (span - 1)
+            inside = np.flatnonzero((offsets[row] <= a) & (b <= offsets[row + 1]))
+            cut = [bytes(view[x:y]) for x, y in zip(a[inside].tolist(), b[inside].tolist(), strict=True)]
+            here = pa.array(inside)
+            columns = {k: v.take(here) for k, v in got.items()} | {"rid": batch.column("rid").take(pa.array(row[inside])), "bytes": pa.array(cut, pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns[k] for k in names], names)
 
     # A text has no more contexts than windows.
     asked = open_.groupBy("rid").agg(F.collect_list(F.struct("key", "digest", "start", "width", "lead", "n", "hot")).alias("asked"))
@@ -267,14 +288,15 @@ def sorted_spans(open_: DataFrame, span: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """rid, from, to of docs (rid, at, text): stretches that repeated strings cover; they may overlap."""
-    done, open_ = settle(contexts(docs, span, gram), span, most)
+    done, open_ = settle(contexts(docs, span, gram), anchors_of(docs, span, gram), span, most)
     found, step = [done], 1 << (span - gram).bit_length()
     hot = open_.filter("hot").limit(1).count() > 0
     open_ = with_bytes(open_, docs, span)
     while hot:
         open_, step = written(open_, "bytes"), step >> 1
         found.append(sorted_spans(open_.filter("not hot"), span))
-        done, open_ = settle(halves(open_.filter("hot"), span, step), span, most)
+        half = halves(open_.filter("hot"), span, step)
+        done, open_ = settle(half, half, span, most)
         found.append(done)
         hot = open_.filter("hot").limit(1).count() > 0
     found.append(sorted_spans(open_, span))
@@ -284,19 +306,20 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: in
     return out
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of spans, in order."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], b)
-        else:
-            out.append((a, b))
-    return out
-
-
-def _pairs(found: pa.Scalar) -> list[tuple[int, int]]:
-    return merged([(y["from"], y["to"]) for y in found.as_py() or ()])
+def merged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, from, to) of the unions of each row's spans, in order."""
+    row, spans = _flat(lists)
+    a, b = spans.field("from").to_numpy(), spans.field("to").to_numpy()
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    if not len(row):
+        return row, a, b
+    # Ends of later rows are larger than those of all before.
+    far = int(b.max()) + 1
+    reach = np.maximum.accumulate(row * far + b)
+    new = np.append(True, row[1:] * far + a[1:] > reach[:-1]) | np.append(True, row[1:] != row[:-1])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
+    return row[new], a[new], reach[last] - row[last] * far
 
 
 def gathered(spans: DataFrame, name: str) -> DataFrame:
@@ -310,11 +333,12 @@ def stretches(docs: DataFrame, near: DataFrame, span: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
-            view, rid = memoryview(np.ascontiguousarray(data)), batch.column("rid").to_pylist()
-            for i, found in enumerate(batch.column("near")):
-                long = [(a, b) for a, b in _pairs(found) if b - a >= span]
-                if long:
-                    yield pa.RecordBatch.from_pydict({"rid": pa.array([rid[i]] * len(long), pa.int64()), "at": pa.array([a for a, _ in long], pa.int64()), "text": pa.array([bytes(view[offsets[i] + a : offsets[i] + b]) for a, b in long], pa.binary())})
+            view = memoryview(np.ascontiguousarray(data))
+            row, a, b = merged(batch.column("near"))
+            long = b - a >= span
+            row, a, b = row[long], a[long], b[long]
+            cut = [bytes(view[x:y]) for x, y in zip((offsets[row] + a).tolist(), (offsets[row] + b).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(row)), pa.array(a, pa.int64()), pa.array(cut, pa.binary())], ["rid", "at", "text"])
 
     return docs.join(near, "rid").select("rid", "text", "near").mapInArrow(released(task), "rid long, at long, text binary")
 
@@ -329,19 +353,28 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: i
     drop(docs.sparkSession, path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-        named = lambda some: [{"from": a, "to": b} for a, b in some]
+        def listed(row: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["from", "to"]))
+
+        blank = np.zeros(256, bool)
+        blank[[32, *range(9, 14)]] = True
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
-            view, n_bytes, spans, kept, passages = memoryview(np.ascontiguousarray(data)), [], [], [], []
-            for i, (found, near) in enumerate(zip(batch.column("found"), batch.column("near"), strict=True)):
-                text, own = view[offsets[i] : offsets[i + 1]], _pairs(found)
-                edges = [0, *(e for m in own for e in m), len(text)]
-                n_bytes.append(len(text))
-                spans.append(named(own))
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                passages.append(named([(a, b) for a, b in _pairs(near) if len(bytes(text[a:b]).split()) >= words]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary()), pa.array(passages, pair)], ["doc_id", "n_bytes", "spans", "kept", "passages"])
+            view, n = memoryview(np.ascontiguousarray(data)), batch.num_rows
+            row, a, b = merged(batch.column("found"))
+            edges, kept = np.searchsorted(row, np.arange(n + 1)), []
+            for i in range(n):
+                own = slice(edges[i], edges[i + 1])
+                cuts = [offsets[i], *(np.stack([a[own], b[own]], 1) + offsets[i]).ravel().tolist(), offsets[i + 1]]
+                kept.append(b"".join(view[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)))
+            near, x, y = merged(batch.column("near"))
+            # Words that begin in a span, and the one that it cuts at its begin.
+            inside = ~blank[data]
+            begins = np.append(0, np.cumsum(inside & np.append(True, ~inside[:-1]))) if len(data) else np.zeros(1, np.int64)
+            p, q = offsets[near] + x, offsets[near] + y
+            cut = (p > 0) & inside[p] & inside[np.maximum(p - 1, 0)]
+            long = begins[q] - begins[p] + cut >= words
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), listed(row, a, b, n), pa.array(kept, pa.binary()), listed(near[long], x[long], y[long], n)], ["doc_id", "n_bytes", "spans", "kept", "passages"])
 
     schema = "doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept binary, passages array<struct<from: long, to: long>>"
     return docs.join(spans, "rid", "left").join(near, "rid", "left").select("doc_id", "text", "found", "near").mapInArrow(released(task), schema)
