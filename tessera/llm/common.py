@@ -62,7 +62,7 @@ def parts_for(df: DataFrame, each: int = 1 << 22, factor: int = 4) -> int:
     at most 16 times as much.
     """
     least = factor * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(16 * least, size // each)) if size < 1 << 60 else least
 
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, mix64, released, slices, string_bytes, written
+from tessera.llm.common import Words, mix64, parts_for, released, slices, string_bytes, written
 
 END = np.uint64(0xA0761D6478BD642F)
 PAIR = 0.1
@@ -43,7 +43,6 @@ FREQUENT = 1 << 20
 STEP = 1.25
 #: Bits of the filter for each distinct pair.
 BITS_PER_PAIR = 32
-BITS = 1 << 27
 PROBES = 3
 SLICE, CHUNK = 1 << 23, 1 << 20
 LEVELS = 256
@@ -206,7 +205,7 @@ def merge(counted: DataFrame, parts: int) -> DataFrame:
 class Filter:
     """The filter of one kind of n-grams: `parts` stretches of bits, each probed for its own keys."""
 
-    def __init__(self, parts: int, least: int, bits: int = BITS) -> None:
+    def __init__(self, parts: int, least: int, bits: int) -> None:
         self.parts, self.least, self.stretch = parts, least, max(64, bits // parts // 64 * 64)
         self.bytes = np.zeros(parts * self.stretch // 8, np.uint8)
 
@@ -407,7 +406,7 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 def lm_scores(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """RESULT for every row of docs (doc_id, text); those not held out are learnt from."""
     spark = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(docs)
     with shuffles_dropped(spark):
         merged = written(merge(count(docs.filter(~held_out(F.col("doc_id"))), parts), parts), "counts")
         model = spark.sparkContext.broadcast(Model(merged, parts))
