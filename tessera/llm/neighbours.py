@@ -1,15 +1,22 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-A table hashes a unit vector to a cell of a lattice: Gaussian projections,
-shifted and cut into steps.  Of each table a query visits the cells in
-the order of their estimated success, the squared distance from the query's
-projections to the cell, until they hold SHARE of all rows.  What the
-tables' cells offer is ranked by exact cosine in double precision.
-
-The lattice is bounded (outer cells are folded in), and so is the directory of
-its cells and their row counts, which goes to all workers.  Cells are laid out
-in blocks of BLOCK rows; a cell with more, such as one with a vector that a
-third of all rows share, is dealt over several blocks.
+A table hashes a unit vector to a cell of a lattice: Gaussian projections, cut
+where a bounded sample has its medians, so two steps an axis.  Of each table a
+query visits its own cell and then perturbed ones in the order of their
+estimated success, the squared distance from the query's projections to the
+cell, until they hold a share of all rows.  What the tables' cells offer is
+ranked by exact cosine in double precision.
+
+The share is fitted as well: the smallest that would find GOAL of the nearest
+rows within the sample.  Vectors with structure need little of the table,
+vectors without any a large part.  Rows of the sample lie farther apart than
+those of the table, which makes the share rather too large than too small.
+
+The lattice is bounded, and so is the directory of its cells and their row
+counts, which goes to all workers.  Cells are laid out in blocks of BLOCK rows;
+a cell with more, such as one with a vector that a third of all rows share, is
+dealt over several blocks.  Every row lies once in each table; a block's rows
+are read first, and the queries that visit it pass by.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; neither do null ids.  A row
@@ -29,29 +36,52 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import mix64, released, written
 
-TABLES, AXES, STEP, SIDE = 4, 6, 1.5, 6
-SHARE, LEAST_ROWS = 0.26, 512
-BLOCK, QUERIES = 4096, 8192
+TABLES, AXES = 4, 16
+#: Rows to fit the lattice on, those of them that ask, and the recall to reach among them.
+SAMPLE, ASKING, GOAL = 4096, 256, 0.95
+#: Rows of a block, and queries that are answered at once.
+BLOCK, QUERIES = 16384, 128
 
 
 class Lattice:
-    def __init__(self, dim: int, seed: int = 7) -> None:
+    def __init__(self, sample: np.ndarray, k: int = 5, seed: int = 7) -> None:
+        """Fits the cuts and the share to a sample of unit vectors."""
         rng = np.random.default_rng(seed)
-        self.axes = rng.normal(size=(dim, TABLES * AXES)) / STEP
-        self.shift = rng.uniform(0, 1, TABLES * AXES)
+        self.axes = rng.normal(size=(sample.shape[1], TABLES * AXES))
+        self.cuts = np.median(sample @ self.axes, axis=0)
+        self.share = self._share(sample, k)
 
     def places(self, unit: np.ndarray) -> np.ndarray:
-        """(rows, TABLES, AXES): projections in steps."""
-        return (unit @ self.axes + self.shift).reshape(len(unit), TABLES, AXES)
+        """(rows, TABLES, AXES): signed distances of the projections from the cuts."""
+        return (unit @ self.axes - self.cuts).reshape(len(unit), TABLES, AXES)
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """(rows, TABLES): the number of the cell in each table."""
-        at = (np.floor(self.places(unit)).astype(np.int64) + SIDE // 2).clip(0, SIDE - 1)
-        return at @ SIDE ** np.arange(AXES)
+        return (self.places(unit) > 0) @ (1 << np.arange(AXES))
 
     @staticmethod
-    def corners(cells: np.ndarray) -> np.ndarray:
-        return cells[:, None] // SIDE ** np.arange(AXES) % SIDE - SIDE // 2
+    def far(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """(queries, cells): squared distance from projections to cells, given by the side of each cut where they lie."""
+        own, square = places > 0, places**2
+        return (square * own).sum(axis=1)[:, None] + (square * np.where(own, -1.0, 1.0)) @ bits.T
+
+    def _share(self, sample: np.ndarray, k: int) -> float:
+        asking = sample[: min(ASKING, len(sample))]
+        near = asking @ sample.T
+        near[np.arange(len(asking)), np.arange(len(asking))] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return 1.0
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        least, places = np.ones(best.shape), self.places(sample)
+        for t in range(TABLES):
+            bits = (places[:, t] > 0).astype(float)
+            far = self.far(bits, places[: len(asking), t])
+            order = np.sort(far, axis=1)
+            for i in range(len(asking)):
+                # A hair above: sums of the same terms may differ in the last place.
+                least[i] = np.minimum(least[i], np.searchsorted(order[i], far[i, best[i]] + 1e-9, side="right") / len(sample))
+        return float(np.quantile(least, GOAL, method="higher"))
 
 
 def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,8 +95,8 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np
 class Directory:
     """Row counts of all cells, and the blocks where their rows lie."""
 
-    def __init__(self, rows: list, dim: int) -> None:
-        self.lattice, self.cell, self.count, self.first, self.salts, block = Lattice(dim), [], [], [], [], 0
+    def __init__(self, rows: list, lattice: Lattice) -> None:
+        self.lattice, self.cell, self.count, self.first, self.salts, block = lattice, [], [], [], [], 0
         for t in range(TABLES):
             own = sorted((r["cell"], r["n"]) for r in rows if r["t"] == t)
             first, salts, held = [], [], 0
@@ -88,94 +118,107 @@ class Directory:
         at = np.searchsorted(self.cell[t], cells)
         return self.first[t][at] + (mix64(ids.astype(np.uint64)) % self.salts[t][at].astype(np.uint64)).astype(np.int64)
 
-    def visits(self, unit: np.ndarray, t: int) -> list[np.ndarray]:
-        """For each query the cells (places in the directory) that it visits in a table, in order."""
-        low = self.lattice.corners(self.cell[t]).astype(float)
-        high = low + 1
-        low[low == -(SIDE // 2)], high[high == SIDE - SIDE // 2] = -np.inf, np.inf
-        enough, out = max(SHARE * self.count[t].sum(), LEAST_ROWS), []
-        for at in self.lattice.places(unit)[:, t]:
-            order = np.argsort((np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(axis=1), kind="stable")
-            out.append(order[: int(np.searchsorted(np.cumsum(self.count[t][order]), enough)) + 1])
-        return out
+    def visits(self, unit: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the cells (places in the directory) that it visits in a table, and the blocks where they lie; in order of blocks."""
+        bits = (self.cell[t][:, None] >> np.arange(AXES) & 1).astype(float)
+        enough = self.lattice.share * self.count[t].sum()
+        for i in range(0, len(unit), QUERIES):
+            far = self.lattice.far(bits, self.lattice.places(unit[i : i + QUERIES])[:, t])
+            for order in np.argsort(far, axis=1, kind="stable"):
+                cells = np.sort(order[: int(np.searchsorted(np.cumsum(self.count[t][order]), enough)) + 1])
+                salts = self.salts[t][cells]
+                block = np.repeat(self.first[t][cells], salts) + np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
+                yield np.repeat(cells, salts), block
 
 
 LAID = "block long, role int, vec_id long, cell int, vector binary, visits binary"
 
 
-def _lay(vectors: DataFrame, directory, dim: int, chunks: int, queries: bool) -> DataFrame:
-    """Queries to the blocks they visit, or rows to theirs, once for each chunk of queries."""
+def _lay(vectors: DataFrame, directory, dim: int, queries: bool) -> DataFrame:
+    """Rows to their blocks, or queries to the blocks they visit."""
     names, types = [c.split()[0] for c in LAID.split(", ")], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d: Directory = directory.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, QUERIES if queries else 1024):
+                part = batch.slice(k, QUERIES if queries else 1024)
                 good, vector, unit = unit_vectors(part.column("embedding"), dim)
-                ids, out = part.column("vec_id").to_numpy()[good], []
-                if queries:
-                    chunk = (mix64(ids.astype(np.uint64)) % np.uint64(chunks)).astype(np.int64)
-                    for t in range(TABLES):
-                        for i, cells in enumerate(d.visits(unit, t)):
-                            for block in np.unique(np.concatenate([np.arange(a, a + s) for a, s in zip(d.first[t][cells], d.salts[t][cells], strict=True)])).tolist():
-                                inside = cells[(d.first[t][cells] <= block) & (block < d.first[t][cells] + d.salts[t][cells])]
-                                out.append((block * chunks + int(chunk[i]), 0, int(ids[i]), t, vector[i].tobytes(), inside.astype("<i4").tobytes()))
-                else:
-                    cells = d.lattice.cells(unit)
-                    for t in range(TABLES):
+                ids, cells = part.column("vec_id").to_numpy()[good], d.lattice.cells(unit)
+                for t in range(TABLES):
+                    out = []
+                    if queries:
+                        for i, (visited, block) in enumerate(d.visits(unit, t)):
+                            # Cells are in order of blocks, but for those dealt over several.
+                            order = np.argsort(block, kind="stable")
+                            each, first = np.unique(block[order], return_index=True)
+                            out += [(b, 1, int(ids[i]), t, vector[i].tobytes(), v.astype("<i4").tobytes()) for b, v in zip(each.tolist(), np.split(visited[order], first[1:]), strict=True)]
+                    else:
                         block, at = d.blocks(cells[:, t], ids, t), np.searchsorted(d.cell[t], cells[:, t])
-                        out += [(int(block[i]) * chunks + c, 1, int(ids[i]), int(at[i]), vector[i].tobytes(), None) for i in range(len(ids)) for c in range(chunks)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), types, strict=True)], names)
+                        out = [(int(block[i]), 0, int(ids[i]), int(at[i]), vector[i].tobytes(), None) for i in range(len(ids))]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return vectors.mapInArrow(released(task), LAID)
 
 
+class Block:
+    """The rows of a block, for queries that pass by."""
+
+    def __init__(self, rows: list[dict], dim: int, k: int) -> None:
+        self.k, self.vector = k, np.frombuffer(b"".join(r["vector"] for r in rows)).reshape(-1, dim)
+        self.size = np.sqrt((self.vector * self.vector).sum(axis=1))
+        self.ids = np.array([r["vec_id"] for r in rows])
+        self.cells, self.of = np.unique(np.array([r["cell"] for r in rows]), return_inverse=True)
+
+    def best(self, queries: list[dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query the nearest of the rows in the cells that it visits."""
+        q = np.frombuffer(b"".join(r["vector"] for r in queries)).reshape(len(queries), -1)
+        qs = np.sqrt((q * q).sum(axis=1))
+        about = (q @ self.vector.T) / qs[:, None] / self.size
+        for j, r in enumerate(queries):
+            seen = np.zeros(len(self.cells), bool)
+            seen[np.searchsorted(self.cells, np.frombuffer(r["visits"], "<i4")).clip(max=len(seen) - 1)] = True
+            at = np.flatnonzero(seen[self.of] & (self.ids != r["vec_id"]))
+            if not len(at):
+                continue
+            if len(at) > self.k:
+                least = np.partition(about[j, at], len(at) - self.k)[len(at) - self.k]
+                at = at[about[j, at] >= least - 1e-9]
+            # The same sum for the same vectors, wherever they lie.
+            score = (q[j] * self.vector[at]).sum(axis=1) / (qs[j] * self.size[at])
+            order = np.lexsort((self.ids[at], -score))
+            _, once = np.unique(self.ids[at][order], return_index=True)
+            order = order[np.sort(once)][: self.k]
+            yield r["vec_id"], self.ids[at][order], score[order]
+
+
 def _search(laid: DataFrame, dim: int, k: int) -> DataFrame:
     """query_id, vec_id, score: the best k of each block for each of its queries."""
 
-    def best(queries: list[dict], rows: list[dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        q, v = (np.frombuffer(b"".join(r["vector"] for r in x)).reshape(-1, dim) for x in (queries, rows))
-        qs, vs = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
-        ids, cells = np.array([r["vec_id"] for r in rows]), np.array([r["cell"] for r in rows])
-        local, of = np.unique(cells, return_inverse=True)
-        for i in range(0, len(q), 256):
-            about = (q[i : i + 256] @ v.T) / qs[i : i + 256, None] / vs
-            for j in range(len(about)):
-                r = queries[i + j]
-                seen = np.isin(local, np.frombuffer(r["visits"], "<i4"))[of] & (ids != r["vec_id"])
-                at = np.flatnonzero(seen)
-                if not len(at):
-                    continue
-                if len(at) > k:
-                    least = np.partition(about[j, at], len(at) - k)[len(at) - k]
-                    at = at[about[j, at] >= least - 1e-9]
-                # The same sum for the same vectors, wherever they lie.
-                score = (q[i + j] * v[at]).sum(axis=1) / (qs[i + j] * vs[at])
-                order = np.lexsort((ids[at], -score))
-                _, once = np.unique(ids[at][order], return_index=True)
-                order = order[np.sort(once)][:k]
-                yield r["vec_id"], ids[at][order], score[order]
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, queries, rows = None, [], []
+        now, rows, block, queries = None, [], None, []
 
-        def found() -> pa.RecordBatch:
-            hits = list(best(queries, rows)) if queries and rows else []
-            return pa.RecordBatch.from_pydict({
-                "query_id": pa.array(np.concatenate([np.full(len(i), q) for q, i, _ in hits]) if hits else [], pa.int64()),
-                "vec_id": pa.array(np.concatenate([i for _, i, _ in hits]) if hits else [], pa.int64()),
-                "score": pa.array(np.concatenate([s for *_, s in hits]) if hits else [], pa.float64()),
-            })
+        def found() -> Iterator[pa.RecordBatch]:
+            hits = list(block.best(queries)) if block and queries else []
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(i), q) for q, i, _ in hits]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in hits]), pa.int64()), pa.array(np.concatenate([s for *_, s in hits]), pa.float64())], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if r["block"] != block:
-                    yield found()
-                    block, queries, rows = r["block"], [], []
-                (rows if r["role"] else queries).append(r)
-        yield found()
+                if r["block"] != now:
+                    yield from found()
+                    now, rows, block, queries = r["block"], [], None, []
+                if r["role"] == 0:
+                    rows.append(r)
+                    continue
+                if rows:
+                    block, rows = Block(rows, dim, k), []
+                queries.append(r)
+                if len(queries) == QUERIES:
+                    yield from found()
+                    queries = []
+        yield from found()
 
     return laid.repartition("block").sortWithinPartitions("block", "role").mapInArrow(released(task), "query_id long, vec_id long, score double")
 
@@ -189,7 +232,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     if not common:
         return spark.createDataFrame([], schema)
     dim = common[0]["dim"]
-    vectors, lattice = vectors.filter(F.size("embedding") == dim), Lattice(dim)
+    vectors = vectors.filter(F.size("embedding") == dim)
+    # SAMPLE rows, the same for the same table.
+    some = vectors.orderBy(F.xxhash64("vec_id", "embedding")).limit(SAMPLE).select("embedding").collect()
+    sample = unit_vectors(pa.array([r["embedding"] for r in some], pa.list_(pa.float64())), dim)[2]
+    if not len(sample):
+        sample = np.ones((1, dim))
+    lattice = Lattice(sample, k)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,14 +247,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 cell, n = np.unique(cells[:, t], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"t": pa.array(np.full(len(cell), t), pa.int32()), "cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    # At most TABLES * SIDE ** AXES rows.
+    # At most TABLES * 2 ** AXES rows.
     counts = vectors.select("embedding").mapInArrow(released(count), "t int, cell long, n long").groupBy("t", "cell").agg(F.sum("n").alias("n")).collect()
     if not counts:
         return spark.createDataFrame([], schema)
-    directory = spark.sparkContext.broadcast(Directory(counts, dim))
-    asks = vectors.filter("asks")
-    chunks = max(1, -(-asks.count() // QUERIES))
-    laid = _lay(asks.select("vec_id", "embedding"), directory, dim, chunks, True).unionByName(_lay(vectors.select("vec_id", "embedding"), directory, dim, chunks, False))
+    directory = spark.sparkContext.broadcast(Directory(counts, lattice))
+    every = vectors.select("vec_id", "embedding", "asks")
+    laid = _lay(every.filter("asks").drop("asks"), directory, dim, True).unionByName(_lay(every.drop("asks"), directory, dim, False))
     found = written(_search(laid, dim, k), "found").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -20,16 +20,14 @@ def table(spark, rows):
 
 
 def test_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAST_ROWS", 16)
-    monkeypatch.setattr(neighbours, "BLOCK", 200)
-    monkeypatch.setattr(neighbours, "QUERIES", 10)
+    monkeypatch.setattr(neighbours, "BLOCK", 200)  # the driver deals cells over blocks
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(2500, 24)).astype(np.float32)
     vectors[300:900] = vectors[300]  # one vector that many rows share
     ids = list(range(2500))
-    rows = neighbours.nearest(table(spark, [(i, vectors[i].tolist()) for i in ids]), F.col("vec_id") % 50 == 0).collect()
+    rows = neighbours.nearest(table(spark, [(i, vectors[i].tolist()) for i in ids]), F.col("vec_id") % 10 == 0).collect()
     hits = 0
-    for q in range(0, 2500, 50):
+    for q in range(0, 2500, 10):
         got = sorted((r["rank"], r["vec_id"], r["score"]) for r in rows if r.query_id == q)
         want = exact(ids, vectors, q)
         assert [g[0] for g in got] == [1, 2, 3, 4, 5] and [g[2] for g in got] == sorted((g[2] for g in got), reverse=True)
@@ -38,7 +36,40 @@ def test_recall_and_exact_scores(spark, monkeypatch):
         assert all(abs(s - everything[i]) < 1e-12 for _, i, s in got)
         if 300 <= q < 900:
             assert [g[1] for g in got] == [i for i in range(300, 310) if i != q][:5]
-    assert hits / 250 >= 0.9
+    assert hits / 1250 >= 0.9
+
+
+def visited(vectors, k=5):
+    """(share of the rows that a query's cells hold together, recall) of the lattice fitted to these vectors."""
+    unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+    lattice = neighbours.Lattice(unit[: neighbours.SAMPLE], k)
+    cells = lattice.cells(unit)
+    rows = [{"t": t, "cell": int(c), "n": int(n)} for t in range(neighbours.TABLES) for c, n in zip(*np.unique(cells[:, t], return_counts=True), strict=True)]
+    directory = neighbours.Directory(rows, lattice)
+    ask = np.arange(0, len(unit), 50)
+    seen = np.zeros((len(ask), len(unit)), bool)
+    for t in range(neighbours.TABLES):
+        at = np.searchsorted(directory.cell[t], cells[:, t])
+        for i, (found, _) in enumerate(directory.visits(unit[ask], t)):
+            seen[i] |= np.isin(at, found)
+    near = unit[ask] @ unit.T
+    near[np.arange(len(ask)), ask] = -2
+    best = np.argsort(-near, axis=1)[:, :k]
+    return seen.mean(), np.take_along_axis(seen, best, axis=1).mean()
+
+
+def test_rows_visited_follow_the_structure(sf):
+    """Little of a table with clusters, less than half of one whose vectors have no near neighbours."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(200, 32))
+    clustered = np.repeat(centres, 30, axis=0) + 0.2 * rng.normal(size=(6000, 32))
+    share, recall = visited(clustered)
+    assert share < 0.1 and recall >= 0.9
+    given = np.array(pq.read_table(sf.replace("sf0.001", "sf0.1") + "/embeddings.parquet")["embedding"].to_pylist(), float)
+    share, recall = visited(given)
+    assert share < 0.5 and recall >= 0.9
 
 
 def test_edges(spark):
