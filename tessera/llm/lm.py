@@ -406,7 +406,7 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 def lm_scores(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """RESULT for every row of docs (doc_id, text); those not held out are learnt from."""
     spark = docs.sparkSession
-    parts = parts or parts_for(docs)
+    parts = parts or parts_for(docs, factor=2)
     with shuffles_dropped(spark):
         merged = written(merge(count(docs.filter(~held_out(F.col("doc_id"))), parts), parts), "counts")
         model = spark.sparkContext.broadcast(Model(merged, parts))

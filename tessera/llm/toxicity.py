@@ -2,19 +2,25 @@
 
 The kernel counts the subsequences of three letters that two strings share,
 weighted down by the gaps they span, so an insult is recognised with letters
-inserted and with endings.  Landmarks are letter strings that tell toxic from
-other labelled documents; the Nystroem map of the kernel to
-them turns a segment of text into a vector for a linear machine.  Segments are
-words, and runs of single letters joined.  A document scores as its most toxic
-segment, through a logistic curve with the labels' shares.
+inserted and with endings.  Landmarks are letter strings of labelled documents,
+most of them such as tell toxic documents from others and some common ones of
+harmless documents; the Nystroem map of the kernel to them turns a segment of
+text into a vector for a linear machine.  Segments are words, and runs of
+single letters joined.  A document scores by its most toxic segments, through
+a logistic curve with the labels' shares.
 
 Labels belong to whole documents.  The machine learns from a bounded sample of
-them (SAMPLE of each label), each represented by its most suspicious segments.
+them (SAMPLE of each label), each represented by its most suspicious segments;
+what it then takes for toxic in harmless documents of the sample it learns
+anew as harmless.  A kernel value counts as 0 where a segment lacks a quarter
+of a landmark's letters.
 
 Defined results: null and empty texts score as a document of harmless words.
-Without labels of both kinds every score is the share of toxic labels, or 0.
-Rows that repeat a doc_id are scored each for itself; of repeated labels the
-largest holds.  No rows give no rows.  Other columns pass through unread.
+Without labels of both kinds, or without any letters in their documents, every
+score is the share of toxic labels, or 0.  A filter drops nothing then, nor
+where the labels follow no letters.  Rows that repeat a doc_id are scored
+each for itself; of repeated labels the largest holds.  No rows give no rows.
+Other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -36,17 +42,22 @@ from tessera.llm.common import KEPT, released, written
 
 #: Labelled documents of each label to learn from.
 SAMPLE = 3000
-LANDMARKS, ALIKE = 48, 0.75
+#: Landmarks that tell toxic documents, and common ones of others; none more alike than this.
+LANDMARKS, COMMON, ALIKE = 64, 12, 0.75
 LENGTH, DECAY = 3, 0.6
 BEGIN = "^"
 #: Letters of a landmark; letters of a segment's window.
 SHORT, LONG, WINDOW = 5, 12, 24
 #: Share of a landmark's letters that a segment must have for a kernel above 0.
 SHARED = 0.75
-#: Segments of a document to learn from, the most like a landmark and some by hash; the weight of the bad ones; their least likeness.
-WITNESSES, OTHERS, FOR, LIKE = 6, 4, 0.5, 0.5
-#: A landmark occurs in so many toxic documents, in this share of them, this many times as often as in others, and with so much evidence.
-LEAST, LEAST_SHARE, RATIO, EVIDENCE = 4, 0.01, 6, 20
+#: Segments of a document to learn from, the most like a telling landmark and some by hash; segments of a harmless one to learn anew.
+WITNESSES, OTHERS, MINED = 6, 4, 3
+#: The weight of toxic segments against harmless ones, the likeness that they need, and the penalty of the machine.
+FOR, LIKE, PENALTY = 0.25, 0.5, 1e-3
+#: A telling string is so many times as frequent in toxic documents as in others.
+RATIO = 3
+#: Segments that a document's score follows from.
+BEST = 2
 THRESHOLD = 0.3
 ENTRIES = 500_000
 
@@ -107,9 +118,10 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Landmarks:
-    """Strings that tell toxic documents from others."""
+    """Strings that segments are compared with; the first `telling` ones tell toxic documents from others."""
 
     strings: list[str]
+    telling: int = 0
 
     def __post_init__(self) -> None:
         self.codes = coded(self.strings, LONG)
@@ -135,8 +147,10 @@ class Model:
     map: np.ndarray
     weight: np.ndarray
     bias: float
-    slope: float = 1.0
+    slopes: tuple[float, ...] = (1.0,) + (0.0,) * (BEST - 1)
     shift: float = 0.0
+    #: Whether it rejects RATIO times the share of the sample's toxic documents that it rejects of harmless ones.
+    tells: bool = False
     #: Names the model in the workers.
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -147,8 +161,17 @@ class Model:
             out[k : k + 4096] = near @ self.map @ self.weight + self.bias
         return out
 
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -500, 500)))
+    def best(self, decisions: Iterable[float]) -> list[float]:
+        """The BEST largest decisions of a document's segments, the largest first."""
+        left, out = list(decisions), []
+        while left and len(out) < BEST:
+            out.append(max(left))
+            left.remove(out[-1])
+        return out + [self.bias] * (BEST - len(out))
+
+    def probability(self, best: np.ndarray) -> np.ndarray:
+        """Of documents, by a row of best() each."""
+        return 1 / (1 + np.exp(-np.clip(best @ np.array(self.slopes) + self.shift, -500, 500)))
 
 
 class Scorer:
@@ -157,7 +180,8 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
 
-    def __call__(self, texts: Iterable[str | None]) -> list[float]:
+    def __call__(self, texts: Iterable[str | None]) -> list[list[float]]:
+        """For each text the largest decisions."""
         each = [segments(t) for t in texts]
         new = list(set().union(*each) - self.known.keys())
         if len(self.known) + len(new) > ENTRIES:
@@ -167,7 +191,7 @@ class Scorer:
         for (s, _), d in zip(pieces, self.model.decisions([w for _, w in pieces]).tolist(), strict=True):
             if d > self.known.get(s, -1e9):
                 self.known[s] = d
-        return [max(map(self.known.__getitem__, s), default=self.model.bias) for s in each]
+        return [self.model.best(map(self.known.__getitem__, s)) for s in each]
 
 
 _SCORERS: dict[str, Scorer] = KEPT.setdefault(__name__, {})
@@ -212,27 +236,44 @@ def _segments_of(sample: DataFrame) -> DataFrame:
 
 
 def choose_landmarks(sample: DataFrame, toxic: int, other: int) -> Landmarks:
-    """Strings by the likelihood ratio of toxic documents, none too like one before, and common ones."""
-    counts = _segments_of(sample).groupBy("string").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    bad, good = (F.col("bad") + 0.5) / (toxic + 1), (F.col("good") + 0.5) / (other + 1)
-    evidence = F.col("bad") * F.log(bad / good)
-    telling = counts.filter((F.col("bad") >= max(LEAST, LEAST_SHARE * toxic)) & (bad > RATIO * good) & (evidence >= EVIDENCE)).orderBy(evidence.desc(), "string").limit(12 * LANDMARKS)
+    """Strings by the evidence that they give for toxic documents, and the most common others; none too like one before.
+
+    Telling is what so many strings would not show by chance: the exponent of
+    the Poisson tail passes the logarithm of 20 times their number.  Where no string
+    does, those of the most evidence have to do.
+    """
+    counts = written(_segments_of(sample).groupBy("string").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "strings")
+    ratio = (F.col("bad") + 0.5) / (toxic + 1) / ((F.col("good") + 0.5) / (other + 1))
+    counts = counts.withColumns({"ratio": ratio, "evidence": F.col("bad") * F.log(ratio) - F.col("bad") + F.col("bad") / ratio})
     chosen: list[str] = []
-    for r in telling.collect():
-        if len(chosen) < LANDMARKS and (not chosen or Landmarks(chosen).similar([r["string"]]).max() < ALIKE):
-            chosen.append(r["string"])
-    return Landmarks(chosen)
+
+    def choose(rows: list, upto: int) -> None:
+        for r in rows:
+            if len(chosen) < upto and (not chosen or Landmarks(chosen).similar([r["string"]]).max() < ALIKE):
+                chosen.append(r["string"])
+
+    telling = counts.filter((F.col("bad") > 0) & (F.col("ratio") > RATIO)).orderBy(F.desc("evidence"), "string").limit(12 * LANDMARKS).collect()
+    chance = np.log(20 * max(1, counts.count()))
+    choose([r for r in telling if r["evidence"] > chance] or telling, LANDMARKS)
+    n = len(chosen)
+    choose(counts.filter((F.col("good") > 0) & (F.col("ratio") < 1)).orderBy(F.desc("good"), "string").limit(12 * COMMON).collect(), n + COMMON)
+    return Landmarks(chosen, n)
+
+
+def _pieces(text: pa.Scalar) -> list[str]:
+    return sorted({w for s in segments(text.as_py()) for w in windows(s)}, key=lambda w: (zlib.crc32(w.encode()), w))
 
 
 def witnesses(sample: DataFrame, landmarks: Landmarks) -> DataFrame:
-    """toxic, strings: for each document its segments most like a landmark, in that order, and some others."""
+    """toxic, strings: for each document its segments most like a telling landmark, in that order, and some others."""
+    telling = Landmarks(landmarks.strings[: landmarks.telling or None])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                pieces = sorted({w for s in segments(text.as_py()) for w in windows(s)}, key=lambda w: (zlib.crc32(w.encode()), w))
-                near = landmarks.similar(pieces).max(axis=1, initial=0)
+                pieces = _pieces(text)
+                near = telling.similar(pieces).max(axis=1, initial=0)
                 order = np.argsort(-near, kind="stable")
                 out.append([pieces[i] for i in [*order[:WITNESSES], *sorted(order[WITNESSES:])[:OTHERS]]])
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "strings": pa.array(out, pa.list_(pa.string()))})
@@ -240,6 +281,23 @@ def witnesses(sample: DataFrame, landmarks: Landmarks) -> DataFrame:
     return sample.select("text", "toxic").mapInArrow(released(task), "toxic int, strings array<string>")
 
 
+def judged(sample: DataFrame, model: Model) -> DataFrame:
+    """toxic, best, mistaken: the largest decisions of each document; of a harmless one the segments that the machine does not clearly take for harmless."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, mistaken = [], []
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                pieces = _pieces(text)
+                decisions = model.decisions(pieces)
+                best.append(model.best(decisions.tolist()))
+                first = np.argsort(-decisions, kind="stable")[:MINED]
+                mistaken.append([pieces[i] for i in first if decisions[i] > -1] if not toxic else [])
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "best": pa.array(best, pa.list_(pa.float64())), "mistaken": pa.array(mistaken, pa.list_(pa.string()))})
+
+    return sample.select("text", "toxic").mapInArrow(released(task), "toxic int, best array<double>, mistaken array<string>")
+
+
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
     """A linear machine of squared hinge loss, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -255,49 +313,72 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -
     return w[:-1], float(w[-1])
 
 
-def _curve(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve from decisions to labels, by Newton steps with smoothed targets."""
+def _curve(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and shift of the logistic curve from best decisions to labels, by Newton steps with smoothed targets.
+
+    The more toxic any segment, the larger the score: where a slope would fall, the largest decision alone counts.
+    """
     up, down = weight[y > 0].sum(), weight[y < 0].sum()
     goal = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    x, w = np.stack([f, np.ones(len(f))], 1), np.zeros(2)
-    for _ in range(60):
+    ridge = np.diag([1e-2] * f.shape[1] + [1e-3])
+    x, w = np.hstack([f, np.ones((len(f), 1))]), np.zeros(f.shape[1] + 1)
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - goal)) + 1e-3 * w
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (weight * (p - goal)) + ridge @ w
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge
         step = np.linalg.solve(h, g)
         w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-    return float(w[0]), float(w[1])
+    if (w[:-1] < 0).any() and f.shape[1] > 1:
+        slopes, shift = _curve(f[:, :1], y, weight)
+        return slopes + (0.0,) * (f.shape[1] - 1), shift
+    return tuple(np.maximum(w[:-1], 1e-3).tolist()), float(w[-1])
+
+
+def _machine_of(landmarks: Landmarks, bad: Counter, harmless: Counter) -> Model | None:
+    """A machine that tells segments of toxic documents from those of others."""
+    if not bad or not harmless:
+        return None
+    # What more toxic documents have than others and that is like a landmark speaks for, all of harmless ones against.
+    near = landmarks.similar([*bad]).max(axis=1, initial=0)
+    telling = {s: n for (s, n), like in zip(bad.items(), near, strict=True) if like >= LIKE and n > harmless.get(s, 0)}
+    telling = telling or dict(bad)
+    among = landmarks.similar(landmarks.strings)
+    values, vectors = np.linalg.eigh((among + among.T).astype(float) / 2)
+    to = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
+    x = landmarks.similar([*telling, *harmless]).astype(float) @ to
+    y, times = np.repeat([1.0, -1.0], [len(telling), len(harmless)]), np.sqrt([*telling.values(), *harmless.values()])
+    times[y > 0] *= FOR * times[y < 0].sum() / times[y > 0].sum()
+    return Model(landmarks, to, *_machine(x, y, times / times.mean(), PENALTY))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | float:
-    """A model, or where labels of one kind are missing the share of toxic ones."""
+    """A model, or where labels of one kind or all letters are missing the share of toxic ones."""
     sample, had = training_sample(docs, labels, most)
     if not (had.get(0) and had.get(1)):
         return float(bool(had.get(1)))
     sample = written(sample, "labelled")
-    landmarks = choose_landmarks(sample, min(most, had[1]), min(most, had[0]))
+    share = had[1] / (had[0] + had[1])
+    learnt = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, other = learnt.get(1, 0), learnt.get(0, 0)
+    landmarks = choose_landmarks(sample, toxic, other)
     if not landmarks.strings:
-        return had[1] / (had[0] + had[1])
+        return share
     rows = witnesses(sample, landmarks).collect()  # of SAMPLE documents of each label
     harmless, bad = Counter(s for r in rows if not r["toxic"] for s in r["strings"]), Counter(s for r in rows if r["toxic"] for s in r["strings"])
-    # What toxic documents have that is like a landmark speaks for, all of harmless ones against.
-    near = landmarks.similar([*bad]).max(axis=1, initial=0)
-    bad = {s: n for (s, n), like in zip(bad.items(), near, strict=True) if like >= LIKE and n > harmless.get(s, 0)}
-    if not bad or not harmless:
-        return had[1] / (had[0] + had[1])
-    among = landmarks.similar(landmarks.strings)
-    values, vectors = np.linalg.eigh((among + among.T).astype(float) / 2)
-    to = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    x = landmarks.similar([*bad, *harmless]).astype(float) @ to
-    y, times = np.repeat([1.0, -1.0], [len(bad), len(harmless)]), np.sqrt([*bad.values(), *harmless.values()])
-    times[y > 0] *= FOR * times[y < 0].sum() / times[y > 0].sum()
-    model = Model(landmarks, to, *_machine(x, y, times / times.mean(), 1e-2))
-    worst = np.array([model.decisions(r["strings"]).max(initial=model.bias) for r in rows])
+    model = _machine_of(landmarks, bad, harmless)
+    if model is None:
+        return share
+    for r in judged(sample, model).select("mistaken").collect():
+        harmless |= Counter(dict.fromkeys(r["mistaken"], 1))
+    model = _machine_of(landmarks, bad, harmless)
+    rows = judged(sample, model).select("toxic", "best").collect()
     label = np.array([1.0 if r["toxic"] else -1.0 for r in rows])
     # The labels' shares among all rows, not among the sample.
-    share = {1.0: had[1] / max(1, (label > 0).sum()), -1.0: had[0] / max(1, (label < 0).sum())}
-    weight = np.array([share[v] for v in label])
-    model.slope, model.shift = _curve(worst, label, weight / weight.mean())
+    weight = np.where(label > 0, had[1] / max(1, toxic), had[0] / max(1, other))
+    best = np.array([r["best"] for r in rows])
+    model.slopes, model.shift = _curve(best, label, weight / weight.mean())
+    rejected = model.probability(best) >= THRESHOLD
+    model.tells = bool(rejected[label > 0].mean() > RATIO * rejected[label < 0].mean())
     return model
 
 
@@ -325,8 +406,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Docs less those that score THRESHOLD or more; all of them where the labels teach no model, as one score for all tells none apart."""
+    """Docs less those that score THRESHOLD or more; all of them where the labels teach no model that tells documents apart."""
     model = fit(docs, labels)
-    if isinstance(model, float):
+    if isinstance(model, float) or not model.tells:
         return docs
     return with_scores(docs, model, "__toxicity").filter(F.col("__toxicity") < THRESHOLD).drop("__toxicity")

@@ -47,6 +47,27 @@ def corpus(make, spark):
     return texts, labels, make(texts), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def test_scores_against_a_plain_version(corpus, make):
+    """A document's score from the kernel by enumeration, segment by segment."""
+    texts, _, docs, table = corpus
+    model = toxicity.fit(docs, table)
+    assert model.landmarks.telling and len(model.landmarks.strings) > model.landmarks.telling
+    assert np.allclose(model.probability(np.sort(np.array([[0.0] * toxicity.BEST, [2.0] * toxicity.BEST]))), sorted(model.probability(np.array([[0.0] * toxicity.BEST, [2.0] * toxicity.BEST]))))
+
+    def similar(a, b):
+        letters = lambda x: {ord(c) % 64 for c in x}
+        if len(letters(a) & letters(b)) < math.ceil(toxicity.SHARED * len(letters(b))):
+            return 0.0
+        return brute_kernel(a, b) / math.sqrt(brute_kernel(a, a) * brute_kernel(b, b))
+
+    some = [t for t in texts if len(t.split()) < 14][:6] + ["grobzak"]
+    got = [r["__s"] for r in toxicity.with_scores(make(some), model, "__s").orderBy("doc_id").collect()]
+    for text, score in zip(some, got, strict=True):
+        found = sorted((max(np.array([similar(w, m) for m in model.landmarks.strings]) @ model.map @ model.weight + model.bias for w in toxicity.windows(s)) for s in toxicity.segments(text)), reverse=True)
+        best = [*found, *[model.bias] * toxicity.BEST][: toxicity.BEST]
+        assert math.isclose(score, 1 / (1 + math.exp(-(np.dot(best, model.slopes) + model.shift))), rel_tol=2e-3, abs_tol=1e-4)
+
+
 def test_held_out_accuracy(corpus, make):
     texts, labels, docs, table = corpus
     rows = toxicity.toxicity_scores(docs, table).collect()
@@ -66,10 +87,11 @@ def test_without_a_model_nothing_is_dropped(make, spark):
     docs = make(["a fine day", "another", None])
     bad = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, toxic int")
     assert toxicity.fit(docs, bad) == 1.0 and toxicity.without_toxic(docs, bad).count() == 3
-    # Both labels, but no letter string with enough evidence.
+    # Both labels, but nothing in the texts that they follow.
     some = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, toxic int")
-    texts = [f"word{i} here" for i in range(40)]
-    assert 0.3 <= toxicity.fit(make(texts), some) < 1 and toxicity.without_toxic(make(texts), some).count() == 40
+    for texts in (["word here"] * 20 + ["here"] * 20, [f"{i} {i + 1}" for i in range(40)], [""] * 40):
+        assert toxicity.without_toxic(make(texts), some).count() == 40
+    assert 0.3 <= toxicity.fit(make([""] * 40), some) < 1
 
 
 def test_without_labels(make, spark):
