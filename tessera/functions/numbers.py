@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import col
-
-_NUMBER = r"^(\()?\s*(-)?\$?\s*([\d,]*\.?\d+)\s*(\))?%?$"
-
+from tessera.functions.text import col, rest_after, trimmed
 
 def to_number(c: Column | str) -> Column:
-    """'$1,200' and '(12.50)' as numbers; a percent sign is dropped; anything else is null."""
-    s = F.trim(col(c).cast("string"))
-    opened, minus, digits, closed = (F.regexp_extract(s, _NUMBER, i) for i in (1, 2, 3, 4))
-    value = F.regexp_replace(digits, ",", "").try_cast("double")
-    good = F.rlike(s, F.lit(_NUMBER)) & ~((opened == "(") & (closed == ""))
-    return F.when(good, F.when((opened != "") | (minus != ""), -value).otherwise(value))
+    """'$1,200' and '(12.50)' as numbers; a percent sign is dropped; anything else is null.
+
+    The signs are taken off one by one, from both ends inwards; what is left
+    must be digits with at most one point.
+    """
+    cell = trimmed(col(c).cast("string"))
+    inner = rest_after(cell, "(")
+    opened = F.startswith(cell, F.lit("("))
+    bare = F.when(F.endswith(inner, F.lit("%")), F.left(inner, F.length(inner) - 1)).otherwise(inner)
+    closed = F.endswith(bare, F.lit(")"))
+    bare = trimmed(F.when(closed, F.left(bare, F.length(bare) - 1)).otherwise(bare))
+    minus = F.startswith(bare, F.lit("-"))
+    digits = trimmed(rest_after(rest_after(bare, "-"), "$"))
+    plain = F.replace(digits, F.lit(","), F.lit(""))
+    after_point = F.substring_index(digits, ".", -1)
+    good = (F.translate(digits, "0123456789,.", "") == "") & (F.translate(F.right(digits, F.lit(1)), "0123456789", "") == "") & (F.length(plain) > 0)
+    good &= ~F.contains(digits, F.lit(".")) | ~F.contains(after_point, F.lit(","))
+    value = F.when(good & (closed | ~opened), plain.try_cast("double"))
+    return F.when(opened | minus, -value).otherwise(value)
 
 
 def round_half_up(c: Column | str, places: int = 2) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +18,19 @@ def chain(c: Column | str, *steps: tuple[str, str]) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, s[0], F.lit(s[1])), steps, col(c))
 
 
+BLANKS = " \t\n\x0b\f\r"
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def rest_after(c: Column, sign: str) -> Column:
+    """What follows a sign that a string may begin with, and white space behind it."""
+    return F.when(F.startswith(c, F.lit(sign)), F.ltrim(F.substring(c, len(sign) + 1, 1 << 30), F.lit(BLANKS))).otherwise(c)
+
+
 def token_estimate(c: Column | str) -> Column:
     """A quarter of the characters, rounded up."""
     return F.ceil(F.length(col(c)) / 4).cast("int")
@@ -76,25 +90,52 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 
+# Entities that are read, in this order.
+PAGE_ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">"}
+FRAGMENT_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def _entities(c: Column, known: dict[str, str]) -> Column:
+    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), known.items(), c)
+
+
+def _but_last(pieces: Column) -> Column:
+    return F.slice(pieces, 1, F.size(pieces) - 1)
+
+
+def _without_tags(c: Column, instead: Callable[[Column], Column]) -> Column:
+    """Markup cut at the ends of its tags: of each piece the text before the tag, and what stands instead of this."""
+    pieces = F.split(c, ">", -1)
+
+    def text_of(piece: Column) -> Column:
+        before = F.substring_index(piece, "<", 1)
+        tag = F.substring(piece, F.length(before) + 2, F.length(piece))
+        # Without a tag in front the sign is text.
+        return F.when(F.length(tag) > 0, F.concat(before, instead(tag))).otherwise(F.concat(piece, F.lit(">")))
+
+    return F.concat(F.array_join(F.transform(_but_last(pieces), text_of), ""), F.element_at(pieces, -1))
+
+
 def html_text(c: Column | str) -> Column:
-    """Text of a page: style blocks go, line and block ends break lines, tags go, four entities are read."""
-    plain = chain(
-        c,
-        (r"(?is)<style[\s\S]*?</style>", ""),
-        (r"(?i)<br\s*/?>|</p>|</div>", "\n"),
-        (r"<[^>]+>", ""),
-        ("&nbsp;", " "),
-        ("&amp;", "&"),
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        (r"\n{3,}", "\n\n"),
-    )
-    return F.regexp_replace(plain, r"^\s+|\s+$", "")
+    """Text of a page: no style blocks, lines broken at line and block ends, no tags, four entities read, two line ends in a row at most."""
+    # Cut where style blocks begin, a piece goes on behind the end of its block.
+    pieces = F.split(col(c), "(?i)<style", -1)
+    behind = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.get(F.split(p, "(?i)</style>", 2), 1))
+    begun = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.concat(F.lit("<style"), p))
+    shown = F.concat(F.get(pieces, 0), F.array_join(F.zip_with(behind, begun, lambda b, p: F.coalesce(b, p)), ""))
+
+    def instead(tag: Column) -> Column:
+        name = F.lower(tag)
+        alone = F.rtrim(F.when(F.endswith(name, F.lit("/")), F.left(name, F.length(name) - 1)).otherwise(name), F.lit(BLANKS))
+        return F.when(name.isin("/p", "/div") | (alone == "br"), "\n").otherwise("")
+
+    text = _entities(_without_tags(shown, instead), PAGE_ENTITIES)
+    return trimmed(F.regexp_replace(text, "\n\n\n+", "\n\n"))
 
 
 def markup_text(c: Column | str) -> Column:
     """Text of a fragment of markup, six entities read."""
-    return F.trim(chain(c, (r"<[^>]+>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")))
+    return F.trim(_entities(_without_tags(col(c), lambda tag: F.lit("")), FRAGMENT_ENTITIES))
 
 
 def html_tables(c: Column | str) -> Column:
@@ -115,8 +156,14 @@ def markdown_table(rows: Column) -> Column:
 
 
 def error_signature(source: Column | str, message: Column | str) -> Column:
-    """Errors that differ in ids and numbers only have one signature."""
-    core = chain(message, ("req_[A-Za-z0-9]+", ""), (r"(?i)\b[0-9a-f]{6,}\b", ""), (r"\d+", "#"))
+    """Errors that differ in ids and numbers only have one signature: words that are request ids or hexadecimal go, other digits become one sign."""
+    words = F.regexp_extract_all(col(message), F.lit("([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1))
+
+    def is_id(w: Column) -> Column:
+        hexadecimal = (F.length(w) >= 6) & (F.translate(F.lower(w), "0123456789abcdef", "") == "")
+        return hexadecimal | (F.startswith(w, F.lit("req_")) & (F.length(w) > 4))
+
+    core = F.regexp_replace(F.array_join(F.filter(words, lambda w: ~is_id(w)), ""), "[0-9]+", "#")
     return F.concat(col(source), F.lit(":"), F.substring(core, 1, 160))
 
 

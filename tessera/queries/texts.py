@@ -30,15 +30,17 @@ def snake_slug(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.snake(name).alias("name"), text.slug(part).alias("part"))
 
 
-@query(r"""WITH t AS (SELECT o_orderkey, o_orderpriority || ' ' || strftime(o_orderdate, '%Y-%m-%d') || ' report ' || strftime(o_orderdate, '%m.%Y') AS s FROM orders)
-           SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '20\d{2}-\d{2}-\d{2}', ' ', 'g'), '\b\d{2}\.20\d{2}\b', ' ', 'g'), '\b20\d{2}\b', ' ', 'g'), '^[\s_\-–.]+|[\s_\-–.]+$', '', 'g'), '\s{2,}', ' ', 'g') AS name FROM t""")
+@query(r"""WITH t AS (SELECT o_orderkey, concat_ws(' ', o_orderpriority, strftime(o_orderdate, '%Y-%m-%d'), 'report', strftime(o_orderdate, '%m.%Y')) AS s FROM orders)
+           SELECT o_orderkey, trim(array_to_string(list_filter(string_split(regexp_replace(s, '20[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[.]20[0-9]{2}|\b20[0-9]{2}\b', ' ', 'g'), ' '), lambda w: w <> ''), ' '), ' _-–.') AS name FROM t""")
 def strip_dates(spark, sf):
     name = F.concat_ws(" ", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("report"), F.date_format("o_orderdate", "MM.yyyy"))
     return table(spark, sf, "orders").select("o_orderkey", dates.strip_dates(name).alias("name"))
 
 
-@query(r"""SELECT signature, count(*) AS n FROM (SELECT event_type || ':' || substr(regexp_replace(regexp_replace(regexp_replace('failed req_' || user_id || ' at ' || ts::VARCHAR || ' in ' || props, 'req_[A-Za-z0-9]+', '', 'g'),
-            '\b[0-9a-fA-F]{6,}\b', '', 'g'), '\d+', '#', 'g'), 1, 160) AS signature FROM (SELECT event_type, user_id, strftime(ts, '%Y-%m-%d %H:%M') AS ts, props FROM events)) GROUP BY 1""")
+@query(r"""WITH m AS (SELECT event_type, 'failed req_' || user_id || ' at ' || strftime(ts, '%Y-%m-%d %H:%M') || ' in ' || props AS message FROM events),
+                w AS (SELECT event_type, list_filter(regexp_extract_all(message, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),
+                      lambda w: NOT (length(w) >= 6 AND translate(lower(w), '0123456789abcdef', '') = '') AND NOT (starts_with(w, 'req_') AND length(w) > 4)) AS words FROM m)
+           SELECT event_type || ':' || substr(regexp_replace(array_to_string(words, ''), '[0-9]+', '#', 'g'), 1, 160) AS signature, count(*) AS n FROM w GROUP BY 1""")
 def error_signature(spark, sf):
     message = F.concat(F.lit("failed req_"), F.col("user_id").cast("string"), F.lit(" at "), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" in "), "props")
     return table(spark, sf, "events").groupBy(text.error_signature("event_type", message).alias("signature")).agg(F.count("*").alias("n"))
@@ -55,12 +57,12 @@ def clip_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.clip("text", 60).alias("clipped"), text.collapse("text", 300).alias("summary"), text.token_estimate("text").alias("tokens"))
 
 
-PAGE = "html"
-for _p, _r in ((r"(?is)<style[\s\S]*?</style>", ""), (r"(?i)<br\s*/?>|</p>|</div>", "chr(10)"), ("<[^>]+>", ""), ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "")):
-    PAGE = f"regexp_replace({PAGE}, '{_p}', {_r if _r.startswith('chr') else repr(_r)}, 'g')"
-
-
-@query(f"SELECT page_id, {PAGE} AS text FROM pages")
+@query("""WITH b AS (SELECT page_id, string_split_regex(html, '(?i)<style') AS p FROM pages),
+               s AS (SELECT page_id, string_split(p[1] || array_to_string(list_transform(p[2:], lambda x: CASE WHEN contains(lower(x), '</style>') THEN substr(x, strpos(lower(x), '</style>') + 8) ELSE '<style' || x END), ''), '>') AS p FROM b),
+               t AS (SELECT page_id, array_to_string(list_transform(p[:len(p) - 1], lambda x: CASE WHEN strpos(x, '<') = 0 OR strpos(x, '<') = length(x) THEN x || '>'
+                     ELSE substr(x, 1, strpos(x, '<') - 1) || CASE WHEN lower(substr(x, strpos(x, '<') + 1)) IN ('/p', '/div', 'br', 'br/', 'br /') THEN chr(10) ELSE '' END END), '') || p[len(p)] AS text FROM s),
+               e AS (SELECT page_id, replace(replace(replace(replace(text, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') AS text FROM t)
+          SELECT page_id, trim(regexp_replace(text, chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM e""")
 def html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.html_text("html").alias("text"))
 
@@ -86,10 +88,12 @@ def parse_date(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", dates.to_iso_date(cell).alias("day"))
 
 
-@query("""SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS first, last_day(o_orderdate) AS last, 'month' AS grain,
-                 ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][month(o_orderdate)::INT] || ' ' || year(o_orderdate) AS label FROM orders WHERE year(o_orderdate) >= 2000""")
+@query("""WITH t AS (SELECT o_orderkey, o_orderdate AS d, year(o_orderdate) >= 2000 AS named FROM orders)
+          SELECT o_orderkey, CASE WHEN named THEN date_trunc('month', d)::DATE ELSE DATE '2026-09-29' END AS first, CASE WHEN named THEN last_day(d) ELSE DATE '2026-09-29' END AS last, CASE WHEN named THEN 'month' END AS grain,
+                 CASE WHEN named THEN ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][month(d)::INT] || ' ' || year(d) ELSE '' END AS label FROM t""")
 def period_from_names(spark, sf):
-    rows = table(spark, sf, "orders").filter(F.year("o_orderdate") >= 2000)
+    """Folders before 2000 name no year that is read; their files have the day on which they changed."""
+    rows = table(spark, sf, "orders")
     folders = F.array(F.lit("Sales"), F.date_format("o_orderdate", "yyyy"), F.date_format("o_orderdate", "MM - MMMM"))
     rows = rows.withColumn("p", dates.parse_period(folders, F.lit("summary.xlsx"), F.lit("2026-09-29")))
     return rows.select("o_orderkey", F.col("p.start").alias("first"), F.col("p.end").alias("last"), F.col("p.grain").alias("grain"), dates.period_label("p.start", "p.end", "p.grain").alias("label"))
