@@ -44,8 +44,8 @@ from tessera.llm.components import components
 SLICE, CHUNK = 1 << 19, 1 << 20
 #: Bits of a hash that travel in stage 1, besides those that choose the part.
 SHORT = 30
-#: Pairs that a block of the product is meant for; rows and entries of the incidence that are multiplied at once.
-BLOCK, ROWS, ENTRIES = 256, 4096, 1 << 20
+#: Pairs of a block of the product, where one set has many partners and where many have few; rows and entries of the incidence that are multiplied at once.
+BLOCK, FEW, ROWS, ENTRIES = 256, 16, 4096, 1 << 20
 NULL_ID = -(1 << 63)
 
 _K = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -284,39 +284,43 @@ class Columns:
             at = stop
         return counts.reshape(shape)
 
-    def linked(self, names: list[int], rows: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, column, overlap) of the pairs that reach the threshold."""
-        size = np.array([len(x) for x in rows], np.int64)[:, None]
+    def linked(self, rows: list[np.ndarray], asked: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, name of the column, overlap) of the pairs that are asked for, by the columns' names for each row, and reach the threshold."""
         overlap = self.times(rows)
-        name = np.array(names, np.int64)
-        i, j = np.nonzero((100 * overlap >= percent * (size + self.sizes - overlap)) & (name[:, None] != self.names))
-        return name[i], self.names[j], overlap[i, j]
+        size = np.array([len(x) for x in rows], np.int64)
+        order = np.argsort(self.names, kind="stable")
+        row = np.repeat(np.arange(len(rows)), [len(a) for a in asked])
+        column = order[np.searchsorted(self.names[order], np.concatenate(asked))]
+        found = overlap[row, column]
+        good = 100 * found >= percent * (size[row] + self.sizes[column] - found)
+        return row[good], self.names[column[good]], found[good]
 
 
 def products(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that reach the threshold, those of (x, y, rows) and others of their blocks: src, dst, overlap.
+    """The pairs (x, y, rows) that reach the threshold: src, dst, overlap.
 
     `rows` says how many x a y may have; it sets the number of y's blocks.
-    Sets y of few x share a block.
+    Sets y of few x share blocks.
     """
     pairs = written(pairs.select("x", "y", "rows"), "pairs")
-    shared = max(1, pairs.filter(F.col("rows") < BLOCK).count() // BLOCK)
+    shared = max(1, pairs.filter(F.col("rows") < BLOCK).count() // FEW)
     salt = F.pmod(F.xxhash64("x"), F.ceil(F.col("rows") / BLOCK))
     block = F.when(F.col("rows") < BLOCK, F.pmod(F.xxhash64("y"), F.lit(shared))).otherwise(F.xxhash64("y", salt))
     blocks = pairs.select("x", "y", block.alias("block"))
-    column = blocks.select(F.col("y").alias("class"), "block", F.lit(0).alias("role")).distinct()
-    asked = column.unionByName(blocks.select(F.col("x").alias("class"), "block", F.lit(1).alias("role")).distinct())
+    column = blocks.select(F.col("y").alias("class"), "block").distinct().select("class", "block", F.lit(0).alias("role"), F.array().cast("array<long>").alias("asked"))
+    # No set asks for more columns than its block has.
+    row = blocks.groupBy(F.col("x").alias("class"), "block").agg(F.collect_set("y").alias("asked")).select("class", "block", F.lit(1).alias("role"), "asked")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, held, columns, size = None, [], [], None, 0
+        now, names, held, wanted, columns, size = None, [], [], [], None, 0
 
         def links() -> pa.RecordBatch:
-            found = columns.linked(names, held, percent)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["src", "dst", "overlap"])
+            i, dst, overlap = columns.linked(held, wanted, percent)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[i], pa.int64()), pa.array(dst, pa.int64()), pa.array(overlap, pa.int64())], ["src", "dst", "overlap"])
 
         for batch in batches:
             block, role, name = (batch.column(k).to_numpy() for k in ("block", "role", "class"))
-            grams = batch.column("grams")
+            grams, asked = batch.column("grams"), batch.column("asked")
             for i in range(batch.num_rows):
                 key = block[i], role[i]
                 if key != now or role[i] == 1 and (size >= ENTRIES or len(held) >= ROWS):
@@ -324,14 +328,15 @@ def products(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         columns = Columns(names, held)
                     elif now:
                         yield links()
-                    now, names, held, size = key, [], [], 0
+                    now, names, held, wanted, size = key, [], [], [], 0
                 names.append(name[i])
                 held.append(np.frombuffer(grams[i].as_buffer(), "<u8").copy())
+                wanted.append(asked[i].values.to_numpy())
                 size += len(held[-1])
         if now:  # a block ends in rows
             yield links()
 
-    laid = asked.join(sets.select("class", "grams"), "class").select("block", "role", "class", "grams")
+    laid = column.unionByName(row).join(sets.select("class", "grams"), "class").select("block", "role", "class", "asked", "grams")
     return laid.repartition("block").sortWithinPartitions("block", "role").mapInArrow(released(task), "src long, dst long, overlap long")
 
 
