@@ -48,6 +48,7 @@ LENGTH, DECAY = 3, 0.6
 BEGIN = "^"
 #: Letters of a landmark; letters of a segment's window.
 SHORT, LONG, WINDOW = 5, 12, 24
+WIDTHS = (7, 10, 15, WINDOW)
 #: Share of a landmark's letters that a segment must have for a kernel above 0.
 SHARED = 0.75
 #: Segments of a document to learn from, the most like a telling landmark and some by hash; segments of a harmless one to learn anew.
@@ -97,22 +98,26 @@ def masks(codes: np.ndarray) -> np.ndarray:
 
 
 def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The subsequence kernel of string i of s with string i of t, both coded."""
+    """The subsequence kernel of string i of s with string i of t, both coded.
 
-    def decays(n: int) -> np.ndarray:
-        i = np.arange(n)
-        d = i[:, None] - i[None, :] - 1  # strictly before
-        return np.where(d >= 0, DECAY ** np.maximum(d, 0), 0).astype(np.float32)
-
-    a, b = decays(s.shape[1]), decays(t.shape[1]).T
+    Letter by letter, sums over the places before fade with the distance; so
+    they run along one string and then the other.
+    """
     out = np.empty(len(s), np.float32)
-    for k in range(0, len(s), 8192):
-        x, y = s[k : k + 8192, :, None], t[k : k + 8192, None, :]
-        same = ((x == y) & (x > 0)).astype(np.float32) * np.float32(DECAY**2)
+    for k in range(0, len(s), 1024):
+        # The pairs lie side by side on the last axis.
+        x, y = np.ascontiguousarray(s[k : k + 1024].T), np.ascontiguousarray(t[k : k + 1024].T)
+        same = ((x[:, None] == y[None]) & (x > 0)[:, None]).astype(np.float32) * np.float32(DECAY**2)
         upto = same
         for _ in range(LENGTH - 1):
-            upto = same * np.matmul(np.matmul(a, upto), b)
-        out[k : k + 8192] = upto.sum(axis=(1, 2))
+            before = np.zeros_like(upto)
+            for i in range(1, len(x)):
+                before[i] = before[i - 1] * np.float32(DECAY) + upto[i - 1]
+            both = np.zeros_like(upto)
+            for j in range(1, len(y)):
+                both[:, j] = both[:, j - 1] * np.float32(DECAY) + before[:, j - 1]
+            upto = same * both
+        out[k : k + 1024] = upto.sum(axis=(0, 1))
     return out
 
 
@@ -131,13 +136,17 @@ class Landmarks:
 
     def similar(self, strings: list[str]) -> np.ndarray:
         """The normalised kernel of strings of at most WINDOW letters with each landmark."""
-        codes = coded(strings, WINDOW)
         out = np.zeros((len(strings), len(self.strings)), np.float32)
-        i, j = np.nonzero(np.bitwise_count(masks(codes)[:, None] & self.masks) >= self.need)
-        if len(i):
-            rows, back = np.unique(i, return_inverse=True)
-            own = kernel(codes[rows], codes[rows])[back]
-            out[i, j] = kernel(codes[i], self.codes[j]) / np.sqrt(np.maximum(own * self.own[j], 1e-30))
+        size, least = np.array([len(x) for x in strings]), 0
+        for width in WIDTHS:  # short strings need smaller tables
+            some = np.flatnonzero((least < size) & (size <= width))
+            least = width
+            codes = coded([strings[i] for i in some], width)
+            i, j = np.nonzero(np.bitwise_count(masks(codes)[:, None] & self.masks) >= self.need)
+            if len(i):
+                rows, back = np.unique(i, return_inverse=True)
+                own = kernel(codes[rows], codes[rows])[back]
+                out[some[i], j] = kernel(codes[i], self.codes[j]) / np.sqrt(np.maximum(own * self.own[j], 1e-30))
         return out
 
 
