@@ -7,7 +7,8 @@ words only, by a pandas UDF over the published Porter2 (English) rules.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,9 +26,20 @@ ENGLISH_STOP = (
 ).split()
 
 
+def _marked() -> tuple[str, str]:
+    """Letters with marks and what they are without, by Unicode's decompositions; then the marks themselves, which go."""
+    letters = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x2000)])]
+    letters = [(c, d[0]) for c, d in letters if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
+    marks = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c))
+    return "".join(c for c, _ in letters) + marks, "".join(d for _, d in letters)
+
+
+MARKED, BARE = _marked()
+
+
 def word_tokens(c: Column | str) -> Column:
     """Lower-case words of letters and digits, marks removed from letters."""
-    return F.regexp_extract_all(F.lower(col(c)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.regexp_extract_all(F.translate(F.lower(col(c)), MARKED, BARE), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def postings(docs: DataFrame, key: str, text: str, stem: bool = False) -> DataFrame:
@@ -159,7 +171,13 @@ def porter2_udf():
 
 def lexemes(text: str) -> list[str]:
     """Stems of a query term, without stop words."""
-    return [porter2(w) for w in re.findall(r"[^\W_]+", text.lower()) if w not in ENGLISH_STOP]
+    return [porter2(w) for w in words_of(text) if w not in ENGLISH_STOP]
+
+
+def words_of(text: str) -> list[str]:
+    """The same words as word_tokens, of a question."""
+    bare = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    return re.findall(r"[^\W_]+", bare)
 
 
 def any_or_all(terms: list[str], every: bool) -> list[list[str]] | None:
@@ -173,14 +191,18 @@ def any_or_all(terms: list[str], every: bool) -> list[list[str]] | None:
     return [[x for g in groups for x in g]] if every else groups
 
 
-def websearch(text: str) -> tuple[list[list[list[str]]], list[list[str]]]:
-    """(alternatives, excluded) of a search line: phrases in quotes, `or` between alternatives, a leading minus."""
+def websearch(text: str, terms: Callable[[str], list[str]] | None = lexemes) -> tuple[list[list[list[str]]], list[list[str]]]:
+    """(alternatives, excluded) of a search line: phrases in quotes, `or` between alternatives, a leading minus.
+
+    `terms` says what words become; without it they stay words.
+    """
+    terms = terms or words_of
     alternatives: list[list[list[str]]] = [[]]
     excluded: list[list[str]] = []
     for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
         if not minus and not quoted and plain.lower() == "or":
             alternatives.append([])
-        elif phrase := lexemes(quoted or plain):
+        elif phrase := terms(quoted or plain):
             (excluded if minus else alternatives[-1]).append(phrase)
     return [a for a in alternatives if a], excluded
 

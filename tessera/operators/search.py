@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.fulltext import word_tokens
+from tessera.functions.fulltext import any_or_all, lexemes, websearch, word_tokens
 from tessera.functions.text import col
 from tessera.functions.vectors import cosine, literal
+from tessera.operators.textindex import TextIndex
 from tessera.plans.filters import And, Layout, Node, compile_filter
 from tessera.plans.plan import Keywords
 
@@ -75,6 +76,23 @@ def lexical_filter(docs: DataFrame, keywords: Keywords, text: str | Column = "te
     return kept.filter(~holds(terms, [w.lower() for w in keywords.exclude], False)) if keywords.exclude else kept
 
 
+def keyword_filter(docs: DataFrame, index: TextIndex, keywords: Keywords, key: str = "id") -> DataFrame:
+    """The same by an index, whose terms may be stems; words of stop words only ask for nothing."""
+    must, exclude = index.terms(list(keywords.must)), index.terms(list(keywords.exclude))
+    if must:
+        docs = docs.join(index.holding(keywords.must).withColumnRenamed("id", key), key, "left_semi")
+    for word in keywords.exclude if exclude else ():
+        if index.terms([word]):
+            docs = docs.join(index.holding([word]).withColumnRenamed("id", key), key, "left_anti")
+    return docs
+
+
+def text_leg(index: TextIndex, keywords: Keywords, semantic: str) -> tuple[list[list[list[str]]], list[list[str]]]:
+    """What the full-text leg asks for: any of the keywords, each with all its words, or else the question as a search line."""
+    groups = any_or_all([*keywords.must, *keywords.should], False) if index.stem else [index.terms(w.split()) for w in (*keywords.must, *keywords.should)]
+    return ([[[t] for t in g] for g in groups], []) if groups else websearch(semantic, lexemes if index.stem else None)
+
+
 def ranked(rows: DataFrame, score: str, key: str, leg: str) -> DataFrame:
     """leg, key, rank of a short candidate list."""
     window = Window.partitionBy("leg").orderBy(F.col(score).desc(), key)
@@ -101,12 +119,19 @@ def hydrate(candidates: DataFrame, *tables: tuple[DataFrame, str]) -> DataFrame:
     return out
 
 
-def hybrid(chunks: DataFrame, query: list[float], keywords: Keywords, semantic: str, k: int = 8, *, where: Node = And(), layout: Layout | None = None, key: str = "id", section: str = "section_id", text: str = "text") -> DataFrame:
-    """section, key, score: fused candidates of both legs under one filter, the best chunk of each section."""
-    inside = lexical_filter(chunks.filter(compile_filter(where, layout)), keywords, text)
-    vector = ranked(knn(inside, query, key=key), "similarity", key, "vector")
-    terms = [w.lower() for w in (*keywords.must, *keywords.should)] or [w for w in semantic.lower().split() if w.isalnum()]
-    legs = [vector, ranked(bm25(inside, terms, key=key, text=text), "score", key, "text")] if terms else [vector]
+def hybrid(chunks: DataFrame, query: list[float], keywords: Keywords, semantic: str, k: int = 8, *, where: Node = And(), layout: Layout | None = None, key: str = "id", section: str = "section_id", text: str = "text", index: TextIndex | None = None) -> DataFrame:
+    """section, key, score: fused candidates of both legs under one filter, the best chunk of each section.
+
+    `index` is the stored index of all chunks; without one the texts are read.
+    The full-text leg ranks by cover density of stems.
+    """
+    index = index or TextIndex.of(chunks, key, text, stem=True)
+    inside = keyword_filter(chunks.filter(compile_filter(where, layout)), index, keywords, key)
+    legs = [ranked(knn(inside, query, key=key), "similarity", key, "vector")]
+    line, exclude = text_leg(index, keywords, semantic)
+    if any(line):
+        found = index.rank(line, exclude, None).withColumnRenamed("id", key).join(inside.select(key), key, "left_semi")
+        legs.append(ranked(top(found, "score", key, CANDIDATES), "score", key, "text"))
     fused = fuse(legs, key)
     # At most two lists of CANDIDATES.
     return top(best_per(chunks.select(key, section).join(F.broadcast(fused), key), section, "score", key), "score", key, max(1, min(30, k)))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.fulltext import cover_density, lexemes, postings
+from tessera.functions.fulltext import postings
 from tessera.functions.vectors import literal
 from tessera.operators import search
 from tessera.operators.profile import numeric_accuracy, retrieval_scores
+from tessera.operators.textindex import TextIndex
 from tessera.plans.filters import And, Eq, Layout, Not
 from tessera.plans.plan import Keywords
 from tessera.queries.base import query, table
@@ -17,6 +18,10 @@ LABELS = Layout(columns={"dataset": "label"})
 COSINE = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {}))"
 
 
+def indexed(spark, sf) -> TextIndex:
+    return TextIndex.stored(table(spark, sf, "documents"), "doc_id")
+
+
 def asked(spark, sf, vec_id: int) -> list[float]:
     return table(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).head()["embedding"]
 
@@ -42,7 +47,7 @@ def corrections_threshold_top5(spark, sf):
 
 def bm25_sql(terms: tuple[str, ...], match: str, tail: str) -> str:
     listed = ", ".join(f"('{t}')" for t in terms)
-    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents), q(term) AS (VALUES {listed}),
+    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS words FROM documents), q(term) AS (VALUES {listed}),
         r AS (SELECT doc_id, term, len(words) AS length, len(list_filter(words, lambda x: {match})) AS tf FROM w, q),
         a AS (SELECT count(*) AS docs, avg(len(words)) AS average FROM w), n AS (SELECT term, count(*) FILTER (tf > 0) AS with_term FROM r GROUP BY 1),
         i AS (SELECT term, average, CASE WHEN ln((docs - with_term + 0.5) / (with_term + 0.5)) > 0 THEN ln((docs - with_term + 0.5) / (with_term + 0.5)) ELSE 1e-6 END AS idf FROM n, a),
@@ -51,20 +56,32 @@ def bm25_sql(terms: tuple[str, ...], match: str, tail: str) -> str:
 
 @query(bm25_sql(TERMS, "x = term", "SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 40"))
 def bm25_top40(spark, sf):
-    out = search.bm25(table(spark, sf, "documents"), list(TERMS), key="doc_id")
-    return out.withColumn("score", F.round("score", 6))
+    return indexed(spark, sf).bm25(list(TERMS)).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(bm25_sql(("stupid", "lose"), "starts_with(x, term)", "SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 60"))
 def bm25_prefix_top60(spark, sf):
-    out = search.bm25(table(spark, sf, "documents"), ["stupid", "lose"], 60, key="doc_id", prefix=True)
-    return out.withColumn("score", F.round("score", 6))
+    return indexed(spark, sf).bm25(["stupid", "lose"], 60, prefix=True).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS words FROM documents)
+@query(r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS words FROM documents)
            SELECT doc_id FROM w WHERE list_contains(words, 'the') AND list_contains(words, 'and') AND NOT (list_contains(words, 'idiot') OR list_contains(words, 'moron'))""")
 def lexical_must_not(spark, sf):
-    return search.lexical_filter(table(spark, sf, "documents"), Keywords(must=("the", "and"), exclude=("idiot", "moron"))).select("doc_id")
+    return indexed(spark, sf).holding(["the", "and"], ["idiot", "moron"]).withColumnRenamed("id", "doc_id")
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS words FROM documents)
+           SELECT doc_id FROM w WHERE list_contains(words, 'the') AND list_contains(words, 'of') AND NOT (list_contains(words, 'scum') OR list_contains(words, 'moron'))""")
+def lexical_scan(spark, sf):
+    """The same without an index, from the texts themselves."""
+    return search.lexical_filter(table(spark, sf, "documents"), Keywords(must=("the", "of"), exclude=("scum", "moron"))).select("doc_id")
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS words FROM documents)
+           SELECT doc_id FROM w WHERE (list_contains(words, 'stupid') AND contains(' ' || array_to_string(words, ' ') || ' ', ' of the ') OR list_contains(words, 'idiot')) AND NOT list_contains(words, 'loser')""")
+def websearch_phrase_or_minus(spark, sf):
+    """Words, a phrase, an alternative and an excluded word in one search line."""
+    return indexed(spark, sf).search('stupid "of the" or idiot -loser', None).select(F.col("id").alias("doc_id"))
 
 
 VECTOR_LEG = f"SELECT vec_id AS id, row_number() OVER (ORDER BY {COSINE.format(0)} DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 40"
@@ -73,7 +90,7 @@ TEXT_LEG = bm25_sql(TERMS, "x = term", "SELECT doc_id AS id, row_number() OVER (
 
 def fused(spark, sf):
     v = search.ranked(search.knn(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), asked(spark, sf, 0)), "similarity", "id", "vector")
-    t = search.ranked(search.bm25(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), list(TERMS)), "score", "id", "text")
+    t = search.ranked(indexed(spark, sf).bm25(list(TERMS)), "score", "id", "text")
     return search.fuse([v, t], "id")
 
 
@@ -120,7 +137,7 @@ def eval_numeric_accuracy(spark, sf):
     return numeric_accuracy(got, expected, 0.5)
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents)
            SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM w GROUP BY 1""")
 def inverted_index(spark, sf):
     rows = postings(table(spark, sf, "documents"), "doc_id", "text")
@@ -133,19 +150,27 @@ def stemmed_index(spark, sf):
     return rows.groupBy("term").agg(F.count("*").alias("docs"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS words FROM documents),
+               n AS (SELECT doc_id, len(list_filter(words, lambda x: x IN ('erent', 'onon', 'idiot'))) AS n FROM w)
+           SELECT doc_id, round(0.1::DOUBLE * n, 6) AS score FROM n WHERE n.n > 0 ORDER BY n.n DESC, doc_id LIMIT 40""")
 def cover_density_top40(spark, sf):
-    """Rank of documents that hold all lexemes, by their minimal covers."""
-    needed = lexemes("of them the erent ions the")
-    needed = needed or ["erent"]
-    rows = postings(table(spark, sf, "documents"), "doc_id", "text").filter(F.col("term").isin([*needed, "onon"]))
-    listed = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    """Any of some words: each occurrence is a cover of its own."""
+    return indexed(spark, sf).search("erent or onon or idiot").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS words FROM documents)
+           SELECT doc_id FROM w WHERE list_contains(words, 'that') AND list_contains(words, 'with') AND list_contains(words, 'stupid')""")
+def cover_density_all(spark, sf):
+    """Texts that hold all words of a line, ranked by minimal covers; ranks are held against a plain version in the tests."""
+    return indexed(spark, sf).search("that with stupid", None).select(F.col("id").alias("doc_id"))
 
-    @F.pandas_udf("double")
-    def rank(maps):
-        return maps.map(lambda m: cover_density({k: list(v) for k, v in m.items()}, list(m)))
 
-    return search.top(listed.select("doc_id", rank("at").alias("score")), "score", "doc_id", 40)
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents)
+           SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM w) AS words, (SELECT count(*) FROM (SELECT DISTINCT doc_id, term FROM w)) AS postings""")
+def text_index(spark, sf):
+    """Builds the stored index where the table has none, and counts what it holds."""
+    index = indexed(spark, sf)
+    return index.totals.crossJoin(index.postings.agg(F.count("*").alias("postings")))
 
 
 @query(f"SELECT label, count(*) AS n, round(max({COSINE.format(11)}), 6) AS nearest FROM embeddings GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,26 @@ from pyspark.sql import SparkSession
 _LOCAL: dict[str, str] = {}
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder stands in where that is not set, as in tests."""
+def _root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder stands in where that is not set and all is one process, as in tests."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def named_path(spark: SparkSession, name: str) -> str:
+    """The same path for the same name."""
+    return f"{_root(spark)}/{name}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

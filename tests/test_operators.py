@@ -287,3 +287,70 @@ def test_planned_operators(spark):
     named = spark.createDataFrame([(["a", "b", "a"],), (["b"],), (None,)], "entities array<string>")
     assert [tuple(r) for r in planned.frequent_entities(named).collect()] == [("b", 2), ("a", 1)]
     assert planned.metric_names(rows, spark.createDataFrame([(1, "Scores")], "document_id int, dataset string")).count() == 3
+
+
+# Text index
+
+
+LINES = ["pool heater", '"pool heater" or boiler', "heater -broken", "the", '"heater pool" -boiler', "café"]
+
+
+def test_text_index_against_a_plain_search(spark):
+    import random
+
+    from tessera.functions.fulltext import cover_density, words_of
+    from tessera.operators.textindex import TextIndex
+
+    rng = random.Random(3)
+    texts = [None, "", "Café POOL heater", *[" ".join(rng.choice(["pool", "heater", "boiler", "broken", "the", "x", "Heater's"]) for _ in range(rng.randint(1, 25))) for _ in range(120)]]
+    index = TextIndex.of(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    words = [words_of(t or "") for t in texts]
+
+    def has(own, phrase):
+        return any(own[i : i + len(phrase)] == phrase for i in range(len(own)))
+
+    asked = {
+        LINES[0]: ([[["pool"], ["heater"]]], []), LINES[1]: ([[["pool", "heater"]], [["boiler"]]], []), LINES[2]: ([[["heater"]]], [["broken"]]),
+        LINES[3]: ([[["the"]]], []), LINES[4]: ([[["heater", "pool"]]], [["boiler"]]), LINES[5]: ([[["cafe"]]], []),
+    }
+    for line, (alternatives, exclude) in asked.items():
+        want = {}
+        for i, own in enumerate(words):
+            held = [all(has(own, p) for p in phrases) for phrases in alternatives]
+            if any(held) and not any(has(own, p) for p in exclude):
+                at = lambda terms, own=own: {t: [k for k, w in enumerate(own) if w == t] for t in terms}
+                needed = [sorted({t for p in phrases for t in p}) for phrases in alternatives]
+                want[i] = sum(cover_density(at(n), n) for n, h in zip(needed, held, strict=True) if h)
+        got = {r.id: r.score for r in index.search(line, None).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want), line
+    assert index.search("", None).count() == 0 and index.rank([], k=None).count() == 0
+
+
+def test_stored_index_is_built_once_for_a_table(spark, tmp_path):
+    from tessera.operators.textindex import TextIndex
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "Invoices were paid"), (2, "one invoice"), (3, "nothing")], "id int, text string").write.parquet(path)
+    index = TextIndex.stored(spark.read.parquet(path), stem=True)
+    assert sorted(r.id for r in index.holding(["invoicing"]).collect()) == [1, 2] and index.totals.head() == (3, 6)
+    assert TextIndex.stored(spark.read.parquet(path), stem=True).postings.inputFiles() == index.postings.inputFiles()
+    spark.createDataFrame([(4, "invoice")], "id int, text string").write.mode("append").parquet(path)
+    assert TextIndex.stored(spark.read.parquet(path), stem=True).holding(["invoice"]).count() == 3
+    plan = index.bm25(["invoic"])._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,invoic)]" in plan
+
+
+def test_hybrid_fuses_vectors_and_cover_density(spark):
+    from tessera.operators.textindex import TextIndex
+    from tessera.plans.plan import Keywords
+
+    rows = [(1, 1, "the invoices of May", [1.0, 0.0]), (2, 1, "an invoice", [0.9, 0.1]), (3, 2, "pool heater broken", [0.0, 1.0]), (4, 3, "heater of the pool", [0.1, 0.9])]
+    chunks = spark.createDataFrame(rows, "id int, section_id int, text string, embedding array<float>")
+    index = TextIndex.of(chunks, stem=True)
+    for given in (index, None):
+        found = search.hybrid(chunks, [1.0, 0.0], Keywords(should=("invoice",)), "what", index=given).collect()
+        assert [r.section_id for r in found][0] == 1 and {r.section_id for r in found} == {1, 2, 3}
+        only = search.hybrid(chunks, [1.0, 0.0], Keywords(must=("pool",), exclude=("broken",)), "what", index=given).collect()
+        assert [r.section_id for r in only] == [3]
+        line = search.hybrid(chunks, [0.0, 1.0], Keywords(), '"pool heater"', index=given).collect()
+        assert line[0].section_id == 2 and line[0].score > 1 / 61
