@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,43 @@ def knn(rows: DataFrame, query: list[float], k: int = CANDIDATES, *, key: str =
     return top(scored, "similarity", key, k)
 
 
+def knn_many(rows: DataFrame, questions: DataFrame, k: int = CANDIDATES, *, key: str = "id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """question, key, similarity: for each of a stated set of questions (key, vector) the k nearest other rows.
+
+    Questions go round in blocks; a task keeps the k best of its rows for each,
+    and those meet once.
+    """
+    found, asked = [], questions.select(key, vector).orderBy(key).toLocalIterator()
+    while some := list(islice(asked, block)):
+        ids = np.array([r[0] for r in some], np.int64)
+        unit = np.array([r[1] for r in some], np.float64)
+        unit /= np.maximum(np.sqrt((unit * unit).sum(axis=1, keepdims=True)), 1e-300)
+        found.append(rows.select(F.col(key).cast("long").alias(key), vector).mapInPandas(_best_of(ids, unit, k, key), f"question long, {key} long, similarity double"))
+    if not found:
+        return rows.select(F.lit(0).cast("long").alias("question"), F.col(key).cast("long").alias(key), F.lit(0.0).alias("similarity")).limit(0)
+    window = Window.partitionBy("question").orderBy(F.col("similarity").desc(), key)
+    return reduce(DataFrame.unionByName, found).withColumn("__n", F.row_number().over(window)).filter(F.col("__n") <= k).drop("__n")
+
+
+def _best_of(ids: np.ndarray, unit: np.ndarray, k: int, key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"question": np.zeros(0, np.int64), key: np.zeros(0, np.int64), "similarity": np.zeros(0)})
+        for batch in batches:
+            batch = batch[batch.iloc[:, 1].notna()]
+            if not len(batch):
+                continue
+            names, vectors = batch.iloc[:, 0].to_numpy(np.int64), np.array(batch.iloc[:, 1].tolist(), np.float64)
+            size = np.sqrt((vectors * vectors).sum(axis=1))
+            near = unit @ (vectors / np.maximum(size, 1e-300)[:, None]).T
+            near[ids[:, None] == names] = -np.inf
+            first = np.argsort(-near, axis=1, kind="stable")[:, : k + 1]
+            new = pd.DataFrame({"question": np.repeat(ids, first.shape[1]), key: names[first].ravel(), "similarity": np.take_along_axis(near, first, axis=1).ravel()})
+            held = pd.concat([held, new[new["similarity"] > -np.inf]]).sort_values(["question", "similarity", key], ascending=[True, False, True]).groupby("question").head(k)
+        yield held
+
+    return best
+
+
 def above(rows: DataFrame, query: list[float], least: float = 0.25, k: int = 5, *, key: str = "id", vector: str = "embedding") -> DataFrame:
     """The k nearest of at least a similarity."""
     scored = rows.select(key, cosine(vector, literal(query)).alias("similarity")).filter(F.col("similarity") >= least)

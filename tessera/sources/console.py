@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import pandas_udf
 
 from tessera.sources.readers import read_any
 
@@ -60,6 +62,10 @@ class Console:
             out[f"kb_dataset_{r['id']}"] = table.dtypes
         return out
 
+    def function(self, name: str, f: Callable, returns: str) -> None:
+        """A function of the user's for this session's statements: it takes and gives whole columns, as pandas series."""
+        self.spark.udf.register(name, pandas_udf(f, returns))
+
     def sql(self, statement: str) -> DataFrame:
         reason = write_reason(statement)
         if reason and not self.allow_writes:

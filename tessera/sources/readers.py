@@ -235,8 +235,19 @@ PARSERS: dict[str, Parser] = {
 }
 
 
-def parse_files(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """SECTIONS of binaryFile rows: sections and cells, or why a file gave none; a broken file is its own error."""
+def _tried(parser: Parser, data: bytes, tries: int) -> list[dict]:
+    """What a parser gives, at one of some tries; the error of the last."""
+    for left in reversed(range(tries)):
+        try:
+            return list(parser(data))
+        except Exception:
+            if not left:
+                raise
+    return []
+
+
+def parse_files(files: DataFrame, parsers: dict[str, Parser] | None = None, tries: int = 3) -> DataFrame:
+    """SECTIONS of binaryFile rows: sections and cells, or why a file gave none; a broken file is its own error after so many tries."""
     known, names = PARSERS | (parsers or {}), [c.split()[0] for c in SECTIONS.split(", ")]
     kinds = {c.split()[0]: pa.int32() if c.endswith(" int") else pa.string() for c in SECTIONS.split(", ")}
 
@@ -249,7 +260,7 @@ def parse_files(files: DataFrame, parsers: dict[str, Parser] | None = None) -> D
                     if length.as_py() > MOST_BYTES:
                         rows = [{"kind": "skipped", "reason": "The file is larger than 100 MB"}]
                     else:
-                        rows = list(known.get(end, _unavailable(f"Files of type .{end} are not supported"))(content.as_py()))
+                        rows = _tried(known.get(end, _unavailable(f"Files of type .{end} are not supported")), content.as_py(), tries)
                 except Exception as error:  # whatever a broken file raises belongs to that file
                     rows = [{"kind": "error", "reason": f"{type(error).__name__}: {error}"[:500]}]
                 columns = {c: [r.get(c) for r in rows] for c in names} | {"path": [path.as_py()] * len(rows)}

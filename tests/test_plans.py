@@ -137,6 +137,21 @@ def warehouse(spark, tmp_path_factory):
     return executor.Warehouse(spark, documents, sections, chunks, datasets, hashed_words, 3, corrections)
 
 
+def test_callers_see_their_scope_and_reranked_passages(warehouse):
+    from dataclasses import replace
+
+    from tessera.plans.filters import Eq, Not
+
+    raw = RawPlan(semantic=("pool or boiler",))
+    turned = replace(warehouse, rerank=lambda question, texts: [float("bar" in t) for t in texts])
+    out = executor.run_query(turned, Fixed(raw), "pool")
+    assert out["passages"][0]["file"] == "f1.xlsx" and len(out["passages"]) == 3
+    hidden = replace(warehouse, scope=Not(Eq("hotel", "eastside")))
+    assert executor.run_query(hidden, Fixed(raw), "pool")["passages"] == []
+    measure = RawPlan("numeric", any_of_periods=(("2026", "2026"),), measure=RawMeasure("Ledger", "sum", "credit"))
+    assert "answer_data" not in (out := executor.run_query(hidden, Fixed(measure), "sum")) or out["answer_data"] == []
+
+
 class Fixed:
     def __init__(self, raw):
         self.raw = raw

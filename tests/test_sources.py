@@ -107,6 +107,29 @@ def test_console(spark, tmp_path):
             dataset_path(datasets, bad)
 
 
+def test_functions_in_the_console(spark):
+    console = Console(spark)
+    console.function("twice", lambda x: 2 * x, "long")
+    assert [r.v for r in console.sql("SELECT twice(id) AS v FROM range(3)").collect()] == [0, 2, 4]
+
+
+def test_a_parser_has_three_tries(spark, folder):
+    from tessera.sources.readers import _tried
+
+    calls = []
+
+    def late(data):
+        calls.append(data)
+        if len(calls) < 3:
+            raise OSError("not yet")
+        return [{"kind": "section"}]
+
+    assert _tried(late, b"x", 3) == [{"kind": "section"}] and len(calls) == 3
+    with pytest.raises(OSError, match="not yet"):
+        calls.clear()
+        _tried(late, b"x", 2)
+
+
 @pytest.mark.parametrize(("sql", "flagged"), [("COPY t TO 'x'", True), ("export database 'd'", True), ("ATTACH 'x.duckdb'", True), ("ATTACH ':memory:'", False), ("SELECT copy_count FROM t", False), ("SUMMARIZE t", False), ("INSERT INTO t VALUES (1)", True), ("CREATE OR REPLACE TEMP VIEW v AS SELECT 1", False), ("DROP TABLE t", True)])
 def test_write_guard(sql, flagged):
     assert bool(write_reason(sql)) == flagged
