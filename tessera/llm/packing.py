@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import released
 from tessera.llm.tokens import END_ID, encoder
 
 MOST = 4096
@@ -48,7 +49,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = MOST, end_id: int = END_ID
         raise ValueError("the longest sequence has to be a power of two")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        encode, end = encoder(tokenizer, __name__), end_id.to_bytes(4, "little")
         sequence, names = TaskContext.get().partitionId() << 40, [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.int64()] * 7 + [pa.int32()]
         rows: list[tuple] = []
@@ -69,4 +70,4 @@ def pack(docs: DataFrame, tokenizer: str, most: int = MOST, end_id: int = END_ID
         if rows:
             yield full()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(task), SCHEMA)

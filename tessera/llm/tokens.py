@@ -13,7 +13,6 @@ read.
 
 from __future__ import annotations
 
-import functools
 import re
 import uuid
 import zlib
@@ -27,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import KEPT, released
+
 END_ID = 2
 DOC = np.dtype([("id", "<i8"), ("null", "u1")])
 MANIFEST = "part int, shard string, docs long, tokens long"
@@ -74,10 +75,12 @@ class WordEncoder:
         return b"".join(map(self._ids, text.replace("\n", " ").split(" "))) if text else b""
 
 
-@functools.cache
-def encoder(path: str) -> WordEncoder:
-    """One for each Python worker, so that what it remembers outlives a task."""
-    return WordEncoder(path)
+def encoder(path: str, owner: str = __name__) -> WordEncoder:
+    """One for each Python worker, so that what it remembers outlives a task; it goes when another module's task begins."""
+    kept = KEPT.setdefault(owner, {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def vocabulary_dtype(path: str) -> str:
@@ -129,7 +132,7 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int =
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": [shard], "docs": [len(offsets) - 1], "tokens": [int(offsets[-1])]})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(task, MANIFEST)
+    return ordered.mapInArrow(released(task), MANIFEST)
 
 
 def with_bases(manifest: list) -> list[tuple[str, int, int]]:

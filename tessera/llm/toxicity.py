@@ -60,7 +60,7 @@ RATIO = 3
 #: Segments that a document's score follows from.
 BEST = 2
 THRESHOLD = 0.3
-ENTRIES = 500_000
+ENTRIES = 300_000
 
 LETTERS = re.compile(r"[^\W_]+")
 SINGLES = re.compile(r"(?<![^\W_])[^\W_]([\W_])[^\W_](?![^\W_])(?:\1[^\W_](?![^\W_]))+")
