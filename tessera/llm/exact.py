@@ -44,21 +44,32 @@ def _has(bitmap: Column, cell: Column) -> Column:
     return F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", normalised(F.col("text")).alias("text"))
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ROW * docs.count()).bit_length()))
-    hit = docs.select(F.explode(F.array(*_cells(F.col("text"), bits))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    pages = written(hit.groupBy(F.bitmap_bucket_number("cell").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap")), "bloom")
-    probed = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), *[c.alias(f"cell{i}") for i, c in enumerate(_cells(F.col("text"), bits))])
-    maybe = F.lit(True)
+def bitmap(texts: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """Pass one: the pages of the bitmap of cells that texts hit more than once, and its bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ROW * texts.count()).bit_length()))
+    hit = texts.select(F.explode(F.array(*_cells(F.col(text), bits))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    pages = hit.groupBy(F.bitmap_bucket_number("cell").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
+    return written(pages, "bloom"), bits
+
+
+def suspected(rows: DataFrame, text: str, known: tuple[DataFrame, int]) -> DataFrame:
+    """Pass two: rows with `__maybe`, false where the bitmap says that a text is alone."""
+    (pages, bits), columns, maybe = known, rows.columns, F.lit(True)
+    rows = rows.select("*", *[c.alias(f"__cell{i}") for i, c in enumerate(_cells(F.col(text), bits))])
     for i in range(PROBES):
         # At most MOST_BITS / 8 bytes, whatever the input.
-        page = F.broadcast(pages.select(F.col("page").alias(f"page{i}"), F.col("bitmap").alias(f"bitmap{i}")))
-        probed = probed.join(page, F.bitmap_bucket_number(f"cell{i}") == F.col(f"page{i}"), "left")
-        maybe &= _has(F.col(f"bitmap{i}"), F.col(f"cell{i}"))
+        page = F.broadcast(pages.select(F.col("page").alias(f"__page{i}"), F.col("bitmap").alias(f"__bitmap{i}")))
+        rows = rows.join(page, F.bitmap_bucket_number(f"__cell{i}") == F.col(f"__page{i}"), "left")
+        maybe &= _has(F.col(f"__bitmap{i}"), F.col(f"__cell{i}"))
+    return rows.select(*columns, maybe.alias("__maybe"))
+
+
+def exact_groups(docs: DataFrame, known: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text); `known` is the bitmap of its texts."""
+    docs = docs.select("doc_id", normalised(F.col("text")).alias("text"))
+    probed = suspected(docs, "text", known or bitmap(docs, "text")).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("__maybe").alias("maybe"))
     # The number tells rows apart that are alike; stored, it is the same for every reader.
-    probed = written(probed.select("doc_id", "text_sha256", maybe.alias("maybe"), F.monotonically_increasing_id().alias("row")), "probed")
+    probed = written(probed.withColumn("row", F.monotonically_increasing_id()), "probed")
     alone = probed.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     meet = probed.filter("maybe").select("doc_id", "text_sha256", "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -69,14 +80,20 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """One row of each text: that of the smallest doc_id, and of rows that repeat this too the one whose columns have the least hash."""
+    """One row of each text: that of the smallest doc_id, and of rows that repeat this too the one whose columns have the least hash.
+
+    Rows that the bitmap knows to be alone pass by; only the others meet their groups.
+    """
     by = ["__id", "__sha"]
+    keyed = docs.withColumn("__text", normalised(F.col("text")))
+    known = bitmap(keyed.select("__text"), "__text")
     # Stored first, for the same reason as the groups.
-    groups = written(exact_groups(docs).filter("group_size > 1").select("doc_id", "text_sha256", "kept"), "repeated").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    groups = written(exact_groups(docs, known).filter("group_size > 1").select("doc_id", "text_sha256", "kept"), "repeated").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     marks = written(groups.agg(F.bool_or("kept").alias("__kept"), F.count("*").alias("__times")).filter("not __kept or __times > 1").withColumnsRenamed({k: f"{k}_m" for k in by}), "marks")
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__sha": F.sha2(normalised(F.col("text")), 256)})
+    marked = suspected(keyed, "__text", known)
+    keyed = marked.filter("__maybe").withColumns({"__id": F.col("doc_id"), "__sha": F.sha2("__text", 256)})
     same = F.col("__id").eqNullSafe(F.col("__id_m")) & (F.col("__sha") == F.col("__sha_m"))
-    out = keyed.join(marks, same, "left_anti").select(*docs.columns)
+    out = marked.filter(~F.col("__maybe")).select(*docs.columns).unionByName(keyed.join(marks, same, "left_anti").select(*docs.columns))
     tied = marks.filter("__kept")
     if tied.isEmpty():
         return out
