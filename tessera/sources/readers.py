@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MOST_BYTES = 100 * 1024 * 1024
 CELLS = "sheet string, row int, col int, s string"
@@ -105,33 +104,17 @@ def workbook_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
                         yield sheet.get("name"), at, _column(c.get("r")) if c.get("r") else j, text.strip()
 
 
-class WorkbookSource(DataSource):
-    """spark.read.format("workbook").load(path): the cells of a workbook in a local or mounted folder."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def schema(self) -> str:
-        return CELLS
-
-    def reader(self, schema) -> DataSourceReader:
-        path = self.options["path"].removeprefix("file://")
-
-        class Reader(DataSourceReader):
-            def partitions(self) -> list[InputPartition]:
-                return [InputPartition(path)]
-
-            def read(self, partition: InputPartition) -> Iterator[tuple]:
-                with open(partition.value, "rb") as f:
-                    yield from workbook_cells(f.read())
-
-        return Reader()
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """CELLS of the workbooks at a path, in any store that Spark reads."""
 
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                found = list(workbook_cells(content.as_py()))
+                columns = list(zip(*found, strict=True)) if found else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["sheet", "row", "col", "s"])
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(WorkbookSource)
-    return spark.read.format("workbook").load(path)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cells, CELLS)
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
