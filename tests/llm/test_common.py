@@ -39,3 +39,35 @@ def test_tables_are_dropped(spark):
     kept = common.written(spark.range(3), "t")
     assert kept.count() == 3 and common.drop_written(spark) >= 1
     assert not common._WRITTEN
+
+
+def test_tables_on_the_way_go_when_the_result_is_stored(spark):
+    from pathlib import Path
+
+    def make():
+        left, right = common.written(spark.range(3), "left"), common.settled(lambda: common.written(spark.range(2), "inner"), "right")[0]
+        return left.join(right, "id")
+
+    before = set(common._WRITTEN)
+    frame, path = common.settled(make, "result")
+    assert frame.count() == 2 and set(common._WRITTEN) - before == {path}
+    root = Path(common.shared_dir(spark).removeprefix("file://"))
+    assert not [p for p in root.iterdir() if any(p.name.startswith(f"tessera-{n}-") for n in ("left", "inner", "right"))]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class getConf:  # noqa: N801
+                @staticmethod
+                def get(key, default=None):
+                    return default
+
+    try:
+        common.shared_dir(Session)
+    except ValueError as error:
+        assert "spark.checkpoint.dir" in str(error)
+    else:
+        raise AssertionError("a local folder stood in")

@@ -63,3 +63,27 @@ def test_stages_against_brute_force(spark, sf):
     size = {r.doc_id: r.doc_tokens for r in pieces}
     assert per == {i: n * size[i] for i, n in copies.items()}
     assert len({r.sequence_id for r in pieces}) == len(pieces)
+
+
+def test_run_with_odd_rows_leaves_one_table(spark, tmp_path):
+    """Null and repeated ids, empty and equal texts, a null source, another column: no text is lost, none stays twice."""
+    from tessera.llm import common
+
+    words = lambda seed, n: " ".join(f"w{(seed * 7919 + i * 104729) % 9973}" for i in range(n))
+    rows = [(1, "same text here"), (None, "same  text here"), (4, words(1, 60)), (4, words(2, 60)), (None, words(3, 60)), (None, words(4, 60)), (7, words(2, 60)), (8, None), (9, ""), (10, words(5, 9000))]
+    docs = spark.createDataFrame([(i, t, "en", None if k % 3 == 0 else f"s{k % 2}", 0, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns
+    left = sorted((re.sub(r"\s+", " ", r.text or "") for r in step.collect()), key=len)
+    assert left == sorted({re.sub(r"\s+", " ", t or "") for _, t in rows}, key=len)
+    before = set(common._WRITTEN)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert len(set(common._WRITTEN) - before) == 1
+    # An empty table goes through all stages.
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
