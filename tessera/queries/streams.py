@@ -73,7 +73,13 @@ def idle_check(spark, sf):
     return cdc.idle(table(spark, sf, "events"), "ts", F.lit("2024-02-15").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT 's' || user_id % 7 AS source, event_id, 'user:' || user_id AS signature, epoch_us(ts)::DOUBLE / 1e6::DOUBLE AS moment FROM events WHERE event_type = 'error'),
+               o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY moment, event_id) AS k FROM e),
+               s AS (SELECT source, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS signature, NULL::DOUBLE AS moment, FALSE AS admitted, []::STRUCT(signature VARCHAR, moment DOUBLE)[] AS hour FROM (SELECT DISTINCT source FROM e)
+                     UNION ALL SELECT source, k, event_id, signature, moment, fits, CASE WHEN fits THEN list_append(hour, {'signature': signature, 'moment': moment}) ELSE hour END
+                     FROM (SELECT *, len(hour) < 4 AND len(list_filter(hour, lambda x: x.signature = signature AND moment - x.moment < 1800)) = 0 AS fits
+                           FROM (SELECT o.source, o.k, o.event_id, o.signature, o.moment, list_filter(s.hour, lambda x: o.moment - x.moment < 3600) AS hour FROM s JOIN o ON o.source = s.source AND o.k = s.k + 1)))
+          SELECT source, event_id, signature, moment AS "at" FROM s WHERE admitted""")
 def rate_cap_dedupe(spark, sf):
     """Errors admitted once in half an hour by signature, four an hour by source."""
     events = stream(spark, sf).filter("event_type = 'error'")

@@ -159,8 +159,19 @@ def recency_weight(spark, sf):
     return last.select("user_id", F.round(dates.recency("created", F.lit("2024-06-01").cast("timestamp")), 9).alias("recency"))
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\S+') AS words FROM documents),
+               t AS (SELECT doc_id, words, array_to_string(words, ' ') AS whole FROM d),
+               long AS (SELECT doc_id, words FROM t WHERE 2 * ceil(length(whole) / 4.0) > 600),
+               items AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM long),
+               sums AS (SELECT doc_id, i, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS upto FROM items UNION ALL SELECT doc_id, 0, 0 FROM long),
+               runs AS MATERIALIZED (SELECT doc_id, i AS a, greatest(i + 1, count(*) OVER (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN UNBOUNDED PRECEDING AND 801 FOLLOWING) - 1) AS b, max(i) OVER (PARTITION BY doc_id) AS n FROM sums),
+               w AS (SELECT doc_id, 0 AS k, a, b, n FROM runs WHERE a = 0
+                     UNION ALL SELECT w.doc_id, w.k + 1, r.a, r.b, r.n FROM w JOIN runs r ON r.doc_id = w.doc_id AND r.a = greatest(w.a + 1, w.b - greatest(1, floor((w.b - w.a) * 0.15::DOUBLE + 0.5::DOUBLE)::BIGINT)) WHERE w.b < w.n),
+               cut AS (SELECT doc_id, 0 AS k, whole AS text FROM t WHERE 2 * ceil(length(whole) / 4.0) <= 600
+                       UNION ALL SELECT doc_id, k, array_to_string(words[a + 1:b], ' ') FROM w JOIN long USING (doc_id))
+          SELECT doc_id, k::INT AS "window", text, ceil(length(text) / 4.0)::INT AS tokens FROM cut""")
 def token_windows(spark, sf):
+    """Windows of words; the SQL follows them from one to the next."""
     return windows_of(table(spark, sf, "documents"), "doc_id", "text")
 
 
