@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact, lm, mixing, neighbours, ngram_join, packing, pii, substrings, tokens, toxicity
+from tessera.llm import exact, lm, mixing, neighbours, ngram_join, packing, pii, prefix_trie, substrings, tokens, toxicity
 from tessera.llm.common import documents, new_path, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,6 +63,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(documents(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -74,8 +78,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text of ASCII characters: eight steps of a bit for each of them."""
+    step = "list_reduce(list_prepend(xor(c, b), [0::BIGINT for i in range(8)]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"[ascii(ch)::BIGINT for ch in string_split({text}, '')]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
@@ -120,4 +133,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                (size * (whole + CASE WHEN p = 1 OR (q IS NOT NULL AND upto - size / 2::DOUBLE < remains) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM run""",
+    "op11_prefix_trie": rf"""
+        WITH turns AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place FROM (
+            SELECT conv_id, turn, sha256(length(r) || ':' || r || t)[1:32] AS digest, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words FROM (
+              SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL))),
+        per AS (
+          SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("conv_id::VARCHAR")} % 4 AS h, list(struct_pack(d := digest, w := words) ORDER BY place) AS own FROM turns GROUP BY conv_id),
+        made AS (
+          SELECT p.conv_id, list_concat(coalesce(b.own, [])[1:p.h], p.own[p.h + 1:]) AS whole FROM per p LEFT JOIN per b ON b.conv_id = p.base),
+        prefixes AS (
+          SELECT conv_id, whole[1:d] AS node, d AS depth, d = len(whole) AS whole FROM (SELECT *, unnest(range(len(whole) + 1)) AS d FROM made)),
+        nodes AS (
+          SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE whole), '')) AS ends_sha256
+          FROM prefixes GROUP BY node),
+        linked AS (
+          SELECT n.*, p.conv_id AS parent_conv_id, coalesce(k.n_children, 0) AS n_children
+          FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+          LEFT JOIN (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1) k ON k.node = n.node),
+        sums AS (
+          SELECT node[1:d] AS node, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(CASE WHEN depth > 0 THEN (n_convs - 1) * node[depth].w ELSE 0 END)::BIGINT AS saved_tokens
+          FROM (SELECT *, unnest(range(depth + 1)) AS d FROM linked) GROUP BY 1)
+        SELECT l.conv_id, l.depth, l.parent_conv_id, l.n_convs, l.n_children, s.n_leaves, s.saved_tokens, l.ends_sha256
+        FROM linked l JOIN sums s ON s.node = l.node""",
 }
