@@ -20,12 +20,12 @@ from tessera.llm.common import released
 ROWS = 4096
 
 
-def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of ROWS."""
+def batched(rows: Iterator[tuple], schema: pa.Schema, most: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of `most`."""
     kept: list[tuple] = []
     for row in rows:
         kept.append(row)
-        if len(kept) == ROWS:
+        if len(kept) == most:
             yield _batch(kept, schema)
             kept = []
     if kept:

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact, lm, mixing, neighbours, ngram_join, packing, pii, prefix_trie, substrings, tokens, toxicity
+from tessera.llm import exact, lm, mixing, neighbours, ngram_join, packing, pii, prefix_trie, secrets, structure_repair, substrings, tokens, toxicity
 from tessera.llm.common import documents, new_path, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(documents(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repaired(documents(spark, sf_dir, "conversations"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -79,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 
@@ -157,4 +167,52 @@ ORACLE_SQL: dict[str, str] = {
           FROM (SELECT *, unnest(range(depth + 1)) AS d FROM linked) GROUP BY 1)
         SELECT l.conv_id, l.depth, l.parent_conv_id, l.n_convs, l.n_children, s.n_leaves, s.saved_tokens, l.ends_sha256
         FROM linked l JOIN sums s ON s.node = l.node""",
+    # From the last row to the first: the least (cost, letters) of each of the states nothing, s, u, a; then the letters from the front.
+    "op12_structure_repair": rf"""
+        WITH RECURSIVE hit AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fault
+          FROM conversations),
+        ordered AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM (
+            SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM hit WHERE fault > 0)),
+        seen AS (
+          SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS full_text, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+                 role[1:1] AS initial, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before
+          FROM ordered),
+        marked AS (
+          SELECT *, full_text = '' AS blank, full_text <> '' AND again AS duplicate, full_text <> '' AND NOT again AND full_text[-1:] NOT IN ('.', '!', '?') AS truncated,
+                 full_text = '' OR again AS forced, CASE WHEN truncated THEN 3 ELSE 0 END AS more
+          FROM seen),
+        per AS (
+          SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated,
+                 sum((before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::INT) AS illegal
+          FROM marked GROUP BY conv_id),
+        back AS (
+          SELECT conv_id, n AS i, (0, '') AS b0, (6, 'II') AS b1, (3, 'I') AS b2, (0, '') AS b3 FROM per
+          UNION ALL
+          SELECT conv_id, i - 1, list_min([s0, (3 + u[1], 'I' || u[2])]), list_min([s1, (3 + u[1], 'I' || u[2])]), u, list_min([s3, (3 + s2[1], 'I' || s2[2])]) FROM (
+            SELECT *, list_min([s2, (3 + s3[1], 'I' || s3[2])]) AS u FROM (
+              SELECT b.conv_id, b.i,
+                list_min([(4 + b0[1], 'D' || b0[2])] || CASE WHEN forced THEN [] ELSE [(3 + more + b2[1], 'R' || b2[2])] END || CASE WHEN forced OR initial <> 'u' THEN [] ELSE [(more + b2[1], 'K' || b2[2])] END || CASE WHEN forced OR initial <> 's' THEN [] ELSE [(more + b1[1], 'K' || b1[2])] END) AS s0,
+                list_min([(4 + b1[1], 'D' || b1[2])] || CASE WHEN forced THEN [] ELSE [(3 + more + b2[1], 'R' || b2[2])] END || CASE WHEN forced OR initial <> 'u' THEN [] ELSE [(more + b2[1], 'K' || b2[2])] END) AS s1,
+                list_min([(4 + b2[1], 'D' || b2[2])] || CASE WHEN forced THEN [] ELSE [(3 + more + b3[1], 'R' || b3[2])] END || CASE WHEN forced OR initial <> 'a' THEN [] ELSE [(more + b3[1], 'K' || b3[2])] END) AS s2,
+                list_min([(4 + b3[1], 'D' || b3[2])] || CASE WHEN forced THEN [] ELSE [(3 + more + b2[1], 'R' || b2[2])] END || CASE WHEN forced OR initial <> 'u' THEN [] ELSE [(more + b2[1], 'K' || b2[2])] END) AS s3
+              FROM back b JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i))),
+        best AS (SELECT conv_id, b0[1] AS cost, b0[2] AS audit FROM back WHERE i = 0),
+        walk AS (
+          SELECT conv_id, audit, 0 AS p, 1 AS i, '' AS state, NULL::VARCHAR AS repaired FROM best
+          UNION ALL
+          SELECT w.conv_id, audit, p + 1, w.i + (x <> 'I')::INT, CASE WHEN x = 'D' THEN state WHEN x = 'K' THEN initial ELSE wanted[1:1] END,
+                 CASE WHEN x = 'D' THEN repaired ELSE coalesce(repaired || chr(10), '') || CASE WHEN x = 'K' THEN role ELSE wanted END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END END
+          FROM (SELECT *, audit[p + 1:p + 1] AS x, CASE WHEN state = 'u' THEN 'assistant' ELSE 'user' END AS wanted FROM walk WHERE p < length(audit)) w
+          LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(w.repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN per p ON p.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.p = length(w.audit)""",
 }
