@@ -5,28 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import col, rest_after, trimmed
+from tessera.functions.text import bound, col, rest_after, trimmed, without_end
+
 
 def to_number(c: Column | str) -> Column:
     """'$1,200' and '(12.50)' as numbers; a percent sign is dropped; anything else is null.
 
     The signs are taken off one by one, from both ends inwards; what is left
-    must be digits with at most one point.
+    must be digits with at most one point.  Each step is bound once, so that
+    the expression grows with the number of steps.
     """
-    cell = trimmed(col(c).cast("string"))
-    inner = rest_after(cell, "(")
-    opened = F.startswith(cell, F.lit("("))
-    bare = F.when(F.endswith(inner, F.lit("%")), F.left(inner, F.length(inner) - 1)).otherwise(inner)
-    closed = F.endswith(bare, F.lit(")"))
-    bare = trimmed(F.when(closed, F.left(bare, F.length(bare) - 1)).otherwise(bare))
-    minus = F.startswith(bare, F.lit("-"))
-    digits = trimmed(rest_after(rest_after(bare, "-"), "$"))
-    plain = F.replace(digits, F.lit(","), F.lit(""))
-    after_point = F.substring_index(digits, ".", -1)
-    good = (F.translate(digits, "0123456789,.", "") == "") & (F.translate(F.right(digits, F.lit(1)), "0123456789", "") == "") & (F.length(plain) > 0)
-    good &= ~F.contains(digits, F.lit(".")) | ~F.contains(after_point, F.lit(","))
-    value = F.when(good & (closed | ~opened), plain.try_cast("double"))
-    return F.when(opened | minus, -value).otherwise(value)
+
+    def inside(cell: Column) -> Column:
+        opened = F.startswith(cell, F.lit("("))
+        return bound(without_end(rest_after(cell, "("), "%"), lambda x: in_brackets(x, opened))
+
+    def in_brackets(x: Column, opened: Column) -> Column:
+        closed = F.endswith(x, F.lit(")"))
+        return bound(trimmed(without_end(x, ")")), lambda bare: signed(bare, opened, closed))
+
+    def signed(bare: Column, opened: Column, closed: Column) -> Column:
+        value = bound(trimmed(rest_after(rest_after(bare, "-"), "$")), lambda x: F.when(closed | ~opened, plain(x)))
+        return bound(value, lambda v: F.when(opened | F.startswith(bare, F.lit("-")), -v).otherwise(v))
+
+    def plain(digits: Column) -> Column:
+        ends_well = F.translate(F.right(digits, F.lit(1)), "0123456789", "") == ""
+        whole_behind = ~F.contains(digits, F.lit(".")) | ~F.contains(F.substring_index(digits, ".", -1), F.lit(","))
+        good = (F.translate(digits, "0123456789,.", "") == "") & ends_well & whole_behind
+        return F.when(good, F.nullif(F.replace(digits, F.lit(","), F.lit("")), F.lit("")).try_cast("double"))
+
+    return bound(trimmed(col(c).cast("string")), inside)
 
 
 def round_half_up(c: Column | str, places: int = 2) -> Column:

@@ -26,6 +26,16 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where the value is computed once however often `then` mentions it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def without_end(c: Column, sign: str) -> Column:
+    """What stands before a sign that a string may end with."""
+    return F.when(F.endswith(c, F.lit(sign)), F.left(c, F.length(c) - len(sign))).otherwise(c)
+
+
 def rest_after(c: Column, sign: str) -> Column:
     """What follows a sign that a string may begin with, and white space behind it."""
     return F.when(F.startswith(c, F.lit(sign)), F.ltrim(F.substring(c, len(sign) + 1, 1 << 30), F.lit(BLANKS))).otherwise(c)
@@ -155,15 +165,13 @@ def markdown_table(rows: Column) -> Column:
     return F.array_join(F.concat(F.transform(F.slice(padded, 1, 1), line), F.array(rule), F.transform(F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0))), line)), "\n")
 
 
-def error_signature(source: Column | str, message: Column | str) -> Column:
-    """Errors that differ in ids and numbers only have one signature: words that are request ids or hexadecimal go, other digits become one sign."""
-    words = F.regexp_extract_all(col(message), F.lit("([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1))
+# What an error's signature leaves out.
+REQUEST_ID, HEX_WORD = "req_[A-Za-z0-9]+", "(?<![A-Za-z0-9_])[0-9A-Fa-f]{6,}(?![A-Za-z0-9_])"
 
-    def is_id(w: Column) -> Column:
-        hexadecimal = (F.length(w) >= 6) & (F.translate(F.lower(w), "0123456789abcdef", "") == "")
-        return hexadecimal | (F.startswith(w, F.lit("req_")) & (F.length(w) > 4))
 
-    core = F.regexp_replace(F.array_join(F.filter(words, lambda w: ~is_id(w)), ""), "[0-9]+", "#")
+def error_signature(source: Column | str, message: Column | str) -> Column:
+    """Errors that differ in ids and numbers only have one signature: request ids and hexadecimal words go, other digits become one sign."""
+    core = chain(message, (REQUEST_ID, ""), (HEX_WORD, ""), ("[0-9]+", "#"))
     return F.concat(col(source), F.lit(":"), F.substring(core, 1, 160))
 
 

@@ -37,12 +37,12 @@ def strip_dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", dates.strip_dates(name).alias("name"))
 
 
-@query(r"""WITH m AS (SELECT event_type, 'failed req_' || user_id || ' at ' || strftime(ts, '%Y-%m-%d %H:%M') || ' in ' || props AS message FROM events),
-                w AS (SELECT event_type, list_filter(regexp_extract_all(message, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),
-                      lambda w: NOT (length(w) >= 6 AND translate(lower(w), '0123456789abcdef', '') = '') AND NOT (starts_with(w, 'req_') AND length(w) > 4)) AS words FROM m)
-           SELECT event_type || ':' || substr(regexp_replace(array_to_string(words, ''), '[0-9]+', '#', 'g'), 1, 160) AS signature, count(*) AS n FROM w GROUP BY 1""")
+@query(r"""WITH m AS (SELECT event_type, 'failed req_' || user_id || CASE event_id % 3 WHEN 0 THEN '_def' WHEN 1 THEN ' myreq_abc1' ELSE ' deadBEEF99 dead' END || ' at ' || strftime(ts, '%Y-%m-%d %H:%M') || ' in ' || props AS message FROM events),
+                named AS (SELECT event_type, regexp_replace(message, 'req_[a-zA-Z0-9]+', '', 'g') AS message FROM m)
+           SELECT event_type || ':' || left(regexp_replace(regexp_replace(message, '\b[0-9a-fA-F]{6,}\b', '', 'g'), '\d+', '#', 'g'), 160) AS signature, count(*) AS n FROM named GROUP BY 1""")
 def error_signature(spark, sf):
-    message = F.concat(F.lit("failed req_"), F.col("user_id").cast("string"), F.lit(" at "), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" in "), "props")
+    tail = F.when(F.col("event_id") % 3 == 0, "_def").when(F.col("event_id") % 3 == 1, " myreq_abc1").otherwise(" deadBEEF99 dead")
+    message = F.concat(F.lit("failed req_"), F.col("user_id").cast("string"), tail, F.lit(" at "), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" in "), "props")
     return table(spark, sf, "events").groupBy(text.error_signature("event_type", message).alias("signature")).agg(F.count("*").alias("n"))
 
 

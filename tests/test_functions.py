@@ -115,6 +115,8 @@ def test_names_and_texts(spark):
     assert one(spark, text.overlap(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b")))) == 1.0
     assert one(spark, text.html_text(F.lit("<style>p{}</style><p>A &amp; B</p><br>C<script>x</script>"))) == "A & B\n\nCx"
     assert one(spark, text.error_signature(F.lit("task"), F.lit("req_ab1 failed 12 at deadbeef99"))) == "task: failed # at "
+    for message, left in (("fail req_abc_def x", "fail _def x"), ("myreq_abc1 y", "my y"), ("x abcdef_1 ABCDEF99-2", "x abcdef_# -#")):
+        assert one(spark, text.error_signature(F.lit("task"), F.lit(message))) == f"task:{left}"
     assert one(spark, text.redact(F.lit("sent Bearer abc and abc"), {"authorization": "Bearer abc"})) == "sent [redacted] and [redacted]"
     assert one(spark, text.key_rules(F.lit("alice:k1, bob:k2"))) == {"alice": "k1", "bob": "k2"}
 
@@ -174,3 +176,9 @@ def test_cover_density():
     near, far = {"a": [1], "b": [2]}, {"a": [1], "b": [9]}
     assert fulltext.cover_density(near, ["a", "b"]) > fulltext.cover_density(far, ["a", "b"]) > 0
     assert fulltext.cover_density({"a": [1]}, ["a", "b"]) == 0 and math.isclose(fulltext.cover_density({"a": [1, 5, 9]}, ["a"]), 0.3)
+
+
+def test_expressions_stay_short(spark):
+    # Planning and compiling take time by the length of an expression.
+    assert len(str(numbers.to_number("s"))) <= 5_000
+    assert len(str(dates.parse_period("folders", "file", "modified"))) <= 10_000

@@ -216,3 +216,19 @@ def test_corrections_name_known_subjects():
     out = extract_correction(Says({"fact": " Closed on Monday ", "subject": {"hotel": "EASTSIDE", "dataset": "Nope", "department": None}}), "x", CATALOG)
     assert out["fact"] == "Closed on Monday" and out["subject"] == {"hotel": "Eastside", "dataset": None, "department": None} and len(out["notes"]) == 1
     assert extract_correction(Says({"question": "Which hotel?"}), "x", CATALOG) == {"question": "Which hotel?"}
+
+
+def test_the_catalog_knows_only_what_the_caller_may_see(warehouse):
+    from dataclasses import replace
+
+    seen = []
+
+    class Asked(Fixed):
+        def plan(self, question, catalog, today):
+            seen.append(catalog)
+            return self.raw
+
+    for scope in (And(), Not(Eq("hotel", "eastside"))):
+        executor.run_query(replace(warehouse, scope=scope), Asked(RawPlan(semantic=("pool",))), "pool")
+    assert seen[0].hotels == ("Eastside",) and seen[0].datasets
+    assert seen[1] == Catalog()
