@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.buckets import BucketStore, Table
 from tessera.queries.base import query, table
-from tessera.sources.shared import shared_path
+from tessera.sources import feed
+from tessera.sources.shared import names, publish_text, shared_path
 from tessera.streaming import cdc
 
 WAIT_S = 600
@@ -47,17 +50,102 @@ def sliding_window_counts(spark, sf):
     return counts.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
+# A change feed of the events: a page a day, an error is a tombstone of its user.
+
+ITEMS = "id long, event_id long, ts timestamp_ntz, value double, deleted boolean"
+DAY = F.date_diff("ts", F.lit("2024-01-01"))
+ROWS = "id long, event_id long, value double, epoch int"
+ORDER = ("ts", "event_id")
+
+
+def staged_pages(spark: SparkSession, sf: str, root: str) -> list[str]:
+    """Writes the pages of the feed beside it and names them in order."""
+    items = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", "ts", "value", (F.col("event_type") == "error").alias("deleted"), DAY.alias("page"))
+    items.repartition("page").write.partitionBy("page").parquet(f"{root}/staged")
+    return sorted((n for n in names(spark, f"{root}/staged") if n.startswith("page=")), key=lambda n: int(n[5:]))
+
+
+def published(spark: SparkSession, root: str, pages: list[str]) -> None:
+    """Moves staged pages into the feed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{root}/feed"))
+    for page in pages:
+        fs.rename(path(f"{root}/staged/{page}"), path(f"{root}/feed/{page}"))
+
+
+def fed(spark: SparkSession, root: str, sink, pages_per_batch: int = 1) -> None:
+    """Takes what the feed has, from where its checkpoint ends."""
+    rows = feed.changes(spark, f"{root}/feed", ITEMS, pages_per_batch=pages_per_batch)
+    cdc.caught_up(cdc.stream_table(rows, [sink], f"{root}/checkpoint", once=False))
+
+
+def user_store(spark: SparkSession, root: str, **more: Table) -> BucketStore:
+    return BucketStore(spark, f"{root}/store", {"users": Table(ROWS, ("id",))} | more)
+
+
 @query("SELECT user_id AS id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'")
 def stream_cdc_foreach_batch(spark, sf):
-    """Changes applied batch after batch to a versioned table, the last version read back."""
+    """A micro-batch a day, applied to the buckets that it touches; the last commit read back."""
     root = shared_path(spark, "cdc")
-    changes = stream(spark, sf).select(F.col("user_id").alias("id"), "ts", "event_id", "value", (F.col("event_type") == "error").alias("deleted"))
-    running = cdc.stream_table(changes, [cdc.versioned_sink(spark, f"{root}/table", "id", ("ts", "event_id"), "deleted")], f"{root}/checkpoint")
-    if not running.awaitTermination(WAIT_S):
-        running.stop()
-        raise TimeoutError("the change stream did not end")
-    last = max(p["batchId"] for p in running.recentProgress)
-    return spark.read.parquet(f"{root}/table/v{last}").select("id", "event_id", "value")
+    published(spark, root, staged_pages(spark, sf, root))
+    store = user_store(spark, root)
+    fed(spark, root, cdc.store_sink(store, {"users": cdc.kept_rows(store, "users", ORDER)}))
+    return store.rows("users").select("id", "event_id", "value")
+
+
+@query("""WITH e AS (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) // 5 AS batch FROM events)
+          SELECT batch, 'users' AS "table", count(DISTINCT ('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 256) AS buckets FROM e GROUP BY batch""")
+def stream_buckets_rewritten(spark, sf):
+    """How many of a table's buckets each micro-batch of five pages has rewritten; the feed's end, which sweeps, is left out."""
+    root = shared_path(spark, "buckets")
+    published(spark, root, staged_pages(spark, sf, root))
+    store = BucketStore(spark, f"{root}/store", {"users": Table(ROWS, ("id",), 256)})
+    fed(spark, root, cdc.store_sink(store, {"users": cdc.kept_rows(store, "users", ORDER)}), 5)
+    pages = -(-len(names(spark, f"{root}/feed")) // 5)
+    return store.history().filter(F.col("batch") < pages).groupBy("batch", "table").agg(F.count("*").alias("buckets"))
+
+
+@query("""WITH last AS (SELECT user_id AS id, event_id, value, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-21' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+          SELECT id, event_id, part, round(value * part, 4) AS share FROM last, generate_series(1, event_id % 3 + 1) p(part) WHERE event_type <> 'error'""")
+def stream_feed_resync(spark, sf):
+    """Users and their parts in one commit, through a batch that fails once, a restart, and a feed that forgets the cursor.
+
+    The feed first has ten days; one batch fails after its commit, another
+    before.  Then it forgets all but the last ten days, so that everything is
+    read anew and what is not named any more is swept.
+    """
+    root = shared_path(spark, "resync")
+    pages = staged_pages(spark, sf, root)
+    store = user_store(spark, root, parts=Table("id long, event_id long, part long, share double, epoch int", ("id",)))
+    part = F.explode(F.sequence(F.lit(1).cast("long"), F.col("event_id") % 3 + 1))
+
+    def parts(rows: DataFrame) -> DataFrame:
+        return rows.select("id", "event_id", "value", "epoch", part.alias("part")).withColumn("share", F.round(F.col("value") * F.col("part"), 4))
+
+    apply = cdc.store_sink(store, {"users": cdc.kept_rows(store, "users", ORDER), "parts": cdc.kept_parts(store, "parts", ORDER, parts)})
+    failed = []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        if number == 2 and "before" not in failed:
+            failed.append("before")
+            raise OSError("the store is away")
+        apply(batch, number)
+        if number == 3 and "after" not in failed:
+            failed.append("after")
+            raise OSError("the answer of the store is lost")
+
+    published(spark, root, [p for p in pages if int(p[5:]) < 10])
+    while len(failed) < 3:
+        try:
+            fed(spark, root, sink, 2)
+            break
+        except StreamingQueryException:
+            continue
+    published(spark, root, [p for p in pages if int(p[5:]) >= 10])
+    publish_text(spark, f"{root}/feed/oldest=20", "")
+    fed(spark, root, sink, 3)
+    return store.rows("parts").join(store.rows("users").select("id"), "id", "left_semi").select("id", "event_id", "part", "share")
 
 
 @query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 3 MINUTE, TRUE)::INT AS new FROM events),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tessera.operators.buckets import BucketStore, Commit, Rewrite, newest
 from tessera.operators.state import latest
 
 #: One resync, so many changes, or this share of a large source goes slowly.
@@ -53,11 +54,12 @@ class Pacer:
             self.sleep(self.gap - spent)
 
 
-def stream_table(changes: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
+def stream_table(changes: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Each micro-batch, kept once, goes to every sink; the cursor moves only after all of them.
 
     A batch that fails is delivered again, so sinks have to be idempotent, such
-    as those that overwrite a path with the batch's number.
+    as those that overwrite a path with the batch's number, or those of a
+    BucketStore.  With `once` the stream ends with what is there now.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -68,7 +70,74 @@ def stream_table(changes: DataFrame, sinks: list[Callable[[DataFrame, int], None
         finally:
             batch.unpersist()
 
-    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def caught_up(running: StreamingQuery) -> None:
+    """Waits until a stream has taken what its source has, and stops it; an error of the stream is raised."""
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+
+
+#: What a micro-batch's changes make of one table.
+Change = Callable[[DataFrame, int | None], Rewrite]
+
+
+def store_sink(store: BucketStore, tables: dict[str, Change], writer: str = "", done: Callable[[Commit], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """Applies the pages of a feed (see sources.feed) to all tables in one commit.
+
+    Where the feed says that an epoch is whole, what none of its pages named
+    is swept in the same commit.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        whole = batch.filter("kind = 'end'").agg(F.max("epoch")).first()[0]
+        pages = batch.filter("kind = 'page'")
+        commit = store.commit({name: change(pages, whole) for name, change in tables.items()}, number, writer)
+        if done:
+            done(commit)
+
+    return sink
+
+
+def kept_rows(store: BucketStore, table: str, order: tuple[str, ...], deleted: str = "deleted", epoch: str = "epoch") -> Change:
+    """One row a key: its last change, or none where that is a tombstone."""
+    key = list(store.tables[table].key)
+
+    def change(pages: DataFrame, whole: int | None) -> Rewrite:
+        last = newest(pages, tuple(key), order)
+
+        def make(current: DataFrame) -> DataFrame:
+            rows = current.join(last.select(*key), key, "left_anti").unionByName(last.filter(~F.col(deleted)).select(*current.columns))
+            return rows if whole is None else rows.filter(F.col(epoch) >= whole)
+
+        return _touching(store, table, key, last, whole), make
+
+    return change
+
+
+def kept_parts(store: BucketStore, table: str, order: tuple[str, ...], parts: Callable[[DataFrame], DataFrame], deleted: str = "deleted", epoch: str = "epoch") -> Change:
+    """Rows that belong to a changed key, such as the chunks of a document: those of its last change in place of the earlier ones."""
+    key = list(store.tables[table].key)
+
+    def change(pages: DataFrame, whole: int | None) -> Rewrite:
+        last = newest(pages, tuple(key), order)
+
+        def make(current: DataFrame) -> DataFrame:
+            rows = current.join(last.select(*key), key, "left_anti").unionByName(parts(last.filter(~F.col(deleted))).select(*current.columns))
+            return rows if whole is None else rows.filter(F.col(epoch) >= whole)
+
+        return _touching(store, table, key, last, whole), make
+
+    return change
+
+
+def _touching(store: BucketStore, table: str, key: list[str], last: DataFrame, whole: int | None) -> DataFrame:
+    """The keys whose buckets a batch rewrites: those changed, and for a sweep all."""
+    return last.select(*key) if whole is None else last.select(*key).unionByName(store.rows(table).select(*key))
 
 
 def versioned_sink(spark: SparkSession, root: str, key: str, order: tuple[str, ...], deleted: str) -> Callable[[DataFrame, int], None]:
