@@ -10,7 +10,6 @@ of the batch that it came from: a batch that is delivered again changes nothing.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,7 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import names, publish_text, read_text, remove
+from tessera.operators.commits import CommitLog
+from tessera.sources.shared import names, remove
 
 LOG = "_commits"
 COMMIT = "version long, writer string, batch long, changed array<struct<table: string, bucket: int, folder: string>>"
@@ -54,20 +54,15 @@ class BucketStore:
 
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, Table]) -> None:
         self.spark, self.root, self.tables = spark, root, tables
+        self.log = CommitLog(spark, f"{root}/{LOG}")
 
     def versions(self) -> list[int]:
-        return [int(n.removesuffix(".json")) for n in names(self.spark, f"{self.root}/{LOG}") if n.endswith(".json") and n[0] != "."]
+        return self.log.versions()
 
     def commit_of(self, version: int | None = None) -> Commit:
         """The last commit, or an earlier one."""
-        known = self.versions()
-        version = version if version is not None else max(known, default=0)
-        if not version:
-            return Commit()
-        if version not in known:
-            raise ValueError(f"there is no commit {version} any more")
-        raw = json.loads(read_text(self.spark, self._path(version)))
-        return Commit(version, {t: {int(b): f for b, f in own.items()} for t, own in raw["folders"].items()}, raw["batches"])
+        raw = self.log.read(version)
+        return Commit(raw["version"], {t: {int(b): f for b, f in own.items()} for t, own in raw["folders"].items()}, raw["batches"]) if raw else Commit()
 
     def rows(self, table: str, buckets: list[int] | None = None, at: Commit | None = None) -> DataFrame:
         """A table's rows, or those of some buckets."""
@@ -103,9 +98,7 @@ class BucketStore:
                     own[b] = folder
                 changed.append({"table": name, "bucket": b, "folder": folder if b in filled else None})
         new = Commit(old.version + 1, folders, old.batches | ({} if batch is None else {writer: batch}))
-        text = json.dumps({"version": new.version, "writer": writer, "batch": batch, "changed": changed, "folders": folders, "batches": new.batches})
-        if not publish_text(self.spark, self._path(new.version), text):
-            raise RuntimeError(f"commit {new.version} was made by another writer")
+        self.log.publish({"version": new.version, "writer": writer, "batch": batch, "changed": changed, "folders": folders, "batches": new.batches})
         return new
 
     def history(self) -> DataFrame:
@@ -122,14 +115,11 @@ class BucketStore:
         for name in self.tables:
             used = {f for c in kept for f in c.folders.get(name, {}).values()}
             gone += [f"{self.root}/{name}/{f}" for f in names(self.spark, f"{self.root}/{name}") if f not in used]
-        gone += [self._path(v) for v in versions[:-keep]]
         for path in gone:
             remove(self.spark, path)
+        self.log.forget(versions[:-keep])
         return gone
 
-    def _path(self, version: int) -> str:
-        return f"{self.root}/{LOG}/{version:012d}.json"
-
 
 def newest(changes: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """The last change of each key, added up before any shuffle, so that a key with most of the changes costs no more than others."""

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tessera.functions.fulltext import postings
 from tessera.functions.vectors import literal
 from tessera.operators import search
+from tessera.operators.segments import SegmentedIndex
 from tessera.operators.profile import numeric_accuracy, retrieval_scores
 from tessera.operators.textindex import TextIndex
 from tessera.plans.filters import And, Eq, Layout, Not
 from tessera.plans.plan import Keywords
 from tessera.queries.base import query, table
+from tessera.sources.shared import shared_path
 
 TERMS = ("the", "idiot", "erent")
 LABELS = Layout(columns={"dataset": "label"})
@@ -175,3 +177,47 @@ def nearest_by_label(spark, sf):
 
     near = cosine("embedding", literal(asked(spark, sf, 11)))
     return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.max(near), 6).alias("nearest"))
+
+
+# An index by segments: most texts, then new and changed ones, then some gone.
+
+CHANGED_TEXTS = "(SELECT doc_id, CASE WHEN doc_id % 20 = 2 THEN text || ' idiot' ELSE text END AS text FROM documents WHERE doc_id % 20 <> 1)"
+
+
+def changed_index(spark, sf) -> SegmentedIndex:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    part = F.col("id") % 20
+    index = SegmentedIndex(spark, shared_path(spark, "segments"))
+    index.add(docs.filter(part != 0))
+    index.update(docs.filter(part.isin(0, 2)).withColumn("text", F.when(part == 2, F.concat("text", F.lit(" idiot"))).otherwise(F.col("text"))))
+    index.delete(docs.filter(part == 1).select("id"))
+    return index
+
+
+@query(bm25_sql(TERMS, "x = term", "SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 40").replace("FROM documents)", f"FROM {CHANGED_TEXTS})", 1))
+def segments_after_changes(spark, sf):
+    """The best texts after a twentieth came, a twentieth changed and a twentieth went."""
+    return changed_index(spark, sf).bm25(list(TERMS)).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("""SELECT 1 AS written, count(*) FILTER (doc_id % 20 <> 0) AS texts, count(*) FILTER (doc_id % 20 IN (1, 2)) AS gone FROM documents
+          UNION ALL SELECT 2, count(*) FILTER (doc_id % 20 IN (0, 2)), 0 FROM documents""")
+def segments_written(spark, sf):
+    """What each commit has written: the first segment stays as it was, what changed or went is marked."""
+    index = changed_index(spark, sf)
+    root, state = index.root, index.state()
+    texts = spark.read.parquet(f"{root}/docs").groupBy("segment").agg(F.count("*").alias("texts"))
+    gone = spark.read.parquet(f"{root}/dead/{state['dead']}").groupBy("segment").agg(F.sum(F.bit_count("low") + F.bit_count("high")).cast("long").alias("gone"))
+    written = F.regexp_extract("segment", "^s([0-9]+)-", 1).cast("int")
+    return texts.join(gone, "segment", "left").select(written.alias("written"), "texts", F.coalesce("gone", F.lit(0).cast("long")).alias("gone"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS words FROM documents),
+                p AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS at FROM w),
+                m AS (SELECT doc_id, word, at, lag(word) OVER o AS before, lag(at) OVER o AS first FROM p WHERE word IN ('that', 'with') WINDOW o AS (PARTITION BY doc_id ORDER BY at)),
+                both_words AS (SELECT doc_id, sum(0.1::DOUBLE / (at - first)) FILTER (word <> before) AS score FROM m GROUP BY doc_id HAVING count(DISTINCT word) = 2),
+                alone AS (SELECT doc_id, count(*) * 0.1::DOUBLE AS score FROM p WHERE word = 'stupid' GROUP BY doc_id)
+          SELECT doc_id, round(coalesce(b.score, 0) + coalesce(a.score, 0), 6) AS score FROM both_words b FULL JOIN alone a USING (doc_id)""")
+def cover_density_ranks(spark, sf):
+    """Ranks of a line with two words that have to be together, or a third."""
+    return indexed(spark, sf).search("that with or stupid", None).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
