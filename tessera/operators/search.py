@@ -15,6 +15,7 @@ from tessera.functions.fulltext import any_or_all, lexemes, websearch, word_toke
 from tessera.functions.text import col
 from tessera.functions.vectors import cosine, literal
 from tessera.operators.textindex import TextIndex
+from tessera.operators.vectorindex import VectorIndex
 from tessera.plans.filters import And, Layout, Node, compile_filter
 from tessera.plans.plan import Keywords
 
@@ -178,6 +179,19 @@ def hybrid(chunks: DataFrame, query: list[float], keywords: Keywords, semantic:
     return top(best_per(chunks.select(key, section).join(F.broadcast(fused), key), section, "score", key), "score", key, max(1, min(30, k)))
 
 
+def hybrid_many(vectors: VectorIndex, index: TextIndex, questions: DataFrame, k: int = 8, *, where: Node = And(), layout: Layout | None = None, exact: bool = False, itself: bool = False) -> DataFrame:
+    """question, id, score, rank: fused candidates of both legs for a table of questions (question, vector, terms), each leg in one pass."""
+    near = vectors.knn_many(questions, CANDIDATES, key="question", vector="vector", where=where, layout=layout, exact=exact, itself=itself).select("question", F.col("key").alias("id"), "rank")
+    worded = index.bm25_many(questions, CANDIDATES + (not itself))
+    if not itself:
+        # A question's own text takes no place.
+        again = Window.partitionBy("question").orderBy("rank")
+        worded = worded.filter("id != question").withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= CANDIDATES)
+    fused = near.unionByName(worded.select("question", "id", "rank")).groupBy("question", "id").agg(F.sum(F.lit(1.0) / (FUSION + F.col("rank"))).alias("score"))
+    best = Window.partitionBy("question").orderBy(F.col("score").desc(), "id")
+    return fused.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def two_stage(documents: DataFrame, chunks: DataFrame, query: list[float], docs: int = 20) -> DataFrame:
     """Chunks of the documents with the nearest summaries; documents without a summary stay in."""
     first = knn(documents.filter("summary_embedding is not null"), query, docs, vector="summary_embedding").select("id")

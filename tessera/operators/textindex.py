@@ -14,7 +14,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.fulltext import ENGLISH_STOP, lexemes, porter2_udf, websearch, word_tokens, words_of
@@ -62,7 +62,7 @@ class TextIndex:
     @classmethod
     def stored(cls, docs: DataFrame, key: str = "id", text: str = "text", stem: bool = False) -> TextIndex:
         """The stored index of a table's files as they are now; built where there is none."""
-        spark, name = docs.sparkSession, _version(docs, f"{key} {text} {stem}")
+        spark, name = docs.sparkSession, version_of(docs, f"{key} {text} {stem}")
         path = named_path(spark, f"textindex-{name}")
         if not exists(spark, f"{path}/totals/_SUCCESS"):
             cls.of(docs, key, text, stem).write(path)
@@ -89,6 +89,20 @@ class TextIndex:
         part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("average")))
         return _top(found.join(weights, "term").groupBy("id").agg(F.sum(part).alias("score")), "score", "id", k)
 
+    def bm25_many(self, questions: DataFrame, k: int = 40) -> DataFrame:
+        """question, id, score, rank: the k best texts for every question (question, terms), in one pass over the postings of all their terms."""
+        asked = questions.select("question", F.explode(F.array_distinct("terms")).alias("term"))
+        found = self.postings.select("id", "term", "tf", "length").join(asked.select("term").distinct(), "term", "left_semi")
+        docs, seen = F.col("docs"), found.groupBy("term").agg(F.count("*").alias("with_term"))
+        idf = F.ln((docs - F.col("with_term") + 0.5) / (F.col("with_term") + 0.5))
+        # The totals are one row.
+        weights = seen.crossJoin(F.broadcast(self.totals)).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), (F.col("words") / docs).alias("average"))
+        tf, length = F.col("tf"), F.col("length")
+        part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("average")))
+        scored = found.join(asked.join(weights, "term"), "term").groupBy("question", "id").agg(F.sum(part).alias("score"))
+        best = Window.partitionBy("question").orderBy(F.col("score").desc(), "id")
+        return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
     def places(self, terms: list[str]) -> DataFrame:
         """id and a column of positions for each term, p0, p1 and so on; null where a text lacks the term."""
         own = self.postings.filter(F.col("term").isin(terms))
@@ -160,7 +174,7 @@ def covers(places: list[Column]) -> Column:
     return F.aggregate(marks, start, step, lambda state: state["total"])
 
 
-def _version(docs: DataFrame, how: str) -> str:
+def version_of(docs: DataFrame, how: str) -> str:
     """A name for a table's files with their sizes and times."""
     spark, digest = docs.sparkSession, hashlib.sha256(how.encode())
     conf = spark._jsc.hadoopConfiguration()

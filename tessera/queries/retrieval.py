@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.fulltext import postings
+from tessera.functions.fulltext import postings, word_tokens
 from tessera.functions.vectors import literal
 from tessera.operators import search
 from tessera.operators.segments import SegmentedIndex
 from tessera.operators.profile import numeric_accuracy, retrieval_scores
-from tessera.operators.textindex import TextIndex
+from tessera.operators.textindex import TextIndex, version_of
+from tessera.operators.vectorindex import VectorIndex
 from tessera.plans.filters import And, Eq, Layout, Not
 from tessera.plans.plan import Keywords
 from tessera.queries.base import query, table
-from tessera.sources.shared import shared_path
+from tessera.sources.shared import named_path, shared_path
 
 TERMS = ("the", "idiot", "erent")
 LABELS = Layout(columns={"dataset": "label"})
@@ -25,6 +26,13 @@ def indexed(spark, sf) -> TextIndex:
     return TextIndex.stored(table(spark, sf, "documents"), "doc_id")
 
 
+def vectors_indexed(spark, sf, per_cell: int = 64) -> VectorIndex:
+    """The stored index of the vectors with their labels, built where there is none for the files as they are."""
+    rows = table(spark, sf, "embeddings")
+    path = named_path(spark, f"vectorindex-{version_of(rows, f'vec_id embedding label {per_cell}')}")
+    return VectorIndex.stored(rows, path, key="vec_id", filters=("label",), k=5, per_cell=per_cell)
+
+
 def asked(spark, sf, vec_id: int) -> list[float]:
     return table(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).head()["embedding"]
 
@@ -117,11 +125,10 @@ def hybrid_best_per_group(spark, sf):
                hit AS (SELECT question, min(rank) AS rank FROM ranked JOIN (SELECT vec_id, label FROM embeddings) e ON e.vec_id = question AND e.label = file GROUP BY 1)
           SELECT count(*) AS questions, round(avg((h.rank IS NOT NULL)::INT), 9) AS hit_at_k, round(avg(coalesce(1.0::DOUBLE / h.rank, 0)), 9) AS mrr FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q LEFT JOIN hit h ON h.question = q.vec_id""")
 def eval_hit5_mrr(spark, sf):
-    """Every twentieth vector as a question, against all others; a file is a label."""
+    """Every twentieth vector as a question, against all others, in one pass over the codes of all; a file is a label."""
     rows = table(spark, sf, "embeddings")
     questions = rows.filter(F.col("vec_id") % 20 == 0)
-    position = F.row_number().over(Window.partitionBy("question").orderBy(F.col("similarity").desc(), "vec_id"))
-    cites = search.knn_many(rows, questions, key="vec_id").withColumn("position", position)
+    cites = vectors_indexed(spark, sf).knn_many(questions, key="vec_id", exact=True).select(F.col("key").alias("vec_id"), "question", F.col("rank").alias("position"))
     cites = cites.join(rows.select("vec_id", "label"), "vec_id").select("question", F.col("label").alias("file"), "position")
     expected = questions.select(F.col("vec_id").alias("question"), F.col("label").alias("file"))
     return retrieval_scores(cites, expected).select("questions", F.round("hit_at_k", 9).alias("hit_at_k"), F.round("mrr", 9).alias("mrr"))
@@ -213,11 +220,50 @@ def segments_written(spark, sf):
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS words FROM documents),
-                p AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS at FROM w),
-                m AS (SELECT doc_id, word, at, lag(word) OVER o AS before, lag(at) OVER o AS first FROM p WHERE word IN ('that', 'with') WINDOW o AS (PARTITION BY doc_id ORDER BY at)),
-                both_words AS (SELECT doc_id, sum(0.1::DOUBLE / (at - first)) FILTER (word <> before) AS score FROM m GROUP BY doc_id HAVING count(DISTINCT word) = 2),
+                p AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM w),
+                m AS (SELECT doc_id, word, place, lag(word) OVER o AS before, lag(place) OVER o AS first_place FROM p WHERE word IN ('that', 'with') WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+                both_words AS (SELECT doc_id, sum(0.1::DOUBLE / (place - first_place)) FILTER (word <> before) AS score FROM m GROUP BY doc_id HAVING count(DISTINCT word) = 2),
                 alone AS (SELECT doc_id, count(*) * 0.1::DOUBLE AS score FROM p WHERE word = 'stupid' GROUP BY doc_id)
           SELECT doc_id, round(coalesce(b.score, 0) + coalesce(a.score, 0), 6) AS score FROM both_words b FULL JOIN alone a USING (doc_id)""")
 def cover_density_ranks(spark, sf):
     """Ranks of a line with two words that have to be together, or a third."""
     return indexed(spark, sf).search("that with or stupid", None).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+# Questions as a table.
+
+
+@query("""SELECT count(*) FILTER (vec_id % 20 = 0) AS questions, TRUE AS nearly_all_found, TRUE AS few_vectors_read, TRUE AS filter_holds FROM embeddings""")
+def vector_index_recall(spark, sf):
+    """Every twentieth vector asks for its five nearest of other labels than 3: recall of at least 0.9, at most a fifth of the vectors read."""
+    rows = table(spark, sf, "embeddings")
+    index, where = vectors_indexed(spark, sf), And((Not(Eq("dataset", "3")),))
+    questions = rows.filter(F.col("vec_id") % 20 == 0)
+    near = index.knn_many(questions, 5, key="vec_id", where=where, layout=LABELS)
+    # Held against all rows, in one pass too.
+    right = index.knn_many(questions, 5, key="vec_id", where=where, layout=LABELS, exact=True).select("question", "key", F.lit(1).alias("right"))
+    both = near.join(right, ["question", "key"], "full").join(rows.select(F.col("vec_id").alias("key"), "label"), "key")
+    found = both.agg((F.count(F.when(F.col("rank").isNotNull(), F.col("right"))) / F.count("right") >= 0.9).alias("nearly_all_found"), F.bool_and(F.col("label") != 3).alias("filter_holds"))
+    read = near.groupBy("question").agg(F.max("scored").alias("scored")).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
+    read = read.agg((F.avg(F.col("scored") / F.col("n")) <= 0.2).alias("few_vectors_read"))
+    return questions.agg(F.count("*").alias("questions")).crossJoin(found).crossJoin(read)
+
+
+@query(rf"""WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
+                q AS (SELECT DISTINCT doc_id AS question, unnest(words[1:3]) AS term FROM w WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+                r AS (SELECT doc_id, term, len(words) AS length, len(list_filter(words, lambda x: x = term)) AS tf FROM w, (SELECT DISTINCT term FROM q)),
+                a AS (SELECT count(*) AS docs, avg(len(words)) AS average FROM w), n AS (SELECT term, count(*) FILTER (tf > 0) AS with_term FROM r GROUP BY 1),
+                i AS (SELECT term, average, CASE WHEN ln((docs - with_term + 0.5) / (with_term + 0.5)) > 0 THEN ln((docs - with_term + 0.5) / (with_term + 0.5)) ELSE 1e-6 END AS idf FROM n, a),
+                s AS (SELECT question, doc_id AS id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / average))) AS score FROM r JOIN i USING (term) JOIN q USING (term) WHERE tf > 0 AND doc_id <> question GROUP BY ALL),
+                v AS (SELECT a.vec_id AS question, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND a.vec_id IN (SELECT doc_id FROM documents)),
+                legs AS (SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS place FROM s QUALIFY place <= 40
+                         UNION ALL SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS place FROM v QUALIFY place <= 40),
+                f AS (SELECT question, id, sum(1.0::DOUBLE / (60 + place)) AS score FROM legs GROUP BY ALL)
+          SELECT question, id, round(f.score, 9) AS score, row_number() OVER (PARTITION BY question ORDER BY f.score DESC, id)::INT AS rank FROM f QUALIFY rank <= 8""")
+def hybrid_for_all_questions(spark, sf):
+    """A table of questions through both legs at once: vectors by their codes, the first words of texts by their postings."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("question"), F.slice(word_tokens("text"), 1, 3).alias("terms"))
+    questions = vectors.filter(F.col("question") % 20 == 0).join(texts, "question")
+    out = search.hybrid_many(vectors_indexed(spark, sf), indexed(spark, sf), questions, exact=True)
+    return out.select("question", "id", F.round("score", 9).alias("score"), "rank")
