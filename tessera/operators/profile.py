@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.matching import overlapping_sets
+
 
 def profile(rows: DataFrame, approximate: bool = True) -> DataFrame:
     """A row for each column: name, type, min, max, avg, std, count, nulls in percent, and with `approximate` distinct values and quartiles.
@@ -56,23 +58,16 @@ def numeric_accuracy(got: DataFrame, expected: DataFrame, tolerance: float = 0.0
 
 
 def similar_pairs(rows: DataFrame, key: str, words: str, least: float = 0.6) -> DataFrame:
-    """a, b, overlap of rows whose distinct words overlap by a share of the smaller set.
-
-    Meant for short rows such as saved rules: rows meet on every word they share.
-    """
-    sized = rows.select(key, F.array_distinct(words).alias("words")).filter(F.size("words") > 0)
-    word = sized.select(key, F.size("words").alias("n"), F.explode("words").alias("word"))
-    both = word.alias("x").join(word.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col(f"x.{key}") < F.col(f"y.{key}")))
-    shared = both.groupBy(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"), F.least("x.n", "y.n").alias("least")).agg(F.count("*").alias("shared"))
-    return shared.select("a", "b", (F.col("shared") / F.col("least")).alias("overlap")).filter(F.col("overlap") >= least)
+    """a, b, overlap of rows whose distinct words overlap by a share of the smaller set."""
+    found = overlapping_sets(rows.select(F.lit(0).alias("side"), F.col(key).alias("id"), F.col(words).alias("items")), least)
+    return found.select(F.least("small.id", "large.id").alias("a"), F.greatest("small.id", "large.id").alias("b"), "overlap")
 
 
 def best_match(new: DataFrame, old: DataFrame, key: str, words: str, least: float = 0.6) -> DataFrame:
     """key, match, overlap: the existing row that each new one restates most, if any does."""
-    a = new.select(key, F.size(words).alias("n"), F.explode(words).alias("word"))
-    b = old.select(F.col(key).alias("match"), F.size(words).alias("m"), F.explode(words).alias("word"))
-    shared = a.join(b, "word").groupBy(key, "match", F.least("n", "m").alias("least")).agg(F.count("*").alias("shared"))
-    good = shared.withColumn("overlap", F.col("shared") / F.col("least")).filter(F.col("overlap") >= least)
+    sides = [df.select(F.lit(n).alias("side"), F.col(key).alias("id"), F.col(words).alias("items")) for n, df in enumerate((new, old))]
+    found = overlapping_sets(sides[0].unionByName(sides[1]), least)
+    of = lambda side: F.when(F.col("small.side") == side, F.col("small.id")).otherwise(F.col("large.id"))
+    both = found.filter("small.side != large.side").select(of(0).alias(key), of(1).alias("match"), "overlap")
     window = Window.partitionBy(key).orderBy(F.col("overlap").desc(), "match")
-    return good.withColumn("__n", F.row_number().over(window)).filter("__n = 1").select(key, "match", "overlap")
-
+    return both.withColumn("__n", F.row_number().over(window)).filter("__n = 1").select(key, "match", "overlap")

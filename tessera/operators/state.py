@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.matching import contained
 from tessera.plans.filters import under
 
 KEY = ("source_id", "item_id")
@@ -64,9 +65,16 @@ def retag(children: DataFrame, documents: DataFrame, columns: list[str], key: st
 def delete_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that are neither an item nor inside a deleted folder (items: item_id, path, is_folder)."""
     left = documents.join(items.select("item_id"), "item_id", "left_anti")
-    # Folders deleted at a time are few; the test of a prefix is no equality to shuffle on.
     folders = items.filter("is_folder").select(F.col("path").alias("folder"))
-    return left.join(folders, under("path", F.col("folder")), "left_anti")
+    # A document meets the folders above it by their names.
+    inside = left.select("path", F.explode(folders_above("path")).alias("folder")).join(folders, "folder", "left_semi").select("path").distinct()
+    return left.join(inside, "path", "left_anti").select(*documents.columns)
+
+
+def folders_above(path: str) -> Column:
+    """The paths of all folders that a path lies in."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.when(F.size(parts) > n, F.array_join(F.slice(parts, 1, n), "/")))
 
 
 def cascade(children: DataFrame, documents: DataFrame, key: str = "document_id") -> DataFrame:
@@ -135,23 +143,36 @@ def expire(corrections: DataFrame, now: Column) -> DataFrame:
 
 
 def supersede(corrections: DataFrame, changed: DataFrame) -> DataFrame:
-    """Approved corrections that a newer file on the same subject may overtake need review (changed: item_id, dataset, hotel, entities, period_start, period_end)."""
-    c, d = corrections.alias("c"), changed.select("item_id", *[F.col(x).alias(f"__{x}") for x in ("dataset", "hotel", "entities", "period_start", "period_end")])
-    subject = (F.lower("dataset") == F.lower("__dataset")) | F.coalesce(F.arrays_overlap("entities", "__entities"), F.lit(False))
+    """Approved corrections that a newer file on the same subject may overtake need review (changed: item_id, dataset, hotel, entities, period_start, period_end).
+
+    They meet on the dataset's name and on each entity.
+    """
+    c, d = corrections.select("id", "dataset", "hotel", "entities", "period_start", "period_end"), changed.select("item_id", *[F.col(x).alias(f"__{x}") for x in ("dataset", "hotel", "entities", "period_start", "period_end")])
     place = F.col("hotel").isNull() | (F.lower("hotel") == F.lower("__hotel"))
     when = F.col("period_start").isNull() | ((F.col("period_start") <= F.col("__period_end")) & (F.coalesce("period_end", "period_start") >= F.col("__period_start")))
-    hit = c.join(d, F.coalesce(subject, F.lit(False)) & place & when).groupBy("id").agg(F.min("item_id").alias("__by"))
+    subjects = lambda name, entities: F.explode(F.array_distinct(F.concat(F.array(F.struct(F.lit(True).alias("named"), F.lower(name).alias("of"))), F.transform(F.coalesce(entities, F.array()), lambda e: F.struct(F.lit(False).alias("named"), e.alias("of"))))))
+    met = c.withColumn("subject", subjects("dataset", F.col("entities"))).join(d.withColumn("subject", subjects("__dataset", F.col("__entities"))), "subject")
+    hit = met.filter(F.col("subject.of").isNotNull() & place & when).groupBy("id").agg(F.min("item_id").alias("__by"))
     out = corrections.join(hit, "id", "left")
     flagged = F.col("__by").isNotNull() & (F.col("status") == "approved")
     return out.withColumns({"status": F.when(flagged, "needs_review").otherwise(F.col("status")), "superseded_by_item": F.when(flagged, F.col("__by")).otherwise(F.col("superseded_by_item"))}).select(*corrections.columns)
 
 
 def contradicted(corrections: DataFrame, cited: DataFrame) -> DataFrame:
-    """Corrections with `contradicts`: the first cited file of their dataset, or whose name holds it (cited: position, file, dataset)."""
-    files = cited.select("position", "file", F.col("dataset").alias("__dataset"))  # one answer's cites, 30 at most
-    hit = (F.lower("dataset") == F.lower("__dataset")) | F.contains(F.lower("file"), F.lower("dataset"))
-    first = corrections.join(files, hit).groupBy("id").agg(F.min_by("file", "position").alias("contradicts"))
-    return corrections.join(first, "id", "left")
+    """Corrections with `contradicts`: the first cited file of their dataset, or whose name holds it (cited: position, file, dataset).
+
+    Datasets meet file names by the rarest of their character runs; an empty
+    one is in every name.
+    """
+    files = cited.select("position", "file", F.lower("dataset").alias("of"))
+    wanted = corrections.select(F.lower("dataset").alias("of")).filter("of is not null").distinct()
+    names = files.filter("file is not null").groupBy("file").agg(F.min("position").alias("position"))
+    held = contained(wanted.select(F.col("of").alias("needle")), names.select(F.col("file").alias("text_id"), F.lower("file").alias("text")))
+    by_name = held.select(F.col("needle").alias("of"), F.col("text_id").alias("file")).join(names, "file").select("of", "position", "file")
+    any_name = wanted.filter("of = ''").join(F.broadcast(names.orderBy("position", "file").limit(1)))  # one row with one row
+    hits = files.filter("of is not null").select("of", "position", "file").unionByName(by_name).unionByName(any_name.select("of", "position", "file"))
+    first = hits.groupBy("of").agg(F.min_by("file", F.struct("position", "file")).alias("contradicts"))
+    return corrections.join(first, F.lower("dataset") == F.col("of"), "left").drop("of")
 
 
 # Memory

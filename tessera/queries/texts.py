@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, numbers, text, vectors
+from tessera.operators import state
 from tessera.operators.chunk import windows_of
+from tessera.operators.matching import contained, similar_classes
 from tessera.operators.profile import best_match, similar_pairs
 from tessera.queries.base import query, table
 
@@ -136,10 +138,41 @@ def near_duplicate_rule(spark, sf):
 @query("""WITH c AS (SELECT item_id, split_part(text, ' ', 2) AS needle FROM benchmark)
           SELECT item_id, min(doc_id) AS first_doc FROM c JOIN documents ON contains(documents.text, c.needle) GROUP BY 1""")
 def contains_theta_join(spark, sf):
-    """Needles meet texts by substring; Spark broadcasts the needles while they are small."""
+    """Needles meet texts on the rarest of their character runs."""
     needles = table(spark, sf, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(2)).alias("needle"))
-    hit = table(spark, sf, "documents").select("doc_id", "text").join(needles, F.contains("text", "needle"))
-    return hit.groupBy("item_id").agg(F.min("doc_id").alias("first_doc"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return contained(needles, texts).join(needles, "needle").groupBy("item_id").agg(F.min("text_id").alias("first_doc"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 9 = 1 THEN upper(c_mktsegment) ELSE (['tin', 'BRASS', 'o', 'Economy', 'ed ni'])[c_custkey % 5 + 1] END AS dataset FROM customer),
+               f AS (SELECT p_partkey AS place, p_type || ' ' || p_partkey || '.xlsx' AS file, CASE WHEN p_partkey % 50 = 0 THEN 'Machinery' WHEN p_partkey % 3 > 0 THEN p_brand END AS dataset FROM part)
+          SELECT id, arg_min(file, place) AS contradicts FROM c LEFT JOIN f ON lower(c.dataset) = lower(f.dataset) OR contains(lower(file), lower(c.dataset)) GROUP BY id""")
+def corrections_contradicted(spark, sf):
+    """The first cited file of a correction's dataset, or whose name holds it."""
+    listed = F.element_at(F.array(*[F.lit(x) for x in ("tin", "BRASS", "o", "Economy", "ed ni")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    nine = F.col("c_custkey") % 9
+    corrections = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(nine == 1, F.upper("c_mktsegment")).when(nine > 1, listed).alias("dataset"))
+    file = F.concat("p_type", F.lit(" "), F.col("p_partkey").cast("string"), F.lit(".xlsx"))
+    dataset = F.when(F.col("p_partkey") % 50 == 0, "Machinery").when(F.col("p_partkey") % 3 > 0, F.col("p_brand"))
+    cited = table(spark, sf, "part").select(F.col("p_partkey").alias("position"), file.alias("file"), dataset.alias("dataset"))
+    return state.contradicted(corrections, cited).select("id", "contradicts")
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS words FROM documents),
+                g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) AS grams FROM w WHERE len(words) >= 5),
+                c AS (SELECT min(doc_id) AS class, count(*) AS members, grams FROM g GROUP BY grams),
+                e AS (SELECT class, len(grams) AS n, unnest(grams) AS gram FROM c),
+                p AS (SELECT a.class AS a, b.class AS b, count(*) / least(a.n, b.n) AS overlap FROM e a JOIN e b ON a.gram = b.gram AND a.class < b.class GROUP BY a.class, b.class, a.n, b.n)
+           SELECT p.a, p.b, round(overlap, 6) AS overlap, x.members AS members_a, y.members AS members_b FROM p JOIN c x ON x.class = p.a JOIN c y ON y.class = p.b WHERE overlap >= 0.8""")
+def texts_mostly_within_others(spark, sf):
+    """Texts whose five-word runs lie for four fifths in another text, by classes of texts with equal runs."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    run = lambda w: lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " "))
+    runs = text.bound(words, lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), run(w))))
+    rows = table(spark, sf, "documents").select("doc_id", runs.alias("runs"))
+    pairs, members = similar_classes(rows, "doc_id", "runs", 0.8)
+    sizes = members.groupBy("class").agg(F.count("*").alias("members"))
+    return pairs.join(sizes.toDF("a", "members_a"), "a").join(sizes.toDF("b", "members_b"), "b").select("a", "b", F.round("overlap", 6).alias("overlap"), "members_a", "members_b")
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(pay( now)?|purchase|buy now|place (your )?order|checkout|check out|transfer( funds)?|confirm payment|submit payment|approve payment)\\b') THEN 'Pay' WHEN regexp_matches(lower(text), '\\b(delete|remove|trash|discard|erase|permanently)\\b') THEN 'Delete' WHEN regexp_matches(lower(text), '\\b(send|post|publish|reply( all)?|forward|share|invite)\\b') THEN 'Send' END AS risk FROM conversations".replace("\\\\", "\\"))

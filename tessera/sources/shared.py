@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -80,3 +80,23 @@ def publish_text(spark: SparkSession, path: str, text: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     fs, where = _files(spark, path)
     fs.delete(where, True)
+
+
+_STORED: list[str] = []
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows from a new table in the shared folder, so that those who read them more than once do not make them anew; it stays until drop_stored()."""
+    path = shared_path(rows.sparkSession, name)
+    _STORED.append(path)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes the tables that this driver has stored so far; what still reads them fails."""
+    paths = list(_STORED)
+    for path in paths:
+        remove(spark, path)
+    _STORED.clear()
+    return len(paths)
