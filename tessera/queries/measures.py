@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.profile import profile
 from tessera.operators.search import confidence, hydrate
+from tessera.operators.sketches import FileSketches, by_time, percentile_since
 from tessera.operators.state import latest, missing_from, newest_facts, sweep_left_out
 from tessera.plans import catalog, measure
 from tessera.plans.filters import And, Eq, Layout, Not, Or, Overlaps, compile_filter, contains_pattern, under
 from tessera.queries.base import query, table
+from tessera.sources.shared import shared_path
 
 DOCS = Layout(columns={"hotel": "source", "department": "lang", "dataset": "quality", "file_type": "toxic"})
 TWO_YEARS = [("1996-01-01", "1996-12-31"), ("1998-01-01", "1998-12-31")]
@@ -168,6 +173,39 @@ def table_profile_approx(spark, sf):
     return profile(orders(spark, sf))
 
 
+@query("""SELECT 'o_custkey' AS column_name, count(*) AS count, min(o_custkey)::DOUBLE AS low, max(o_custkey)::DOUBLE AS high, round(avg(o_custkey), 4) AS avg, round(stddev_samp(o_custkey), 4) AS std, TRUE AS unique_close, TRUE AS quartiles_close FROM orders
+          UNION ALL SELECT 'o_totalprice', count(*), min(o_totalprice), max(o_totalprice), round(avg(o_totalprice), 4), round(stddev_samp(o_totalprice), 4), TRUE, TRUE FROM orders
+          UNION ALL SELECT 'o_orderpriority', count(*), NULL, NULL, NULL, NULL, TRUE, NULL FROM orders""")
+def profile_of_files(spark, sf):
+    """A profile merged from sketches of a year's file each: distinct values within 5 %, quartiles within 2 % of their rank."""
+    path = shared_path(spark, "profiled")
+    rows = orders(spark, sf).select("o_custkey", "o_totalprice", "o_orderpriority", F.year("o_orderdate").alias("year"))
+    rows.repartition("year").write.partitionBy("year").parquet(f"{path}/orders")
+    files = spark.read.parquet(f"{path}/orders").drop("year")
+    found = FileSketches(spark, f"{path}/sketches").profile(files)
+    quartiles = {r["column_name"]: (r["q25"], r["q50"], r["q75"]) for r in found.collect()}  # a row a column
+    true = []
+    for name, ends in quartiles.items():
+        ranks = [F.abs(F.avg((F.col(name) <= q).cast("double")) - r) <= 0.02 for q, r in zip(ends, (0.25, 0.5, 0.75), strict=True)] if ends[0] is not None else [F.lit(None).cast("boolean")]
+        true.append(F.struct(F.lit(name).alias("name"), F.count_distinct(name).alias("distinct"), reduce(and_, ranks).alias("quartiles_close")))
+    exact = files.agg(F.array(*true).alias("x")).select(F.inline("x"))
+    out = found.join(exact, F.col("column_name") == F.col("name"))
+    close = F.abs(F.col("approx_unique") - F.col("distinct")) <= 0.05 * F.col("distinct")
+    return out.select("column_name", "count", F.col("min").try_cast("double").alias("low"), F.col("max").try_cast("double").alias("high"), F.round("avg", 4).alias("avg"), F.round("std", 4).alias("std"), close.alias("unique_close"), "quartiles_close")
+
+
+@query("""WITH e AS (SELECT * FROM events WHERE event_type <> 'error'), last AS (SELECT * FROM e WHERE ts >= (SELECT date_trunc('hour', max(ts)) - INTERVAL 5 DAY FROM events))
+          SELECT count(*) AS n, TRUE AS close FROM last""")
+def latency_p95_sketched(spark, sf):
+    """The 95th percentile of the last days from a sketch an hour: within 2 % of its rank."""
+    rows = table(spark, sf, "events").filter("event_type <> 'error'")
+    newest = table(spark, sf, "events").agg((F.date_trunc("hour", F.max(F.col("ts").cast("timestamp"))) - F.expr("interval 5 days")).alias("since"))
+    since = newest.first()["since"]
+    found = percentile_since(by_time(rows, "ts", "value", "1 hour"), F.lit(since), 0.95)
+    below = rows.filter(F.col("ts").cast("timestamp") >= F.lit(since)).crossJoin(F.broadcast(found))  # one row
+    return below.groupBy("n").agg((F.abs(F.avg((F.col("value") <= F.col("percentile")).cast("double")) - 0.95) <= 0.02).alias("close"))
+
+
 @query("SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance, NULL::VARCHAR AS segment FROM supplier UNION ALL BY NAME SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
 def union_by_name_mixed(spark, sf):
     a = table(spark, sf, "supplier").selectExpr("s_suppkey AS key", "s_name AS name", "s_acctbal AS balance")
