@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,23 +163,70 @@ def idle_check(spark, sf):
     return cdc.idle(table(spark, sf, "events"), "ts", F.lit("2024-02-15").cast("timestamp_ntz"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 's' || user_id % 7 AS source, event_id, 'user:' || user_id AS signature, epoch_us(ts)::DOUBLE / 1e6::DOUBLE AS moment FROM events WHERE event_type = 'error'),
+CAP_SQL = """WITH RECURSIVE e AS (SELECT 's' || user_id % 7 AS source, event_id, 'user:' || user_id AS signature, epoch_us(ts)::DOUBLE / 1e6::DOUBLE AS moment FROM events WHERE event_type = 'error'),
                o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY moment, event_id) AS k FROM e),
                s AS (SELECT source, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS signature, NULL::DOUBLE AS moment, FALSE AS admitted, []::STRUCT(signature VARCHAR, moment DOUBLE)[] AS hour FROM (SELECT DISTINCT source FROM e)
                      UNION ALL SELECT source, k, event_id, signature, moment, fits, CASE WHEN fits THEN list_append(hour, {'signature': signature, 'moment': moment}) ELSE hour END
                      FROM (SELECT *, len(hour) < 4 AND len(list_filter(hour, lambda x: x.signature = signature AND moment - x.moment < 1800)) = 0 AS fits
                            FROM (SELECT o.source, o.k, o.event_id, o.signature, o.moment, list_filter(s.hour, lambda x: o.moment - x.moment < 3600) AS hour FROM s JOIN o ON o.source = s.source AND o.k = s.k + 1)))
-          SELECT source, event_id, signature, moment AS "at" FROM s WHERE admitted""")
-def rate_cap_dedupe(spark, sf):
-    """Errors admitted once in half an hour by signature, four an hour by source."""
-    events = stream(spark, sf).filter("event_type = 'error'")
-    shaped = events.select(F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("source"), "event_id", F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("signature"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+          SELECT source, event_id, signature, moment AS "at" FROM s WHERE admitted"""
+
+
+def capped_events(spark, sf) -> DataFrame:
+    """Errors by source and signature, with their time as seconds and as a timestamp."""
+    source, signature = F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")), F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
+    return stream(spark, sf).filter("event_type = 'error'").select(source.alias("source"), "event_id", signature.alias("signature"), at.alias("at"), F.col("ts").cast("timestamp").alias("moment"))
+
+
+@contextmanager
+def rocks(spark):
+    """State in RocksDB while a stream with state of its own runs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
     try:
-        return finished(cdc.rate_capped(shaped.withColumn("at", F.col("micros") / 1e6).drop("micros")), spark, "ratecap")
+        yield
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@query(CAP_SQL)
+def rate_cap_dedupe(spark, sf):
+    """Errors admitted once in half an hour by signature, four an hour by source."""
+    with rocks(spark):
+        return finished(cdc.rate_capped(capped_events(spark, sf).drop("moment")), spark, "ratecap")
+
+
+@query(f"SELECT count(*) AS admitted, 0::BIGINT AS state_rows FROM ({CAP_SQL})")
+def rate_cap_forgets(spark, sf):
+    """The same in event time: a day after the last error no source has any state left."""
+    path = shared_path(spark, "forgets")
+    # The heartbeat is a file of its own behind the events.
+    last = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("last")).first()["last"]
+    beat = F.lit(last) + F.expr("interval 1 day")
+    rows = capped_events(spark, sf)
+    beats = spark.createDataFrame([(None, -1, None, 0.0)], "source string, event_id long, signature string, at double").withColumn("moment", beat)
+    beats.write.parquet(f"{path}/beats")
+    both = rows.unionByName(spark.readStream.schema(beats.schema).parquet(f"{path}/beats"))
+    with rocks(spark):
+        running = cdc.rate_capped_in_time(both, "moment", until=beat).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").start()
+        cdc.caught_up(running)
+    left = running.lastProgress["stateOperators"][0]["numRowsTotal"]
+    return spark.read.schema(cdc.CAPPED).parquet(f"{path}/out").agg(F.count("*").alias("admitted")).withColumn("state_rows", F.lit(left).cast("long"))
+
+
+@query("""SELECT event_type, count(*) AS n, count(DISTINCT ts::DATE) AS told FROM events GROUP BY event_type""")
+def stream_snapshot_and_deltas(spark, sf):
+    """Counts in update mode over a page a day: the last row of each key, and how often it was told anew."""
+    path = shared_path(spark, "deltas")
+    table(spark, sf, "events").select("event_type", DAY.alias("page")).repartition("page").write.partitionBy("page").parquet(f"{path}/pages")
+    pages = spark.readStream.schema("event_type string").option("maxFilesPerTrigger", 1).parquet(f"{path}/pages/page=*")
+    deltas = cdc.Deltas(spark, f"{path}/told", ("event_type",), "event_type string, n long")
+    counts = pages.groupBy("event_type").agg(F.count("*").alias("n"))
+    running = counts.writeStream.outputMode("update").foreachBatch(deltas.sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    if not running.awaitTermination(WAIT_S):
+        running.stop()
+        raise TimeoutError("the counts did not end")
+    told = deltas.since().groupBy("event_type").agg(F.count("*").alias("told"))
+    return deltas.snapshot().join(told, "event_type").select("event_type", "n", "told")

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -211,9 +211,67 @@ class RateCap(StatefulProcessor):
         pass
 
 
+class ForgettingCap(RateCap):
+    """The same in event time; a source without an event for an hour leaves no state behind."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = list(rows)
+        newest = max((float(r["at"].max()) for r in held if len(r)), default=0.0)
+        yield from super().handleInputRows(key, iter(held), timerValues)
+        due = int(1000 * (newest + HOUR_S))
+        for known in list(self.handle.listTimers()):
+            due = max(due, known)
+            self.handle.deleteTimer(known)
+        self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        self.started.clear()
+        return iter([])
+
+
+CAPPED = "source string, event_id long, signature string, at double"
+
+
 def rate_capped(events: DataFrame) -> DataFrame:
     """Admitted events of (source, event_id, signature, at seconds), batch or stream."""
-    return events.groupBy("source").transformWithStateInPandas(RateCap(), "source string, event_id long, signature string, at double", "append", "none")
+    return events.groupBy("source").transformWithStateInPandas(RateCap(), CAPPED, "append", "none")
+
+
+def rate_capped_in_time(events: DataFrame, moment: str, late: str = "10 minutes", until: Column | None = None) -> DataFrame:
+    """The same for a stream with event times in `moment`, where sources are forgotten an hour after their last event.
+
+    Events later than `late` are left out.  Those from `until` on move the time
+    only: heartbeats of a quiet stream.
+    """
+    timed = events.withWatermark(moment, late)
+    timed = timed if until is None else timed.filter(F.col(moment) < until)
+    return timed.groupBy("source").transformWithStateInPandas(ForgettingCap(), CAPPED, "append", "eventTime")
+
+
+class Deltas:
+    """What a stream in update mode has told so far: a folder for each batch that changed anything, by key."""
+
+    def __init__(self, spark: SparkSession, path: str, key: tuple[str, ...], schema: str) -> None:
+        self.spark, self.path, self.key, self.schema = spark, path, key, schema
+
+    def sink(self, batch: DataFrame, number: int) -> None:
+        """Delivered again, a batch overwrites its own folder."""
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def since(self, number: int = -1) -> DataFrame:
+        """The rows told after a batch, with the batch they were told in."""
+        told = self.spark.read.schema(f"{self.schema}, batch int").option("basePath", self.path).parquet(f"{self.path}/batch=*")
+        return told.filter(F.col("batch") > number)
+
+    def snapshot(self, number: int | None = None) -> DataFrame:
+        """The last row of each key, up to a batch: what a reader begins with, before the deltas."""
+        told = self.since() if number is None else self.since().filter(F.col("batch") <= number)
+        return newest(told, self.key, ("batch",)).drop("batch")
 
 
 def latest_per_interval(events: DataFrame, key: str, time_column: str, interval: str = "300 milliseconds") -> DataFrame:
