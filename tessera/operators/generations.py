@@ -1,17 +1,19 @@
 """Complete versions of the warehouse: one active, one being built, some to fall back to.
 
-A generation is a directory; what is active is one small file that is replaced
-by rename, so readers never see half a change.
+A generation is a directory; what is active says the last of a log of small
+files, so readers never see half a change.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import SparkSession
 
+from tessera.operators.commits import CommitLog
+from tessera.sources.shared import remove
+
 KEEP_DAYS = 7
 GATE = 0.85
 
@@ -35,36 +37,21 @@ class Registry:
     """The generations below a root that Spark's file systems reach."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self._jvm, self.root = spark._jvm, root.rstrip("/")
-        path = self._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(path)
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        self.spark, self.root = spark, root.rstrip("/")
+        self.log = CommitLog(spark, f"{self.root}/_generations")
 
     def all(self) -> list[Generation]:
-        path = self._path("generations.json")
-        if not self._fs.exists(path):
-            return []
-        stream = self._fs.open(path)
-        try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return [Generation(**g) for g in json.loads(text)]
+        raw = self.log.read()
+        self._version = raw["version"] if raw else 0
+        return [Generation(**g) for g in raw["generations"]] if raw else []
+
+    def ordered(self) -> list[Generation]:
+        """The active one first, then from the newest."""
+        return sorted(self.all(), key=lambda g: (g.status != "active", -g.id))
 
     def _save(self, generations: list[Generation]) -> None:
-        new = self._path("generations.json.new")
-        out = self._fs.create(new, True)
-        try:
-            out.write(bytearray(json.dumps([asdict(g) for g in generations]).encode()))
-        finally:
-            out.close()
-        target = self._path("generations.json")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(new, target)
+        """The version after the one read last; an error where another driver has written it meanwhile."""
+        self.log.publish({"version": self._version + 1, "generations": [asdict(g) for g in generations]})
 
     def directory(self, generation: int, table: str) -> str:
         return f"{self.root}/g{generation}/{table}"
@@ -106,7 +93,7 @@ class Registry:
         if any(g.id == generation and g.status == "active" for g in self.all()):
             raise ValueError("the active generation cannot be discarded")
         self._save([g for g in self.all() if g.id != generation])
-        self._fs.delete(self._path(f"g{generation}"), True)
+        remove(self.spark, f"{self.root}/g{generation}")
 
     def drop_expired(self, now: dt.datetime) -> list[int]:
         since = (now - dt.timedelta(days=KEEP_DAYS)).isoformat()

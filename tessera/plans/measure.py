@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.dataset as pads
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +49,33 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 
 def read_tidy(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Tidy files of one dataset.  Files of one schema are one scan, so the planning does not grow with them."""
-    by_schema: dict[str, list[str]] = {}
-    for path in paths:
-        by_schema.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
-    return union_by_name([spark.read.parquet(*group) for group in by_schema.values()])
+    """Tidy files of one dataset.  Files of one schema are one scan; which have one is read from their footers in tasks."""
+    return union_by_name([spark.read.parquet(*group) for group in by_schema(spark, paths)])
+
+
+def by_schema(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The paths in groups of one schema, each group and the groups in the order of their first path."""
+    if len(paths) < 2:
+        return [paths] if paths else []
+    try:
+        FileSystem.from_uri(paths[0])
+    except (pa.ArrowInvalid, OSError):  # a store that only Spark opens
+        alike: dict[str, list[str]] = {}
+        for path in paths:
+            alike.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+        return list(alike.values())
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                fs, at = FileSystem.from_uri(path)
+                found.append(pads.dataset(at, filesystem=fs, format="parquet").schema.remove_metadata().to_string(show_field_metadata=False))
+            yield pa.RecordBatch.from_arrays([batch.column("n"), batch.column("path"), pa.array(found, pa.string())], ["n", "path", "schema"])
+
+    listed = spark.createDataFrame(list(enumerate(paths)), "n long, path string").repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4)))
+    alike = listed.mapInArrow(footers, "n long, path string, schema string").groupBy("schema").agg(F.sort_array(F.collect_list(F.struct("n", "path"))).alias("files"))
+    return [[f["path"] for f in r["files"]] for r in alike.orderBy(F.get("files", 0)["n"]).collect()]  # a row a schema, the paths that were given
 
 
 def matching_files(datasets: DataFrame, documents: DataFrame, dataset: str, where: Node) -> DataFrame:
