@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates, numbers, text, vectors
 from tessera.operators import state
-from tessera.operators.chunk import windows_of
+from tessera.operators.chunk import chunk_documents, windows_of
 from tessera.operators.matching import contained, similar_classes
 from tessera.operators.profile import best_match, similar_pairs
 from tessera.queries.base import query, table
@@ -208,9 +208,25 @@ def token_windows(spark, sf):
     return windows_of(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query()
+@query(r"""WITH RECURSIVE split AS (SELECT conv_id, turn, role AS heading, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM (SELECT conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\n{2,}') AS parts FROM conversations)),
+               paras AS MATERIALIZED (SELECT conv_id, heading, trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i FROM split WHERE trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+               packed AS (SELECT conv_id, i, 0 AS parent, length(text) AS held, heading AS begun FROM paras WHERE i = 0
+                          UNION ALL SELECT conv_id, i, parent + closes::INT, CASE WHEN closes THEN n ELSE held + 2 + n END, CASE WHEN closes THEN heading ELSE begun END FROM
+                          (SELECT q.conv_id, q.i, p.parent, p.held, p.begun, q.heading, length(q.text) AS n, ceil(p.held / 4.0) + ceil(length(q.text) / 4.0) > 1000 OR (q.heading IS DISTINCT FROM p.begun AND ceil(p.held / 4.0) >= 300) AS closes
+                           FROM packed p JOIN paras q ON q.conv_id = p.conv_id AND q.i = p.i + 1)),
+               parents AS (SELECT conv_id, parent, arg_min(heading, i) AS heading, string_agg(text, chr(10) || chr(10) ORDER BY i) AS parent_text FROM packed JOIN paras USING (conv_id, i) GROUP BY ALL),
+               t AS (SELECT conv_id, i, words, array_to_string(words, ' ') AS whole FROM (SELECT conv_id, i, regexp_extract_all(text, '\S+') AS words FROM paras)),
+               long AS (SELECT conv_id, i, words FROM t WHERE 2 * ceil(length(whole) / 4.0) > 600),
+               items AS (SELECT conv_id, i, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM long),
+               sums AS (SELECT conv_id, i, j, sum(length(word) + 1) OVER (PARTITION BY conv_id, i ORDER BY j)::BIGINT AS upto FROM items UNION ALL SELECT conv_id, i, 0, 0 FROM long),
+               runs AS MATERIALIZED (SELECT conv_id, i, j AS a, greatest(j + 1, count(*) OVER (PARTITION BY conv_id, i ORDER BY upto RANGE BETWEEN UNBOUNDED PRECEDING AND 801 FOLLOWING) - 1) AS b, max(j) OVER (PARTITION BY conv_id, i) AS n FROM sums),
+               w AS (SELECT conv_id, i, 0 AS k, a, b, n FROM runs WHERE a = 0
+                     UNION ALL SELECT w.conv_id, w.i, w.k + 1, r.a, r.b, r.n FROM w JOIN runs r ON r.conv_id = w.conv_id AND r.i = w.i AND r.a = greatest(w.a + 1, w.b - greatest(1, floor((w.b - w.a) * 0.15::DOUBLE + 0.5::DOUBLE)::BIGINT)) WHERE w.b < w.n),
+               cut AS (SELECT conv_id, i, 0 AS k, whole AS text FROM t WHERE 2 * ceil(length(whole) / 4.0) <= 600
+                       UNION ALL SELECT conv_id, i, k, array_to_string(words[a + 1:b], ' ') FROM w JOIN long USING (conv_id, i))
+          SELECT conv_id, parent::INT AS parent, heading, NULL::INT AS page_from, NULL::INT AS page_to, (row_number() OVER (PARTITION BY conv_id, parent ORDER BY i, k) - 1)::INT AS child, NULL::INT AS page,
+                 cut.text AS text, ceil(length(cut.text) / 4.0)::INT AS tokens, parent_text FROM cut JOIN packed USING (conv_id, i) JOIN parents USING (conv_id, parent)""")
 def parent_packing(spark, sf):
-    from tessera.operators.chunk import chunk_documents
-
+    """Turns of conversations packed into parents and cut into children; the SQL follows the packing from turn to turn."""
     sections = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), F.col("role").alias("heading"), F.lit(None).cast("int").alias("page"), "text")
     return chunk_documents(sections, "conv_id")

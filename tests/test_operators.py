@@ -119,6 +119,31 @@ def test_chunk_documents(spark):
     assert [(r.page_from, r.page_to, r.parent) for r in of(4)] == [(1, 2, 0), (1, 2, 0)] and not of(5)
 
 
+def test_parents_by_pointers_are_those_of_a_walk(spark):
+    import random
+
+    import pandas as pd
+
+    draw, small = random.Random(8), chunk.Sizes(20, 40, 8, 0.15, 6)
+    rows = []
+    for doc in [None, *range(12)]:
+        for place in range(draw.choice([1, 3, 40])):
+            text = "\n\n".join("x" * draw.choice([1, 3, 9, 40]) + " y" * draw.choice([0, 2, 30]) for _ in range(draw.randrange(0, 4)))
+            rows.append((doc, place, draw.choice([None, "A", "A", "B"]), draw.choice([None, 1, 2]), draw.choice([text, text, None, " "])))
+    given = spark.createDataFrame(rows, "doc int, ord int, heading string, page int, text string").repartition(3)
+    got = sorted((tuple(r) for r in chunk.chunk_documents(given, "doc", small).collect()), key=repr)
+    want = []
+    for doc in [None, *range(12)]:
+        own = pd.DataFrame([r[1:] for r in rows if r[0] == doc], columns=["ord", "heading", "page", "text"])
+        want += [(doc, *(None if pd.isna(x) else x for x in r)) for r in chunk.chunked(own, small).itertuples(index=False)]
+    assert got == sorted(want, key=repr) and max(r[1] for r in got) > 8
+
+
+def test_pointers_are_followed_to_the_end(spark):
+    chain = spark.createDataFrame([("a", i, i + 2 if i < 30 else None) for i in range(33)] + [("b", 0, None)], "doc string, i long, next long")
+    assert sorted((r.doc, r.i) for r in chunk.starts(chain).collect()) == [*(("a", i) for i in range(0, 31, 2)), ("b", 0)]
+
+
 # Search
 
 
