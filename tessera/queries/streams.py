@@ -55,14 +55,14 @@ def sliding_window_counts(spark, sf):
 # A change feed of the events: a page a day, an error is a tombstone of its user.
 
 ITEMS = "id long, event_id long, ts timestamp_ntz, value double, deleted boolean"
-DAY = F.date_diff("ts", F.lit("2024-01-01"))
+DAY = "datediff(ts, DATE '2024-01-01')"
 ROWS = "id long, event_id long, value double, epoch int"
 ORDER = ("ts", "event_id")
 
 
 def staged_pages(spark: SparkSession, sf: str, root: str) -> list[str]:
     """Writes the pages of the feed beside it and names them in order."""
-    items = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", "ts", "value", (F.col("event_type") == "error").alias("deleted"), DAY.alias("page"))
+    items = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", "ts", "value", (F.col("event_type") == "error").alias("deleted"), F.expr(DAY).alias("page"))
     items.repartition("page").write.partitionBy("page").parquet(f"{root}/staged")
     return sorted((n for n in names(spark, f"{root}/staged") if n.startswith("page=")), key=lambda n: int(n[5:]))
 
@@ -220,7 +220,7 @@ def rate_cap_forgets(spark, sf):
 def stream_snapshot_and_deltas(spark, sf):
     """Counts in update mode over a page a day: the last row of each key, and how often it was told anew."""
     path = shared_path(spark, "deltas")
-    table(spark, sf, "events").select("event_type", DAY.alias("page")).repartition("page").write.partitionBy("page").parquet(f"{path}/pages")
+    table(spark, sf, "events").select("event_type", F.expr(DAY).alias("page")).repartition("page").write.partitionBy("page").parquet(f"{path}/pages")
     pages = spark.readStream.schema("event_type string").option("maxFilesPerTrigger", 1).parquet(f"{path}/pages/page=*")
     deltas = cdc.Deltas(spark, f"{path}/told", ("event_type",), "event_type string, n long")
     counts = pages.groupBy("event_type").agg(F.count("*").alias("n"))
