@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-A table hashes a unit vector to a cell of a lattice: Gaussian projections, cut
-where a bounded sample has its medians, so two steps an axis.  Of each table a
-query visits its own cell and then perturbed ones in the order of their
-estimated success, the squared distance from the query's projections to the
-cell, until they hold a share of all rows.  What the tables' cells offer is
+A table hashes a unit vector to a cell of a lattice: each Gaussian projection is
+moved by an offset, divided by a width and rounded down, STEPS steps an axis of
+which the outer ones are open.  Of each table a query visits its own cell and
+then perturbed ones in the order of their estimated success, the squared
+distance from the query's projections to the cell, until they hold a share of
+all rows.  Only rows of visited cells are multiplied with the query; they are
 ranked by exact cosine in double precision.
 
-The share is fitted as well: the smallest that would find GOAL of the nearest
-rows within the sample.  Vectors with structure need little of the table,
+Offsets are the medians of a bounded sample, the width is that of WIDTHS with
+which the fewest rows have to be visited, and the share is fitted as well: the
+smallest that would find GOAL of the nearest rows within the sample.  Vectors with structure need little of the table,
 vectors without any a large part.  Rows of the sample lie farther apart than
 those of the table, which makes the share rather too large than too small.
 
@@ -36,7 +38,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import mix64, released, written
 
-TABLES, AXES = 4, 16
+TABLES, AXES, STEPS = 4, 10, 3
+#: Widths of a step to choose from, in standard deviations of a projection.
+WIDTHS = (0.6, 0.8, 1.0, 1.25)
 #: Rows to fit the lattice on, those of them that ask, and the recall to reach among them.
 SAMPLE, ASKING, GOAL = 4096, 256, 0.95
 #: Rows of a block, and queries that are answered at once.
@@ -45,25 +49,42 @@ BLOCK, QUERIES = 16384, 128
 
 class Lattice:
     def __init__(self, sample: np.ndarray, k: int = 5, seed: int = 7) -> None:
-        """Fits the cuts and the share to a sample of unit vectors."""
+        """Fits offsets, width and share to a sample of unit vectors."""
         rng = np.random.default_rng(seed)
         self.axes = rng.normal(size=(sample.shape[1], TABLES * AXES))
-        self.cuts = np.median(sample @ self.axes, axis=0)
-        self.share = self._share(sample, k)
+        placed = sample @ self.axes
+        self.middle, spread = np.median(placed, axis=0), np.maximum(placed.std(axis=0), 1e-9)
+        self.share, self.width = 2.0, spread
+        for width in WIDTHS:
+            before, self.width = self.width, width * spread
+            share = self._share(sample, k)
+            if share < self.share:
+                self.share = share
+            else:
+                self.width = before
 
     def places(self, unit: np.ndarray) -> np.ndarray:
-        """(rows, TABLES, AXES): signed distances of the projections from the cuts."""
-        return (unit @ self.axes - self.cuts).reshape(len(unit), TABLES, AXES)
+        """(rows, TABLES, AXES): projections in steps, from the lower end of the lowest."""
+        return ((unit @ self.axes - self.middle) / self.width + STEPS / 2).reshape(len(unit), TABLES, AXES)
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """(rows, TABLES): the number of the cell in each table."""
-        return (self.places(unit) > 0) @ (1 << np.arange(AXES))
+        return np.clip(np.floor(self.places(unit)), 0, STEPS - 1).astype(np.int64) @ STEPS ** np.arange(AXES)
 
     @staticmethod
-    def far(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """(queries, cells): squared distance from projections to cells, given by the side of each cut where they lie."""
-        own, square = places > 0, places**2
-        return (square * own).sum(axis=1)[:, None] + (square * np.where(own, -1.0, 1.0)) @ bits.T
+    def marks(cells: np.ndarray) -> np.ndarray:
+        """(cells, AXES * STEPS): a one for the step of each axis."""
+        steps = cells[:, None] // STEPS ** np.arange(AXES) % STEPS
+        return (steps[:, :, None] == np.arange(STEPS)).reshape(len(cells), -1).astype(float)
+
+    def far(self, marks: np.ndarray, places: np.ndarray, t: int) -> np.ndarray:
+        """(queries, cells): squared distance from projections to the cells of a table, given by their marks."""
+        low = np.arange(STEPS, dtype=float)
+        high = low + 1
+        low[0], high[-1] = -np.inf, np.inf
+        gap = np.maximum(0.0, np.maximum(low - places[:, :, None], places[:, :, None] - high))
+        width = self.width.reshape(TABLES, AXES)[t]
+        return ((gap * width[None, :, None]) ** 2).reshape(len(places), -1) @ marks.T
 
     def _share(self, sample: np.ndarray, k: int) -> float:
         asking = sample[: min(ASKING, len(sample))]
@@ -75,8 +96,8 @@ class Lattice:
         best = np.argpartition(-near, k - 1, axis=1)[:, :k]
         least, places = np.ones(best.shape), self.places(sample)
         for t in range(TABLES):
-            bits = (places[:, t] > 0).astype(float)
-            far = self.far(bits, places[: len(asking), t])
+            marks = self.marks(np.clip(np.floor(places[:, t]), 0, STEPS - 1).astype(np.int64) @ STEPS ** np.arange(AXES))
+            far = self.far(marks, places[: len(asking), t], t)
             order = np.sort(far, axis=1)
             for i in range(len(asking)):
                 # A hair above: sums of the same terms may differ in the last place.
@@ -120,10 +141,10 @@ class Directory:
 
     def visits(self, unit: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the cells (places in the directory) that it visits in a table, and the blocks where they lie; in order of blocks."""
-        bits = (self.cell[t][:, None] >> np.arange(AXES) & 1).astype(float)
+        marks = self.lattice.marks(self.cell[t])
         enough = self.lattice.share * self.count[t].sum()
         for i in range(0, len(unit), QUERIES):
-            far = self.lattice.far(bits, self.lattice.places(unit[i : i + QUERIES])[:, t])
+            far = self.lattice.far(marks, self.lattice.places(unit[i : i + QUERIES])[:, t], t)
             for order in np.argsort(far, axis=1, kind="stable"):
                 cells = np.sort(order[: int(np.searchsorted(np.cumsum(self.count[t][order]), enough)) + 1])
                 salts = self.salts[t][cells]
@@ -163,30 +184,40 @@ def _lay(vectors: DataFrame, directory, dim: int, queries: bool) -> DataFrame:
 
 
 class Block:
-    """The rows of a block, for queries that pass by."""
+    """The rows of a block in the order of their cells, for queries that pass by."""
 
     def __init__(self, rows: list[dict], dim: int, k: int) -> None:
+        rows = sorted(rows, key=lambda r: r["cell"])
         self.k, self.vector = k, np.frombuffer(b"".join(r["vector"] for r in rows)).reshape(-1, dim)
         self.size = np.sqrt((self.vector * self.vector).sum(axis=1))
+        self.short = (self.vector / self.size[:, None]).astype(np.float32)
         self.ids = np.array([r["vec_id"] for r in rows])
-        self.cells, self.of = np.unique(np.array([r["cell"] for r in rows]), return_inverse=True)
+        self.cells, self.first = np.unique(np.array([r["cell"] for r in rows]), return_index=True)
+        self.end = np.append(self.first[1:], len(rows))
+        #: Rows multiplied with queries so far.
+        self.products = 0
 
     def best(self, queries: list[dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query the nearest of the rows in the cells that it visits."""
-        q = np.frombuffer(b"".join(r["vector"] for r in queries)).reshape(len(queries), -1)
-        qs = np.sqrt((q * q).sum(axis=1))
-        about = (q @ self.vector.T) / qs[:, None] / self.size
-        for j, r in enumerate(queries):
-            seen = np.zeros(len(self.cells), bool)
-            seen[np.searchsorted(self.cells, np.frombuffer(r["visits"], "<i4")).clip(max=len(seen) - 1)] = True
-            at = np.flatnonzero(seen[self.of] & (self.ids != r["vec_id"]))
+        for r in queries:
+            q = np.frombuffer(r["vector"])
+            size = np.sqrt((q * q).sum())
+            visited = np.frombuffer(r["visits"], "<i4")
+            among = np.searchsorted(self.cells, visited).clip(max=len(self.cells) - 1)
+            among = among[self.cells[among] == visited]
+            n = self.end[among] - self.first[among]
+            at = np.repeat(self.first[among], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = at[self.ids[at] != r["vec_id"]]
             if not len(at):
                 continue
+            self.products += len(at)
             if len(at) > self.k:
-                least = np.partition(about[j, at], len(at) - self.k)[len(at) - self.k]
-                at = at[about[j, at] >= least - 1e-9]
+                # Single precision is off by less than the margin.
+                about = self.short[at] @ (q / size).astype(np.float32)
+                least = np.partition(about, len(at) - self.k)[len(at) - self.k]
+                at = at[about >= least - 1e-5]
             # The same sum for the same vectors, wherever they lie.
-            score = (q[j] * self.vector[at]).sum(axis=1) / (qs[j] * self.size[at])
+            score = (q * self.vector[at]).sum(axis=1) / (size * self.size[at])
             order = np.lexsort((self.ids[at], -score))
             _, once = np.unique(self.ids[at][order], return_index=True)
             order = order[np.sort(once)][: self.k]
@@ -247,7 +278,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 cell, n = np.unique(cells[:, t], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"t": pa.array(np.full(len(cell), t), pa.int32()), "cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    # At most TABLES * 2 ** AXES rows.
+    # At most TABLES * STEPS ** AXES rows.
     counts = vectors.select("embedding").mapInArrow(released(count), "t int, cell long, n long").groupBy("t", "cell").agg(F.sum("n").alias("n")).collect()
     if not counts:
         return spark.createDataFrame([], schema)

@@ -40,22 +40,23 @@ def test_recall_and_exact_scores(spark, monkeypatch):
 
 
 def visited(vectors, k=5):
-    """(share of the rows that a query's cells hold together, recall) of the lattice fitted to these vectors."""
+    """(share of the rows that a query's cells hold together, products for each query and row, recall) of the lattice fitted to these vectors."""
     unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
     lattice = neighbours.Lattice(unit[: neighbours.SAMPLE], k)
     cells = lattice.cells(unit)
     rows = [{"t": t, "cell": int(c), "n": int(n)} for t in range(neighbours.TABLES) for c, n in zip(*np.unique(cells[:, t], return_counts=True), strict=True)]
     directory = neighbours.Directory(rows, lattice)
     ask = np.arange(0, len(unit), 50)
-    seen = np.zeros((len(ask), len(unit)), bool)
+    seen, products = np.zeros((len(ask), len(unit)), bool), 0
     for t in range(neighbours.TABLES):
         at = np.searchsorted(directory.cell[t], cells[:, t])
         for i, (found, _) in enumerate(directory.visits(unit[ask], t)):
             seen[i] |= np.isin(at, found)
+            products += np.isin(at, found).sum()
     near = unit[ask] @ unit.T
     near[np.arange(len(ask)), ask] = -2
     best = np.argsort(-near, axis=1)[:, :k]
-    return seen.mean(), np.take_along_axis(seen, best, axis=1).mean()
+    return seen.mean(), products / seen.size, np.take_along_axis(seen, best, axis=1).mean()
 
 
 def test_rows_visited_follow_the_structure(sf):
@@ -65,11 +66,33 @@ def test_rows_visited_follow_the_structure(sf):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(200, 32))
     clustered = np.repeat(centres, 30, axis=0) + 0.2 * rng.normal(size=(6000, 32))
-    share, recall = visited(clustered)
-    assert share < 0.1 and recall >= 0.9
+    share, products, recall = visited(clustered)
+    assert share < 0.1 and products < 0.2 and recall >= 0.9
     given = np.array(pq.read_table(sf.replace("sf0.001", "sf0.1") + "/embeddings.parquet")["embedding"].to_pylist(), float)
-    share, recall = visited(given)
-    assert share < 0.5 and recall >= 0.9
+    share, products, recall = visited(given)
+    assert share < 0.6 and products < 0.8 and recall >= 0.9
+
+
+def test_a_block_multiplies_visited_rows_only():
+    rng = np.random.default_rng(5)
+    rows = [{"vec_id": i, "cell": i % 7, "vector": rng.normal(size=8).tobytes()} for i in range(70)]
+    block = neighbours.Block(rows, 8, 3)
+    asked = [{"vec_id": 3, "vector": rows[3]["vector"], "visits": np.array([1, 3, 9], "<i4").tobytes()}, {"vec_id": 900, "vector": rows[4]["vector"], "visits": np.array([40], "<i4").tobytes()}]
+    found = list(block.best(asked))
+    assert block.products == 19 and [q for q, *_ in found] == [3] and all(i % 7 in (1, 3) and i != 3 for i in found[0][1])
+
+
+def test_cells_follow_width_and_offset():
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(500, 12))
+    unit /= np.sqrt((unit * unit).sum(1))[:, None]
+    lattice = neighbours.Lattice(unit)
+    steps = np.clip(np.floor((unit @ lattice.axes - lattice.middle) / lattice.width + neighbours.STEPS / 2), 0, neighbours.STEPS - 1).reshape(500, neighbours.TABLES, -1)
+    assert (lattice.cells(unit) == (steps * neighbours.STEPS ** np.arange(neighbours.AXES)).sum(axis=2)).all()
+    # Nothing is nearer than the own cell, and a step away is as far as its edge.
+    cells = np.unique(lattice.cells(unit)[:, 0])
+    far = lattice.far(lattice.marks(cells), lattice.places(unit)[:, 0], 0)
+    assert (far[np.arange(500), np.searchsorted(cells, lattice.cells(unit)[:, 0])] == 0).all() and (far >= 0).all()
 
 
 def test_edges(spark):
