@@ -61,16 +61,13 @@ def key_rules_read(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.try_element_at(rules, F.lit("a")).alias("first_value"), F.try_element_at(rules, F.lit("b")).alias("second_value"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN named THEN d WHEN week THEN a ELSE DATE '2026-09-29' END AS first, CASE WHEN named THEN d WHEN week THEN CASE WHEN month(b) < month(a) THEN make_date(2012, month(b), day(b)) ELSE b END ELSE DATE '2026-09-29' END AS last,
-                 CASE WHEN named THEN 'day' WHEN week THEN 'week' END AS grain
-          FROM (SELECT o_orderkey, o_orderdate::DATE AS d, o_custkey % 2 = 0 AND year(o_orderdate) >= 2000 AS named, o_custkey % 2 = 1 AND NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29) AND strftime(o_orderdate + INTERVAL 6 DAY, '%m-%d') <> '02-29' AS week,
-                       make_date(2011, month(o_orderdate), CASE WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN 28 ELSE day(o_orderdate) END) AS a, make_date(2011, month(o_orderdate + INTERVAL 6 DAY), CASE WHEN strftime(o_orderdate + INTERVAL 6 DAY, '%m-%d') = '02-29' THEN 28 ELSE day(o_orderdate + INTERVAL 6 DAY) END) AS b
-                FROM orders WHERE NOT (o_custkey % 2 = 1 AND (strftime(o_orderdate, '%m-%d') = '02-29' OR strftime(o_orderdate + INTERVAL 6 DAY, '%m-%d') = '02-29')))""")
+@query("""SELECT o_orderkey, CASE WHEN named THEN d WHEN week THEN a WHEN odd THEN DATE '2011-01-01' ELSE DATE '2026-09-29' END AS first, CASE WHEN named THEN d WHEN week THEN CASE WHEN month(b) < month(a) THEN make_date(2012, month(b), day(b)) ELSE b END WHEN odd THEN DATE '2011-12-31' ELSE DATE '2026-09-29' END AS last,
+                 CASE WHEN named THEN 'day' WHEN week THEN 'week' WHEN odd THEN 'year' END AS grain
+          FROM (SELECT *, odd AND strftime(d, '%m-%d') <> '02-29' AND strftime(e, '%m-%d') <> '02-29' AS week, make_date(2011, month(d), least(day(d), CASE WHEN month(d) = 2 THEN 28 ELSE 31 END)) AS a, make_date(2011, month(e), least(day(e), CASE WHEN month(e) = 2 THEN 28 ELSE 31 END)) AS b
+                FROM (SELECT o_orderkey, o_orderdate::DATE AS d, (o_orderdate + INTERVAL 6 DAY)::DATE AS e, o_custkey % 2 = 1 AS odd, o_custkey % 2 = 0 AND year(o_orderdate) >= 2000 AS named FROM orders))""")
 def days_and_weeks_in_names(spark, sf):
-    """'2001-05-06 x' is a day of this century, '5.6-5.12' a week of the year that a folder names; leap days have other tests."""
-    leap = F.date_format("o_orderdate", "MM-dd") == "02-29"
-    end = F.col("o_orderdate") + F.expr("interval 6 days")
-    rows = table(spark, sf, "orders").filter(~((F.col("o_custkey") % 2 == 1) & (leap | (F.date_format(end, "MM-dd") == "02-29"))))
+    """'2001-05-06 x' is a day of this century, '5.6-5.12' a week of the year that a folder names; where that year lacks a day, the whole year."""
+    rows, end = table(spark, sf, "orders"), F.col("o_orderdate") + F.expr("interval 6 days")
     week = F.concat(F.lit("Weekly Sales "), F.date_format("o_orderdate", "M.d"), F.lit("-"), F.date_format(end, "M.d"), F.lit(".xlsx"))
     day = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("__Labor.xlsx"))
     odd = F.col("o_custkey") % 2 == 1
@@ -211,12 +208,11 @@ def rules_saved(spark, sf):
 # Sheets and reports
 
 
-@query("""WITH r AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier WHERE s_suppkey <= 100)
-          SELECT 'supplier rows ' || (min(i) + 1) || '-' || (max(i) + 1) AS heading, 'rows' AS kind, count(*) AS n FROM r GROUP BY i // 25""")
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS i, 'item_id: ' || item_id || '; text: ' || text AS line, count(*) OVER () AS n FROM benchmark)
+          SELECT 'benchmark rows ' || (min(i) + 1) || '-' || (max(i) + 1) AS heading, string_agg(line, chr(10) ORDER BY i) AS text FROM r WHERE n <= 200 GROUP BY i // 25""")
 def sections_of_rows(spark, sf):
-    """A small table as texts of 25 rows; the hundred suppliers of least key."""
-    rows = sheets.row_sections(table(spark, sf, "supplier").filter("s_suppkey <= 100"), ["s_name", "s_acctbal"], "supplier", "s_suppkey")
-    return rows.select("heading", F.lit("rows").alias("kind"), F.size(F.split("text", "\n")).cast("long").alias("n"))
+    """A small table as texts of 25 rows; larger ones than 200 rows give none."""
+    return sheets.row_sections(table(spark, sf, "benchmark"), ["item_id", "text"], "benchmark", "item_id")
 
 
 @query("""SELECT 'Spreadsheet "n.xlsx", sheet "S" (Geo).' || chr(10) || count(*) || ' rows. Columns: n_name (text), n_regionkey (number).' || chr(10) || 'Sample rows:' || chr(10) ||
