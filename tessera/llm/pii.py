@@ -108,6 +108,14 @@ MIXED = re.compile(
 )
 #: Where they can mix: a written digit before or behind a spelled one.
 BESIDE = re.compile(rf"[0-9][ ,.-]{{1,3}}{_DIGIT}(?![^\W_])|[ ,.-](?=[ ,.-]{{0,2}}[0-9])(?:" + "|".join(rf"(?<={w}[ ,.-])" for w in SPELLED) + ")|dot[^A-Za-z0-9]", re.IGNORECASE)
+#: What every sign of DISGUISE holds; a text without it and without three spelled digits in a row has nothing disguised.
+SIGN = re.compile(
+    rf"[\[({{<][ \t]{{0,3}}(?:at|@|dot|\.)[ \t]{{0,3}}[\])}}>]|[ \t_-]at(?:[ \t]{{1,3}}|[_-])[A-Za-z0-9-]{{1,64}}(?:\.|{_DOT})[A-Za-z0-9-]|[ \t_-]dot(?:[ \t]{{1,3}}|[_-])[A-Za-z0-9]|[0-9][OoIl][0-9]",
+    re.IGNORECASE,
+)
+#: Characters that count as others when case does not.
+FOLDED = re.compile("[\u017f\u0130\u0131\u212a]")
+WORDS = re.compile(r"[^\W_]+")
 TOKEN = re.compile(rf"plus|{_DIGIT}|[0-9]+|[ ,.-]+", re.IGNORECASE)
 OCTETS = re.compile(rf"(?P<dot>{_DOT}|\.)|{_DIGIT}|[0-9]+", re.IGNORECASE)
 
@@ -124,6 +132,21 @@ def _letter(c: str) -> str:
     return wide if len(wide) == 1 and wide < "\x7f" else c
 
 
+def disguised(text: str) -> bool:
+    """Whether DISGUISE can match: false only where it cannot."""
+    if SIGN.search(text) or FOLDED.search(text):
+        return True
+    words = WORDS.findall(text.lower())
+    if not SPELLED.keys() & set(words):
+        return False
+    run = 0
+    for word in words:
+        run = run + 1 if word in SPELLED else 0
+        if run == 3:
+            return True
+    return False
+
+
 class Rewritten:
     """Text after the transducer, with the source span of each of its pieces."""
 
@@ -153,7 +176,7 @@ class Rewritten:
                 length += len(piece)
 
         old = self.text
-        for m in disguise.finditer(old):
+        for m in disguise.finditer(old) if disguise is not DISGUISE or disguised(old) else ():
             put(old[done : m.start()], done, True)
             if m["octets"]:
                 for t in OCTETS.finditer(m[0]):

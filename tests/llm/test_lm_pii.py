@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -211,3 +212,13 @@ def test_time_follows_the_length(unit):
         return best
 
     assert seconds(400_000) < 3.2 * seconds(200_000) + 0.1
+
+
+def test_the_gate_lets_every_disguise_pass():
+    draw = random.Random(12)
+    bits = [*pii.SPELLED, "at", "AT", "dot", "@", ".", " ", "  ", "\t", "-", "_", ",", "[", "]", "(", ")", "{", "}", "<", ">", "1O2", "3l4", "5", "plus", "x", "\u017fix", "\n", "é"]
+    for _ in range(20_000):
+        text = "".join(draw.choices(bits, k=draw.randrange(1, 9)))
+        if pii.DISGUISE.search(text):
+            assert pii.disguised(text), text
+    assert not pii.disguised("that un chat sept dots " * 50)
