@@ -86,14 +86,16 @@ def matching_files(datasets: DataFrame, documents: DataFrame, dataset: str, wher
 
 
 def present_months(files: DataFrame) -> DataFrame:
-    return files.select(F.explode(months_of("period_start", F.coalesce("period_end", "period_start"))).alias("month")).distinct()
+    """The months of each file's period; a month comes as often as files have it."""
+    return files.select(F.explode(months_of("period_start", F.coalesce("period_end", "period_start"))).alias("month"))
 
 
 def coverage(spark: SparkSession, periods: list[tuple[str, str]], present: DataFrame) -> DataFrame:
-    """month, present of each month asked for, in order."""
+    """month, present of each month asked for, in order: one set of those that are there, and a look into it for each."""
     asked = sorted({m for a, b in periods for m in months_between(a, b)})
-    months = spark.createDataFrame([(m,) for m in asked], "month string")
-    return months.join(present.select("month", F.lit(True).alias("present")), "month", "left").select("month", F.coalesce("present", F.lit(False)).alias("present")).orderBy("month")
+    # At most the months asked for.
+    there = present.filter(F.col("month").isin(asked)).agg(F.collect_set("month").alias("there"))
+    return there.select(F.explode(F.array(*[F.lit(m) for m in asked]).cast("array<string>")).alias("month"), "there").select("month", F.array_contains("there", F.col("month")).alias("present"))
 
 
 def run_measure(spark: SparkSession, datasets: DataFrame, documents: DataFrame, plan: Plan) -> tuple[DataFrame | None, list[dict], list[str]]:

@@ -212,7 +212,7 @@ def rate_cap_forgets(spark, sf):
     with rocks(spark):
         running = cdc.rate_capped_in_time(both, "moment", until=beat).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").start()
         cdc.caught_up(running)
-    left = running.lastProgress["stateOperators"][0]["numRowsTotal"]
+        left = cdc.remembered(spark, f"{path}/checkpoint").count()
     return spark.read.schema(cdc.CAPPED).parquet(f"{path}/out").agg(F.count("*").alias("admitted")).withColumn("state_rows", F.lit(left).cast("long"))
 
 

@@ -245,7 +245,7 @@ def rate_capped(events: DataFrame) -> DataFrame:
 def rate_capped_in_time(events: DataFrame, moment: str, late: str = "10 minutes", until: Column | None = None) -> DataFrame:
     """The same for a stream with event times in `moment`, where sources are forgotten an hour after their last event.
 
-    Events later than `late` are left out.  Those from `until` on move the time
+    `at` are the seconds of `moment`.  Events later than `late` are left out.  Those from `until` on move the time
     only: heartbeats of a quiet stream.
     """
     timed = events.withWatermark(moment, late)
@@ -253,6 +253,11 @@ def rate_capped_in_time(events: DataFrame, moment: str, late: str = "10 minutes"
     return timed.groupBy("source").transformWithStateInPandas(ForgettingCap(), CAPPED, "append", "eventTime")
 
 
+def remembered(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """source: whom a stream of ForgettingCap still remembers, read from the state behind its checkpoint."""
+    return spark.read.format("statestore").option("stateVarName", "started").load(checkpoint).select("key.source")
+
+
 class Deltas:
     """What a stream in update mode has told so far: a folder for each batch that changed anything, by key."""
 
