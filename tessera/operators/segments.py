@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.fulltext import ENGLISH_STOP, lexemes, porter2_udf, word_tokens, words_of
 from tessera.operators.commits import CommitLog
-from tessera.operators.textindex import K1, B, TextIndex
+from tessera.operators.textindex import K1, B, TextIndex, added_up
 from tessera.sources.shared import names, remove
 
 BLOCK_BITS = 7
@@ -223,7 +223,7 @@ class SegmentedIndex:
 
     def _scored(self, blocks: DataFrame, average: float) -> DataFrame:
         each = blocks.select("idf", F.inline("docs"))
-        return each.groupBy("id").agg(F.sum(F.col("idf") * saturated(F.col("tf"), F.col("length"), average)).alias("score"))
+        return each.groupBy("id").agg(added_up(F.collect_list(F.col("idf") * saturated(F.col("tf"), F.col("length"), average))).alias("score"))
 
     def reaching(self, blocks: DataFrame, average: float, k: int) -> DataFrame:
         """The blocks of _weighted() that can hold one of the k best texts."""

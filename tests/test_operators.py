@@ -379,3 +379,19 @@ def test_hybrid_fuses_vectors_and_cover_density(spark):
         assert [r.section_id for r in only] == [3]
         line = search.hybrid(chunks, [0.0, 1.0], Keywords(), '"pool heater"', index=given).collect()
         assert line[0].section_id == 2 and line[0].score > 1 / 61
+
+
+def test_bm25_of_copies_is_equal_whatever_the_order_of_rows(spark):
+    from tessera.operators.textindex import TextIndex
+
+    terms = ["a", "b", "c", "d"]
+    tf = dict(zip(terms, (1, 3, 2, 5), strict=True))
+    orders = [terms, terms[::-1], ["b", "d", "a", "c"], ["c", "a", "d", "b"]]
+    rows = [(t, i, tf[t], 37, [0]) for i in range(40) for t in orders[i % 4]] + [(t, 100 + i, 1, 9, [0]) for j, t in enumerate(terms) for i in range(j * 3 + 1)]
+    postings = spark.createDataFrame(rows, "term string, id long, tf int, length int, positions array<int>").coalesce(1)
+    index = TextIndex(postings, spark.createDataFrame([(200, 5003)], "docs long, words long"), False)
+    asked = spark.createDataFrame([(1000, terms)], "question long, terms array<string>")
+    for found in (index.bm25(terms, None).collect(), index.bm25_many(asked, 60).collect()):
+        assert len({r.score for r in found if r.id < 100}) == 1
+    best = [r.id for r in index.bm25(terms, 40).collect() if r.id < 100]
+    assert best == list(range(len(best))) and len(best) > 30
