@@ -220,26 +220,38 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return docs.join(wanted.withColumnsRenamed({"doc_id": "of_doc"}), F.col("doc_id") == F.col("of_doc")).select("class", "text").mapInArrow(released(task), "class long, size long, grams binary")
 
 
+def few(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows of at most SLICE bytes of a binary column, or one row."""
+    for i, j in slices(string_bytes(batch.column(column))[1], SLICE):
+        yield batch.slice(i, j - i)
+
+
 def incidence(sets: DataFrame, percent: int) -> DataFrame:
     """gram, class, size, place: the first n-grams of each class from rare to frequent, of those that two classes have."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                grams = [np.frombuffer(g.as_buffer(), "<i8") for g in batch.column("grams").slice(at, 1024)]
-                name = np.repeat(batch.column("class").slice(at, 1024).to_numpy(), [len(g) for g in grams])
+            for some in few(batch, "grams"):
+                grams = [np.frombuffer(g.as_buffer(), "<i8") for g in some.column("grams")]
+                name = np.repeat(some.column("class").to_numpy(), [len(g) for g in grams])
                 yield pa.RecordBatch.from_pydict({"gram": np.concatenate(grams), "class": name})
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                grams, times = np.frombuffer(r["grams"], "<u8").astype(np.int64), dict(zip(r["shared"] or [], r["times"] or [], strict=True))
-                known = np.array(sorted((t, g) for g, t in times.items()), np.int64).reshape(-1, 2)
-                lone = len(grams) - len(known)
-                keep = int(prefix(np.int64(len(grams)), percent)) - lone
-                if keep > 0:
-                    g = known[:keep, 1]
-                    yield pa.RecordBatch.from_pydict({"gram": g, "class": np.full(len(g), r["class"], np.int64), "size": np.full(len(g), len(grams), np.int64), "place": lone + np.arange(len(g))})
+            # Numbers stay in their buffers: as lists of Python's they take five times the room, and a batch has 10 000 sets.
+            for some in few(batch, "grams"):
+                out = {"gram": [], "class": [], "size": [], "place": []}
+                for name, grams, shared, times in zip(*(some.column(c) for c in ("class", "grams", "shared", "times")), strict=True):
+                    size = len(grams.as_buffer()) // 8
+                    known, at = np.unique(shared.values.to_numpy(), return_index=True)
+                    lone = size - len(known)
+                    keep = int(prefix(np.int64(size), percent)) - lone
+                    if keep > 0:
+                        g = known[np.lexsort((known, times.values.to_numpy()[at]))][:keep]
+                        for c, x in zip(out, (g, np.full(len(g), name.as_py(), np.int64), np.full(len(g), size, np.int64), lone + np.arange(len(g))), strict=True):
+                            out[c].append(x)
+                if out["gram"]:
+                    yield pa.RecordBatch.from_pydict({c: np.concatenate(x) for c, x in out.items()})
 
     spread_out = sets.select("class", "grams").mapInArrow(released(spread), "gram long, class long")
     counted = written(spread_out.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "shared")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import ngram_join
@@ -117,3 +118,12 @@ def test_block_product_against_sets(monkeypatch):
     got = {(int(a), int(b)): int(n) for a, b, n in zip(*product.linked(rows, asked, 50), strict=True)}
     want = {(i, int(j)): len(np.intersect1d(sets[i], sets[j])) for i in range(25) for j in asked[i]}
     assert got == {k: n for k, n in want.items() if 100 * n >= 50 * (len(sets[k[0]]) + len(sets[k[1]]) - n)}
+
+
+def test_sets_are_taken_a_few_bytes_at_a_time(monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE", 64)
+    sizes = [3, 0, 5, 40, 1, 8, 2, 0]
+    batch = pa.RecordBatch.from_pydict({"class": list(range(8)), "grams": [np.arange(n, dtype="<u8").tobytes() for n in sizes]})
+    runs = [r.column("class").to_pylist() for r in ngram_join.few(batch, "grams")]
+    assert [i for r in runs for i in r] == list(range(8)) and [3] in runs
+    assert all(len(r) == 1 or sum(sizes[i] for i in r) <= 8 for r in runs)
