@@ -111,3 +111,12 @@ def test_hybrid_for_many_questions_is_that_of_each(spark, clustered):
         legs = [search.ranked(index.knn(list(x[question]), exact=True).withColumnRenamed("key", "id"), "similarity", "id", "v"), search.ranked(text.bm25(terms), "score", "id", "t")]
         want = search.top(search.fuse(legs, "id"), "score", "id", 6).collect()
         assert [(i, round(r.score, 12)) for i, r in enumerate(want, 1)] == [got[(question, r.id)] for r in want]
+
+
+def test_questions_are_not_copied_for_each_cell(spark, clustered):
+    x, index = clustered
+    asked = frame(spark, x).filter("id % 20 = 0").select(F.col("id").alias("question"), F.col("embedding").alias("asked"))
+    rows = index._dealt(index.rows(), asked).select("part", "role", F.length("ids") / 8).collect()
+    parts, cells = len({r[0] for r in rows if r[1] == 0}), len(index.centres)
+    assert sum(r[2] for r in rows if r[1] == 0) == 150 * parts and parts < cells / 4
+    assert sum(r[2] for r in rows if r[1] == 1) == 3000
