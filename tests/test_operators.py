@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import sqlite3
 
 import pytest
@@ -395,3 +396,13 @@ def test_bm25_of_copies_is_equal_whatever_the_order_of_rows(spark):
         assert len({r.score for r in found if r.id < 100}) == 1
     best = [r.id for r in index.bm25(terms, 40).collect() if r.id < 100]
     assert best == list(range(len(best))) and len(best) > 30
+
+
+def test_words_shuffle_as_counts(spark):
+    from tessera.functions.fulltext import term_counts
+
+    docs = spark.createDataFrame([(1, "The cat, the Cat"), (1, "cat dog"), (2, "dog"), (None, "dog dog eel"), (3, None), (4, "")], "id long, text string")
+    rows = term_counts(docs, "id", "text")
+    assert sorted(map(tuple, rows.collect())) == [("cat", 1, 3), ("dog", 2, 4), ("eel", 0, 1), ("the", 1, 2)]
+    shuffles = re.findall(r"hashpartitioning\(([^)]*)\)", rows._jdf.queryExecution().executedPlan().toString())
+    assert shuffles and not any("term#" in s and "id#" in s for s in shuffles)
