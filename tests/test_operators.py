@@ -406,3 +406,19 @@ def test_words_shuffle_as_counts(spark):
     assert sorted(map(tuple, rows.collect())) == [("cat", 1, 3), ("dog", 2, 4), ("eel", 0, 1), ("the", 1, 2)]
     shuffles = re.findall(r"hashpartitioning\(([^)]*)\)", rows._jdf.queryExecution().executedPlan().toString())
     assert shuffles and not any("term#" in s and "id#" in s for s in shuffles)
+
+
+def test_an_index_shuffles_a_row_for_each_text_and_term(spark, tmp_path):
+    from tessera.operators.textindex import TextIndex
+
+    docs = spark.createDataFrame([(1, "the cat the the"), (2, "Étage the"), (3, None), (4, "")], "id long, text string")
+    index = TextIndex.of(docs, once=True)
+    want = [("cat", 1, 1, 4, [1]), ("etage", 2, 1, 2, [0]), ("the", 1, 3, 4, [0, 2, 3]), ("the", 2, 1, 2, [1])]
+    assert sorted(map(tuple, index.postings.collect())) == want
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    index.write(str(tmp_path / "i"))
+    again = TextIndex.read(spark, str(tmp_path / "i"))
+    assert sorted(map(tuple, again.postings.collect())) == want and again.totals.head() == (4, 6)
+    # Texts of one id are one.
+    twice = TextIndex.of(docs.unionByName(spark.createDataFrame([(1, "cat cat")], docs.schema)))
+    assert sorted(map(tuple, twice.postings.filter("id = 1").collect())) == [("cat", 1, 3, 4, [0, 1, 1]), ("the", 1, 3, 4, [0, 2, 3])]
