@@ -20,12 +20,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.fulltext import ENGLISH_STOP, lexemes, porter2_udf, word_tokens, words_of
+from tessera.functions.fulltext import ENGLISH_STOP, lexemes, places_by_word, porter2_udf, word_tokens, words_of
 from tessera.operators.commits import CommitLog
 from tessera.operators.textindex import K1, B, TextIndex, added_up
 from tessera.sources.shared import names, remove
 
 BLOCK_BITS = 7
+#: Words of a task that stores postings, and tasks that a term's blocks are dealt to.
+PART_WORDS, DEALS = 1 << 20, 32
 #: Bits of a row's number within its part in monotonically_increasing_id().
 PART_BITS = 33
 #: A bound and a score are sums in different orders.
@@ -152,21 +154,26 @@ class SegmentedIndex:
         offsets = F.broadcast(parts.select("part", (before * (1 << BLOCK_BITS)).alias("offset")))
         numbered = staged.join(offsets, "part").select((F.col("n") + F.col("offset")).alias("at"), "id", "file", F.size("words").alias("length"), "words")
         numbered.drop("words").write.parquet(f"{self.root}/docs/segment={name}")
-        each = numbered.select("at", "id", "length", F.posexplode("words").alias("position", "term"))
+        found = places_by_word(numbered.select("at", "id", "length", "words"))
         if self.stem:
-            each = each.filter(~F.col("term").isin(ENGLISH_STOP)).withColumnRenamed("term", "word")
-            each = each.join(each.select("word").distinct().withColumn("term", porter2_udf()("word")), "word")
-        # A text has no more positions than words, and its words are added up before they shuffle.
-        found = each.groupBy("term", "at").agg(F.max("id").alias("id"), F.max("length").alias("length"), F.sort_array(F.collect_list("position")).alias("positions"))
+            found = found.filter(~F.col("term").isin(ENGLISH_STOP)).withColumnRenamed("term", "word")
+            found = found.join(found.select("word").distinct().withColumn("term", porter2_udf()("word")), "word")
+            found = found.groupBy("term", "at").agg(F.max("id").alias("id"), F.max("length").alias("length"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
         one = F.struct("at", "id", F.size("positions").alias("tf"), "length", "positions")
-        dealt = found.select("term", F.shiftright("at", BLOCK_BITS).alias("block"), one.alias("doc")).repartitionByRange("term", "block")
-        self._write_postings(dealt.groupBy("term", "block").agg(F.sort_array(F.collect_list("doc")).alias("docs")), name)
+        # One shuffle deals blocks out and puts them together; a frequent term's blocks go to several tasks, and tasks grow in number with the words.
+        block = F.shiftright("at", BLOCK_BITS)
+        dealt = found.select("term", block.alias("block"), F.pmod(block, F.lit(DEALS)).alias("deal"), one.alias("doc")).repartition(totals["words"] // PART_WORDS + 1, "term", "deal")
+        self._store_postings(dealt.groupBy("term", "deal", "block").agg(F.sort_array(F.collect_list("doc")).alias("docs")), name)
         remove(self.spark, staging)
         return {"name": name, "blocks": totals["blocks"], "docs": totals["docs"], "words": totals["words"], "dead_docs": 0, "dead_words": 0}
 
     def _write_postings(self, rows: DataFrame, name: str) -> None:
+        self._store_postings(rows.repartitionByRange("term", "block"), name)
+
+    def _store_postings(self, rows: DataFrame, name: str) -> None:
+        """Rows that are dealt out already, each task's in the order of terms."""
         largest, least = F.array_max(F.transform("docs", lambda d: d["tf"])), F.array_min(F.transform("docs", lambda d: d["length"]))
-        rows = rows.select("term", "block", largest.alias("max_tf"), least.alias("min_length"), "docs").repartitionByRange("term", "block")
+        rows = rows.select("term", "block", largest.alias("max_tf"), least.alias("min_length"), "docs")
         rows.sortWithinPartitions("term", "block").write.parquet(f"{self.root}/postings/segment={name}")
 
     # Reading

@@ -422,3 +422,12 @@ def test_an_index_shuffles_a_row_for_each_text_and_term(spark, tmp_path):
     # Texts of one id are one.
     twice = TextIndex.of(docs.unionByName(spark.createDataFrame([(1, "cat cat")], docs.schema)))
     assert sorted(map(tuple, twice.postings.filter("id = 1").collect())) == [("cat", 1, 3, 4, [0, 1, 1]), ("the", 1, 3, 4, [0, 2, 3])]
+
+
+def test_a_segment_is_dealt_once(spark, tmp_path, monkeypatch):
+    from tessera.operators.segments import SegmentedIndex
+
+    dealt = []
+    monkeypatch.setattr(SegmentedIndex, "_store_postings", lambda self, rows, name: dealt.append(rows._jdf.queryExecution().executedPlan().toString()))
+    SegmentedIndex(spark, f"file://{tmp_path}/index").add(spark.createDataFrame([(i, "a b a") for i in range(300)], "id long, text string"))
+    assert dealt[0].count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in dealt[0]
