@@ -8,7 +8,7 @@ from tessera.functions import dates, numbers, text, vectors
 from tessera.operators import planned, search, sheets, state
 from tessera.plans import measure
 from tessera.plans.filters import And, Eq, HasEntity, Layout, Or, Overlaps, compile_filter, dataset_period, in_scope
-from tessera.queries.base import query, table
+from tessera.queries.base import dealt, query, table
 from tessera.queries.retrieval import COSINE, asked
 from tessera.queries.texts import WORDS
 from tessera.sources import console, readers
@@ -39,7 +39,8 @@ def markup_to_text(spark, sf):
 def tables_to_markdown(spark, sf):
     """Tables of a page as markdown: bars escaped, entities read, a short row filled up."""
     page = F.concat(F.lit("<p>x</p><table class=t><tr><th>a|b</th><th>size</th></tr><tr><td>"), "p_name", F.lit(" &amp; <b>"), "p_brand", F.lit("</b></td></tr></table>"))
-    return table(spark, sf, "part").select("p_partkey", text.markdown_table(F.get(text.html_tables(page), 0)).alias("markdown"))
+    rows = dealt(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
+    return rows.select("p_partkey", text.markdown_table(F.get(text.html_tables(page), 0)).alias("markdown"))
 
 
 @query("SELECT conv_id, turn, replace(replace(replace(text, 'Bearer and', '[redacted]'), 'and', '[redacted]'), 'the', '[redacted]') AS shown FROM conversations")

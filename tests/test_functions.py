@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, embedders, fulltext, numbers, text, vectors
+from tessera.queries import pieces
 
 
 def one(spark, column):
@@ -128,6 +129,16 @@ def test_tables_of_pages(spark):
     assert one(spark, text.markdown_table(text.html_tables(F.lit(page))[0])) == "| a | b\\|c |\n| --- | --- |\n| 1 & 2 |  |"
 
 
+def test_tables_are_made_once(spark):
+    """A markdown table mentions its page once, so no row cuts the page again; pages of one small file go over several tasks."""
+    assert str(text.markdown_table(F.get(text.html_tables("page"), 0))).count("</table>") == 1
+    page = "<table><tr><td>a<br>1</td></tr><tr></tr><tr><td>2 > 1</td><td><b>|</b></td><td>c</td></tr></table>"
+    assert one(spark, text.markdown_table(F.get(text.html_tables(F.lit(page)), 0))) == "| a1 |  |  |\n| --- | --- | --- |\n|  |  |  |\n| 2 > 1 | \\| | c |"
+    assert one(spark, text.markdown_table(F.get(text.html_tables(F.lit("no table")), 0))) is None
+    assert one(spark, text.html_text(F.lit("a<style>x</style>b<STYLE>c"))) == "abc"
+    assert pieces.tables_to_markdown(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
 def test_relative_segments(spark):
     f = lambda p, root="Root": one(spark, text.relative_segments(F.lit(p), root))
     assert f("/drives/x/root:/Root/A%20b/C+d") == ["A b", "C+d"] and f("/drives/x/root:/Root") == []
