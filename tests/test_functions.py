@@ -167,6 +167,22 @@ def test_vectors(spark):
         embedders.embedder("none such")
 
 
+def test_embedding_moves_counts_only(spark, monkeypatch):
+    """Words are counted where they lie: one exchange, of counts; long words, other letters, rows of one key and texts without words as by the word."""
+    texts = [(1, "a b a"), (1, "A é1b2é " + "z" * 70), (2, "x" * 63 + " " + "x" * 64 + " " + "x" * 65), (3, None), (4, ""), (5, "end"), (6, "end"), (7, "İstanbul \u212a9")]
+    monkeypatch.setattr(vectors, "CHUNK", 5)
+    found = vectors.hash_embedding(spark.createDataFrame(texts, "id int, t string"), "id", "t")
+    assert len(re.findall(r"Exchange|RepartitionByExpression", found._jdf.queryExecution().optimizedPlan().toString())) == 1 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, {})[r.bucket] = round(r.weight, 9)
+    want = {}
+    for i, t in texts:
+        want[i] = want.get(i, "") + " " + (t or "")
+    # Python and Spark lower these letters alike.
+    assert got == {i: kept for i, t in want.items() if (kept := {b: round(x, 9) for b, x in enumerate(embedders.hashed_words(t)) if x})}
+
+
 def test_embedding_refresh(spark):
     rows = spark.createDataFrame([(1, "a b", [0.0], "old"), (2, "c", [1.0], "hashed-words-384")], "id int, text string, embedding array<float>, embedding_model string")
     got = {r.id: r for r in embedders.refreshed(rows, "text", "hashed-words-384").collect()}
