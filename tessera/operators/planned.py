@@ -17,13 +17,15 @@ def sections(cells: DataFrame) -> DataFrame:
     """Cells of a report of many tables with the number and title of their section.
 
     A row with one filled text cell opens a section and is not part of it.
+    Cells are dealt and sorted once, by sheet and row; nothing is joined back.
     """
-    cells = filled(cells)
-    rows = cells.groupBy(*SHEET, "row").agg(F.count("*").alias("n"), F.min("s").alias("title"))
-    opens = (F.col("n") == 1) & to_number("title").isNull()
-    order = Window.partitionBy(*SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("opens", opens).withColumn("section", F.sum(F.col("opens").cast("int")).over(order)).withColumn("section_title", F.last(F.when(F.col("opens"), F.col("title")), ignorenulls=True).over(order))
-    return cells.join(rows.filter(~F.col("opens")).select(*SHEET, "row", "section", "section_title"), [*SHEET, "row"])
+    order = Window.partitionBy(*SHEET).orderBy("row")
+    same = order.rangeBetween(Window.currentRow, Window.currentRow)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = (F.count("*").over(same) == 1) & to_number("s").isNull()
+    marked = filled(cells).withColumn("opens", opens)
+    marked = marked.withColumn("section", F.sum(F.col("opens").cast("int")).over(so_far)).withColumn("section_title", F.last(F.when(F.col("opens"), F.col("s")), ignorenulls=True).over(so_far))
+    return marked.filter(~F.col("opens")).select(*SHEET, "row", *[c for c in cells.columns if c not in (*SHEET, "row")], "section", "section_title")
 
 
 def section_sheets(cells: DataFrame) -> DataFrame:

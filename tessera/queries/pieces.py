@@ -227,7 +227,8 @@ def report_sections(spark, sf):
     """A report of two tables, each under a title in a row of its own."""
     cell = lambda row, col, s: F.struct(F.lit(row).alias("row"), F.lit(col).alias("col"), s.alias("s"))
     cells = [cell(0, 0, F.lit("Rooms")), cell(1, 0, F.lit("kind")), cell(1, 1, F.lit("n")), cell(2, 0, F.col("p_brand")), cell(2, 1, F.lit("7")), cell(4, 0, F.lit("Bar")), cell(5, 0, F.lit("x")), cell(5, 3, F.col("p_type"))]
-    long = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("S").alias("sheet"), F.explode(F.array(*cells)).alias("c")).select("doc_id", "sheet", "c.row", "c.col", "c.s")
+    rows = dealt(table(spark, sf, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey")
+    long = rows.select(F.col("p_partkey").alias("doc_id"), F.lit("S").alias("sheet"), F.explode(F.array(*cells)).alias("c")).select("doc_id", "sheet", "c.row", "c.col", "c.s")
     return planned.sections(long).groupBy("doc_id", F.col("section").cast("int").alias("section"), "section_title").agg(F.count("*").alias("n"))
 
 

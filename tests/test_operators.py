@@ -303,6 +303,7 @@ def test_planned_operators(spark):
     from tessera.operators import planned
 
     report = [["Rooms"], ["Room", "Cost"], [101, 5], ["Bar"], ["Item", "Price"], ["Tea", 2], ["Ale", 3]]
+    assert "Join" not in planned.sections(grid(spark, report))._jdf.queryExecution().optimizedPlan().toString()
     parts = planned.section_sheets(grid(spark, report))
     assert {r.sheet for r in parts.collect()} == {"s / Rooms / 1", "s / Bar / 2"}
     assert [tuple(r) for r in sheets.tidy_table(parts, "d", "s / Bar / 2").collect()] == [("Tea", 2.0), ("Ale", 3.0)]
