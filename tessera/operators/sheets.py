@@ -17,6 +17,8 @@ from tessera.functions.text import row_text, snake
 
 SHEET = ("doc_id", "sheet")
 HEADER_WITHIN, AHEAD, TEXT_SHARE = 30, 3, 0.6
+#: Rows of a sheet whose cells of one column a task joins at once.
+BLOCK = 1 << 16
 LEDGER_TITLE, LEDGER_TOP, LEDGER_HEADER = "general ledger activity detail", 12, 15
 
 # Headings of a ledger report and the columns they fill.
@@ -35,7 +37,9 @@ def filled(cells: DataFrame) -> DataFrame:
 
 def header_rows(cells: DataFrame) -> DataFrame:
     """doc_id, sheet, header: the first row with two cells or more, mostly text, and data within the next three rows."""
-    per = filled(cells).groupBy(*SHEET, "row").agg(F.count("*").alias("cells"), F.sum((to_number("s").isNull() & to_iso_date("s").isNull()).cast("int")).alias("text"))
+    # A long sheet has no more than its top looked at.
+    top = filled(cells).filter(F.col("row") < HEADER_WITHIN + AHEAD)
+    per = top.groupBy(*SHEET, "row").agg(F.count("*").alias("cells"), F.sum((to_number("s").isNull() & to_iso_date("s").isNull()).cast("int")).alias("text"))
     last = cells.groupBy(*SHEET).agg(F.max("row").alias("last"))
     # Rows follow each other by number, so that empty ones count.
     ahead = Window.partitionBy(*SHEET).orderBy("row").rangeBetween(1, AHEAD)
@@ -44,11 +48,10 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return good.groupBy(*SHEET).agg(F.min("row").alias("header"))
 
 
-def column_type(values: Column) -> Column:
-    """number if all filled values are, else date if all are, else text; nothing filled is text."""
+def kinds(values: Column) -> list[Column]:
+    """number, date: whether all filled values are; null where nothing is filled."""
     all_are = lambda parsed: F.bool_and(F.when(values.isNotNull(), parsed.isNotNull()))
-    number, date = all_are(to_number(values)), all_are(to_iso_date(values))
-    return F.when(number, "number").when(date, "date").otherwise("text")
+    return [all_are(to_number(values)).alias("number"), all_are(to_iso_date(values)).alias("date")]
 
 
 def unique_names(columns: DataFrame, group: tuple[str, ...], name: str, order: str) -> DataFrame:
@@ -58,19 +61,33 @@ def unique_names(columns: DataFrame, group: tuple[str, ...], name: str, order: s
 
 
 def sheet_columns(cells: DataFrame) -> DataFrame:
-    """doc_id, sheet, header, col, name, type of each column that holds anything."""
-    body = filled(cells).join(header_rows(cells), [*SHEET]).filter("row >= header")
+    """doc_id, sheet, header, col, name, type of each column that holds anything.
+
+    A column is a number if all filled values are, else a date if all are, else
+    text.  Only cells near the top are asked where the header is: those further
+    down lie below it and are added up before they move.
+    """
+    body, header = filled(cells), header_rows(cells)
+    top = body.filter(F.col("row") < HEADER_WITHIN).join(header, [*SHEET]).filter("row >= header")
     value = F.when(F.col("row") > F.col("header"), F.col("s"))
-    named = body.groupBy(*SHEET, "header", "col").agg(F.max(F.when(F.col("row") == F.col("header"), F.col("s"))).alias("title"), F.coalesce(column_type(value), F.lit("text")).alias("type"))
+    top = top.groupBy(*SHEET, "header", "col").agg(F.max(F.when(F.col("row") == F.col("header"), F.col("s"))).alias("title"), *kinds(value))
+    deep = body.filter(F.col("row") >= HEADER_WITHIN).groupBy(*SHEET, "col").agg(*kinds(F.col("s"))).join(header, [*SHEET])
+    whole = top.unionByName(deep, allowMissingColumns=True).groupBy(*SHEET, "header", "col")
+    named = whole.agg(F.max("title").alias("title"), F.when(F.bool_and("number"), "number").when(F.bool_and("date"), "date").otherwise("text").alias("type"))
     title = snake(F.coalesce("title", F.lit("")))
     named = named.withColumn("name", F.when(title != "", title).otherwise(F.concat(F.lit("col_"), (F.col("col") + 1).cast("string"))))
     return unique_names(named, SHEET, "name", "col").select(*SHEET, "header", "col", "name", "type")
 
 
 def tidy_values(cells: DataFrame) -> DataFrame:
-    """doc_id, sheet, row, name, type, number, date, text: the generic table in long form, empty rows gone."""
-    columns = sheet_columns(cells)
-    data = filled(cells).join(columns, [*SHEET, "col"]).filter("row > header")
+    """doc_id, sheet, row, name, type, number, date, text: the generic table in long form, empty rows gone.
+
+    Cells meet their column by blocks of rows, so that no task has a long column whole.
+    """
+    block = lambda row: F.floor(F.col(row) / BLOCK)
+    last = cells.groupBy(*SHEET).agg(F.max("row").alias("last"))
+    columns = sheet_columns(cells).join(last, [*SHEET]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), block("last")))).drop("last")
+    data = filled(cells).withColumn("block", block("row")).join(columns, [*SHEET, "col", "block"]).filter("row > header")
     as_ = lambda kind, c: F.when(F.col("type") == kind, c)
     return data.select(*SHEET, "row", "col", "name", "type", as_("number", to_number("s")).alias("number"), as_("date", to_iso_date("s")).alias("date"), as_("text", F.col("s")).alias("text"))
 

@@ -432,3 +432,15 @@ def test_a_segment_is_dealt_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(SegmentedIndex, "_store_postings", lambda self, rows, name: dealt.append(rows._jdf.queryExecution().executedPlan().toString()))
     SegmentedIndex(spark, f"file://{tmp_path}/index").add(spark.createDataFrame([(i, "a b a") for i in range(300)], "id long, text string"))
     assert dealt[0].count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in dealt[0]
+
+
+def test_long_sheets_move_as_sums(spark, monkeypatch):
+    """The window that looks for a header sees the top of a sheet only; cells below are added up before they meet it, and columns meet theirs by blocks."""
+    monkeypatch.setattr(sheets, "BLOCK", 16)
+    rows = [["Title"], [], ["Key", "Key", None, "Since"]] + [[i, f"n{i}", None if i < 40 else "$1.50", "8/1/2026"] for i in range(60)] + [[60, "n60", "x"]]
+    cells = grid(spark, rows)
+    got = {(r.name, r.type): (r.n, r.last) for r in sheets.tidy_values(cells).groupBy("name", "type").agg(F.count("*").alias("n"), F.max("row").alias("last")).collect()}
+    assert got == {("key", "number"): (61, 63), ("key_2", "text"): (61, 63), ("col_3", "text"): (21, 63), ("since", "date"): (60, 62)}
+    plan = sheets.header_rows(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"< {sheets.HEADER_WITHIN + sheets.AHEAD})" in plan
+    assert f"< {sheets.HEADER_WITHIN})" in sheets.sheet_columns(cells)._jdf.queryExecution().optimizedPlan().toString()
