@@ -90,7 +90,9 @@ class BucketStore:
             columns = self.spark.createDataFrame([], table.schema).columns
             folder = f"v{old.version + 1}-{uuid.uuid4().hex[:12]}"
             new = make(self.rows(name, touched, old)).select(*columns).withColumn("bucket", table.bucket())
-            new.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
+            # A bucket is one task's, which writes one file for it; small ones too are not written one after another.
+            tasks = min(len(touched), 4 * self.spark.sparkContext.defaultParallelism)
+            new.repartitionById(tasks, F.col("bucket") % tasks).write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
             filled = {int(n.split("=")[1]) for n in names(self.spark, f"{self.root}/{name}/{folder}") if n.startswith("bucket=")}
             for b in touched:
                 own.pop(b, None)

@@ -55,6 +55,8 @@ def sliding_window_counts(spark, sf):
 # A change feed of the events: a page a day, an error is a tombstone of its user.
 
 ITEMS = "id long, event_id long, ts timestamp_ntz, value double, deleted boolean"
+#: Rows of a piece of a page.
+PIECE = 1 << 16
 DAY = "datediff(ts, DATE '2024-01-01')"
 ROWS = "id long, event_id long, value double, epoch int"
 ORDER = ("ts", "event_id")
@@ -63,7 +65,7 @@ ORDER = ("ts", "event_id")
 def staged_pages(spark: SparkSession, sf: str, root: str) -> list[str]:
     """Writes the pages of the feed beside it and names them in order."""
     items = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", "ts", "value", (F.col("event_type") == "error").alias("deleted"), F.expr(DAY).alias("page"))
-    items.repartition("page").write.partitionBy("page").parquet(f"{root}/staged")
+    items.repartition("page").write.option("maxRecordsPerFile", PIECE).partitionBy("page").parquet(f"{root}/staged")
     return sorted((n for n in names(spark, f"{root}/staged") if n.startswith("page=")), key=lambda n: int(n[5:]))
 
 

@@ -1,7 +1,7 @@
 """A change feed as a streaming source whose offset is the feed's cursor.
 
 The driver follows links only: a micro-batch is a few cursors.  Tasks fetch the
-pages behind them.  A feed that does not know a cursor any more begins anew
+pages behind them, a page of many pieces in shares.  A feed that does not know a cursor any more begins anew
 under the next epoch; when its end is reached for the first time in an epoch, a
 row of kind `end` says so, and what was not seen since can be swept.
 """
@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructType, _parse_datatype_string
@@ -35,6 +36,8 @@ class Feed(Protocol):
     def items(self, cursor: str | None) -> Iterator[pa.RecordBatch]:
         """The page's items."""
 
+    # A feed may have share(cursor, number, of) too: the pieces of a page that fall to one of so many tasks.  Without it one task takes a page.
+
 
 class StoredFeed:
     """Pages in Parquet folders page=<n> below a folder that pyarrow can open; pages below the number in the name of a file oldest=<n> are forgotten."""
@@ -58,8 +61,14 @@ class StoredFeed:
         return None if page is None else str(page + 1)
 
     def items(self, cursor: str | None) -> Iterator[pa.RecordBatch]:
-        page = self._page(cursor)
-        yield from pads.dataset(f"{self.root}/page={page}", filesystem=self.fs, format="parquet", exclude_invalid_files=False).to_batches()
+        return self.share(cursor, 0, 1)
+
+    def share(self, cursor: str | None, number: int, of: int) -> Iterator[pa.RecordBatch]:
+        """Every of-th row group of the page, from that of the number on."""
+        stored = pads.dataset(f"{self.root}/page={self._page(cursor)}", filesystem=self.fs, format="parquet", exclude_invalid_files=False)
+        pieces = [g for f in sorted(stored.get_fragments(), key=lambda f: f.path) for g in f.split_by_row_group()]
+        for piece in pieces[number::of]:
+            yield from piece.to_batches(schema=stored.schema)
 
 
 def open_feed(kind: str, at: str) -> Feed:
@@ -128,6 +137,8 @@ def changes(spark: SparkSession, at: str, schema: str, feed: str = f"{__name__}:
     items = _parse_datatype_string(schema)
     out = StructType([*items.fields]).add("epoch", IntegerType()).add("kind", StringType())
     arrow = to_arrow_schema(items)
+    # As many shares of a page as leave no core without one.
+    shares = -(-spark.sparkContext.defaultParallelism // pages_per_batch)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = None
@@ -138,7 +149,7 @@ def changes(spark: SparkSession, at: str, schema: str, feed: str = f"{__name__}:
                     yield from _told(page, link).to_batches()
                     continue
                 source = source or open_feed(feed, at)
-                for found in source.items(link["cursor"]):
+                for found in fetched(source, link["cursor"], link["share"], shares):
                     page = pa.Table.from_batches([found]).select(arrow.names).cast(arrow)
                     yield from _told(page, link).to_batches()
 
@@ -146,5 +157,13 @@ def changes(spark: SparkSession, at: str, schema: str, feed: str = f"{__name__}:
         n = page.num_rows
         return page.append_column("epoch", pa.array([link["epoch"]] * n, pa.int32())).append_column("kind", pa.array([link["kind"]] * n, pa.string()))
 
-    # The links come in one partition; their pages are dealt out.
-    return links.repartition(pages_per_batch).mapInArrow(fetch, out)
+    # The links come in one partition; the shares of their pages are dealt out.
+    each = F.explode(F.when(F.col("kind") == PAGE, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0))))
+    return links.withColumn("share", each).repartition(pages_per_batch * shares).mapInArrow(fetch, out)
+
+
+def fetched(source: Feed, cursor: str | None, share: int, of: int) -> Iterator[pa.RecordBatch]:
+    """A share of a page's items; the first has all where the feed does not tell pieces apart."""
+    if hasattr(source, "share"):
+        return source.share(cursor, share, of)
+    return iter(()) if share else source.items(cursor)

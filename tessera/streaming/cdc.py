@@ -108,13 +108,15 @@ def kept_rows(store: BucketStore, table: str, order: tuple[str, ...], deleted: s
     key = list(store.tables[table].key)
 
     def change(pages: DataFrame, whole: int | None) -> Rewrite:
-        last = newest(pages, tuple(key), order)
-
         def make(current: DataFrame) -> DataFrame:
-            rows = current.join(last.select(*key), key, "left_anti").unionByName(last.filter(~F.col(deleted)).select(*current.columns))
+            # Of a key's rows any change comes after what is there; all are added up in one pass.
+            changes = pages.select(*dict.fromkeys([*current.columns, *order, deleted])).withColumn("__new", F.lit(True))
+            there = current.withColumn(deleted, F.lit(False)).withColumn("__new", F.lit(False))
+            last = newest(there.unionByName(changes, allowMissingColumns=True), tuple(key), ("__new", *order))
+            rows = last.filter(~F.col(deleted)).select(*current.columns)
             return rows if whole is None else rows.filter(F.col(epoch) >= whole)
 
-        return _touching(store, table, key, last, whole), make
+        return _touching(store, table, key, pages, whole), make
 
     return change
 
@@ -127,17 +129,17 @@ def kept_parts(store: BucketStore, table: str, order: tuple[str, ...], parts: Ca
         last = newest(pages, tuple(key), order)
 
         def make(current: DataFrame) -> DataFrame:
-            rows = current.join(last.select(*key), key, "left_anti").unionByName(parts(last.filter(~F.col(deleted))).select(*current.columns))
+            rows = current.join(pages.select(*key).distinct(), key, "left_anti").unionByName(parts(last.filter(~F.col(deleted))).select(*current.columns))
             return rows if whole is None else rows.filter(F.col(epoch) >= whole)
 
-        return _touching(store, table, key, last, whole), make
+        return _touching(store, table, key, pages, whole), make
 
     return change
 
 
-def _touching(store: BucketStore, table: str, key: list[str], last: DataFrame, whole: int | None) -> DataFrame:
+def _touching(store: BucketStore, table: str, key: list[str], pages: DataFrame, whole: int | None) -> DataFrame:
     """The keys whose buckets a batch rewrites: those changed, and for a sweep all."""
-    return last.select(*key) if whole is None else last.select(*key).unionByName(store.rows(table).select(*key))
+    return pages.select(*key) if whole is None else pages.select(*key).unionByName(store.rows(table).select(*key))
 
 
 def versioned_sink(spark: SparkSession, root: str, key: str, order: tuple[str, ...], deleted: str) -> Callable[[DataFrame, int], None]:

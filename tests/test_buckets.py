@@ -83,6 +83,20 @@ def test_vacuum_keeps_what_kept_commits_name(spark, store):
         store.commit_of(1)
 
 
+def test_buckets_are_written_side_by_side_one_file_each(spark, store):
+    folder = store.commit({"rows": put(spark, [(n, "x") for n in range(60)])}).folders["rows"][0]
+    files = [n for b in range(8) for n in names(spark, f"{store.root}/rows/{folder}/bucket={b}") if n.startswith("part-")]
+    assert len(files) == 8 and len({n.split("-")[1] for n in files}) == 8
+
+
+def test_a_null_key_has_one_row(spark, store):
+    change = cdc.kept_rows(store, "rows", ("at",))
+    for n, rows in enumerate(([(None, "a", False, 0, 1), (1, "a", False, 0, 1)], [(None, "b", False, 0, 2), (1, "b", True, 0, 2), (1, "c", False, 0, 0)])):
+        pages = spark.createDataFrame(rows, f"{ITEMS}, epoch int, at int").withColumn("name", F.concat("name", F.lit("!")))
+        store.commit({"rows": change(pages, None)}, n)
+    assert held(store) == [(None, "b!")]
+
+
 def test_empty_store_and_null_keys(spark, store):
     assert held(store) == [] and store.history().collect() == []
     assert store.commit({"rows": put(spark, [])}).folders == {"rows": {}}
@@ -139,6 +153,31 @@ def test_links_follow_cursors_and_epochs(spark, tmp_path):
         feed.StoredFeed(root).after("6")
 
 
+def test_shares_of_a_page_hold_each_item_once(spark, tmp_path):
+    root = f"file://{tmp_path}/feed"
+    spark.range(100).selectExpr("id", "'x' AS name", "false AS deleted").coalesce(1).write.option("maxRecordsPerFile", 9).parquet(f"{root}/page=0")
+    stored = feed.StoredFeed(root)
+    shares = [[i for batch in stored.share(None, n, 5) for i in batch["id"].to_pylist()] for n in range(5)]
+    assert all(shares) and sorted(sum(shares, [])) == list(range(100))
+    assert [i for batch in stored.items(None) for i in batch["id"].to_pylist()] == list(range(100))
+    seen = []
+
+    def sink(batch, number):
+        pages = batch.filter("kind = 'page'")
+        seen.append((sorted(r.id for r in pages.collect()), pages.select(F.spark_partition_id()).distinct().count()))
+
+    cdc.caught_up(cdc.stream_table(feed.changes(spark, root, ITEMS, pages_per_batch=1), [sink], f"file://{tmp_path}/checkpoint", once=False))
+    assert seen[0] == (list(range(100)), 4)
+
+
+def test_a_feed_without_shares_gives_a_page_to_one_task():
+    class Whole:
+        def items(self, cursor):
+            return iter([cursor])
+
+    assert [list(feed.fetched(Whole(), "7", n, 3)) for n in range(3)] == [["7"], [], []]
+
+
 def test_a_stream_goes_on_after_failures_and_restarts(spark, tmp_path):
     root = f"file://{tmp_path}/feed"
     store = BucketStore(spark, f"file://{tmp_path}/store", {"rows": Table("id long, name string, epoch int", ("id",), 4)})
