@@ -89,17 +89,23 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted unsigned numbers as 16-bit steps; the largest value carries over."""
+    """Sorted unsigned numbers as steps of so many bytes as most of them need, which the first byte names; the largest value carries over."""
     steps = np.diff(keys, prepend=np.zeros(1, keys.dtype)).astype(np.int64)
-    over, rest = np.divmod(steps, 65535)
-    out = np.full(int(over.sum()) + len(keys), 65535, "<u2")
+    # A step carries over once in seven or less: the room follows the numbers, however far apart they are.
+    width = next((w for w in (2, 3) if not len(keys) or int(keys[-1]) // len(keys) < 1 << (8 * w - 1)), 4)
+    most = (1 << 8 * width) - 1
+    over, rest = np.divmod(steps, most)
+    out = np.full(int(over.sum()) + len(keys), most, "<u4")
     out[np.cumsum(over + 1) - 1] = rest
-    return out.tobytes()
+    return bytes([width]) + out.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, "<u2")
-    return np.cumsum(steps, dtype=np.int64)[steps < 65535]
+    width = data[0]
+    steps = np.zeros(((len(data) - 1) // width, 4), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    steps = steps.view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.int64)[steps < (1 << 8 * width) - 1]
 
 
 SHAPES = "role int, part int, chunk long, keys binary, docs binary, ids binary, sizes binary, classes binary"

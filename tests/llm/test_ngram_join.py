@@ -89,6 +89,17 @@ def test_packed_round_trip():
     assert ngram_join.unpacked(ngram_join.packed(np.array([0, 0, 65535, 131070], np.uint64))).tolist() == [0, 0, 65535, 131070]
 
 
+def test_packed_room_follows_the_numbers():
+    """However many parts numbers are dealt over, and so however far apart they lie, each takes four bytes and some at most."""
+    rng = np.random.default_rng(1)
+    for n in (1, 40, 437, 1 << 14):
+        for top in (1 << 10, 1 << 20, 1 << 30):
+            keys = np.sort(rng.integers(0, top, n)).astype(np.uint64)
+            data = ngram_join.packed(keys)
+            assert len(data) <= 5 * n + 8, (n, top)
+            assert (ngram_join.unpacked(data) == keys.astype(np.int64)).all()
+
+
 def test_labels_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 199)]
     label = {r.node: r.label for r in components(spark.createDataFrame(links, "src long, dst long")).collect()}
