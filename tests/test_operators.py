@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import re
 import sqlite3
 
@@ -399,6 +400,33 @@ def test_bm25_of_copies_is_equal_whatever_the_order_of_rows(spark):
     assert best == list(range(len(best))) and len(best) > 30
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_bm25_of_many_questions_makes_no_row_for_each_text(spark, monkeypatch, kind):
+    """The k best of each question as one question alone has them, whatever the groups and shares; what leaves a task is k rows for a question."""
+    from tessera.operators import textindex
+
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(draw.choices(words, range(12, 0, -1), k=draw.randrange(1, 30)))) for i in range(600)]
+    docs = spark.createDataFrame(rows + [(600 + i, t) for i, t in rows[:50]], "id long, text string").withColumn("id", F.col("id").cast(kind))
+    index = textindex.TextIndex.of(docs)
+    lines = {q: draw.sample(words, 1 + q % 3) for q in range(7)}
+    asked = spark.createDataFrame([*lines.items(), (7, ["nowhere"]), (8, []), (9, None), (10, ["w3", "w3", "w5"])], "question int, terms array<string>")
+    want = {q: [(r.id, round(r.score, 12)) for r in index.bm25(t, 8).collect()] for q, t in {**lines, 10: ["w3", "w5"]}.items()}
+    for postings, shares, packed in ((1 << 21, 1 << 16, 1 << 17), (40, 3, 30)):
+        monkeypatch.setattr(textindex, "POSTINGS", postings)
+        monkeypatch.setattr(textindex, "QUESTIONS", shares)
+        monkeypatch.setattr(textindex, "AT_ONCE", packed)
+        found = index.bm25_many(asked, 8)
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: (r.question, r["rank"])):
+            got.setdefault(r.question, []).append((r.id, round(r.score, 12)))
+        assert got == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shuffles = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert shuffles and not any("question#" in s and "id#" in s for s in shuffles)
+
+
 def test_words_shuffle_as_counts(spark):
     from tessera.functions.fulltext import term_counts
 
