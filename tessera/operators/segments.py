@@ -8,6 +8,11 @@ what any of these texts can score.  A top-k search scores the blocks with the
 largest bounds first and then only those whose bound reaches the k-th score found
 there.  Segments are merged by shifting their block numbers.
 
+A block's texts lie side by side, so its posting rows are made where its words
+are: postings do not shuffle.  A file of a segment is a row of runs, each of
+about RUN words and in the order of terms, which is what a search's test of terms
+is pushed down to.
+
 A commit names the live segments, their totals and the bitmaps, so that readers
 see one state.  Searches over phrases and cover density go through index().
 """
@@ -15,19 +20,24 @@ see one state.  Searches over phrases and cover density go through index().
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tessera.functions.fulltext import ENGLISH_STOP, lexemes, places_by_word, porter2_udf, word_tokens, words_of
+from tessera.functions.fulltext import ENGLISH_STOP, lexemes, porter2, word_tokens, words_of
 from tessera.operators.commits import CommitLog
 from tessera.operators.textindex import K1, B, TextIndex, added_up
 from tessera.sources.shared import names, remove
 
 BLOCK_BITS = 7
-#: Words of a task that stores postings, and tasks that a term's blocks are dealt to.
-PART_WORDS, DEALS = 1 << 20, 32
+#: Words whose postings are put in order together, and texts of a staged file: whole blocks.
+RUN, STAGED = 1 << 20, 1 << 13
 #: Bits of a row's number within its part in monotonically_increasing_id().
 PART_BITS = 33
 #: A bound and a score are sums in different orders.
@@ -142,7 +152,8 @@ class SegmentedIndex:
     def _write_segment(self, docs: DataFrame, name: str) -> dict | None:
         staging = f"{self.root}/staging/{name}"
         file = F.col("file") if "file" in docs.columns else F.lit(None).cast("string").alias("file")
-        docs.select("id", file, word_tokens("text").alias("words"), F.monotonically_increasing_id().alias("row")).withColumn("words", F.coalesce("words", F.array().cast("array<string>"))).write.parquet(staging)
+        texts = docs.select("id", file, word_tokens("text").alias("words"), F.monotonically_increasing_id().alias("row")).withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+        texts.write.option("compression", "zstd").option("maxRecordsPerFile", STAGED).parquet(staging)
         staged = self.spark.read.parquet(staging).withColumns({"part": F.shiftright("row", PART_BITS), "n": F.col("row").bitwiseAND((1 << PART_BITS) - 1)})
         # One row a part: each begins with a block of its own.
         parts = staged.groupBy("part").agg((F.floor(F.max("n") / (1 << BLOCK_BITS)) + 1).alias("blocks"), F.count("*").alias("docs"), F.sum(F.size("words").cast("long")).alias("words"))
@@ -154,27 +165,20 @@ class SegmentedIndex:
         offsets = F.broadcast(parts.select("part", (before * (1 << BLOCK_BITS)).alias("offset")))
         numbered = staged.join(offsets, "part").select((F.col("n") + F.col("offset")).alias("at"), "id", "file", F.size("words").alias("length"), "words")
         numbered.drop("words").write.parquet(f"{self.root}/docs/segment={name}")
-        found = places_by_word(numbered.select("at", "id", "length", "words"))
-        if self.stem:
-            found = found.filter(~F.col("term").isin(ENGLISH_STOP)).withColumnRenamed("term", "word")
-            found = found.join(found.select("word").distinct().withColumn("term", porter2_udf()("word")), "word")
-            found = found.groupBy("term", "at").agg(F.max("id").alias("id"), F.max("length").alias("length"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-        one = F.struct("at", "id", F.size("positions").alias("tf"), "length", "positions")
-        # One shuffle deals blocks out and puts them together; a frequent term's blocks go to several tasks, and tasks grow in number with the words.
-        block = F.shiftright("at", BLOCK_BITS)
-        dealt = found.select("term", block.alias("block"), F.pmod(block, F.lit(DEALS)).alias("deal"), one.alias("doc")).repartition(totals["words"] // PART_WORDS + 1, "term", "deal")
-        self._store_postings(dealt.groupBy("term", "deal", "block").agg(F.sort_array(F.collect_list("doc")).alias("docs")), name)
+        one = StructType([*(numbered.schema[c] for c in ("at", "id")), StructField("tf", IntegerType()), StructField("length", IntegerType()), StructField("positions", ArrayType(IntegerType()))])
+        found = numbered.select("at", "id", "length", "words").mapInArrow(_blocks(self.stem), StructType().add("term", "string").add("block", "long").add("docs", ArrayType(one)))
+        self._store_postings(found, name)
         remove(self.spark, staging)
         return {"name": name, "blocks": totals["blocks"], "docs": totals["docs"], "words": totals["words"], "dead_docs": 0, "dead_words": 0}
 
     def _write_postings(self, rows: DataFrame, name: str) -> None:
-        self._store_postings(rows.repartitionByRange("term", "block"), name)
+        self._store_postings(rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), name)
 
     def _store_postings(self, rows: DataFrame, name: str) -> None:
-        """Rows that are dealt out already, each task's in the order of terms."""
+        """Rows that are dealt out already, each task's in runs in the order of terms."""
         largest, least = F.array_max(F.transform("docs", lambda d: d["tf"])), F.array_min(F.transform("docs", lambda d: d["length"]))
         rows = rows.select("term", "block", largest.alias("max_tf"), least.alias("min_length"), "docs")
-        rows.sortWithinPartitions("term", "block").write.parquet(f"{self.root}/postings/segment={name}")
+        rows.write.option("compression", "zstd").parquet(f"{self.root}/postings/segment={name}")
 
     # Reading
 
@@ -254,6 +258,62 @@ class SegmentedIndex:
         return self._scored(self.reaching(blocks, average, k), average).orderBy(F.col("score").desc(), "id").limit(k)
 
 
+def _blocks(stem: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """term, block, docs of texts (at, id, length, words) that lie in the order of their numbers."""
+
+    def one_run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        lists = rows.column("words")
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        flat = lists.flatten().dictionary_encode()
+        words, code = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        place = (np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        stop = set(ENGLISH_STOP) if stem else ()
+        terms = [None if w in stop else porter2(w) if stem else w for w in words]
+        # As Spark orders strings: by their bytes.
+        names = sorted({t for t in terms if t is not None}, key=str.encode)
+        rank = dict(zip(names, range(len(names)), strict=True))
+        term = np.array([-1 if t is None else rank[t] for t in terms], np.int64)[code] if words else code
+        text, place, term = text[term >= 0], place[term >= 0], term[term >= 0]
+        block = rows.column("at").to_numpy() >> BLOCK_BITS
+        # A text's words lie in order, and texts do: the order of terms keeps both.
+        order = np.argsort(term, kind="stable")
+        text, place, term = text[order], place[order], term[order]
+        # Where a posting begins, and where a row.
+        posting = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+        of, own = term[posting], text[posting]
+        row = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(block[own], prepend=-1) != 0))
+        cut = lambda at, n: pa.array(np.append(at, n).astype(np.int32))
+        take = lambda c: rows.column(c).take(pa.array(own))
+        tf = np.diff(np.append(posting, len(term))).astype(np.int32)
+        docs = pa.StructArray.from_arrays([take("at"), take("id"), pa.array(tf), take("length"), pa.ListArray.from_arrays(cut(posting, len(term)), pa.array(place))], ["at", "id", "tf", "length", "positions"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(of[row])), pa.array(block[own[row]]), pa.ListArray.from_arrays(cut(row, len(posting)), docs)], ["term", "block", "docs"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words, last = [], 0, -1
+        for batch in batches:
+            size = np.cumsum(pc.list_value_length(batch.column("words")).to_numpy().astype(np.int64))
+            block, begun = batch.column("at").to_numpy() >> BLOCK_BITS, 0
+            for at in np.flatnonzero(np.diff(block, prepend=last)).tolist():
+                # A block begins, which one that goes on from the batch before does not: what is held may end.
+                before = int(size[at - 1]) if at else 0
+                if (held or at > begun) and words + before - (int(size[begun - 1]) if begun else 0) >= RUN:
+                    yield one_run(_joined([*held, batch.slice(begun, at - begun)]))
+                    held, words, begun = [], 0, at
+            if batch.num_rows > begun:
+                last = block[-1]
+                held.append(batch.slice(begun))
+                words += int(size[-1]) - (int(size[begun - 1]) if begun else 0)
+        if held:
+            yield one_run(_joined(held))
+
+    return runs
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def _lives(at: Column) -> Column:
     """Whether the bit of a text is not set in low and high, the marks of its block (null: none)."""
     bit = F.pmod(at, F.lit(1 << BLOCK_BITS)).cast("int")

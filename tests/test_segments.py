@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import segments
 from tessera.operators.segments import SegmentedIndex
 from tessera.operators.textindex import TextIndex
 
@@ -115,3 +116,26 @@ def test_sync_reads_new_files_only(spark, index, tmp_path):
     assert [s["docs"] for s in after["segments"]] == [120, 61] and after["segments"][0]["dead_docs"] == 60
     agrees(index, dict(two) | dict(three) | {7: "boiler again"})
     assert index.index().postings.filter(F.col("term") == "again").count() == 1
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_postings_do_not_shuffle(spark, tmp_path, monkeypatch, stem):
+    """Posting rows are made where the words are; runs end between blocks, batches and files need not."""
+    monkeypatch.setattr(segments, "RUN", 900)
+    monkeypatch.setattr(segments, "STAGED", 256)
+    plans, store = [], SegmentedIndex._store_postings
+    monkeypatch.setattr(SegmentedIndex, "_store_postings", lambda self, rows, name: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), store(self, rows, name)))
+    docs = frame(spark, [*texts(random.Random(8), range(900)), (900, "Étages étage pools"), (901, None), (902, "pool " * 2000)])
+    index = SegmentedIndex(spark, f"file://{tmp_path}/index", stem)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        index.add(docs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "REPARTITION" not in plans[0] and "hashpartitioning(term" not in plans[0]
+    rows = lambda x: sorted(tuple(r) for r in x.index().postings.collect()) if x is index else sorted(tuple(r) for r in x.postings.collect())
+    assert rows(index) == rows(TextIndex.of(docs, stem=stem))
+    stored = spark.read.parquet(f"{index.root}/postings")
+    assert stored.groupBy("segment", "term", "block").count().filter("count > 1").isEmpty()
+    assert stored.filter("max_tf != array_max(transform(docs, d -> d.tf)) or min_length != array_min(transform(docs, d -> d.length))").isEmpty()
